@@ -103,8 +103,9 @@ def links(fps: DataFrame, written: Written, hot_bucket: int = HOT_BUCKET) -> Dat
         other = lambda c: F.when(F.col("segment") == 1, _half(F.col(c), 0)).otherwise(_half(F.col(c), 1))
         quarter = lambda v, q: F.shiftrightunsigned(v, 16) if q else v.bitwiseAND(F.lit(65535))
         fine_table = marked.where("hot").withColumn("other", other("fp")).select("segment", "value", "fp", F.explode(F.array(*[F.struct(F.lit(q).alias("quarter"), quarter(F.col("other"), q).alias("part")) for q in (0, 1)])).alias("k")).select("segment", "value", "fp", "k.*")
+        visited = lambda q: F.transform(_ball(quarter(F.col("other"), q), 16, False), lambda v: F.struct(F.lit(q).alias("quarter"), v.alias("part")))
         fine = visits.where("hot").withColumn("other", other("of"))
-        fine = fine.select("of", "segment", "half", "value", F.explode(F.concat(*[F.transform(_ball(quarter(F.col("other"), q), 16, False), lambda v, q=q: F.struct(F.lit(q).alias("quarter"), v.alias("part"))) for q in (0, 1)])).alias("k")).select("of", "segment", "half", "value", "k.*")
+        fine = fine.select("of", "segment", "half", "value", F.explode(F.concat(*[visited(q) for q in (0, 1)])).alias("k")).select("of", "segment", "half", "value", "k.*")
         warm = fine.join(fine_table, ["segment", "value", "quarter", "part"]).where(once & _near("of", "fp"))
         found = cool.select("of", "fp").unionByName(warm.select("of", "fp"))
     return found.select(F.least("of", "fp").alias("a"), F.greatest("of", "fp").alias("b")).distinct()
