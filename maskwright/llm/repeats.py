@@ -213,7 +213,7 @@ def scan(docs: DataFrame, kind: Kind) -> DataFrame:
 
 def second_digit(rows: DataFrame, window: int, gen: int, keep: bool = True) -> DataFrame:
     """Merges sorted rows of all generations: SPAN rows for repeated blocks of generation gen, OPEN rows for contested blocks, FIRST rows for
-    blocks that gen brings, if they are to be kept; WINDOW and SPAN rows pass."""
+    blocks and MARK rows for anchors that gen brings, if they are to be kept; WINDOW and SPAN rows pass."""
     names = SCHEMA.names
 
     def settle(table: pa.Table):
@@ -225,7 +225,7 @@ def second_digit(rows: DataFrame, window: int, gen: int, keep: bool = True) -> D
         digits = np.bincount(run, weights=new_b & block)
         contested = ((digits > 1) | (np.bincount(run, weights=~block) > 0))[run]
         first = new_b & block
-        for what, rows in ((SPAN, block & ~new_b & (age == gen)), (OPEN, first & contested & ((age == gen) | (kind == BLOCK))), (FIRST, first & (age == gen) & keep)):
+        for what, rows in ((MARK, new_b & ~block & (age == gen) & keep), (SPAN, block & ~new_b & (age == gen)), (OPEN, first & contested & ((age == gen) | (kind == BLOCK))), (FIRST, first & (age == gen) & keep)):
             if rows.any():
                 found = table.filter(pa.array(rows)).combine_chunks()
                 got = {c: found.column(c) for c in names} | {"kind": pa.array(np.full(len(found), what, dtype=np.int8))}
@@ -343,7 +343,7 @@ class Index:
         rows = scan(self.docs[-1], self.kind)
         for run in self.blocks:
             # an opened block's windows are in a run already: it counts as FIRST, which is only opened once
-            rows = rows.unionByName(run.withColumn("kind", F.when(F.col("hi") < 0, FIRST).otherwise(BLOCK).cast("byte")).withColumn("hi", F.when(F.col("hi") < 0, F.bitwise_not("hi")).otherwise(F.col("hi"))))
+            rows = rows.unionByName(run.withColumn("kind", F.when(F.col("kind") == MARK, MARK).when(F.col("hi") < 0, FIRST).otherwise(BLOCK).cast("byte")).withColumn("hi", F.when(F.col("hi") < 0, F.bitwise_not("hi")).otherwise(F.col("hi"))))
         merged = self.written.put(second_digit(rows, self.kind.window, gen, keep), "merged")
         release_shuffles(spark)
         texts = self.docs[0]
@@ -358,7 +358,7 @@ class Index:
         if keep:
             ranked = self.written.put(ranked.sortWithinPartitions("g", "b"), "windows")
             self.windows = self._compact([*self.windows, ranked.where(F.col("first") & (F.col("kind") == WINDOW)).drop("first")], "window-run")
-            self.blocks = self._compact([*self.blocks, merged.where(F.col("kind") == FIRST)], "block-run")
+            self.blocks = self._compact([*self.blocks, merged.where(F.col("kind").isin(FIRST, MARK))], "block-run")
         again = ranked.where(~F.col("first") & (F.col("gen") == gen))
         spans = merged.where(F.col("kind") == SPAN).unionByName(more.where((F.col("kind") == SPAN) & (F.col("gen") == gen)))
         return spans.select("doc", "copy", "lo", "hi").unionByName(again.select("doc", "copy", "lo", "hi"))

@@ -71,6 +71,19 @@ def test_small_windows_segments_and_runs_of_one_symbol(spark):
         assert got == {d: g for d, (_, g) in plain(rows, lambda t: t.encode(), w).items()}
 
 
+def test_generations_whose_repeats_lie_inside_one_chunk(spark):
+    rng = random.Random(9)
+    base = [words(rng, 120) for _ in range(6)]
+    rows = []
+    for i in range(40):
+        ws = list(rng.choice(base))
+        for _ in range(rng.randint(0, 4)):
+            ws[rng.randrange(len(ws))] = rng.choice(["p", "q", "r"])
+        rows.append((i, " ".join(ws), None, None, None))
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.removed(frame(spark, rows).repartition(1), batches=4, fanout=2).collect()}
+    assert got == word_result(rows)
+
+
 def test_empty_repeated_null_ids_and_extra_columns(spark):
     assert substring.removed(frame(spark, [])).count() == 0
     assert suffix.removed(frame(spark, [])).count() == 0
