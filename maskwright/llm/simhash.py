@@ -10,8 +10,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import Written, record_batch, slices, texts_of
+from maskwright.llm.common import Written, record_batch, shuffle_width, slices, texts_of
 from maskwright.llm.components import components
+from maskwright.llm.itq import Tables, plan
 
 SEED = 42
 #: Texts are hashed in pieces of so many shingles, which bounds the memory of very long ones.
@@ -129,3 +130,165 @@ def near_duplicates(docs: DataFrame, words: int = 3, id_col: str = "doc_id", tex
     named = named.join(smallest, "component").select("fp", "component_id")
     digits = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return rows.join(named, "fp").select(F.col("id").alias("doc_id"), digits.alias("fingerprint"), "component_id")
+
+
+# ---- groups of similar documents: wide fingerprints --------------------------------------------------------------------
+
+#: Weak bits of a segment that a probe flips: those whose votes were closest.
+WEAK = 3
+#: Runs of up to so many rows under a key are compared pair by pair, side by side with all others.
+SHORT_RUN = 12
+#: A key with more rows than this is split into pairs of blocks of about this size.
+MOST_UNDER_KEY = 50_000
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def votes(text: str, words: int, lanes: int) -> tuple[np.ndarray, int]:
+    """(how many shingles set each of 64 * lanes bits, the number of shingles): each lane rehashes the shingles' XXH64."""
+    ones, total = np.zeros(64 * lanes, dtype=np.int64), 0
+    for whole in shingle_hashes(text, words):
+        total += len(whole)
+        for at in range(0, len(whole), 128):
+            h = whole[at : at + 128, None] + np.arange(lanes, dtype=np.uint64) * _STEP
+            h ^= h >> np.uint64(31)
+            h *= np.uint64(0xD6E8FEB86659FD93)
+            h ^= h >> np.uint64(32)
+            bits = np.unpackbits(h.view(np.uint8), axis=1, bitorder="little")
+            ones += np.add.reduce(bits, axis=0, dtype=np.uint8)
+    return ones, total
+
+
+def _wide(docs: DataFrame, words: int, tables: Tables, lanes: int) -> DataFrame:
+    """(id, c: the fingerprint's lanes, probes: for each table its own key, then those with a weak bit flipped)."""
+    schema = pa.schema([("id", pa.int64()), ("c", pa.list_(pa.int64())), ("probes", pa.list_(pa.int64()))])
+    powers = 1 << np.arange(tables.bits, dtype=np.int64)
+    own = np.arange(tables.count, dtype=np.int64) << tables.bits
+    weak = min(WEAK, tables.bits)
+
+    def run(batches):
+        for batch in slices(batches, 4 << 20):
+            codes, probes = [], []
+            for text in texts_of(batch):
+                ones, total = votes(text, words, lanes)
+                margin = 2 * ones - total
+                on = margin > 0
+                codes.append(np.packbits(on, bitorder="little").view("<i8"))
+                segments = on[: tables.count * tables.bits].reshape(tables.count, tables.bits)
+                doubt = np.argsort(np.abs(margin[: tables.count * tables.bits]).reshape(tables.count, tables.bits), axis=1, kind="stable")[:, :weak]
+                key = segments @ powers
+                probes.append((own[:, None] + np.concatenate([key[:, None], key[:, None] ^ powers[doubt]], axis=1)).ravel())
+            yield record_batch(schema, batch.column("id"), codes, probes)
+
+    return docs.mapInArrow(run, "id long, c array<long>, probes array<long>")
+
+
+def _linked_runs(key: np.ndarray, ids: np.ndarray, codes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what is linked among the rows of each key; rows are sorted by key."""
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    sizes = np.diff(np.r_[starts, len(key)])
+    a, b = [], []
+    short = np.repeat(sizes <= SHORT_RUN, sizes)
+    for d in range(1, min(SHORT_RUN, int(sizes.max()))):
+        at = np.flatnonzero((key[d:] == key[:-d]) & short[d:])
+        near = np.bitwise_count(codes[at] ^ codes[at + d]).sum(axis=1) <= most
+        a.append(ids[at[near]])
+        b.append(ids[at[near] + d])
+    for i in np.flatnonzero(sizes > SHORT_RUN):
+        rows = np.arange(starts[i], starts[i] + sizes[i])
+        rows = rows[np.unique(ids[rows], return_index=True)[1]]
+        # breadth first: what has been reached is never compared again, so a crowd of copies costs little more than its size
+        while len(rows) > 1:
+            queue, rows = [rows[0]], rows[1:]
+            while queue and len(rows):
+                at = queue.pop()
+                near = np.bitwise_count(codes[rows] ^ codes[at]).sum(axis=1) <= most
+                if near.any():
+                    a.append(np.full(int(near.sum()), ids[at]))
+                    b.append(ids[rows[near]])
+                    queue.extend(rows[near].tolist())
+                    rows = rows[~near]
+    a, b = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (a, b))
+    return a[a != b], b[a != b]
+
+
+def _meetings(probes: DataFrame, most: int) -> DataFrame:
+    """Edges (a, b) from rows (key, part, class, c)."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def settle(table: pa.Table):
+        codes = table.column("c").combine_chunks()
+        codes = codes.flatten().to_numpy().reshape(len(table), -1)
+        part = table.column("part").to_numpy().astype(np.int64)
+        key = table.column("key").to_numpy()
+        run = np.cumsum(np.r_[False, (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
+        a, b = _linked_runs(run, table.column("class").to_numpy(), codes, most)
+        if len(a):
+            yield record_batch(schema, a, b)
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += batch.num_rows
+            if size < 50_000 or batch.column("key")[0].as_py() == batch.column("key")[-1].as_py():
+                continue
+            table = pa.Table.from_batches(held)
+            keys = batch.column("key").to_numpy()
+            cut = size - int((keys == keys[-1]).sum())
+            yield from settle(table.slice(0, cut))
+            held, size = table.slice(cut).to_batches(), size - cut
+        if size:
+            yield from settle(pa.Table.from_batches(held))
+
+    n = shuffle_width(probes.sparkSession)
+    return probes.repartition(n, "key", "part").sortWithinPartitions("key", "part").mapInArrow(run, "a long, b long")
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 0.97, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id) per row: documents whose shingles are similar, by links of SimHash distance.
+
+    Two shingle sets of Jaccard index s have a cosine of 2s/(1+s), and fingerprint bits differ for a share of its angle
+    over 180 degrees. Rows link whose complete fingerprints differ in no more than that share for the given similarity,
+    plus one standard deviation. As this is far more than a 64-bit fingerprint's few bits, fingerprints are wider: as many
+    segments as the recall asks for a pair of just that similarity, each about as long as the logarithm of the number of
+    documents. A segment's probes are its value and those with one of its least certain bits flipped.
+
+    Equal fingerprints are one node, so copies are never paired. Documents without words are alike; fewer words than a
+    shingle are one shingle; a null id counts as the largest; an empty table gives an empty one.
+    """
+    written = Written(docs.sparkSession)
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.col(text_col).cast("string").alias("text"))
+    flip = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    tables = plan(docs.count(), flip, recall, extra_bits=0)
+    lanes = -(-tables.bits * tables.count // 64)
+    most = int(64 * lanes * flip + np.sqrt(64 * lanes * flip * (1 - flip)))
+    wide = written.put(_wide(rows, words, tables, lanes).withColumn("class", F.xxhash64("c")), "wide")
+    classes = written.put(wide.groupBy("class").agg(F.min("id").alias("least"), F.first("c").alias("c"), F.first("probes").alias("probes")), "classes")
+    probes = classes.select("class", "c", F.explode("probes").alias("key")).withColumn("part", F.lit(0))
+    hot = classes.select(F.explode("probes").alias("key")).groupBy("key").count().where(F.col("count") > MOST_UNDER_KEY)
+    hot = written.put(hot.select("key", F.ceil(F.col("count") / MOST_UNDER_KEY).cast("int").alias("blocks")), "hot")
+    if not hot.isEmpty():
+        mine = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
+        dealt = probes.drop("part").join(hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        dealt = dealt.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        probes = dealt.select("class", "c", "key", (F.greatest("mine", "other") * F.col("blocks") + F.least("mine", "other")).alias("part"))
+    edges = _meetings(probes, most)
+    reached = components(edges, written).withColumnRenamed("node", "class")
+    named = classes.select("class", "least").join(reached, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = named.join(smallest, "component").select("class", "component_id")
+    return wide.select("id", "class").join(named, "class").select(F.col("id").alias("doc_id"), "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, as they are, of which each has the smallest id of its group; of rows with a repeated id one."""
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
+    written = Written(docs.sparkSession)
+    groups = written.put(similar_groups(docs, words, similarity, id_col=id_col, text_col=text_col), "groups")
+    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    rows = docs.withColumn("__id", key).join(kept, F.col("__id") == F.col("__kept"), "left_semi")
+    if not groups.groupBy("doc_id").count().where("count > 1").isEmpty():
+        rows = rows.dropDuplicates(["__id"])
+    return rows.drop("__id")
