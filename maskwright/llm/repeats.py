@@ -136,7 +136,9 @@ class Chunk:
             at = np.flatnonzero(new)
             lo, hi = lo[at], np.r_[most[at[1:] - 1], most[-1]]
         none = np.zeros(len(lo), dtype=np.uint64)
-        return self.rows(SPAN, none, none, lo, hi)
+        rows = self.rows(SPAN, none, none, lo, hi)
+        rows[2] = rows[4]  # their second digit is the document, which spreads them
+        return rows
 
     def first_of(self, g: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Indices, ascending, of the first of equal pairs and of the others; the input is in document order."""
