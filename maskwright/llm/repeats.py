@@ -338,7 +338,7 @@ class Index:
     def add(self, docs: DataFrame, last: bool = False) -> DataFrame:
         """docs (doc, copy, text) of the next generation, later than all before -> its repeated spans (doc, copy, lo, hi), ends included.
 
-        last: no further generation will come, so that this one needs no runs.
+        last: no further generation will come: this one needs no runs, and those of earlier ones are deleted.
         """
         spark, gen, keep = self.written.spark, len(self.docs), self.keep and not last
         self.docs.append(docs.withColumn("gen", F.lit(gen)))
@@ -363,7 +363,13 @@ class Index:
             self.blocks = self._compact([*self.blocks, merged.where(F.col("kind").isin(FIRST, MARK))], "block-run")
         again = ranked.where(~F.col("first") & (F.col("gen") == gen))
         spans = merged.where(F.col("kind") == SPAN).unionByName(more.where((F.col("kind") == SPAN) & (F.col("gen") == gen)))
-        return spans.select("doc", "copy", "lo", "hi").unionByName(again.select("doc", "copy", "lo", "hi"))
+        spans = self.written.put(spans.select("doc", "copy", "lo", "hi").unionByName(again.select("doc", "copy", "lo", "hi")), "spans")
+        self.written.drop(more)
+        if not keep:
+            for table in (merged, *self.blocks, *self.windows):
+                self.written.drop(table)
+        release_shuffles(spark)
+        return spans
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:

@@ -49,7 +49,7 @@ def removed(docs: DataFrame, window: int = 20, batches: int = 2, fanout: int = 4
     spans = None
     parts = batches_by_id(texts, batches)
     for k, part in enumerate(parts):
-        found = written.put(index.add(part, last=k == len(parts) - 1), "spans")
+        found = index.add(part, last=k == len(parts) - 1)
         spans = found if spans is None else spans.unionByName(found)
     out = pa.schema([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string()), ("doc_id", pa.int64())])
 

@@ -34,7 +34,7 @@ def removed(docs: DataFrame, threshold: int = 100, id_col: str = "doc_id", text_
     kind = byte_windows(threshold)
     rows, texts = repeats.keyed(docs, id_col, text_col)
     written = Written(docs.sparkSession)
-    spans = written.put(repeats.Index(written, kind, keep=False).add(texts), "spans")
+    spans = repeats.Index(written, kind, keep=False).add(texts)
     out = pa.schema([("doc_id", pa.int64()), ("kept", pa.binary()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
     def run(batches):
