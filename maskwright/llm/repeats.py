@@ -359,8 +359,9 @@ class Index:
         ranked = last_digit(windows, gen)
         if keep:
             ranked = self.written.put(ranked.sortWithinPartitions("g", "b"), "windows")
-            self.windows = self._compact([*self.windows, ranked.where(F.col("first") & (F.col("kind") == WINDOW)).drop("first")], "window-run")
-            self.blocks = self._compact([*self.blocks, merged.where(F.col("kind").isin(FIRST, MARK))], "block-run")
+            new_windows, new_blocks = ranked.where(F.col("first") & (F.col("kind") == WINDOW)).drop("first"), merged.where(F.col("kind").isin(FIRST, MARK))
+            new_windows.written_path, new_blocks.written_path = ranked.written_path, merged.written_path
+            self.windows, self.blocks = self._compact([*self.windows, new_windows], "window-run"), self._compact([*self.blocks, new_blocks], "block-run")
         again = ranked.where(~F.col("first") & (F.col("gen") == gen))
         spans = merged.where(F.col("kind") == SPAN).unionByName(more.where((F.col("kind") == SPAN) & (F.col("gen") == gen)))
         spans = self.written.put(spans.select("doc", "copy", "lo", "hi").unionByName(again.select("doc", "copy", "lo", "hi")), "spans")

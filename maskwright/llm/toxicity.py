@@ -35,7 +35,7 @@ class Linear:
         return 1 / (1 + np.exp(-min(max(z, -30.0), 30.0)))
 
 
-def non_negative_pu(xp: np.ndarray, xu: np.ndarray, prior: float, rounds: int = 600, rate: float = 0.05, l2: float = 1e-4) -> tuple[np.ndarray, float]:
+def non_negative_pu(xp: np.ndarray, xu: np.ndarray, prior: float, rounds: int = 300, rate: float = 0.05, l2: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and base that minimise prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)) for the logistic loss, by Adam.
 
     Where the corrected risk of negatives is below zero, the step goes up its gradient instead, as the estimator's authors
@@ -44,7 +44,7 @@ def non_negative_pu(xp: np.ndarray, xu: np.ndarray, prior: float, rounds: int =
     w, base = np.zeros(xp.shape[1]), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, rounds + 1):
-        sp, su = (1 / (1 + np.exp(-np.clip(x @ w + base, -30, 30))) for x in (xp, xu))
+        sp, su = (1 / (1 + np.exp(-np.clip(x @ w.astype(x.dtype) + base, -30, 30))) for x in (xp, xu))
         negative = -np.log1p(-np.minimum(su, 1 - 1e-12)).mean() + prior * np.log1p(-np.minimum(sp, 1 - 1e-12)).mean()
         dp, du = (sp - 1) * prior / len(xp), su / len(xu)
         dn = -prior * sp / len(xp)
@@ -52,7 +52,7 @@ def non_negative_pu(xp: np.ndarray, xu: np.ndarray, prior: float, rounds: int =
             gp, gu = dp + dn, du
         else:
             gp, gu = -dn, -du
-        grad = np.r_[xp.T @ gp + xu.T @ gu + l2 * w, gp.sum() + gu.sum()]
+        grad = np.r_[gp.astype(xp.dtype) @ xp + gu.astype(xu.dtype) @ xu + l2 * w, gp.sum() + gu.sum()]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, base = w - step[:-1], base - step[-1]
