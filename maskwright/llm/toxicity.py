@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,9 +15,12 @@ from maskwright.llm.common import held_out, record_batch, slices, texts_of
 
 #: At most so many confirmed toxic texts, and unlabelled ones, are learnt from: those of least hash.
 MOST_POSITIVE, MOST_UNLABELLED = 4_000, 12_000
-#: Words whose document frequencies in the two samples differ most.
+#: Words and beginnings of words whose document frequencies in the two samples differ most.
 VOCABULARY = 2_000
+#: ... if by at least so many standard errors; below, chance alone brings up many.
+LEAST_Z = 3.0
 CHUNK = 4 << 20
+MEMORY = 300_000
 _EDGES = ".,;:!?\"'()[]{}*#$%&|<>-_`~/\\…«»“”„’‘"
 
 
@@ -24,15 +29,38 @@ def words(text: str) -> set[str]:
     return {w.strip(_EDGES) for w in set(text.lower().split())}
 
 
+def features_of(word: str) -> list[str]:
+    """A word and, marked, its beginnings, as insults have endings."""
+    return [word, *(f"^{word[:k]}" for k in range(3, min(9, len(word))))] if word else []
+
+
 @dataclass
 class Linear:
+    """Weights of features, of which a text has each once or not."""
+
     weights: dict[str, float]
     base: float
 
-    def score(self, text: str) -> float:
-        get = self.weights.get
-        z = self.base + sum(v for w in words(text) if (v := get(w)) is not None)
-        return 1 / (1 + np.exp(-min(max(z, -30.0), 30.0)))
+    def scorer(self):
+        """A function of a text; it remembers the features of so many words."""
+        index = {f: i for i, f in enumerate(self.weights)}
+        weight = list(self.weights.values())
+        known: dict[str, tuple[int, ...]] = {}
+
+        def score(text: str) -> float:
+            found: set[int] = set()
+            for w in words(text):
+                at = known.get(w)
+                if at is None:
+                    if len(known) > MEMORY:
+                        known.clear()
+                    at = known[w] = tuple(i for f in features_of(w) if (i := index.get(f)) is not None)
+                if at:
+                    found.update(at)
+            z = self.base + sum(weight[i] for i in sorted(found))
+            return 1 / (1 + math.exp(-min(max(z, -30.0), 30.0)))
+
+        return score
 
 
 def non_negative_pu(xp: np.ndarray, xu: np.ndarray, prior: float, rounds: int = 300, rate: float = 0.05, l2: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -69,10 +97,25 @@ def _word_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, words array<string>")
 
 
+def _counts(batches):
+    """How many confirmed and unlabelled texts of a batch have each feature."""
+    schema = pa.schema([("word", pa.string()), ("p", pa.int64()), ("u", pa.int64())])
+    for batch in batches:
+        counts = Counter(), Counter()
+        for ws, *of in zip(*(batch.column(c).to_pylist() for c in ("words", "confirmed", "free")), strict=True):
+            found = {f for w in ws for f in features_of(w)}
+            for counter, here in zip(counts, of, strict=True):
+                if here:
+                    counter.update(found)
+        names = list({**counts[0], **counts[1]})
+        if names:
+            yield record_batch(schema, names, [counts[0][w] for w in names], [counts[1][w] for w in names])
+
+
 def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED, vocabulary: int = VOCABULARY) -> Linear:
     """Learns from confirmed toxic texts and unlabelled ones that aren't held out.
 
-    Which words can count is decided by how their document frequencies differ in the two samples. The samples' counts are
+    Which words and beginnings can count is decided by how their document frequencies differ in the two samples. The samples' counts are
     summed by Spark; of words only the vocabulary, and of samples only their rows over it, come to the driver. prior: the
     share of toxic texts; None: that among the labelled rows that aren't held out.
     """
@@ -92,16 +135,16 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, most_p
         if not sizes[0] or not sizes[1]:
             return Linear({}, float(np.log(prior / (1 - prior))))
         p, u = (F.col(c) / n for c, n in zip(("p", "u"), sizes, strict=True))
-        counts = sets.select(F.explode("words").alias("word"), "confirmed", "free").groupBy("word").agg(F.sum("confirmed").alias("p"), F.sum("free").alias("u"))
+        counts = sets.mapInArrow(_counts, "word string, p long, u long").groupBy("word").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
         # a two-sample statistic of the frequencies
         z = F.abs(p - u) / F.sqrt((p * (1 - p) + 0.5 / sizes[0]) / sizes[0] + (u * (1 - u) + 0.5 / sizes[1]) / sizes[1])
-        names = [r.word for r in counts.where((F.length("word") > 0) & (F.col("p") + F.col("u") >= 5)).orderBy(z.desc(), "word").limit(vocabulary).collect()]
+        names = [r.word for r in counts.where((F.col("p") + F.col("u") >= 5) & (z >= LEAST_Z)).orderBy(z.desc(), "word").limit(vocabulary).collect()]
         index = {w: i for i, w in enumerate(names)}
         schema = "confirmed long, free long, at array<int>"
 
         def lookup(batches):
             for batch in batches:
-                at = [[i for w in ws if (i := index.get(w)) is not None] for ws in batch.column("words").to_pylist()]
+                at = [sorted({i for w in ws for f in features_of(w) if (i := index.get(f)) is not None}) for ws in batch.column("words").to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column("confirmed").cast(pa.int64()), batch.column("free").cast(pa.int64()), pa.array(at, type=pa.list_(pa.int32()))], names=["confirmed", "free", "at"])
 
         got = sets.orderBy("doc_id").mapInArrow(lookup, schema).collect()
@@ -129,8 +172,9 @@ def classified(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, prior
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches):
+        score = model.scorer()
         for batch in slices(batches, CHUNK):
-            yield record_batch(schema, batch.column("doc_id"), [model.score(t) for t in texts_of(batch)])
+            yield record_batch(schema, batch.column("doc_id"), [score(t) for t in texts_of(batch)])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = rows.mapInArrow(run, "doc_id long, score double")
