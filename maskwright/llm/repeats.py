@@ -9,11 +9,13 @@ another, and what is alone under a digit leaves:
    windows, which is what makes a corpus of bytes fit through a shuffle.
 2. *Block.* Of blocks that are equal in both digits all but the earliest are repeats as a whole. An anchor with a single
    block is done. Blocks that share the anchor and differ in the second digit are contested.
-3. *Window.* Only contested blocks are opened: their windows' own hashes are the last digit, and all but the earliest of
-   equal windows are repeats.
+3. *Half.* Every window around an anchor holds the symbols of half its length to the anchor's left or to its right. Contested
+   blocks fall into two halves by that, whose digit hashes what all its windows share. A half that is alone is done.
+4. *Window.* Only halves that share their digit are opened: their windows' own hashes, which they carry along, are the last
+   digit, and all but the earliest of equal windows are repeats.
 
 Hashes have 64 bits a digit and windows are compared on two digits, so 128 bits. Every chunk of text sends at most one
-row for a pair of digits, and one mark for an anchor that is contested already inside the chunk, whose windows it then
+row for a pair of digits, and one mark for an anchor or a half that is contested already inside the chunk, which it then
 opens itself: no key, however common in the corpus, has more rows than there are chunks.
 """
 
@@ -29,9 +31,11 @@ from pyspark.sql import functions as F
 
 from maskwright.llm.common import Written, record_batch, release_shuffles, shuffle_width, slices
 
-BLOCK, MARK, WINDOW, SPAN, OPEN, FIRST = range(6)
-ROWS = "kind byte, g long, b long, gen int, doc long, copy long, lo int, hi int"
-SCHEMA = pa.schema([("kind", pa.int8()), ("g", pa.int64()), ("b", pa.int64()), ("gen", pa.int32()), ("doc", pa.int64()), ("copy", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
+BLOCK, MARK, WINDOW, SPAN, OPEN, FIRST, HALF, HALF_MARK = range(8)
+#: Rows that have passed the second digit.
+LATE = (WINDOW, SPAN, HALF, HALF_MARK)
+ROWS = "kind byte, g long, b long, gen int, doc long, copy long, lo int, hi int, pack binary"
+SCHEMA = pa.schema([("kind", pa.int8()), ("g", pa.int64()), ("b", pa.int64()), ("gen", pa.int32()), ("doc", pa.int64()), ("copy", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("pack", pa.binary())])
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _S29, _S32 = np.uint64(29), np.uint64(32)
 _HIGH = np.uint64(0xFFFFFFFF00000000)
@@ -114,16 +118,16 @@ class Chunk:
         lo, hi = cuts[:-1], cuts[1:] - 1
         real = inside[lo]
         self.lo, self.hi = lo[real], hi[real]
-        a = anchor[self.lo]
+        self.anchor = a = anchor[self.lo]
         self.g = hk[a]
         shape = ((a - self.lo).astype(np.uint64) << _S32) | (self.hi - self.lo).astype(np.uint64)
         self.b = mix(mix(self.hw[self.lo], self.hw[self.hi]), shape)
 
-    def rows(self, kind, g, b, lo, hi) -> list[np.ndarray]:
+    def rows(self, kind, g, b, lo, hi, pack: pa.Array | None = None) -> list:
         """lo, hi: first and last symbol of the span, as positions here."""
         part, at = self.place(lo)
         doc = self.keys[part]
-        return [np.full(len(lo), kind, dtype=np.int8), g.view(np.int64), b.view(np.int64), doc[:, 0].astype(np.int32), doc[:, 1], doc[:, 2], at.astype(np.int32), (at + (hi - lo)).astype(np.int32)]
+        return [np.full(len(lo), kind, dtype=np.int8), g.view(np.int64), b.view(np.int64), doc[:, 0].astype(np.int32), doc[:, 1], doc[:, 2], at.astype(np.int32), (at + (hi - lo)).astype(np.int32), pa.nulls(len(lo), pa.binary()) if pack is None else pack]
 
     def spans(self, lo: np.ndarray, hi: np.ndarray) -> list[np.ndarray]:
         """The union of spans, document by document."""
@@ -158,7 +162,32 @@ class Chunk:
         w = self.kind.window - 1
         return self.rows(WINDOW, gs[first], self.hw[at[first]], at[first], at[first] + w), (at[rest], at[rest] + w)
 
-    def digest(self) -> list[list[np.ndarray]]:
+    def halves(self, lo: np.ndarray, hi: np.ndarray, anchor: np.ndarray, g: np.ndarray) -> tuple[list[list], tuple[np.ndarray, np.ndarray]]:
+        """Rows of contested blocks by halves, and the spans of windows that are repeats already here."""
+        k = self.kind
+        d = (k.window - k.gram) // 2
+        shared, _ = window_hashes(self.symbols, k.gram + d)
+        cut = anchor - d
+        sides = (lo, np.minimum(hi, cut), shared[np.maximum(cut, 0)]), (np.maximum(lo, cut + 1), hi, ~shared[np.minimum(anchor, len(shared) - 1)])
+        lo, hi, b = (np.concatenate(x) for x in zip(*sides, strict=True))
+        g = np.concatenate([g, g])
+        real = lo <= hi
+        lo, hi, b, g = lo[real], hi[real], b[real], g[real]
+        order = np.argsort(lo, kind="stable")
+        lo, hi, b, g = lo[order], hi[order], b[order], g[order]
+        first, rest = self.first_of(g, b)
+        pair = mix(g, b)
+        many = np.isin(pair, pair[rest])
+        marks = first[many[first]]
+        window_rows, spans = self.windows(lo[many], hi[many], g[many])
+        one = ~many
+        counts = hi[one] - lo[one] + 1
+        at = np.repeat(lo[one] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        offsets = np.r_[0, np.cumsum(counts) * 8].astype(np.int32)
+        pack = pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(self.hw[at])])
+        return [self.rows(HALF, g[one], b[one], lo[one], hi[one], pack), self.rows(HALF_MARK, g[marks], b[marks], lo[marks], hi[marks]), window_rows], spans
+
+    def digest(self) -> list[list]:
         """What the chunk sends: see the module's docstring."""
         self.blocks()
         if not len(self.lo):
@@ -172,12 +201,12 @@ class Chunk:
         many[order] = (np.bincount(run) > 1)[run]
         marks = np.unique(g[many])
         none = np.zeros(len(marks), dtype=np.int64)
-        window_rows, (more_lo, more_hi) = self.windows(lo[many], hi[many], g[many])
+        opened_rows, (more_lo, more_hi) = self.halves(lo[many], hi[many], self.anchor[first][many], g[many])
         w = self.kind.window - 1
         spans = self.spans(np.r_[self.lo[rest], more_lo], np.r_[self.hi[rest] + w, more_hi])
         one = ~many
         mark_rows = self.rows(MARK, marks, np.full(len(marks), 1 << 63, dtype=np.uint64), none, none)
-        return [self.rows(BLOCK, g[one], b[one], lo[one], hi[one]), mark_rows, window_rows, spans]
+        return [self.rows(BLOCK, g[one], b[one], lo[one], hi[one]), mark_rows, *opened_rows, spans]
 
 
 def _chunks(kind: Kind, batches, extra: str | None = None):
@@ -215,7 +244,7 @@ def scan(docs: DataFrame, kind: Kind) -> DataFrame:
 
 def second_digit(rows: DataFrame, window: int, gen: int, keep: bool = True) -> DataFrame:
     """Merges sorted rows of all generations: SPAN rows for repeated blocks of generation gen, OPEN rows for contested blocks, FIRST rows for
-    blocks and MARK rows for anchors that gen brings, if they are to be kept; WINDOW and SPAN rows pass."""
+    blocks and MARK rows for anchors that gen brings, if they are to be kept; rows of later digits pass."""
     names = SCHEMA.names
 
     def settle(table: pa.Table):
@@ -241,7 +270,7 @@ def second_digit(rows: DataFrame, window: int, gen: int, keep: bool = True) -> D
         held = None
         for batch in batches:
             kind = batch.column("kind").to_numpy()
-            late = np.isin(kind, (WINDOW, SPAN))
+            late = np.isin(kind, LATE)
             if late.any():
                 yield batch.filter(pa.array(late))
                 batch = batch.filter(pa.array(~late))
@@ -258,37 +287,73 @@ def second_digit(rows: DataFrame, window: int, gen: int, keep: bool = True) -> D
             yield from settle(held)
 
     n = shuffle_width(rows.sparkSession)
-    late = F.col("kind").isin(WINDOW, SPAN)
-    # windows and spans only travel along, dealt by both digits
+    late = F.col("kind").isin(*LATE)
+    # halves, windows and spans only travel along, dealt by both digits
     dealt = rows.repartition(n, "g", F.when(late, F.col("b")))
     return dealt.sortWithinPartitions(late, "g", "b", "gen", "doc", "copy", "lo").mapInArrow(run, ROWS)
 
 
 def opened(blocks: DataFrame, docs: DataFrame, kind: Kind) -> DataFrame:
-    """WINDOW (and SPAN) rows of the contested blocks, whose documents are read again."""
+    """Rows of contested blocks by halves, and SPAN rows, from their documents, which are read again."""
 
     def run(batches):
         for chunk, held in _chunks(kind, batches, "blocks"):
-            chunk.hw, _ = window_hashes(chunk.symbols, kind.window)
-            lo, hi, g = [], [], []
+            chunk.blocks()
+            wanted = []
             for start, length, offset, found in zip(chunk.starts, chunk.lengths, chunk.offsets, held, strict=True):
-                found = found.values
-                flo, fhi = found.field("lo").to_numpy(), found.field("hi").to_numpy()
-                mine = (flo >= offset) & (flo <= offset + length - kind.window) & (flo // kind.segment == offset // kind.segment)
-                lo.append(flo[mine].astype(np.int64) - offset + start)
-                hi.append(fhi[mine].astype(np.int64) - offset + start)
-                g.append(found.field("g").to_numpy()[mine].view(np.uint64))
-            rows, (more_lo, more_hi) = chunk.windows(np.concatenate(lo), np.concatenate(hi), np.concatenate(g))
-            yield record_batch(SCHEMA, *rows)
-            if len(more_lo):
-                yield record_batch(SCHEMA, *chunk.spans(more_lo, more_hi))
-
-    wanted = blocks.groupBy("gen", "doc", "copy").agg(F.collect_list(F.struct("g", "lo", "hi")).alias("blocks"))
+                lo = found.values.field("lo").to_numpy()
+                mine = lo[(lo >= offset) & (lo <= offset + length - kind.window) & (lo // kind.segment == offset // kind.segment)]
+                wanted.append(mine.astype(np.int64) - offset + start)
+            some = np.isin(chunk.lo, np.concatenate(wanted))
+            rows, (lo, hi) = chunk.halves(chunk.lo[some], chunk.hi[some], chunk.anchor[some], chunk.g[some])
+            for part in (*rows, chunk.spans(lo, hi)):
+                if len(part[0]):
+                    yield record_batch(SCHEMA, *part)
+
+    wanted = blocks.groupBy("gen", "doc", "copy").agg(F.collect_list(F.struct("lo")).alias("blocks"))
     return docs.join(wanted, ["gen", "doc", "copy"]).mapInArrow(run, ROWS)
 
 
+def third_digit(rows: DataFrame, window: int) -> DataFrame:
+    """WINDOW rows of the halves, in rows of all generations, that share their digit with another."""
+
+    def settle(table: pa.Table):
+        kind, g, b = (table.column(c).to_numpy() for c in ("kind", "g", "b"))
+        run = np.cumsum(np.r_[False, (g[1:] != g[:-1]) | (b[1:] != b[:-1])])
+        shared = (np.bincount(run) > 1)[run] & (kind == HALF)
+        if not shared.any():
+            return
+        for found in table.filter(pa.array(shared)).combine_chunks().to_batches():
+            pack = found.column("pack")
+            offsets = np.frombuffer(pack.buffers()[1], dtype=np.int32)[pack.offset : pack.offset + len(pack) + 1]
+            hashes = np.frombuffer(pack.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]].view(np.int64)
+            counts = np.diff(offsets) // 8
+            each = np.repeat(np.arange(len(counts)), counts)
+            lo = (found.column("lo").to_numpy().astype(np.int64) - (np.cumsum(counts) - counts))[each] + np.arange(len(each))
+            g, gen, doc, copy = (found.column(c).to_numpy()[each] for c in ("g", "gen", "doc", "copy"))
+            yield record_batch(SCHEMA, np.full(len(each), WINDOW, dtype=np.int8), g, hashes, gen, doc, copy, lo.astype(np.int32), (lo + window - 1).astype(np.int32), pa.nulls(len(each), pa.binary()))
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            held = pa.concat_tables([held, table]) if held is not None else table
+            g = held.column("g").to_numpy()
+            cut = int(np.searchsorted(g, g[-1], "left"))
+            if cut:
+                yield from settle(held.slice(0, cut))
+                held = held.slice(cut)
+        if held is not None and len(held):
+            yield from settle(held)
+
+    dealt = rows.repartition(shuffle_width(rows.sparkSession), "g", "b")
+    return dealt.sortWithinPartitions("g", "b").mapInArrow(run, ROWS)
+
+
 def last_digit(windows: DataFrame, gen: int) -> DataFrame:
-    """Of WINDOW rows of all generations: each with first (boolean), its place among equals being the earliest."""
+    """Of windows of all generations: those of gen and the first of equals, with first (boolean)."""
     from pyspark.sql import Window as W
 
     rank = F.row_number().over(W.partitionBy("g", "b").orderBy("gen", "doc", "copy", "lo"))
@@ -314,8 +379,8 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry
 class Index:
     """Sorted runs of what earlier generations of documents hold, each written once.
 
-    add() merges a new generation with the runs and returns its repeated spans; a generation's first blocks and its opened
-    windows become runs. When there are more than fanout runs of a kind they are compacted into one.
+    add() merges a new generation with the runs and returns its repeated spans; a generation's first blocks and what it
+    opens become runs. When there are more than fanout runs of a kind they are compacted into one.
     """
 
     def __init__(self, written: Written, kind: Kind, fanout: int = 4, keep: bool = True):
@@ -353,20 +418,23 @@ class Index:
             texts = texts.unionByName(more)
         more = self.written.put(opened(merged.where(F.col("kind") == OPEN), texts, self.kind), "opened")
         release_shuffles(spark)
-        windows = merged.where(F.col("kind") == WINDOW).unionByName(more.where(F.col("kind") == WINDOW))
-        for run in self.windows:
-            windows = windows.unionByName(run.withColumn("kind", F.lit(FIRST).cast("byte")))
-        ranked = last_digit(windows, gen)
+        parts = merged.where(F.col("kind").isin(HALF, HALF_MARK, WINDOW)).unionByName(more.where(F.col("kind") != SPAN))
         if keep:
-            ranked = self.written.put(ranked.sortWithinPartitions("g", "b"), "windows")
-            new_windows, new_blocks = ranked.where(F.col("first") & (F.col("kind") == WINDOW)).drop("first"), merged.where(F.col("kind").isin(FIRST, MARK))
-            new_windows.written_path, new_blocks.written_path = ranked.written_path, merged.written_path
-            self.windows, self.blocks = self._compact([*self.windows, new_windows], "window-run"), self._compact([*self.blocks, new_blocks], "block-run")
-        again = ranked.where(~F.col("first") & (F.col("gen") == gen))
+            parts = self.written.put(parts.sortWithinPartitions("g", "b"), "window-run")
+        everything = parts
+        for run in self.windows:
+            everything = everything.unionByName(run)
+        windows = everything.where(F.col("kind") == WINDOW).unionByName(third_digit(everything.where(F.col("kind") != WINDOW), self.kind.window))
+        ranked = last_digit(windows.select("g", "b", "gen", "doc", "copy", "lo"), gen)
+        again = ranked.where(~F.col("first") & (F.col("gen") == gen)).withColumn("hi", F.col("lo") + (self.kind.window - 1))
         spans = merged.where(F.col("kind") == SPAN).unionByName(more.where((F.col("kind") == SPAN) & (F.col("gen") == gen)))
         spans = self.written.put(spans.select("doc", "copy", "lo", "hi").unionByName(again.select("doc", "copy", "lo", "hi")), "spans")
         self.written.drop(more)
-        if not keep:
+        if keep:
+            new_blocks = merged.where(F.col("kind").isin(FIRST, MARK))
+            new_blocks.written_path = merged.written_path
+            self.windows, self.blocks = self._compact([*self.windows, parts], "window-run"), self._compact([*self.blocks, new_blocks], "block-run")
+        else:
             for table in (merged, *self.blocks, *self.windows):
                 self.written.drop(table)
         release_shuffles(spark)
