@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from maskwright.llm.common import record_batch, slices, texts_of
 
 CHUNK = 4 << 20
-#: Counts of so many different words are remembered by a task; then it starts anew.
-MEMORY = 250_000
+#: So many different words are remembered at least, and twice as many at most.
+MEMORY = 400_000
 #: str.split() also splits at these, which the tokenizer takes as symbols.
 _ODD = "\x1c\x1d\x1e\x1f"
 _SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -133,24 +133,62 @@ def merger(path: str) -> Merger:
     return Merger(Library(path))
 
 
+#: Marks after a word that are a pre-token of their own, whatever the word.
+_TAIL = ".,;:!?"
+
+
 class Memory:
-    """What has been worked out for words, up to a number of them."""
+    """What has been worked out for words: values that add up over the parts of a word.
+
+    work gives the values of a list of words. The words of the last learn() are in the dictionary that it returns; older
+    ones stay for as long as two generations of most words each last.
+    """
 
     def __init__(self, work, most: int = MEMORY):
-        self.work, self.most, self.known = work, most, {}
+        self.work, self.most, self.known, self.old = work, most, {}, {}
 
     def learn(self, texts: list[list]) -> dict:
         """Makes sure that all words of texts are known."""
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        new = list({w for words in texts for w in words if type(w) is str and w not in known})
+        if len(self.known) > self.most:
+            self.known, self.old = {}, self.known
+        known, old = self.known, self.old
+        words: set = set()
+        for found in texts:
+            words.update(found)
+        parts, need = {}, set()
+        for w in words:
+            if w in known or type(w) is not str:
+                continue
+            if w in old:
+                known[w] = old[w]
+                continue
+            if w.isascii():  # its case doesn't matter, nor do marks behind it
+                core = w.lower().rstrip(_TAIL)
+                if core and core != w and core[-1].isalnum():
+                    parts[w] = core, w[len(core) :]
+                    need.update(parts[w])
+                    continue
+            need.add(w)
+        need.discard("")
+        for w in [w for w in need if w in old]:
+            known[w] = old[w]
+        new = [w for w in need if w not in known]
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             known.update(zip(part, self.work(part), strict=True))
+        for w, (core, tail) in parts.items():
+            known[w] = known[core] + known[tail] if tail else known[core]
         return known
 
 
+_MEMORIES: dict[tuple, Memory] = {}
+
+
+def memory_of(purpose: str, path: str, work) -> Memory:
+    """The memory of this Python worker, which outlives a task."""
+    return _MEMORIES.setdefault((purpose, path), Memory(work))
+
+
 def token_counts(docs: DataFrame, tokenizer: str | None = None, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit), without begin or end tokens, of whole texts.
 
@@ -163,7 +201,7 @@ def token_counts(docs: DataFrame, tokenizer: str | None = None, limit: int = 204
 
     def run(batches):
         merge = merger(path)
-        memory = Memory(lambda words: merge.count_words(words).tolist())
+        memory = memory_of("counts", path, lambda words: merge.count_words(words).tolist())
         for batch in slices(batches, CHUNK):
             texts = [merge.library.pieces(t) for t in texts_of(batch)]
             known = memory.learn(texts)

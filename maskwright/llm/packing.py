@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.bpe import CHUNK, Library, Memory, default_tokenizer
+from maskwright.llm.bpe import CHUNK, Library, default_tokenizer, memory_of
 from maskwright.llm.common import record_batch, slices, texts_of
 from maskwright.llm.repeats import mix
 
@@ -65,6 +65,16 @@ def library(path: str) -> Library:
     return Library(path)
 
 
+def word_ids(lib: Library, words: list[str]) -> list[bytes]:
+    """Each word's ids as little-endian 32-bit numbers; the library takes all words as one text."""
+    found = lib.tokenizer.encode(" ".join(words), add_special_tokens=False)
+    starts = np.cumsum([0, *(len(w) + 1 for w in words)])
+    owner = np.searchsorted(starts, [a for a, _ in found.offsets], "right") - 1
+    ends = (np.cumsum(np.bincount(owner, minlength=len(words))) * 4).tolist()
+    ids = np.array(found.ids, dtype="<u4").tobytes()
+    return [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
 def pieces(docs: DataFrame, capacity: int, tokenizer: str, groups: int, seed: int, id_col: str, text_col: str) -> DataFrame:
     """A row for each piece: a document's ids and the end id, cut every capacity ids, dealt to a random group."""
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("group", pa.int64())])
@@ -74,8 +84,7 @@ def pieces(docs: DataFrame, capacity: int, tokenizer: str, groups: int, seed: in
         lib = library(tokenizer)
         lib.tokenizer.no_truncation()
         lib.tokenizer.no_padding()
-        encode = lambda words: [np.array(e.ids, dtype="<u4").tobytes() for e in lib.tokenizer.encode_batch(words, add_special_tokens=False)]
-        memory, seen = Memory(encode), 0
+        memory, seen = memory_of("ids", tokenizer, lambda words: word_ids(lib, words)), 0
         for batch in slices(batches, CHUNK):
             texts = [lib.pieces(t) for t in texts_of(batch)]
             known = memory.learn(texts)
