@@ -12,11 +12,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import record_batch, slices, texts_of
+from maskwright.llm.common import lean, record_batch, slices, texts_of
 
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 #: So many different words are remembered at least, and twice as many at most.
-MEMORY = 400_000
+MEMORY = 250_000
 #: str.split() also splits at these, which the tokenizer takes as symbols.
 _ODD = "\x1c\x1d\x1e\x1f"
 _SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -210,4 +210,4 @@ def token_counts(docs: DataFrame, tokenizer: str | None = None, limit: int = 204
             yield record_batch(schema, batch.column("doc_id"), sizes, counts)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    return rows.mapInArrow(lean(run), "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)

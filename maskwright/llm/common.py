@@ -16,6 +16,9 @@ MASK64 = (1 << 64) - 1
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table of the folder; a session that has Spark's own setting for Arrow batches gets smaller ones."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_IN_BATCH))
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -77,6 +80,39 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
 
 
+def _keep_little() -> None:
+    """Large blocks of memory go back to the system when they are freed, so that workers that wait hold little."""
+    import ctypes
+
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 18)  # from this size on, blocks are mapped apart
+        libc.mallopt(-8, 2)  # arenas
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def lean(run):
+    """A function for mapInArrow whose memory goes back to the system when its task is over."""
+
+    def task(batches):
+        import ctypes
+
+        _keep_little()
+        yield from run(batches)
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):
+            pass
+
+    return task
+
+
+#: Rows in an Arrow batch: texts are long.
+ROWS_IN_BATCH = 4000
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The batch's texts; null is the empty text."""
     return [t or "" for t in batch.column(name).to_pylist()]

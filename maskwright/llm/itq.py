@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import Written, record_batch
+from maskwright.llm.common import Written, lean, record_batch
 from maskwright.llm.components import components
 
 #: Rotations are learnt from at most so many vectors, those of least hash; all vectors are indexed.
@@ -102,7 +102,7 @@ def index(classes: DataFrame, tables: Tables, mean: np.ndarray, projection: np.n
                 words = [sum(segments[:, t] << (tables.bits * (t % tables.per_word)) for t in range(w * tables.per_word, min(tables.count, (w + 1) * tables.per_word))) for w in range(tables.code_words)]
                 yield record_batch(schema, batch.column("id"), *words)
 
-    return classes.select("id", "v").mapInArrow(run, "id long, " + ", ".join(f"{c} long" for c in names))
+    return classes.select("id", "v").mapInArrow(lean(run), "id long, " + ", ".join(f"{c} long" for c in names))
 
 
 def candidates(codes: DataFrame, tables: Tables, most_flips: int) -> DataFrame:
@@ -143,7 +143,7 @@ def reranked(pairs: DataFrame, classes: DataFrame, cosine: float) -> DataFrame:
 
     with_a = pairs.join(classes.select(F.col("id").alias("a"), F.col("v").alias("va")), "a")
     with_both = with_a.join(classes.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b").where(F.size("va") == F.size("vb"))
-    return with_both.select("a", "b", "va", "vb").mapInArrow(run, "a long, b long")
+    return with_both.select("a", "b", "va", "vb").mapInArrow(lean(run), "a long, b long")
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.97, most_training: int = MOST_TRAINING, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

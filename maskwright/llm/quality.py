@@ -9,13 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import held_out, record_batch, slices, texts_of
+from maskwright.llm.common import held_out, lean, record_batch, slices, texts_of
 from maskwright.llm.textstats import NAMES, statistics
 
 #: At most so many labelled rows are learnt from: those of least hash.
 MOST_ROWS = 12_000
 BINS = 64
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 THRESHOLD = 0.3
 
 
@@ -100,7 +100,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield record_batch(schema, batch.column("doc_id"), [statistics(t) for t in texts_of(batch)])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, x array<double>")
+    return rows.mapInArrow(lean(run), "doc_id long, x array<double>")
 
 
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Forest:
@@ -127,7 +127,7 @@ def scored(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: st
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *([F.struct(*carry).alias("rest")] if carry else []))
     schema = "doc_id long, score double" + (f", text string, rest {dict(rows.dtypes)['rest']}" if carry else "")
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def classified(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, most_rows: int = MOST_ROWS) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import Written, record_batch, release_shuffles, shuffle_width, slices
+from maskwright.llm.common import Written, lean, record_batch, release_shuffles, shuffle_width, slices
 
 BLOCK, MARK, WINDOW, SPAN, OPEN, FIRST, HALF, HALF_MARK = range(8)
 #: Rows that have passed the second digit.
@@ -50,8 +50,8 @@ class Kind:
     symbols: Callable[[bytes], np.ndarray]
     window: int
     gram: int
-    chunk: int = 2 << 20
-    segment: int = 1 << 20
+    chunk: int = 1 << 20
+    segment: int = 1 << 19
 
 
 def mix(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -239,7 +239,7 @@ def scan(docs: DataFrame, kind: Kind) -> DataFrame:
                 if len(rows[0]):
                     yield record_batch(SCHEMA, *rows)
 
-    return docs.mapInArrow(run, ROWS)
+    return docs.mapInArrow(lean(run), ROWS)
 
 
 def second_digit(rows: DataFrame, window: int, gen: int, keep: bool = True) -> DataFrame:
@@ -290,7 +290,7 @@ def second_digit(rows: DataFrame, window: int, gen: int, keep: bool = True) -> D
     late = F.col("kind").isin(*LATE)
     # halves, windows and spans only travel along, dealt by both digits
     dealt = rows.repartition(n, "g", F.when(late, F.col("b")))
-    return dealt.sortWithinPartitions(late, "g", "b", "gen", "doc", "copy", "lo").mapInArrow(run, ROWS)
+    return dealt.sortWithinPartitions(late, "g", "b", "gen", "doc", "copy", "lo").mapInArrow(lean(run), ROWS)
 
 
 def opened(blocks: DataFrame, docs: DataFrame, kind: Kind) -> DataFrame:
@@ -311,7 +311,7 @@ def opened(blocks: DataFrame, docs: DataFrame, kind: Kind) -> DataFrame:
                     yield record_batch(SCHEMA, *part)
 
     wanted = blocks.groupBy("gen", "doc", "copy").agg(F.collect_list(F.struct("lo")).alias("blocks"))
-    return docs.join(wanted, ["gen", "doc", "copy"]).mapInArrow(run, ROWS)
+    return docs.join(wanted, ["gen", "doc", "copy"]).mapInArrow(lean(run), ROWS)
 
 
 def third_digit(rows: DataFrame, window: int) -> DataFrame:
@@ -349,7 +349,7 @@ def third_digit(rows: DataFrame, window: int) -> DataFrame:
             yield from settle(held)
 
     dealt = rows.repartition(shuffle_width(rows.sparkSession), "g", "b")
-    return dealt.sortWithinPartitions("g", "b").mapInArrow(run, ROWS)
+    return dealt.sortWithinPartitions("g", "b").mapInArrow(lean(run), ROWS)
 
 
 def last_digit(windows: DataFrame, gen: int) -> DataFrame:

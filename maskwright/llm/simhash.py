@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import Written, record_batch, shuffle_width, slices, texts_of
+from maskwright.llm.common import Written, lean, record_batch, shuffle_width, slices, texts_of
 from maskwright.llm.components import components
 from maskwright.llm.itq import Tables, plan
 
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
             yield record_batch(schema, batch.column("id"), fps)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, fp long")
+    return rows.mapInArrow(lean(run), "id long, fp long")
 
 
 def _half(fp, segment: int):
@@ -179,7 +179,7 @@ def _wide(docs: DataFrame, words: int, tables: Tables, lanes: int) -> DataFrame:
                 probes.append((own[:, None] + np.concatenate([key[:, None], key[:, None] ^ powers[doubt]], axis=1)).ravel())
             yield record_batch(schema, batch.column("id"), codes, probes)
 
-    return docs.mapInArrow(run, "id long, c array<long>, probes array<long>")
+    return docs.mapInArrow(lean(run), "id long, c array<long>, probes array<long>")
 
 
 def _linked_runs(key: np.ndarray, ids: np.ndarray, codes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -243,7 +243,7 @@ def _meetings(probes: DataFrame, most: int) -> DataFrame:
             yield from settle(pa.Table.from_batches(held))
 
     n = shuffle_width(probes.sparkSession)
-    return probes.repartition(n, "key", "part").sortWithinPartitions("key", "part").mapInArrow(run, "a long, b long")
+    return probes.repartition(n, "key", "part").sortWithinPartitions("key", "part").mapInArrow(lean(run), "a long, b long")
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 0.97, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.llm import repeats
-from maskwright.llm.common import Written, record_batch, slices
+from maskwright.llm.common import Written, lean, record_batch, slices
 
 
 def word_symbols(text: bytes) -> np.ndarray:
@@ -21,7 +21,7 @@ def word_symbols(text: bytes) -> np.ndarray:
 
 
 def word_windows(window: int = 20) -> repeats.Kind:
-    return repeats.Kind(word_symbols, window=window, gram=max(2 ** k for k in range(6) if 2 ** k <= max(1, window // 3)), segment=1 << 18)
+    return repeats.Kind(word_symbols, window=window, gram=max(2 ** k for k in range(6) if 2 ** k <= max(1, window // 3)), segment=1 << 17)
 
 
 def batches_by_id(texts: DataFrame, count: int) -> list[DataFrame]:
@@ -67,4 +67,4 @@ def removed(docs: DataFrame, window: int = 20, batches: int = 2, fanout: int = 4
                 yield pa.RecordBatch.from_arrays([*made.columns, batch.column("id"), batch.column("rest")], names=[*out.names, "rest"])
 
     kind_of_rest = dict(rows.dtypes)["rest"]
-    return repeats.with_spans(rows, spans).mapInArrow(run, f"n_words long, n_removed long, kept_sha256 string, text string, doc_id long, rest {kind_of_rest}")
+    return repeats.with_spans(rows, spans).mapInArrow(lean(run), f"n_words long, n_removed long, kept_sha256 string, text string, doc_id long, rest {kind_of_rest}")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from maskwright.llm import repeats
-from maskwright.llm.common import Written, record_batch, slices
+from maskwright.llm.common import Written, lean, record_batch, slices
 
 #: A fixed pseudo-random 64-bit value for each byte.
 BYTE_HASHES = repeats.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407), np.arange(256, dtype=np.uint64))
@@ -47,4 +47,4 @@ def removed(docs: DataFrame, threshold: int = 100, id_col: str = "doc_id", text_
                 got.append((kept, len(text), int((stops - starts).sum()), len(starts), hashlib.sha256(kept).hexdigest()))
             yield record_batch(out, batch.column("id"), *zip(*got, strict=True))
 
-    return repeats.with_spans(rows.drop("rest"), spans).mapInArrow(run, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return repeats.with_spans(rows.drop("rest"), spans).mapInArrow(lean(run), "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import held_out, record_batch, slices, texts_of
+from maskwright.llm.common import held_out, lean, record_batch, slices, texts_of
 
 #: At most so many confirmed toxic texts, and unlabelled ones, are learnt from: those of least hash.
 MOST_POSITIVE, MOST_UNLABELLED = 4_000, 12_000
@@ -94,7 +94,7 @@ def _word_sets(docs: DataFrame) -> DataFrame:
         for batch in slices(batches, CHUNK):
             yield record_batch(schema, batch.column("doc_id"), [sorted(words(t)) for t in texts_of(batch)])
 
-    return docs.mapInArrow(run, "doc_id long, words array<string>")
+    return docs.mapInArrow(lean(run), "doc_id long, words array<string>")
 
 
 def _counts(batches):
@@ -135,7 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, most_p
         if not sizes[0] or not sizes[1]:
             return Linear({}, float(np.log(prior / (1 - prior))))
         p, u = (F.col(c) / n for c, n in zip(("p", "u"), sizes, strict=True))
-        counts = sets.mapInArrow(_counts, "word string, p long, u long").groupBy("word").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+        counts = sets.mapInArrow(lean(_counts), "word string, p long, u long").groupBy("word").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
         # a two-sample statistic of the frequencies
         z = F.abs(p - u) / F.sqrt((p * (1 - p) + 0.5 / sizes[0]) / sizes[0] + (u * (1 - u) + 0.5 / sizes[1]) / sizes[1])
         names = [r.word for r in counts.where((F.col("p") + F.col("u") >= 5) & (z >= LEAST_Z)).orderBy(z.desc(), "word").limit(vocabulary).collect()]
@@ -147,7 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, most_p
                 at = [sorted({i for w in ws for f in features_of(w) if (i := index.get(f)) is not None}) for ws in batch.column("words").to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column("confirmed").cast(pa.int64()), batch.column("free").cast(pa.int64()), pa.array(at, type=pa.list_(pa.int32()))], names=["confirmed", "free", "at"])
 
-        got = sets.orderBy("doc_id").mapInArrow(lookup, schema).collect()
+        got = sets.orderBy("doc_id").mapInArrow(lean(lookup), schema).collect()
     finally:
         sets.unpersist()
 
@@ -177,5 +177,5 @@ def classified(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, prior
             yield record_batch(schema, batch.column("doc_id"), [score(t) for t in texts_of(batch)])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = rows.mapInArrow(run, "doc_id long, score double")
+    out = rows.mapInArrow(lean(run), "doc_id long, score double")
     return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

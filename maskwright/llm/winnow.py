@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import record_batch, shuffle_width, slices
+from maskwright.llm.common import lean, record_batch, shuffle_width, slices
 from maskwright.llm.repeats import LAST_ID, mix
 
 #: Any match of GRAM + WINDOW - 1 code points is caught by a common fingerprint.
@@ -90,7 +90,7 @@ def fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, id_col
             yield record_batch(schema, batch.column("doc_id"), [h.view(np.int64) for h, _ in got], [p for _, p in got])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, hashes array<long>, positions array<long>")
+    return rows.mapInArrow(lean(run), "doc_id long, hashes array<long>, positions array<long>")
 
 
 def edit_report(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -148,7 +148,7 @@ def edit_report(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, id_col:
                 if out:
                     yield record_batch(schema, *zip(*out, strict=True))
 
-    placed = rows.mapInArrow(place, "doc long, doc_id long, text string, part int, beyond int")
+    placed = rows.mapInArrow(lean(place), "doc long, doc_id long, text string, part int, beyond int")
     dealt = placed.repartition(shuffle_width(spark), "part").sortWithinPartitions("part", "beyond", "doc", "text")
     names = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return dealt.mapInArrow(report, names)
+    return dealt.mapInArrow(lean(report), names)
