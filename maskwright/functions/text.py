@@ -89,8 +89,3 @@ def luhn(digits: Column) -> Column:
         return total + F.when(k % 2 == 0, twice).otherwise(d)
 
     return F.coalesce(F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), add) % 10 == 0, F.lit(False)) & (F.length(digits) > 0)
-
-
-def literal_pattern(text: Column) -> Column:
-    """A pattern that matches just this text."""
-    return F.regexp_replace(text, r"([^\p{L}\p{N}\s_])", r"\\$1")
