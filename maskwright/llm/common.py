@@ -81,13 +81,13 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def _keep_little() -> None:
-    """Large blocks of memory go back to the system when they are freed, so that workers that wait hold little."""
+    """Very large blocks of memory go back to the system when they are freed."""
     import ctypes
 
     pa.set_memory_pool(pa.system_memory_pool())
     try:
         libc = ctypes.CDLL("libc.so.6")
-        libc.mallopt(-3, 1 << 18)  # from this size on, blocks are mapped apart
+        libc.mallopt(-3, 1 << 25)  # from this size on, blocks are mapped apart; smaller ones are used again until the task is over
         libc.mallopt(-8, 2)  # arenas
     except (OSError, AttributeError):
         pass  # another C library

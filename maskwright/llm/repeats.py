@@ -315,7 +315,7 @@ def opened(blocks: DataFrame, docs: DataFrame, kind: Kind) -> DataFrame:
 
 
 def third_digit(rows: DataFrame, window: int) -> DataFrame:
-    """WINDOW rows of the halves, in rows of all generations, that share their digit with another."""
+    """WINDOW rows of the halves, in rows of all generations, that share their digit with another; WINDOW and SPAN rows pass."""
 
     def settle(table: pa.Table):
         kind, g, b = (table.column(c).to_numpy() for c in ("kind", "g", "b"))
@@ -336,6 +336,10 @@ def third_digit(rows: DataFrame, window: int) -> DataFrame:
     def run(batches):
         held = None
         for batch in batches:
+            done = np.isin(batch.column("kind").to_numpy(), (WINDOW, SPAN))
+            if done.any():
+                yield batch.filter(pa.array(done))
+                batch = batch.filter(pa.array(~done))
             if not batch.num_rows:
                 continue
             table = pa.Table.from_batches([batch])
@@ -353,11 +357,11 @@ def third_digit(rows: DataFrame, window: int) -> DataFrame:
 
 
 def last_digit(windows: DataFrame, gen: int) -> DataFrame:
-    """Of windows of all generations: those of gen and the first of equals, with first (boolean)."""
+    """Of windows of all generations those of gen that aren't the earliest of their equals."""
     from pyspark.sql import Window as W
 
     rank = F.row_number().over(W.partitionBy("g", "b").orderBy("gen", "doc", "copy", "lo"))
-    return windows.withColumn("first", rank == 1).where((F.col("gen") == gen) | F.col("first"))
+    return windows.withColumn("rank", rank).where((F.col("gen") == gen) & (F.col("rank") > 1))
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
@@ -416,20 +420,22 @@ class Index:
         texts = self.docs[0]
         for more in self.docs[1:]:
             texts = texts.unionByName(more)
-        more = self.written.put(opened(merged.where(F.col("kind") == OPEN), texts, self.kind), "opened")
-        release_shuffles(spark)
-        parts = merged.where(F.col("kind").isin(HALF, HALF_MARK, WINDOW)).unionByName(more.where(F.col("kind") != SPAN))
+        parts = merged.where(F.col("kind").isin(HALF, HALF_MARK)).unionByName(opened(merged.where(F.col("kind") == OPEN), texts, self.kind))
         if keep:
-            parts = self.written.put(parts.sortWithinPartitions("g", "b"), "window-run")
+            parts = self.written.put(parts.unionByName(merged.where(F.col("kind") == WINDOW)).sortWithinPartitions("g", "b"), "window-run")
         everything = parts
         for run in self.windows:
             everything = everything.unionByName(run)
-        windows = everything.where(F.col("kind") == WINDOW).unionByName(third_digit(everything.where(F.col("kind") != WINDOW), self.kind.window))
-        ranked = last_digit(windows.select("g", "b", "gen", "doc", "copy", "lo"), gen)
-        again = ranked.where(~F.col("first") & (F.col("gen") == gen)).withColumn("hi", F.col("lo") + (self.kind.window - 1))
-        spans = merged.where(F.col("kind") == SPAN).unionByName(more.where((F.col("kind") == SPAN) & (F.col("gen") == gen)))
+        # without runs to keep, halves go from the documents to their shuffle without being written
+        third = self.written.put(third_digit(everything, self.kind.window), "windows")
+        release_shuffles(spark)
+        windows = third.where(F.col("kind") == WINDOW)
+        if not keep:
+            windows = windows.unionByName(merged.where(F.col("kind") == WINDOW))
+        again = last_digit(windows.select("g", "b", "gen", "doc", "copy", "lo"), gen).withColumn("hi", F.col("lo") + (self.kind.window - 1))
+        spans = merged.where(F.col("kind") == SPAN).unionByName(third.where((F.col("kind") == SPAN) & (F.col("gen") == gen)))
         spans = self.written.put(spans.select("doc", "copy", "lo", "hi").unionByName(again.select("doc", "copy", "lo", "hi")), "spans")
-        self.written.drop(more)
+        self.written.drop(third)
         if keep:
             new_blocks = merged.where(F.col("kind").isin(FIRST, MARK))
             new_blocks.written_path = merged.written_path

@@ -134,6 +134,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, id_col: str = "doc_id", tex
 
 # ---- groups of similar documents: wide fingerprints --------------------------------------------------------------------
 
+#: 64-bit lanes of a wide fingerprint, at least: enough for distances to tell similarities.
+LANES = 8
 #: Weak bits of a segment that a probe flips: those whose votes were closest.
 WEAK = 3
 #: Runs of up to so many rows under a key are compared pair by pair, side by side with all others.
@@ -217,7 +219,7 @@ def _meetings(probes: DataFrame, most: int) -> DataFrame:
 
     def settle(table: pa.Table):
         codes = table.column("c").combine_chunks()
-        codes = codes.flatten().to_numpy().reshape(len(table), -1)
+        codes = codes.flatten().to_numpy().view(np.uint64).reshape(len(table), -1)  # bits of signed numbers would be counted without sign
         part = table.column("part").to_numpy().astype(np.int64)
         key = table.column("key").to_numpy()
         run = np.cumsum(np.r_[False, (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
@@ -251,7 +253,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, rec
 
     Two shingle sets of Jaccard index s have a cosine of 2s/(1+s), and fingerprint bits differ for a share of its angle
     over 180 degrees. Rows link whose complete fingerprints differ in no more than that share for the given similarity,
-    plus one standard deviation. As this is far more than a 64-bit fingerprint's few bits, fingerprints are wider: as many
+    plus one and a half standard deviations. As this is far more than a 64-bit fingerprint's few bits, fingerprints are wider: as many
     segments as the recall asks for a pair of just that similarity, each about as long as the logarithm of the number of
     documents. A segment's probes are its value and those with one of its least certain bits flipped.
 
@@ -262,8 +264,8 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, rec
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.col(text_col).cast("string").alias("text"))
     flip = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     tables = plan(docs.count(), flip, recall, extra_bits=0)
-    lanes = -(-tables.bits * tables.count // 64)
-    most = int(64 * lanes * flip + np.sqrt(64 * lanes * flip * (1 - flip)))
+    lanes = max(LANES, -(-tables.bits * tables.count // 64))
+    most = int(64 * lanes * flip + 1.5 * np.sqrt(64 * lanes * flip * (1 - flip)))
     wide = written.put(_wide(rows, words, tables, lanes).withColumn("class", F.xxhash64("c")), "wide")
     classes = written.put(wide.groupBy("class").agg(F.min("id").alias("least"), F.first("c").alias("c"), F.first("probes").alias("probes")), "classes")
     probes = classes.select("class", "c", F.explode("probes").alias("key")).withColumn("part", F.lit(0))
@@ -288,7 +290,8 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
     written = Written(docs.sparkSession)
     groups = written.put(similar_groups(docs, words, similarity, id_col=id_col, text_col=text_col), "groups")
     kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    rows = docs.withColumn("__id", key).join(kept, F.col("__id") == F.col("__kept"), "left_semi")
+    # both sides grow with the input: never sent whole to every task
+    rows = docs.withColumn("__id", key).join(kept.hint("merge"), F.col("__id") == F.col("__kept"), "left_semi")
     if not groups.groupBy("doc_id").count().where("count > 1").isEmpty():
         rows = rows.dropDuplicates(["__id"])
     return rows.drop("__id")
