@@ -16,7 +16,7 @@ from maskwright.llm.common import lean, record_batch, slices, texts_of
 
 CHUNK = 2 << 20
 #: So many different words are remembered at least, and twice as many at most.
-MEMORY = 250_000
+MEMORY = 400_000
 #: str.split() also splits at these, which the tokenizer takes as symbols.
 _ODD = "\x1c\x1d\x1e\x1f"
 _SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -155,28 +155,29 @@ class Memory:
         words: set = set()
         for found in texts:
             words.update(found)
-        parts, need = {}, set()
-        for w in words:
-            if w in known or type(w) is not str:
-                continue
+        parts, need = [], set()
+        for w in words.difference(known):
             if w in old:
                 known[w] = old[w]
-                continue
-            if w.isascii():  # its case doesn't matter, nor do marks behind it
-                core = w.lower().rstrip(_TAIL)
-                if core and core != w and core[-1].isalnum():
-                    parts[w] = core, w[len(core) :]
-                    need.update(parts[w])
-                    continue
-            need.add(w)
-        need.discard("")
-        for w in [w for w in need if w in old]:
+            elif type(w) is str:
+                # its case doesn't matter, but for a letter that ends words in its own way; nor do marks behind it
+                low = w.lower() if "Σ" not in w else w
+                core = low.rstrip(_TAIL)
+                if core != w and core[-1:].isalnum():
+                    tail = low[len(core) :]
+                    parts.append((w, core, tail))
+                    need.add(core)
+                    if tail:
+                        need.add(tail)
+                else:
+                    need.add(w)
+        for w in need.intersection(old):
             known[w] = old[w]
-        new = [w for w in need if w not in known]
+        new = list(need.difference(known))
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             known.update(zip(part, self.work(part), strict=True))
-        for w, (core, tail) in parts.items():
+        for w, core, tail in parts:
             known[w] = known[core] + known[tail] if tail else known[core]
         return known
 

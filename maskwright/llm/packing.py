@@ -65,14 +65,54 @@ def library(path: str) -> Library:
     return Library(path)
 
 
-def word_ids(lib: Library, words: list[str]) -> list[bytes]:
-    """Each word's ids as little-endian 32-bit numbers; the library takes all words as one text."""
-    found = lib.tokenizer.encode(" ".join(words), add_special_tokens=False)
-    starts = np.cumsum([0, *(len(w) + 1 for w in words)])
-    owner = np.searchsorted(starts, [a for a, _ in found.offsets], "right") - 1
-    ends = (np.cumsum(np.bincount(owner, minlength=len(words))) * 4).tolist()
-    ids = np.array(found.ids, dtype="<u4").tobytes()
-    return [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+class Encoder:
+    """Words to their ids, many at a time, by the library.
+
+    A word of letters only is one pre-token: a copy of the tokenizer that only splits at white space takes it, and its
+    last id is known from the vocabulary's mark of a word's end. Where that doesn't come out even, and for all other words,
+    the whole tokenizer says itself where each id is from.
+    """
+
+    def __init__(self, lib: Library):
+        from tokenizers import normalizers, pre_tokenizers
+        from tokenizers import Tokenizer
+
+        self.whole, self.bare = lib.tokenizer, Tokenizer.from_str(lib.tokenizer.to_str())
+        self.bare.normalizer, self.bare.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+        vocab, end = lib.spec["model"]["vocab"], lib.spec["model"].get("end_of_word_suffix")
+        self.last = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.last[[i for t, i in vocab.items() if end and t.endswith(end)]] = True
+        self.plain = bool(end) and not lib.spec["model"].get("dropout")
+
+    def __call__(self, words: list[str]) -> list[bytes]:
+        out: dict[str, bytes] = {}
+        if self.plain:
+            letters = [w for w in words if w.isalpha()]
+            self._letters([w for w in letters if w.isascii() and w.islower()], self.bare, out)
+            self._letters([w for w in letters if not w.isascii()], self.whole, out)
+        self._any([w for w in words if w not in out], out)
+        return [out[w] for w in words]
+
+    def _letters(self, words: list[str], tokenizer, out: dict[str, bytes]) -> None:
+        if not words:
+            return
+        lines = [" ".join(words[i : i + 500]) for i in range(0, len(words), 500)]
+        ids = np.concatenate([np.array(e.ids, dtype="<u4") for e in tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
+        ends = ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()
+        if len(ends) == len(words) and ends[-1] == 4 * len(ids):
+            data = ids.tobytes()
+            out.update(zip(words, [data[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
+
+    def _any(self, words: list[str], out: dict[str, bytes]) -> None:
+        """The library takes all words as one text, and says where each id is from."""
+        if not words:
+            return
+        found = self.whole.encode(" ".join(words), add_special_tokens=False)
+        starts = np.cumsum([0, *(len(w) + 1 for w in words)])
+        owner = np.searchsorted(starts, [a for a, _ in found.offsets], "right") - 1
+        ends = (np.cumsum(np.bincount(owner, minlength=len(words))) * 4).tolist()
+        ids = np.array(found.ids, dtype="<u4").tobytes()
+        out.update(zip(words, [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
 
 
 def pieces(docs: DataFrame, capacity: int, tokenizer: str, groups: int, seed: int, id_col: str, text_col: str) -> DataFrame:
@@ -84,7 +124,7 @@ def pieces(docs: DataFrame, capacity: int, tokenizer: str, groups: int, seed: in
         lib = library(tokenizer)
         lib.tokenizer.no_truncation()
         lib.tokenizer.no_padding()
-        memory, seen = memory_of("ids", tokenizer, lambda words: word_ids(lib, words)), 0
+        memory, seen = memory_of("ids", tokenizer, Encoder(lib)), 0
         for batch in slices(batches, CHUNK):
             texts = [lib.pieces(t) for t in texts_of(batch)]
             known = memory.learn(texts)

@@ -30,6 +30,14 @@ def test_counts_equal_the_library(spark, library):
         assert (got[i].n_bytes, got[i].n_tokens, got[i].over_limit) == (len((t or "").encode()), want, want > 2048), repr(t)[:200]
 
 
+def test_words_by_their_parts(library):
+    words = ["Word", "word.", "WORD,;", "Été!", "été", "ΑΣ", "ΑΣ.", "ας", "İx", "İx.", "ſ?", "a1.", "1.5", "don't.", "...", ".a", "é", "é.", "xΣ", "naïve:", "ß.", "ẞ.", "ﬀ.", "ǅ."]
+    for work in (packing.Encoder(bpe.Library(bpe.default_tokenizer())),):
+        known = bpe.Memory(work, most=5).learn([words, words])
+        for w in words:
+            assert np.frombuffer(known[w], dtype="<u4").tolist() == library.encode(w, add_special_tokens=False).ids, w
+
+
 def test_counts_empty_and_extra_columns(spark):
     assert bpe.token_counts(frame(spark, [])).count() == 0
     df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, None)], "doc_id long, text string").withColumns({c: F.lit(1) for c in ("n_tokens", "n_bytes", "id")})
