@@ -16,6 +16,11 @@ def no_entities() -> Column:
     return F.array().cast(ENTITIES)
 
 
+def once(column: Column) -> Column:
+    """The column, worked out just where it stands: filters above, also those that explode() implies, don't repeat it below."""
+    return F.when(F.spark_partition_id() >= 0, column)
+
+
 def entity(text: Column, kind: Column | str, start: Column, end: Column, confidence: Column | float, detector: Column | str, order: Column | int = 0) -> Column:
     lit = lambda x: x if isinstance(x, Column) else F.lit(x)
     return F.struct(
@@ -54,10 +59,7 @@ def scan(text: Column, pattern: str, flags: str = "U") -> Column:
 
 def has_any(lowered: Column, terms: Sequence[str]) -> Column:
     """Whether one of the terms stands anywhere in the text, inside words too."""
-    found = F.lit(False)
-    for term in terms:
-        found = found | F.contains(lowered, F.lit(term))
-    return found
+    return lowered.rlike("|".join(rf"\Q{term}\E" for term in terms))
 
 
 def words_of(text: Column) -> Column:

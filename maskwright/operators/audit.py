@@ -57,7 +57,7 @@ def compared(expected: DataFrame, actual: DataFrame) -> DataFrame:
         return F.struct(s["surviving"].alias("surviving"), change(rest, found, s["changes"]).alias("changes"))
 
     walked = F.when(F.col("redacted_text") != actual_text, F.aggregate("replaced", begin, step, end))
-    rows = rows.withColumn("walked", walked)
+    rows = rows.withColumn("walked", T.once(walked))
     return rows.select("doc_id", "seq", "replaced", F.coalesce("walked.surviving", F.array().cast(f"array<{SURVIVOR}>")).alias("surviving"), F.coalesce("walked.changes", F.array().cast(f"array<{CHANGE}>")).alias("changes"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwright import vocab as V
+from maskwright.functions import text as T
 
 
 def stats(redacted: DataFrame) -> DataFrame:
@@ -59,7 +60,7 @@ def evaluated(analysed: DataFrame, mode: str = "containment") -> DataFrame:
     """analysed rows with entities (array of type, text), the expected ones, with outcome: see matched()."""
     expected = F.coalesce(F.col("entities"), F.array().cast("array<struct<type:string,text:string>>"))
     expected = F.transform(expected, lambda g: F.struct(g["type"].alias("type"), g["text"].alias("text")))
-    return analysed.withColumn("outcome", matched(F.col("resolved"), expected, mode))
+    return analysed.withColumn("outcome", T.once(matched(F.col("resolved"), expected, mode)))
 
 
 def _shares(tp, fp, fn):

@@ -81,7 +81,7 @@ def refine(df: DataFrame, candidates: str = "candidates", out: str = "refined",
     some = F.size(candidates) > 0
     signs = F.when(some, _signs(context_of(F.col("text"), F.col("header_text"))))
     headed = F.transform(candidates, lambda e: _by_header(e, F.col("header_text")))
-    df = df.withColumns({"__signs": signs, "__headed": F.when(some, headed).otherwise(T.no_entities())})
+    df = df.withColumns({"__signs": T.once(signs), "__headed": F.when(some, headed).otherwise(T.no_entities())})
     kept = F.filter("__headed", lambda e: _keep(e, F.col("__signs")))
     typed = F.filter(F.transform(kept, lambda e: _by_context(e, F.col("__signs"))), lambda e: e["entity_type"].isin(*enabled))
-    return df.withColumn(out, F.when(F.size("__headed") > 0, typed).otherwise(T.no_entities())).drop("__signs", "__headed")
+    return df.withColumn(out, T.once(F.when(F.size("__headed") > 0, typed).otherwise(T.no_entities()))).drop("__signs", "__headed")

@@ -50,12 +50,12 @@ def candidates(paragraphs: DataFrame, config: Config = Config()) -> DataFrame:
             df = df.withColumn("candidates", F.concat("candidates", found))
     if config.drop_intermediate:
         df = df.withColumn("candidates", F.filter("candidates", lambda e: e["entity_type"].isin(*config.enabled)))
-    return df.withColumn("candidates", T.numbered(F.col("candidates")))
+    return df.withColumn("candidates", T.once(T.numbered(F.col("candidates"))))
 
 
 def analyse(paragraphs: DataFrame, config: Config = Config()) -> DataFrame:
     """candidates() with resolved: the findings that stay, by start. A document's memo is applied if it has any entry."""
-    df = candidates(paragraphs, config).withColumn("resolved", resolve.resolve(F.col("candidates")))
+    df = candidates(paragraphs, config).withColumn("resolved", T.once(resolve.resolve(F.col("candidates"))))
     if config.use_memo and memo.reachable(config):
         df = memo.recall(df, config.memo_min_confidence, config.memo_scope)
     return df
@@ -63,7 +63,7 @@ def analyse(paragraphs: DataFrame, config: Config = Config()) -> DataFrame:
 
 def redact(paragraphs: DataFrame, config: Config = Config()) -> DataFrame:
     """analyse() with replaced (resolved, with replacement) and redacted_text; with redacted_runs where there are runs."""
-    df = analyse(paragraphs, config).withColumn("replaced", pseudonym.with_replacements(F.col("resolved"), config.seed))
+    df = analyse(paragraphs, config).withColumn("replaced", T.once(pseudonym.with_replacements(F.col("resolved"), config.seed)))
     if "runs" in df.columns:
         df = df.withColumn("redacted_runs", pseudonym.redacted_runs(F.col("runs"), F.col("replaced")))
     return df.withColumn("redacted_text", pseudonym.redacted(F.coalesce("text", F.lit("")), F.col("replaced")))

@@ -35,11 +35,11 @@ def _spans(found: DataFrame, *keys: str) -> DataFrame:
 
 
 def _detection(find: Callable[[Column], Column], source=_lines) -> Query:
-    return lambda spark, sf_dir: _spans(source(spark, sf_dir).withColumn("e", find(F.col("text"))), "doc_id", "seq")
+    return lambda spark, sf_dir: _spans(source(spark, sf_dir).withColumn("e", T.once(find(F.col("text")))), "doc_id", "seq")
 
 
 def _generation(find: Callable[[Column], Column]) -> Query:
-    return lambda spark, sf_dir: _spans(corpus.derived(spark, sf_dir).withColumn("e", find(F.col("text"))), "doc_id")
+    return lambda spark, sf_dir: _spans(corpus.derived(spark, sf_dir).withColumn("e", T.once(find(F.col("text")))), "doc_id")
 
 
 def _refinement(kind: str, find: Callable[[Column], Column]) -> Query:
@@ -47,7 +47,7 @@ def _refinement(kind: str, find: Callable[[Column], Column]) -> Query:
         rows = corpus.derived(spark, sf_dir)
         if kind == "PHONE":
             rows = rows.where("kind = 'phone'")
-        refined = refine.refine(rows.withColumn("candidates", find(F.col("text"))))
+        refined = refine.refine(rows.withColumn("candidates", T.once(find(F.col("text")))))
         return refined.select("doc_id", F.explode("refined").alias("e")).where(F.col("e.entity_type") == kind).select("doc_id", "e.text", "e.confidence")
 
     return query
@@ -64,7 +64,8 @@ def resolve_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.sql(corpus.spans_sql("{lineitem}"), lineitem=_load(spark, sf_dir, "lineitem"))
     one = T.entity(F.lit("x"), F.col("entity_type"), F.col("a"), F.col("b"), F.col("confidence"), "given", F.col("ord"))
     listed = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ord", one.alias("e")))).alias("es"))
-    found = listed.select("doc_id", F.explode(resolve.resolve(F.transform("es", lambda x: x["e"]))).alias("e"))
+    kept = listed.select("doc_id", T.once(resolve.resolve(F.transform("es", lambda x: x["e"]))).alias("kept"))
+    found = kept.select("doc_id", F.explode("kept").alias("e"))
     return found.select("doc_id", F.col("e.start").alias("start_at"), F.col("e.end").alias("end_at"), "e.entity_type", "e.confidence")
 
 
@@ -187,7 +188,7 @@ def memo_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversation_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = tables.turns(_load(spark, sf_dir, "conversations")).withColumn("e", detect.emails(F.col("text")))
+    found = tables.turns(_load(spark, sf_dir, "conversations")).withColumn("e", T.once(detect.emails(F.col("text"))))
     return _spans(found, "doc_id", "seq").select(F.col("doc_id").alias("conv_id"), F.col("seq").cast("long").alias("turn"), "text")
 
 
