@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from maskwright.llm import common
 from maskwright.llm.common import lean, record_batch, slices, texts_of
 
 CHUNK = 2 << 20
@@ -182,12 +183,9 @@ class Memory:
         return known
 
 
-_MEMORIES: dict[tuple, Memory] = {}
-
-
 def memory_of(purpose: str, path: str, work) -> Memory:
     """The memory of this Python worker, which outlives a task."""
-    return _MEMORIES.setdefault((purpose, path), Memory(work))
+    return common.REMEMBERED.setdefault(purpose, {}).setdefault(path, Memory(work))
 
 
 def token_counts(docs: DataFrame, tokenizer: str | None = None, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -211,4 +209,4 @@ def token_counts(docs: DataFrame, tokenizer: str | None = None, limit: int = 204
             yield record_batch(schema, batch.column("doc_id"), sizes, counts)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(lean(run), "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    return rows.mapInArrow(lean(run, "counts"), "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)

@@ -64,11 +64,21 @@ class Written:
 
 
 def release_shuffles(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete the shuffle files of frames that are out of use: their lineage has been written."""
+    """Lets Spark's cleaner delete the shuffle files of frames that are out of use: their lineage has been written.
+
+    Events that still wait for a listener hold their plans, and so their shuffles; the cleaner works beside the driver.
+    """
     import gc
+    import time
 
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    sc = spark.sparkContext
+    try:
+        sc._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    except Exception:
+        time.sleep(1)  # a busy listener only delays the cleaning
+    sc._jvm.System.gc()
+    time.sleep(0.5)
 
 
 def shuffle_width(spark: SparkSession) -> int:
@@ -93,13 +103,24 @@ def _keep_little() -> None:
         pass  # another C library
 
 
-def lean(run):
-    """A function for mapInArrow whose memory goes back to the system when its task is over."""
+#: What a Python worker remembers from task to task, by purpose.
+REMEMBERED: dict[str, dict] = {}
+
+
+def lean(run, remember: str | None = None):
+    """A function for mapInArrow whose memory goes back to the system when its task is over.
+
+    Only what has been remembered for its own purpose outlives the start of a task.
+    """
 
     def task(batches):
         import ctypes
 
-        _keep_little()
+        from maskwright.llm import common
+
+        for purpose in [p for p in common.REMEMBERED if p != remember]:
+            del common.REMEMBERED[purpose]
+        common._keep_little()
         yield from run(batches)
         try:
             ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -147,7 +147,7 @@ def pieces(docs: DataFrame, capacity: int, tokenizer: str, groups: int, seed: in
             yield record_batch(schema, *columns, group.astype(np.int64))
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(lean(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, `group` long")
+    return rows.mapInArrow(lean(run, "ids"), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, `group` long")
 
 
 def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, group: int = GROUP, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
