@@ -77,6 +77,7 @@ def release_shuffles(spark: SparkSession) -> None:
         sc._jsc.sc().listenerBus().waitUntilEmpty(10_000)
     except Exception:
         time.sleep(1)  # a busy listener only delays the cleaning
+    spark.range(1).count()  # schedulers hold on to their last job
     sc._jvm.System.gc()
     time.sleep(0.5)
 
