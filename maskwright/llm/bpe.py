@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 from functools import lru_cache
 
@@ -40,6 +41,8 @@ class Library:
     """A tokenizer whose pre-tokens never cross white space, and its special strings, which count wherever they stand."""
 
     def __init__(self, path: str):
+        # a task has one core; threads of the library's own would only contend
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
