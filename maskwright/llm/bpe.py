@@ -18,7 +18,7 @@ from maskwright.llm.common import lean, record_batch, slices, texts_of
 
 CHUNK = 2 << 20
 #: So many different words are remembered at least, and twice as many at most.
-MEMORY = 400_000
+MEMORY = 200_000
 #: str.split() also splits at these, which the tokenizer takes as symbols.
 _ODD = "\x1c\x1d\x1e\x1f"
 _SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
