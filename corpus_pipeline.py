@@ -26,7 +26,6 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words that twenty-word windows repeat from earlier ones; those of which nothing is left go."""
     rows = substring.removed(docs, carry=("lang", "source")).where((F.col("n_words") == 0) | (F.col("n_removed") < F.col("n_words")))
-    # a text that repeats nothing stays as it is but for white space between words
     return rows.select("doc_id", "text", "rest.*", F.length("text").cast("long").alias("n_chars")).select(*COLUMNS)
 
 

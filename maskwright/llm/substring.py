@@ -35,7 +35,9 @@ def batches_by_id(texts: DataFrame, count: int) -> list[DataFrame]:
 
 
 def removed(docs: DataFrame, window: int = 20, batches: int = 2, fanout: int = 4, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """Per row of docs: doc_id, rest (the carried columns), text (the kept words, joined by one space), n_words, n_removed, kept_sha256.
+    """Per row of docs: doc_id, rest (the carried columns), text, n_words, n_removed, kept_sha256 (of the kept words, joined by one space).
+
+    text is the document's as it was if it keeps all its words, else the kept words, joined by one space.
 
     A word goes if a window of that many consecutive words covers it whose words also start earlier (smaller id, or the
     same document further ahead), as the input has them. The documents come in batches by ascending id, and each batch
@@ -54,14 +56,15 @@ def removed(docs: DataFrame, window: int = 20, batches: int = 2, fanout: int = 4
     out = pa.schema([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string()), ("doc_id", pa.int64())])
 
     def run(batches):
-        for whole in batches:
-            for batch in slices([whole], kind.chunk):
+        for given in batches:
+            for batch in slices([given], kind.chunk):
                 got = []
                 for text, found in zip(batch.column("text"), batch.column("spans"), strict=True):
-                    words = text.as_buffer().to_pybytes().split()
+                    whole = text.as_buffer().to_pybytes()
+                    words = whole.split()
                     starts, stops = repeats.covered(len(words), found)
                     kept = b" ".join(w for a, b in zip([0, *stops.tolist()], [*starts.tolist(), len(words)], strict=True) for w in words[a:b])
-                    got.append((len(words), int((stops - starts).sum()), hashlib.sha256(kept).hexdigest(), kept.decode()))
+                    got.append((len(words), int((stops - starts).sum()), hashlib.sha256(kept).hexdigest(), (kept if len(starts) else whole).decode()))
                 columns = list(zip(*got, strict=True))
                 made = record_batch(pa.schema(list(out)[:4]), *columns)
                 yield pa.RecordBatch.from_arrays([*made.columns, batch.column("id"), batch.column("rest")], names=[*out.names, "rest"])
