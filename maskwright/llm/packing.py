@@ -84,35 +84,37 @@ class Encoder:
         self.last[[i for t, i in vocab.items() if end and t.endswith(end)]] = True
         self.plain = bool(end) and not lib.spec["model"].get("dropout")
 
-    def __call__(self, words: list[str]) -> list[bytes]:
-        out: dict[str, bytes] = {}
+    def __call__(self, words: list[str]) -> list[tuple[str, bytes]]:
+        """(word, ids) of each."""
+        letters, others = [], words
         if self.plain:
-            letters = [w for w in words if w.isalpha()]
-            self._letters([w for w in letters if w.isascii() and w.islower()], self.bare, out)
-            self._letters([w for w in letters if not w.isascii()], self.whole, out)
-        self._any([w for w in words if w not in out], out)
-        return [out[w] for w in words]
+            letters, others = [w for w in words if w.isalpha()], [w for w in words if not w.isalpha()]
+        # of a word in lower case of other letters the normaliser may make something else
+        simple = [w for w in letters if w.isascii() and w.islower()]
+        more = [w for w in letters if not (w.isascii() and w.islower())]
+        return [*self._letters(simple, self.bare), *self._letters(more, self.whole), *self._any(others)]
 
-    def _letters(self, words: list[str], tokenizer, out: dict[str, bytes]) -> None:
+    def _letters(self, words: list[str], tokenizer) -> list[tuple[str, bytes]]:
         if not words:
-            return
+            return []
         lines = [" ".join(words[i : i + 500]) for i in range(0, len(words), 500)]
         ids = np.concatenate([np.array(e.ids, dtype="<u4") for e in tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
         ends = ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()
-        if len(ends) == len(words) and ends[-1] == 4 * len(ids):
-            data = ids.tobytes()
-            out.update(zip(words, [data[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
+        if len(ends) != len(words) or ends[-1] != 4 * len(ids):
+            return self._any(words)
+        data = ids.tobytes()
+        return [(w, data[a:b]) for w, a, b in zip(words, [0, *ends], ends, strict=False)]
 
-    def _any(self, words: list[str], out: dict[str, bytes]) -> None:
+    def _any(self, words: list[str]) -> list[tuple[str, bytes]]:
         """The library takes all words as one text, and says where each id is from."""
         if not words:
-            return
+            return []
         found = self.whole.encode(" ".join(words), add_special_tokens=False)
         starts = np.cumsum([0, *(len(w) + 1 for w in words)])
-        owner = np.searchsorted(starts, [a for a, _ in found.offsets], "right") - 1
+        owner = np.searchsorted(starts, np.array(found.offsets)[:, 0], "right") - 1
         ends = (np.cumsum(np.bincount(owner, minlength=len(words))) * 4).tolist()
-        ids = np.array(found.ids, dtype="<u4").tobytes()
-        out.update(zip(words, [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
+        data = np.array(found.ids, dtype="<u4").tobytes()
+        return [(w, data[a:b]) for w, a, b in zip(words, [0, *ends], ends, strict=False)]
 
 
 def pieces(docs: DataFrame, capacity: int, tokenizer: str, groups: int, seed: int, id_col: str, text_col: str) -> DataFrame:
