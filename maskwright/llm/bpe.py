@@ -144,7 +144,7 @@ _TAIL = ".,;:!?"
 class Memory:
     """What has been worked out for words: values that add up over the parts of a word.
 
-    work gives (word, value) for each of a list of words. The words of the last learn() are in the dictionary that it returns; older
+    work gives the values of a list of words. The words of the last learn() are in the dictionary that it returns; older
     ones stay for as long as two generations of most words each last.
     """
 
@@ -159,23 +159,30 @@ class Memory:
         words: set = set()
         for found in texts:
             words.update(found)
-        new = [w for w in words.difference(known) if type(w) is str]
-        if old:
-            known.update({w: old[w] for w in new if w in old})
-            new = [w for w in new if w not in known]
-        # a word's case doesn't matter, but for a letter that ends words in its own way; nor do marks behind it
-        lows = [w if "Σ" in w else w.lower() for w in new]
-        cores = [w.rstrip(_TAIL) for w in lows]
-        cores = [c if c[-1:].isalnum() else w for w, c in zip(lows, cores, strict=True)]
-        tails = [w[len(c) :] for w, c in zip(lows, cores, strict=True)]
-        need = {*cores, *tails}
-        need.discard("")
-        if old:
-            known.update({w: old[w] for w in need if w in old})
-        need = list(need.difference(known))
-        for at in range(0, len(need), 20_000):
-            known.update(self.work(need[at : at + 20_000]))
-        known.update([(w, known[c] + known[t] if t else known[c]) for w, c, t in zip(new, cores, tails, strict=True)])
+        parts, need = [], set()
+        for w in words.difference(known):
+            if w in old:
+                known[w] = old[w]
+            elif type(w) is str:
+                # its case doesn't matter, but for a letter that ends words in its own way; nor do marks behind it
+                low = w.lower() if "Σ" not in w else w
+                core = low.rstrip(_TAIL)
+                if core != w and core[-1:].isalnum():
+                    tail = low[len(core) :]
+                    parts.append((w, core, tail))
+                    need.add(core)
+                    if tail:
+                        need.add(tail)
+                else:
+                    need.add(w)
+        for w in need.intersection(old):
+            known[w] = old[w]
+        new = list(need.difference(known))
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
+            known.update(zip(part, self.work(part), strict=True))
+        for w, core, tail in parts:
+            known[w] = known[core] + known[tail] if tail else known[core]
         return known
 
 
@@ -196,7 +203,7 @@ def token_counts(docs: DataFrame, tokenizer: str | None = None, limit: int = 204
 
     def run(batches):
         merge = merger(path)
-        memory = memory_of("counts", path, lambda words: zip(words, merge.count_words(words).tolist(), strict=True))
+        memory = memory_of("counts", path, lambda words: merge.count_words(words).tolist())
         for batch in slices(batches, CHUNK):
             texts = [merge.library.pieces(t) for t in texts_of(batch)]
             known = memory.learn(texts)
