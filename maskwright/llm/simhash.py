@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from maskwright.llm.common import Written, lean, record_batch, shuffle_width, slices, texts_of
 from maskwright.llm.components import components
 from maskwright.llm.itq import Tables, plan
+from maskwright.llm.repeats import LAST_ID
 
 SEED = 42
 #: Texts are hashed in pieces of so many shingles, which bounds the memory of very long ones.
@@ -138,6 +139,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, id_col: str = "doc_id", tex
 LANES = 8
 #: Weak bits of a segment that a probe flips: those whose votes were closest.
 WEAK = 3
+#: Standard deviations beyond the expected distance up to which pairs are tested; with few shingles, ties make bits differ more often.
+SPARE = 6
 #: Runs of up to so many rows under a key are compared pair by pair, side by side with all others.
 SHORT_RUN = 12
 #: A key with more rows than this is split into pairs of blocks of about this size.
@@ -145,77 +148,124 @@ MOST_UNDER_KEY = 50_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def votes(text: str, words: int, lanes: int) -> tuple[np.ndarray, int]:
-    """(how many shingles set each of 64 * lanes bits, the number of shingles): each lane rehashes the shingles' XXH64."""
-    ones, total = np.zeros(64 * lanes, dtype=np.int64), 0
-    for whole in shingle_hashes(text, words):
-        total += len(whole)
-        for at in range(0, len(whole), 128):
-            h = whole[at : at + 128, None] + np.arange(lanes, dtype=np.uint64) * _STEP
-            h ^= h >> np.uint64(31)
-            h *= np.uint64(0xD6E8FEB86659FD93)
-            h ^= h >> np.uint64(32)
-            bits = np.unpackbits(h.view(np.uint8), axis=1, bitorder="little")
-            ones += np.add.reduce(bits, axis=0, dtype=np.uint8)
-    return ones, total
-
-
-def _wide(docs: DataFrame, words: int, tables: Tables, lanes: int) -> DataFrame:
-    """(id, c: the fingerprint's lanes, probes: for each table its own key, then those with a weak bit flipped)."""
-    schema = pa.schema([("id", pa.int64()), ("c", pa.list_(pa.int64())), ("probes", pa.list_(pa.int64()))])
+def shingle_set(text: str, words: int) -> np.ndarray:
+    """The different shingle hashes, ascending."""
+    pieces = list(shingle_hashes(text, words))
+    return np.unique(np.concatenate(pieces)) if pieces else np.zeros(0, dtype=np.uint64)
+
+
+def votes(shingles: np.ndarray, lanes: int) -> np.ndarray:
+    """How many shingles set each of 64 * lanes bits: each lane rehashes the shingles' XXH64."""
+    ones = np.zeros(64 * lanes, dtype=np.int64)
+    for at in range(0, len(shingles), 128):
+        h = shingles[at : at + 128, None] + np.arange(lanes, dtype=np.uint64) * _STEP
+        h ^= h >> np.uint64(31)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+        bits = np.unpackbits(h.view(np.uint8), axis=1, bitorder="little")
+        ones += np.add.reduce(bits, axis=0, dtype=np.uint8)
+    return ones
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, copy, text): the id, null as the largest, and the text's hash tell rows apart that differ in either."""
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return rows.withColumn("copy", F.xxhash64("text"))
+
+
+def _wide(rows: DataFrame, words: int, tables: Tables, lanes: int) -> DataFrame:
+    """(id, copy, class: a hash of the shingle set, c: the fingerprint's lanes, probes: for each table its own key, then those with a weak bit flipped)."""
+    schema = pa.schema([("id", pa.int64()), ("copy", pa.int64()), ("class", pa.int64()), ("c", pa.list_(pa.int64())), ("probes", pa.list_(pa.int64()))])
     powers = 1 << np.arange(tables.bits, dtype=np.int64)
     own = np.arange(tables.count, dtype=np.int64) << tables.bits
     weak = min(WEAK, tables.bits)
 
     def run(batches):
         for batch in slices(batches, 4 << 20):
-            codes, probes = [], []
+            names, codes, probes = [], [], []
             for text in texts_of(batch):
-                ones, total = votes(text, words, lanes)
-                margin = 2 * ones - total
+                shingles = shingle_set(text, words)
+                names.append(xxhash.xxh64_intdigest(shingles.tobytes(), SEED))
+                margin = 2 * votes(shingles, lanes) - len(shingles)
                 on = margin > 0
                 codes.append(np.packbits(on, bitorder="little").view("<i8"))
                 segments = on[: tables.count * tables.bits].reshape(tables.count, tables.bits)
                 doubt = np.argsort(np.abs(margin[: tables.count * tables.bits]).reshape(tables.count, tables.bits), axis=1, kind="stable")[:, :weak]
                 key = segments @ powers
                 probes.append((own[:, None] + np.concatenate([key[:, None], key[:, None] ^ powers[doubt]], axis=1)).ravel())
-            yield record_batch(schema, batch.column("id"), codes, probes)
-
-    return docs.mapInArrow(lean(run), "id long, c array<long>, probes array<long>")
-
-
-def _linked_runs(key: np.ndarray, ids: np.ndarray, codes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect what is linked among the rows of each key; rows are sorted by key."""
+            yield record_batch(schema, batch.column("id"), batch.column("copy"), np.array(names, dtype=np.uint64).view(np.int64), codes, probes)
+
+    return rows.mapInArrow(lean(run), "id long, copy long, class long, c array<long>, probes array<long>")
+
+
+def _apart(codes: np.ndarray, code: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(codes ^ code).sum(axis=1, dtype=np.int32)
+
+
+def _nearest_first(ids: np.ndarray, codes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A spanning forest of what is near, of the least distances (Prim): (a, b, the tree's first id)."""
+    left, code = ids[1:].copy(), codes[1:].copy()
+    dist, parent = np.full(len(left), np.iinfo(np.int32).max, dtype=np.int32), np.zeros(len(left), dtype=np.int64)
+    at, here, root, n, found = ids[0], codes[0].copy(), ids[0], len(left), []
+    while n:
+        d = _apart(code[:n], here)
+        better = d < dist[:n]
+        dist[:n][better] = d[better]
+        parent[:n][better] = at
+        k = int(dist[:n].argmin())
+        at, here = left[k], code[k].copy()
+        if dist[k] <= most:
+            found.append((parent[k], at, root))
+        else:
+            root = at
+        n -= 1
+        for x in (left, code, dist, parent):
+            x[k] = x[n]
+    return tuple(np.array(found, dtype=np.int64).reshape(-1, 3).T)
+
+
+def _near_runs(key: np.ndarray, ids: np.ndarray, codes: np.ndarray, most: int, component: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, tree) among the rows of each key, which are sorted by key: pairs whose fingerprints are near.
+
+    Without components: all pairs of a short run, whose tree is -1, and a forest of nearest pairs of a longer one, whose trees
+    are named by a member (ids lose their last bit). With components: all pairs of different components.
+    """
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     sizes = np.diff(np.r_[starts, len(key)])
-    a, b = [], []
+    a, b, tree = [], [], []
+
+    def add(x, y, of):
+        a.append(np.minimum(x, y))
+        b.append(np.maximum(x, y))
+        tree.append(of)
+
     short = np.repeat(sizes <= SHORT_RUN, sizes)
     for d in range(1, min(SHORT_RUN, int(sizes.max()))):
         at = np.flatnonzero((key[d:] == key[:-d]) & short[d:])
-        near = np.bitwise_count(codes[at] ^ codes[at + d]).sum(axis=1) <= most
-        a.append(ids[at[near]])
-        b.append(ids[at[near] + d])
+        at = at[np.bitwise_count(codes[at] ^ codes[at + d]).sum(axis=1) <= most]
+        if component is not None:
+            at = at[component[at] != component[at + d]]
+        add(ids[at], ids[at + d], np.full(len(at), -1))
     for i in np.flatnonzero(sizes > SHORT_RUN):
         rows = np.arange(starts[i], starts[i] + sizes[i])
         rows = rows[np.unique(ids[rows], return_index=True)[1]]
-        # breadth first: what has been reached is never compared again, so a crowd of copies costs little more than its size
-        while len(rows) > 1:
-            queue, rows = [rows[0]], rows[1:]
-            while queue and len(rows):
-                at = queue.pop()
-                near = np.bitwise_count(codes[rows] ^ codes[at]).sum(axis=1) <= most
-                if near.any():
-                    a.append(np.full(int(near.sum()), ids[at]))
-                    b.append(ids[rows[near]])
-                    queue.extend(rows[near].tolist())
-                    rows = rows[~near]
-    a, b = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (a, b))
-    return a[a != b], b[a != b]
+        if component is None:
+            x, y, root = _nearest_first(ids[rows], codes[rows], most)
+            add(x, y, root & ((1 << 63) - 2))
+            continue
+        mine, own = codes[rows], component[rows]
+        for k in range(len(rows) - 1):
+            other = np.flatnonzero(own[k + 1 :] != own[k]) + k + 1
+            other = rows[other[_apart(mine[other], mine[k]) <= most]]
+            add(np.full(len(other), ids[rows[k]]), ids[other], np.full(len(other), -1))
+    a, b, tree = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (a, b, tree))
+    return a[a != b], b[a != b], tree[a != b]
 
 
 def _meetings(probes: DataFrame, most: int) -> DataFrame:
-    """Edges (a, b) from rows (key, part, class, c)."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    """Rows (a, b, tree) from rows (key, part, class, c, and component in the second round), each once."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("tree", pa.int64())])
+    grouped = "component" in probes.columns
 
     def settle(table: pa.Table):
         codes = table.column("c").combine_chunks()
@@ -223,9 +273,9 @@ def _meetings(probes: DataFrame, most: int) -> DataFrame:
         part = table.column("part").to_numpy().astype(np.int64)
         key = table.column("key").to_numpy()
         run = np.cumsum(np.r_[False, (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
-        a, b = _linked_runs(run, table.column("class").to_numpy(), codes, most)
-        if len(a):
-            yield record_batch(schema, a, b)
+        found = _near_runs(run, table.column("class").to_numpy(), codes, most, table.column("component").to_numpy() if grouped else None)
+        if len(found[0]):
+            yield record_batch(schema, *found)
 
     def run(batches):
         held, size = [], 0
@@ -245,43 +295,94 @@ def _meetings(probes: DataFrame, most: int) -> DataFrame:
             yield from settle(pa.Table.from_batches(held))
 
     n = shuffle_width(probes.sparkSession)
-    return probes.repartition(n, "key", "part").sortWithinPartitions("key", "part").mapInArrow(lean(run), "a long, b long")
+    return probes.repartition(n, "key", "part").sortWithinPartitions("key", "part").mapInArrow(lean(run), "a long, b long, tree long").distinct()
 
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 0.97, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id) per row: documents whose shingles are similar, by links of SimHash distance.
+def _probes(classes: DataFrame, written: Written) -> DataFrame:
+    """(class, c, component if it is there, key, part): a row for each probe; a key with very many rows is dealt to pairs of blocks."""
+    carried = [c for c in ("class", "c", "component") if c in classes.columns]
+    probes = classes.select(*carried, F.explode("probes").alias("key")).withColumn("part", F.lit(0))
+    hot = classes.select(F.explode("probes").alias("key")).groupBy("key").count().where(F.col("count") > MOST_UNDER_KEY)
+    hot = written.put(hot.select("key", F.ceil(F.col("count") / MOST_UNDER_KEY).cast("int").alias("blocks")), "hot")
+    if hot.isEmpty():
+        return probes
+    mine = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
+    dealt = probes.drop("part").join(hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select(*carried, "key", (F.greatest("mine", "other") * F.col("blocks") + F.least("mine", "other")).alias("part"))
 
-    Two shingle sets of Jaccard index s have a cosine of 2s/(1+s), and fingerprint bits differ for a share of its angle
-    over 180 degrees. Rows link whose complete fingerprints differ in no more than that share for the given similarity,
-    plus one and a half standard deviations. As this is far more than a 64-bit fingerprint's few bits, fingerprints are wider: as many
-    segments as the recall asks for a pair of just that similarity, each about as long as the logarithm of the number of
-    documents. A segment's probes are its value and those with one of its least certain bits flipped.
 
-    Equal fingerprints are one node, so copies are never paired. Documents without words are alike; fewer words than a
-    shingle are one shingle; a null id counts as the largest; an empty table gives an empty one.
-    """
+def _sets(rows: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """(class, s: its different shingle hashes), from the text of the class's least row."""
+    schema = pa.schema([("class", pa.int64()), ("s", pa.list_(pa.int64()))])
+
+    def run(batches):
+        for batch in slices(batches, 4 << 20):
+            yield record_batch(schema, batch.column("class"), [shingle_set(t, words).view(np.int64) for t in texts_of(batch)])
+
+    asked = classes.select("class", "least.id", "least.copy")
+    # both sides grow with the input: never sent whole to every task
+    found = rows.join(asked.hint("merge"), ["id", "copy"]).select("class", "text").dropDuplicates(["class"])
+    return found.mapInArrow(lean(run), "class long, s array<long>")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of classes whose shingle sets have at least the given Jaccard index."""
+    of = lambda c: sets.select(F.col("class").alias(c), F.col("s").alias(f"s{c}"), F.size("s").alias(f"n{c}"))
+    sized = pairs.join(of("a"), "a").join(of("b"), "b").where(F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(similarity) - 1)
+    common = sized.withColumn("both", F.size(F.array_intersect("sa", "sb")))
+    return common.where(F.col("both") / (F.col("na") + F.col("nb") - F.col("both")) >= similarity).select("a", "b")
+
+
+def _groups(docs: DataFrame, words: int, similarity: float, recall: float, id_col: str, text_col: str) -> DataFrame:
+    """(id, copy, least: (id, copy) of the group's least row) per row; see similar_groups."""
     written = Written(docs.sparkSession)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = _keyed(docs, id_col, text_col)
     flip = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     tables = plan(docs.count(), flip, recall, extra_bits=0)
     lanes = max(LANES, -(-tables.bits * tables.count // 64))
-    most = int(64 * lanes * flip + 1.5 * np.sqrt(64 * lanes * flip * (1 - flip)))
-    wide = written.put(_wide(rows, words, tables, lanes).withColumn("class", F.xxhash64("c")), "wide")
-    classes = written.put(wide.groupBy("class").agg(F.min("id").alias("least"), F.first("c").alias("c"), F.first("probes").alias("probes")), "classes")
-    probes = classes.select("class", "c", F.explode("probes").alias("key")).withColumn("part", F.lit(0))
-    hot = classes.select(F.explode("probes").alias("key")).groupBy("key").count().where(F.col("count") > MOST_UNDER_KEY)
-    hot = written.put(hot.select("key", F.ceil(F.col("count") / MOST_UNDER_KEY).cast("int").alias("blocks")), "hot")
-    if not hot.isEmpty():
-        mine = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
-        dealt = probes.drop("part").join(hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        dealt = dealt.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        probes = dealt.select("class", "c", "key", (F.greatest("mine", "other") * F.col("blocks") + F.least("mine", "other")).alias("part"))
-    edges = _meetings(probes, most)
+    most = int(64 * lanes * flip + SPARE * np.sqrt(64 * lanes * flip * (1 - flip)))
+    wide = written.put(_wide(rows, words, tables, lanes), "wide")
+    classes = written.put(wide.groupBy("class").agg(F.min(F.struct("id", "copy")).alias("least"), F.first("c").alias("c"), F.first("probes").alias("probes")), "classes")
+    met = written.put(_meetings(_probes(classes, written), most), "met")
+    ends = lambda edges: edges.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    sets = written.put(_sets(rows, classes.join(ends(met), "class", "left_semi"), words), "sets")
+    tested = met.select("a", "b").distinct()
+    edges = written.put(_similar(tested, sets, similarity), "similar")
     reached = components(edges, written).withColumnRenamed("node", "class")
+    # a forest whose pairs are all similar is one group; in others, what isn't in one group yet is compared pair by pair
+    failed = met.where("tree >= 0").join(edges, ["a", "b"], "left_anti").select("tree").distinct()
+    open_trees = written.put(failed, "open")
+    if not open_trees.isEmpty():
+        again = ends(met.join(open_trees, "tree", "left_semi"))
+        again = classes.join(again, "class", "left_semi").join(reached, "class", "left").withColumn("component", F.coalesce("component", "class"))
+        more = _meetings(_probes(written.put(again.select("class", "c", "probes", "component"), "again"), written), most).select("a", "b")
+        more = written.put(_similar(more.join(tested, ["a", "b"], "left_anti"), sets, similarity), "similar")
+        reached = components(edges.unionByName(more), written).withColumnRenamed("node", "class")
     named = classes.select("class", "least").join(reached, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(smallest, "component").select("class", "component_id")
-    return wide.select("id", "class").join(named, "class").select(F.col("id").alias("doc_id"), "component_id")
+    smallest = named.groupBy("component").agg(F.min("least").alias("least"))
+    named = named.drop("least").join(smallest, "component").select("class", "least")
+    return wide.select("id", "copy", "class").join(named, "class").select("id", "copy", "least")
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 0.97, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id) per row: documents linked by shingle sets of at least the given Jaccard index.
+
+    Two shingle sets of Jaccard index s have a cosine of 2s/(1+s), and SimHash bits differ for a share of its angle over
+    180 degrees. Fingerprints, of which each different shingle has one vote, only propose pairs: those that meet in a
+    segment and differ in no more than that share for the given similarity plus SPARE standard deviations. What links them
+    is the Jaccard index of the sets themselves. As telling similarities takes far more than a 64-bit fingerprint's few
+    bits, fingerprints are wider: as many segments as the recall asks for a pair of just that similarity, each about as
+    long as the logarithm of the number of documents. A segment's probes are its value and those with one of its least
+    certain bits flipped.
+
+    Equal shingle sets are one node, so copies are never paired. In a crowd under one key the nearest pairs that span it
+    are tested first; only where some of them fail are all pairs tested that aren't in one group by then. Documents
+    without words are alike; fewer words than a shingle are one shingle; a null id counts as the largest; an empty table
+    gives an empty one.
+    """
+    found = _groups(docs, words, similarity, recall, id_col, text_col)
+    return found.select(F.col("id").alias("doc_id"), F.col("least.id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

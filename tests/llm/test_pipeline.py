@@ -48,6 +48,26 @@ def test_groups_of_similar_documents(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in simhash.similar_groups(frame(spark, rows)).collect()} == got
 
 
+def test_links_are_of_shingle_sets(spark, monkeypatch):
+    rng = random.Random(9)
+    line = " ".join(words(rng, 10))
+    bases = [words(rng, 104) for _ in range(30)]
+    edits = [[*b[:90], *words(rng, 14)] for b in bases]  # 86 of 114 shingles in common: 0.75
+    texts = [" ".join(x) for x in [*bases, *edits]] + [" ".join([*words(rng, 100), *[line] * 10]) for _ in range(4)] + [" ".join([*words(rng, 300), *[line] * 40]) for _ in range(4)]
+    rows = [(i, t, None, None, None) for i, t in enumerate(texts)]
+    assert all(r.doc_id == r.component_id for r in simhash.similar_groups(frame(spark, rows)).collect())
+    assert simhash.one_of_each(frame(spark, rows)).count() == len(rows)
+    # a crowd around one text, at 0.86 of it and 0.75 of each other, with and without short runs
+    base = words(rng, 204)
+    crowd = [base] + [[*base[:k], *words(rng, 10), *base[k + 10 :]] for k in range(0, 200, 8)]
+    sets = [shingles(" ".join(x)) for x in crowd]
+    assert all(jaccard(sets[0], s) >= 0.8 for s in sets)
+    for short in (2, 12):
+        monkeypatch.setattr(simhash, "SHORT_RUN", short)
+        got = simhash.similar_groups(frame(spark, [(i, " ".join(x), None, None, None) for i, x in enumerate(crowd)])).collect()
+        assert {r.component_id for r in got} == {0}
+
+
 def test_one_of_each_group(spark):
     rows = [*near_copies(), (900, None, None, None, None), (901, "", None, None, None), (902, "x", None, None, None), (903, "X", None, None, None), (5, "again", None, None, None)]
     kept = simhash.one_of_each(frame(spark, rows).withColumn("class", F.lit(1))).collect()
