@@ -385,14 +385,20 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, rec
     return found.select(F.col("id").alias("doc_id"), F.col("least.id").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, as they are, of which each has the smallest id of its group; of rows with a repeated id one."""
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 0.97, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each group of similar rows the one of the smallest id, as it is; of those that share it, of the least text hash.
+
+    Rows are told apart by id and text, so different texts under one id, or without any, each stay for their own group.
+    Of rows that repeat both, one stays.
+    """
     written = Written(docs.sparkSession)
-    groups = written.put(similar_groups(docs, words, similarity, id_col=id_col, text_col=text_col), "groups")
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    groups = written.put(_groups(docs, words, similarity, recall, id_col, text_col), "groups")
+    kept = groups.where((F.col("id") == F.col("least.id")) & (F.col("copy") == F.col("least.copy"))).groupBy(F.col("id").alias("__id"), F.col("copy").alias("__copy")).count()
+    kept = written.put(kept, "kept")
     # both sides grow with the input: never sent whole to every task
-    rows = docs.withColumn("__id", key).join(kept.hint("merge"), F.col("__id") == F.col("__kept"), "left_semi")
-    if not groups.groupBy("doc_id").count().where("count > 1").isEmpty():
-        rows = rows.dropDuplicates(["__id"])
-    return rows.drop("__id")
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID))
+    copy = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    rows = docs.withColumn("__id", key).withColumn("__copy", copy).join(kept.select("__id", "__copy").hint("merge"), ["__id", "__copy"], "left_semi")
+    if not kept.where("count > 1").isEmpty():
+        rows = rows.dropDuplicates(["__id", "__copy"])
+    return rows.drop("__id", "__copy")

@@ -76,6 +76,14 @@ def test_one_of_each_group(spark):
     assert simhash.one_of_each(frame(spark, [])).count() == 0
 
 
+def test_one_of_each_with_null_and_repeated_ids(spark):
+    rng = random.Random(5)
+    a, b, c, d, e = (" ".join(words(rng, 60)) for _ in range(5))
+    rows = [(None, a), (None, b), (None, b), (None, c), (7, d), (7, e), (7, e), (3, d), (2, c)]
+    kept = simhash.one_of_each(frame(spark, [(i, t, None, None, None) for i, t in rows])).collect()
+    assert sorted(((r.doc_id or 0, r.text) for r in kept)) == sorted([(0, a), (0, b), (7, e), (3, d), (2, c)])
+
+
 def test_stages(spark, tmp_path):
     rng = random.Random(1)
     rows = near_copies() + [(500 + i, " ".join(w.upper() + "!!" for w in words(rng, 50)), "en", "bad", 1) for i in range(80)]
