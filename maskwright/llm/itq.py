@@ -17,6 +17,7 @@ from maskwright.llm.components import components
 MOST_TRAINING = 8_000
 #: A table's bucket of over so many vectors is compared in blocks of so many.
 HOT_BUCKET = 256
+MOST_TABLES = 64
 SEED = 42
 
 
@@ -47,6 +48,31 @@ def plan(n: int, flip: float, recall: float, extra_bits: int = 2) -> Tables:
     return Tables(bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - hit))))
 
 
+def flips_at(sample: np.ndarray, cosine: float) -> np.ndarray:
+    """For each unit vector the share of bits in which it differs from one at just that cosine: their angle around the mean, over pi.
+
+    Vectors that share a direction are near their mean, where the same distance is a larger angle.
+    """
+    if not len(sample):
+        return np.array([math.acos(cosine) / math.pi])
+    square = ((sample - sample.mean(axis=0)) ** 2).sum(axis=1)
+    return np.arccos(np.clip(1 - (1 - cosine) / np.maximum(square, 1e-12), -1, 1)) / np.pi
+
+
+def plan_measured(n: int, flips: np.ndarray, recall: float) -> Tables:
+    """As plan(), with the recall as the mean over vectors of these flips.
+
+    Where that takes over MOST_TABLES tables segments are shorter; one of a single bit brings all pairs together.
+    """
+    bits = plan(n, 0.1, recall).bits
+    while True:
+        miss = 1 - (1 - flips) ** bits - bits * flips * (1 - flips) ** (bits - 1)
+        for count in range(1, MOST_TABLES + 1):
+            if np.mean(miss**count) <= 1 - recall:
+                return Tables(bits, count)
+        bits -= 1
+
+
 def learn(sample: np.ndarray, bits: int, seed: int = SEED, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
     """(mean, projection to bits columns) by iterative quantisation: of centred vectors, rotations that bring each near its own signs.
 
@@ -166,13 +192,14 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.9
     rows = rows.where("fit").withColumn("v", F.transform("v", lambda c: c + 0.0)).select("id", F.xxhash64("v").alias("class"), "v")
     # a class is named by its vector's hash, as a row's id need not be its own
     classes = written.put(rows.groupBy("class").agg(F.first("v").alias("v"), F.min("id").alias("least"), F.count("*").alias("members")).withColumnRenamed("class", "id"), "classes")
-    flip = math.acos(cosine) / math.pi
-    tables = plan(classes.count(), flip, recall)
-    bits = tables.bits * tables.count
-    most_flips = math.ceil(bits * flip + 4 * math.sqrt(bits * flip * (1 - flip)))
     x = np.stack(classes.orderBy(F.xxhash64("id"), "id").limit(most_training).select("v").toPandas()["v"].to_numpy()).astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)
-    mean, projection = learn(x / np.linalg.norm(x, axis=1, keepdims=True), bits)
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    flips = flips_at(x, cosine)
+    tables = plan_measured(classes.count(), flips, recall)
+    bits, flip = tables.bits * tables.count, float(flips.max())
+    most_flips = math.ceil(bits * flip + 4 * math.sqrt(bits * flip * (1 - flip)))
+    mean, projection = learn(x, bits)
     codes = written.put(index(classes, tables, mean, projection), "codes")
     links = written.put(reranked(candidates(codes, tables, most_flips), classes, cosine), "links")
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))

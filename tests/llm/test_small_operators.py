@@ -104,3 +104,17 @@ def test_embeddings_against_brute_force(spark):
     again = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (None, [0.0, 2.0])], "vec_id long, embedding array<double>")
     assert sorted((r.vec_id or 9, r.n_links, r.component_id) for r in itq.near_duplicates(again).collect()) == [(1, 0, 1), (1, 1, 1), (9, 1, 1)]
     assert itq.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_embeddings_that_share_a_direction(spark):
+    rng = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    shared = unit(rng.standard_normal(64))
+    x = unit(np.sqrt(0.7) * shared + np.sqrt(0.3) * unit(rng.standard_normal((600, 64))))
+    y = unit(x + 0.44 * unit(rng.standard_normal((600, 64))))
+    z = np.concatenate([x, y])
+    vectors = [(i, v.tolist()) for i, v in enumerate(z)]
+    links = int((z @ z.T >= 0.9).sum()) - len(z)
+    got = itq.near_duplicates(spark.createDataFrame(vectors, "vec_id long, embedding array<double>")).collect()
+    found = sum(r.n_links for r in got)
+    assert links > 1000 and 0.95 * links <= found <= links
