@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +52,8 @@ class Written:
     def put(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{self.count:03d}-{name}"
         self.count += 1
-        df.write.option("compression", "zstd").parquet(path)
+        with shuffles_dropped(self.spark):
+            df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.written_path = path
         return out
@@ -59,27 +61,36 @@ class Written:
     def drop(self, df: DataFrame | None) -> None:
         """Deletes a table that nothing will read again."""
         if path := getattr(df, "written_path", None):
-            fs, place = _file_system(self.spark, path)
-            fs.delete(place, True)
+            delete(self.spark, path)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete the shuffle files of frames that are out of use: their lineage has been written.
-
-    Events that still wait for a listener hold their plans, and so their shuffles; the cleaner works beside the driver.
-    """
-    import gc
-    import time
-
-    gc.collect()
-    sc = spark.sparkContext
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Queries that start inside delete their shuffle files when they end, not when the driver collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
     try:
-        sc._jsc.sc().listenerBus().waitUntilEmpty(10_000)
-    except Exception:
-        time.sleep(1)  # a busy listener only delays the cleaning
-    spark.range(1).count()  # schedulers hold on to their last job
-    sc._jvm.System.gc()
-    time.sleep(0.5)
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, place = _file_system(spark, path)
+    fs.delete(place, True)
+
+
+def subfolders(spark: SparkSession, path: str) -> list[tuple[str, bool]]:
+    """Names of the folders in a folder, and whether Spark has finished writing each; none if it isn't there."""
+    fs, place = _file_system(spark, path)
+    if not fs.exists(place):
+        return []
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return [(x.getPath().getName(), fs.exists(mark(x.getPath(), "_SUCCESS"))) for x in fs.listStatus(place) if x.isDirectory()]
 
 
 def shuffle_width(spark: SparkSession) -> int:

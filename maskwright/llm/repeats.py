@@ -1,57 +1,57 @@
-"""Exact repeats of fixed windows over a whole corpus, by depth-limited most-significant-digit passes.
-
-Windows of W symbols (bytes or words) are ordered only as far as telling equal from unequal needs, one wide digit after
-another, and what is alone under a digit leaves:
-
-1. *Anchor.* Of the K-symbol grams inside a window the one with the least hash (rightmost of equals) is its anchor. Equal
-   windows have equal anchors at equal places, so the anchor's hash is the first digit. The consecutive windows with one
-   anchor form a block; a block's second digit hashes everything its windows cover. Blocks are some 2/(W-K+2) as many as
-   windows, which is what makes a corpus of bytes fit through a shuffle.
-2. *Block.* Of blocks that are equal in both digits all but the earliest are repeats as a whole. An anchor with a single
-   block is done. Blocks that share the anchor and differ in the second digit are contested.
-3. *Half.* Every window around an anchor holds the symbols of half its length to the anchor's left or to its right. Contested
-   blocks fall into two halves by that, whose digit hashes what all its windows share. A half that is alone is done.
-4. *Window.* Only halves that share their digit are opened: their windows' own hashes, which they carry along, are the last
-   digit, and all but the earliest of equal windows are repeats.
-
-Hashes have 64 bits a digit and windows are compared on two digits, so 128 bits. Every chunk of text sends at most one
-row for a pair of digits, and one mark for an anchor or a half that is contested already inside the chunk, which it then
-opens itself: no key, however common in the corpus, has more rows than there are chunks.
+"""Exact repeats of fixed windows over a whole corpus, compared symbol by symbol in depth-limited radix passes.
+
+A window is so many consecutive symbols (bytes or words) of one text. What is sought are the windows that also start
+earlier in the corpus.
+
+1. *First digit.* Of the grams inside a window the one with the least hash (rightmost of equals) is its anchor. Equal
+   windows have equal anchors at equal places, so the anchor's hash deals them to the same task. The consecutive windows
+   with one anchor are a block, which travels as one row with the symbols that its windows cover.
+2. *Further digits.* Rows that share the first digit are compared on their literal bytes, five at a time, most significant
+   first; what is alone under a digit leaves, and nothing is looked at beyond a window's end (`equal_classes`). Blocks come
+   first: of equal ones all but the earliest are repeats as a whole. Then the windows of those that are left.
+
+Equal means equal bytes: hashes only decide where rows meet. A chunk of text compares its own blocks first, so that it
+sends each content once; an anchor with more rows than a task should hold sends its windows on, each dealt by its own
+hash, so that no group is ever held whole.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import Written, lean, record_batch, release_shuffles, shuffle_width, slices
+from maskwright.llm.common import Written, lean, record_batch, shuffle_width, slices
 
-BLOCK, MARK, WINDOW, SPAN, OPEN, FIRST, HALF, HALF_MARK = range(8)
-#: Rows that have passed the second digit.
-LATE = (WINDOW, SPAN, HALF, HALF_MARK)
-ROWS = "kind byte, g long, b long, gen int, doc long, copy long, lo int, hi int, pack binary"
-SCHEMA = pa.schema([("kind", pa.int8()), ("g", pa.int64()), ("b", pa.int64()), ("gen", pa.int32()), ("doc", pa.int64()), ("copy", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("pack", pa.binary())])
+#: n: windows of a block; 0 marks a span of repeated symbols (lo to at, ends included). at: the anchor's place in the block.
+ROWS = "g long, gen int, doc long, copy long, lo int, n int, at int, text binary"
+SCHEMA = pa.schema([("g", pa.int64()), ("gen", pa.int32()), ("doc", pa.int64()), ("copy", pa.int64()), ("lo", pa.int32()), ("n", pa.int32()), ("at", pa.int32()), ("text", pa.binary())])
+#: Bytes of rows that are settled together, and beyond which the rows of one anchor are thinned out.
+HELD = 12 << 20
+_ROW = 64  # bytes of a row besides its text
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _S29, _S32 = np.uint64(29), np.uint64(32)
-_HIGH = np.uint64(0xFFFFFFFF00000000)
-_LOW = np.uint64(0xFFFFFFFF)
+_HIGH, _LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
 LAST_ID = (1 << 63) - 1
+#: Bytes whose hashes are summed up at once.
+PART = 1 << 18
 
 
 @dataclass(frozen=True)
 class Kind:
-    """What a text's symbols are. symbols: text bytes -> (hash of each symbol); window, gram: in symbols; chunk: bytes of text at once."""
+    """words: symbols are words, else bytes. window, gram, piece (what is cut from a long text at once): in symbols; chunk: bytes of text."""
 
-    symbols: Callable[[bytes], np.ndarray]
+    words: bool
     window: int
     gram: int
-    chunk: int = 1 << 20
-    segment: int = 1 << 19
+    piece: int = 1 << 17
+    chunk: int = 4 << 20
+    held: int = field(default=HELD)
 
 
 def mix(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -64,304 +64,452 @@ def mix(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return z
 
 
-def window_hashes(h: np.ndarray, n: int, keep: int = 0) -> tuple[np.ndarray, np.ndarray | None]:
-    """Hashes of all runs of n symbols, and of those of keep symbols, a power of two below n; by doubling."""
-    size, kept, current = 1, h if keep == 1 else None, h
-    while size * 2 <= n:
-        current = mix(current[: len(current) - size], current[size:])
-        size *= 2
-        if size == keep:
-            kept = current
-    return (mix(current[: len(current) - (n - size)], current[n - size :]) if size < n else current), kept
-
-
-def _least(v: np.ndarray, n: int) -> np.ndarray:
+#: A fixed pseudo-random odd value for each byte.
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407), np.arange(256, dtype=np.uint64)) | np.uint64(1)
+
+
+@lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number, and of its inverse, modulo 2**64."""
+    out = []
+    for base in (int(_A), pow(int(_A), -1, 1 << 64)):
+        p = np.full(PART + 1, base, dtype=np.uint64)
+        p[0] = 1
+        out.append(np.cumprod(p, dtype=np.uint64))
+    return out[0], out[1]
+
+
+def _sums(data: np.ndarray) -> np.ndarray:
+    """Sums of byte value times power, of each beginning of data (at most PART bytes)."""
+    out = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_BYTES[data] * _powers()[0][: len(data)], out=out[1:])
+    return out
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each word's bytes: sum of byte value times power of the place in the word."""
+    power, inverse = _powers()
+    out, i = np.empty(len(starts), dtype=np.uint64), 0
+    while i < len(starts):
+        base = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, base + PART, "right")))
+        if ends[j - 1] - base <= PART:
+            s, e = starts[i:j] - base, ends[i:j] - base
+            sums = _sums(data[base : base + int(e[-1])])
+            out[i:j] = (sums[e] - sums[s]) * inverse[s]
+        else:  # one very long word, part by part
+            total, shift = 0, 1
+            for at in range(base, int(ends[i]), PART):
+                part = data[at : min(at + PART, int(ends[i]))]
+                total += int(_sums(part)[-1]) * shift
+                shift = shift * int(power[PART]) % (1 << 64)
+            out[i] = total % (1 << 64)
+        i = j
+    return mix(out, out)
+
+
+def _doubled(v: np.ndarray, n: int, join) -> np.ndarray:
+    """join over all runs of n."""
     size = 1
     while size * 2 <= n:
-        v = np.minimum(v[: len(v) - size], v[size:])
+        v = join(v[: len(v) - size], v[size:])
         size *= 2
-    return np.minimum(v[: len(v) - (n - size)], v[n - size :]) if size < n else v
-
-
-class Chunk:
-    """Symbols of several documents, or of a piece of a long one, side by side, in ascending order of the documents."""
-
-    def __init__(self, kind: Kind, parts: list[tuple[tuple[int, int, int], int, np.ndarray]]):
-        self.kind = kind
-        self.symbols = np.concatenate([p[2] for p in parts])
-        lengths = np.array([len(p[2]) for p in parts])
-        self.starts = np.cumsum(lengths) - lengths
-        self.lengths = lengths
-        self.offsets = np.array([p[1] for p in parts], dtype=np.int64)
-        self.keys = np.array([p[0] for p in parts], dtype=np.int64).reshape(-1, 3)
-
-    def place(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The part that each position lies in, and the position in its document."""
-        part = np.searchsorted(self.starts, at, "right") - 1
-        return part, at - self.starts[part] + self.offsets[part]
-
-    def blocks(self) -> None:
-        k = self.kind
-        self.hw, hk = window_hashes(self.symbols, k.window, k.gram)
-        n = len(self.hw)
-        order = (hk * _B) & _HIGH
-        order |= _LOW - np.arange(len(hk), dtype=np.uint64)
-        anchor = (_LOW - (_least(order, k.window - k.gram + 1) & _LOW)).astype(np.int64)
-        edge = np.zeros(n + 1, dtype=np.int32)
-        edge[self.starts] += 1
-        edge[self.starts + self.lengths - k.window + 1] -= 1
-        inside = np.cumsum(edge[:n]) > 0
-        change = np.empty(n + 1, dtype=bool)
-        change[0] = change[n] = True
-        change[1:n] = (anchor[1:] != anchor[:-1]) | (inside[1:] != inside[:-1])
-        cuts = np.flatnonzero(change)
-        lo, hi = cuts[:-1], cuts[1:] - 1
-        real = inside[lo]
-        self.lo, self.hi = lo[real], hi[real]
-        self.anchor = a = anchor[self.lo]
-        self.g = hk[a]
-        shape = ((a - self.lo).astype(np.uint64) << _S32) | (self.hi - self.lo).astype(np.uint64)
-        self.b = mix(mix(self.hw[self.lo], self.hw[self.hi]), shape)
-
-    def rows(self, kind, g, b, lo, hi, pack: pa.Array | None = None) -> list:
-        """lo, hi: first and last symbol of the span, as positions here."""
-        part, at = self.place(lo)
-        doc = self.keys[part]
-        return [np.full(len(lo), kind, dtype=np.int8), g.view(np.int64), b.view(np.int64), doc[:, 0].astype(np.int32), doc[:, 1], doc[:, 2], at.astype(np.int32), (at + (hi - lo)).astype(np.int32), pa.nulls(len(lo), pa.binary()) if pack is None else pack]
-
-    def spans(self, lo: np.ndarray, hi: np.ndarray) -> list[np.ndarray]:
-        """The union of spans, document by document."""
-        order = np.argsort(lo, kind="stable")
-        lo, hi = lo[order], hi[order]
-        if len(lo):
-            most = np.maximum.accumulate(hi)
-            part = np.searchsorted(self.starts, lo, "right") - 1
-            new = np.r_[True, (lo[1:] > most[:-1] + 1) | (part[1:] != part[:-1])]
-            at = np.flatnonzero(new)
-            lo, hi = lo[at], np.r_[most[at[1:] - 1], most[-1]]
-        none = np.zeros(len(lo), dtype=np.uint64)
-        rows = self.rows(SPAN, none, none, lo, hi)
-        rows[2] = rows[4]  # their second digit is the document, which spreads them
+    return join(v[: len(v) - (n - size)], v[n - size :]) if size < n else v
+
+
+def _grams(kind: Kind, data: np.ndarray, starts: np.ndarray | None, ends: np.ndarray | None) -> np.ndarray:
+    if kind.words:
+        return _doubled(word_hashes(data, starts, ends), kind.gram, mix)
+    out = np.empty(len(data) - kind.gram + 1, dtype=np.uint64)
+    step = PART - kind.gram + 1
+    for at in range(0, len(out), step):
+        sums = _sums(data[at : at + step + kind.gram - 1])
+        h = sums[kind.gram :] - sums[: -kind.gram]
+        h *= _powers()[1][: len(h)]
+        out[at : at + step] = h
+    out ^= out >> _S32
+    out *= _B
+    return out
+
+
+def blocks(kind: Kind, data: np.ndarray, starts: np.ndarray | None, ends: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, last window, anchor, the anchor's hash) of each block of a text of at least one window."""
+    h = _grams(kind, data, starts, ends)
+    order = h & _HIGH
+    order |= _LOW - np.arange(len(h), dtype=np.uint64)
+    anchor = (_LOW - (_doubled(order, kind.window - kind.gram + 1, np.minimum) & _LOW)).astype(np.int64)
+    new = np.flatnonzero(anchor[1:] != anchor[:-1]) + 1
+    lo = np.r_[0, new]
+    anchor = anchor[lo]
+    return lo, np.r_[new - 1, len(data if starts is None else starts) - kind.window], anchor, h[anchor]
+
+
+def symbols(kind: Kind, text: bytes) -> tuple[bytes, np.ndarray | None, np.ndarray | None, int]:
+    """(bytes, starts, ends, count) of a text's symbols; words are joined by one space."""
+    if not kind.words:
+        return text, None, None, len(text)
+    words = text.split()
+    data = b" ".join(words)
+    gaps = np.flatnonzero(np.frombuffer(data, dtype=np.uint8) == 32)
+    return data, np.r_[0, gaps + 1], np.r_[gaps, len(data)], len(words)
+
+
+# ---- rows side by side ------------------------------------------------------------------------------------------------
+
+
+@dataclass
+class Rows:
+    """Blocks whose anchors' hashes ascend, in document order under each; text: where each one's bytes lie in data."""
+
+    g: np.ndarray
+    gen: np.ndarray
+    doc: np.ndarray
+    copy: np.ndarray
+    lo: np.ndarray
+    n: np.ndarray
+    at: np.ndarray
+    start: np.ndarray
+    length: np.ndarray
+    data: np.ndarray
+
+    @classmethod
+    def of(cls, table: pa.Table | pa.RecordBatch) -> Rows:
+        values = [table.column(c).to_numpy() for c in ("g", "gen", "doc", "copy", "lo", "n", "at")]
+        text = table.column("text")
+        text = text.combine_chunks() if isinstance(text, pa.ChunkedArray) else text
+        offsets = np.frombuffer(text.buffers()[1], dtype=np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)
+        data = np.frombuffer(text.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
+        g, gen, doc, copy, lo = values[:5]
+        order = np.lexsort((lo, copy, doc, gen, g))
+        return cls(*(v[order] for v in values), (offsets[:-1] - offsets[0])[order], np.diff(offsets)[order], data)
+
+    def take(self, rows: np.ndarray) -> Rows:
+        return Rows(*(getattr(self, c)[rows] for c in ("g", "gen", "doc", "copy", "lo", "n", "at", "start", "length")), self.data)
+
+    def batch(self) -> pa.RecordBatch:
+        raw = self.data.tobytes()
+        text = [raw[a:b] for a, b in zip(self.start.tolist(), (self.start + self.length).tolist(), strict=True)]
+        return record_batch(SCHEMA, self.g, self.gen, self.doc, self.copy, self.lo, self.n, self.at, text)
+
+
+def equal_classes(group: np.ndarray, start: np.ndarray, length: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """A number for each element, the same for those of one group with the same bytes; -1 for an element that is alone.
+
+    Depth-limited radix passes: in each the elements are ordered by five more bytes, and those that are alone leave. All
+    elements of a group have the same length.
+    """
+    out, made, depth = np.full(len(group), -1, dtype=np.int64), 0, 0
+    padded = np.r_[data, np.zeros(5, dtype=np.uint8)].astype(np.uint64)
+    digits = np.zeros(len(data) + 1, dtype=np.uint64)
+    for k in range(5):
+        digits <<= np.uint64(8)
+        digits |= padded[k : k + len(digits)]
+    alive, key = np.arange(len(group)), group.astype(np.uint64)
+    while True:
+        order = np.argsort(key)
+        key = key[order]
+        new = np.r_[True, key[1:] != key[:-1]][: len(key)]
+        ids = np.cumsum(new) - 1
+        more = (np.bincount(ids) > 1)[ids] if len(ids) else new
+        alive, ids = alive[order[more]], (np.cumsum(new & more) - 1)[more]
+        left = length[alive] - depth
+        over = left <= 0
+        if over.any():
+            out[alive[over]] = made + ids[over]
+            made += int(ids[-1]) + 1
+            alive, ids, left = alive[~over], ids[~over], left[~over]
+        if not len(alive):
+            return out
+        digit = digits[start[alive] + depth] >> (8 * np.maximum(0, 5 - left)).astype(np.uint64)
+        key = (ids.astype(np.uint64) << np.uint64(40)) | digit
+        depth += 5
+
+
+def later_ones(classes: np.ndarray) -> np.ndarray:
+    """Marks all but the first element of each class."""
+    some = np.flatnonzero(classes >= 0)
+    out = np.zeros(len(classes), dtype=bool)
+    out[some] = True
+    out[some[np.unique(classes[some], return_index=True)[1]]] = False
+    return out
+
+
+def _dense(*keys: np.ndarray) -> np.ndarray:
+    """Numbers from 0 for pairs of numbers below 2**32."""
+    key = keys[0].astype(np.uint64) << _S32 | keys[1].astype(np.uint64)
+    return np.unique(key, return_inverse=True)[1]
+
+
+def _runs(g: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.r_[False, g[1:] != g[:-1]]) if len(g) else np.zeros(0, dtype=np.int64)
+
+
+def span_rows(gen, doc, copy, lo, hi) -> pa.RecordBatch:
+    spread = mix(doc.astype(np.int64).view(np.uint64), lo.astype(np.uint64)).view(np.int64)
+    return record_batch(SCHEMA, spread, gen, doc, copy, lo, np.zeros(len(lo), dtype=np.int32), hi, pa.nulls(len(lo), pa.binary()))
+
+
+def repeated_blocks(rows: Rows) -> np.ndarray:
+    """Marks blocks that equal an earlier one."""
+    return later_ones(equal_classes(_dense(_runs(rows.g), rows.length), rows.start, rows.length, rows.data))
+
+
+def windows_of(rows: Rows, kind: Kind) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place in the block, start of bytes, their number) of all windows."""
+    n = rows.n.astype(np.int64)
+    row = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    if not kind.words:
+        return row, place, rows.start[row] + place, np.full(len(row), kind.window, dtype=np.int64)
+    gaps = np.flatnonzero(rows.data == 32)
+    starts = np.sort(np.r_[np.unique(rows.start), gaps + 1])
+    ends = np.sort(np.r_[np.unique(rows.start + rows.length), gaps])
+    # bytes of rows that have been left out lie between: their ends and starts are looked up, not counted
+    first = np.searchsorted(starts, rows.start)[row] + place
+    start = starts[first]
+    last = np.searchsorted(ends, rows.start, "right")[row] + place + kind.window - 1
+    return row, place, start, ends[last] - start
+
+
+def repeated_windows(rows: Rows, kind: Kind) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+    """The windows of rows, and which of them equal an earlier one."""
+    found = row, place, start, length = windows_of(rows, kind)
+    second = length if kind.words else rows.at[row] - place
+    classes = equal_classes(_dense(_runs(rows.g)[row], second), start, length, rows.data)
+    return found, later_ones(classes)
+
+
+def _joined(row: np.ndarray, place: np.ndarray, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first, last) of the runs of marked windows."""
+    at = np.flatnonzero(marked)
+    new = np.r_[True, (row[at][1:] != row[at][:-1]) | (place[at][1:] != place[at][:-1] + 1)][: len(at)]
+    last = np.r_[np.flatnonzero(new)[1:] - 1, len(at) - 1][: int(new.sum())]
+    return row[at[new]], place[at[new]], place[at[last]]
+
+
+def _spans(rows: Rows, which: np.ndarray, first: np.ndarray, last: np.ndarray, kind: Kind, gen: int):
+    now = rows.gen[which] == gen
+    which, first, last = which[now], first[now], last[now]
+    if len(which):
+        yield span_rows(rows.gen[which], rows.doc[which], rows.copy[which], rows.lo[which] + first.astype(np.int32), rows.lo[which] + (last + kind.window - 1).astype(np.int32))
+
+
+def settled(rows: Rows, kind: Kind, gen: int):
+    """Spans of generation gen, from all rows of some anchors."""
+    again = repeated_blocks(rows)
+    which = np.flatnonzero(again)
+    yield from _spans(rows, which, np.zeros(len(which), dtype=np.int32), rows.n[which] - 1, kind, gen)
+    run = _runs(rows.g)
+    contested = ~again & (np.bincount(run[~again], minlength=int(run[-1]) + 1) > 1)[run]
+    if contested.any():
+        rows = rows.take(np.flatnonzero(contested))
+        (row, place, _, _), later = repeated_windows(rows, kind)
+        yield from _spans(rows, *_joined(row, place, later), kind, gen)
+
+
+def thinned(rows: Rows, kind: Kind, gen: int) -> tuple[list[pa.RecordBatch], Rows]:
+    """Spans of the repeated blocks of one anchor, and the blocks that are left."""
+    again = repeated_blocks(rows)
+    which = np.flatnonzero(again)
+    return list(_spans(rows, which, np.zeros(len(which), dtype=np.int32), rows.n[which] - 1, kind, gen)), rows.take(np.flatnonzero(~again))
+
+
+def opened(rows: Rows, kind: Kind, gen: int):
+    """The windows of some blocks of one anchor as rows of their own, dealt by their own hashes; spans of those that repeat here."""
+    (row, place, start, length), later = repeated_windows(rows, kind)
+    yield from _spans(rows, *_joined(row, place, later), kind, gen)
+    at = np.flatnonzero(~later)
+    raw = rows.data.tobytes()
+    text = [raw[a:b] for a, b in zip(start[at].tolist(), (start + length)[at].tolist(), strict=True)]
+    g = np.fromiter(map(xxhash.xxh64_intdigest, text), dtype=np.uint64, count=len(text)).view(np.int64)
+    row, one = row[at], np.ones(len(at), dtype=np.int32)
+    yield record_batch(SCHEMA, g, rows.gen[row], rows.doc[row], rows.copy[row], rows.lo[row] + place[at].astype(np.int32), one, one - 1, text)
+
+
+def settle(batches, kind: Kind, gen: int):
+    """Spans, and windows to be dealt once more, from rows whose anchors' hashes ascend; spans among them pass."""
+    held, size, open_g, last = [], 0, None, None
+
+    def done(table):
+        nonlocal open_g
+        g = table.column("g").to_numpy()
+        if open_g is not None:
+            cut = int(np.searchsorted(g, open_g, "right"))
+            if cut:
+                yield from opened(thin(table.slice(0, cut)), kind, gen)
+                table, g = table.slice(cut), g[cut:]
+            if len(g):
+                open_g = None
+        run = _runs(g)
+        fresh = np.bincount(run, weights=table.column("gen").to_numpy() == gen) > 0 if len(g) else run
+        shared = ((np.bincount(run) > 1) & fresh)[run] if len(g) else run.astype(bool)
+        if shared.any():
+            yield from settled(Rows.of(table.filter(pa.array(shared))), kind, gen)
+
+    spare: list[pa.RecordBatch] = []
+
+    def thin(table):
+        spans, rows = thinned(Rows.of(table), kind, gen)
+        spare.extend(spans)
         return rows
 
-    def first_of(self, g: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Indices, ascending, of the first of equal pairs and of the others; the input is in document order."""
-        key = mix(g, b)
-        order = np.argsort(key, kind="stable")
-        same = np.r_[False, (g[order][1:] == g[order][:-1]) & (b[order][1:] == b[order][:-1])] if len(g) else np.zeros(0, bool)
-        return np.sort(order[~same]), np.sort(order[same])
-
-    def windows(self, lo: np.ndarray, hi: np.ndarray, g: np.ndarray) -> tuple[list[np.ndarray], tuple[np.ndarray, np.ndarray]]:
-        """WINDOW rows of the blocks' windows, the first of equals; and the spans of the others."""
-        counts = hi - lo + 1
-        at = np.repeat(lo - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-        gs = np.repeat(g, counts)
-        order = np.argsort(at, kind="stable")
-        at, gs = at[order], gs[order]
-        first, rest = self.first_of(gs, self.hw[at])
-        w = self.kind.window - 1
-        return self.rows(WINDOW, gs[first], self.hw[at[first]], at[first], at[first] + w), (at[rest], at[rest] + w)
-
-    def halves(self, lo: np.ndarray, hi: np.ndarray, anchor: np.ndarray, g: np.ndarray) -> tuple[list[list], tuple[np.ndarray, np.ndarray]]:
-        """Rows of contested blocks by halves, and the spans of windows that are repeats already here."""
-        k = self.kind
-        d = (k.window - k.gram) // 2
-        shared, _ = window_hashes(self.symbols, k.gram + d)
-        cut = anchor - d
-        sides = (lo, np.minimum(hi, cut), shared[np.maximum(cut, 0)]), (np.maximum(lo, cut + 1), hi, ~shared[np.minimum(anchor, len(shared) - 1)])
-        lo, hi, b = (np.concatenate(x) for x in zip(*sides, strict=True))
-        g = np.concatenate([g, g])
-        real = lo <= hi
-        lo, hi, b, g = lo[real], hi[real], b[real], g[real]
-        order = np.argsort(lo, kind="stable")
-        lo, hi, b, g = lo[order], hi[order], b[order], g[order]
-        first, rest = self.first_of(g, b)
-        pair = mix(g, b)
-        many = np.isin(pair, pair[rest])
-        marks = first[many[first]]
-        window_rows, spans = self.windows(lo[many], hi[many], g[many])
-        one = ~many
-        counts = hi[one] - lo[one] + 1
-        at = np.repeat(lo[one] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-        offsets = np.r_[0, np.cumsum(counts) * 8].astype(np.int32)
-        pack = pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(self.hw[at])])
-        return [self.rows(HALF, g[one], b[one], lo[one], hi[one], pack), self.rows(HALF_MARK, g[marks], b[marks], lo[marks], hi[marks]), window_rows], spans
-
-    def digest(self) -> list[list]:
-        """What the chunk sends: see the module's docstring."""
-        self.blocks()
-        if not len(self.lo):
-            return []
-        first, rest = self.first_of(self.g, self.b)
-        lo, hi, g, b = self.lo[first], self.hi[first], self.g[first], self.b[first]
-        order = np.argsort(g, kind="stable")
-        new = np.r_[True, g[order][1:] != g[order][:-1]]
-        run = np.cumsum(new) - 1
-        many = np.empty(len(g), dtype=bool)
-        many[order] = (np.bincount(run) > 1)[run]
-        marks = np.unique(g[many])
-        none = np.zeros(len(marks), dtype=np.int64)
-        opened_rows, (more_lo, more_hi) = self.halves(lo[many], hi[many], self.anchor[first][many], g[many])
-        w = self.kind.window - 1
-        spans = self.spans(np.r_[self.lo[rest], more_lo], np.r_[self.hi[rest] + w, more_hi])
-        one = ~many
-        mark_rows = self.rows(MARK, marks, np.full(len(marks), 1 << 63, dtype=np.uint64), none, none)
-        return [self.rows(BLOCK, g[one], b[one], lo[one], hi[one]), mark_rows, *opened_rows, spans]
-
-
-def _chunks(kind: Kind, batches, extra: str | None = None):
-    """(chunk, {part: value of the extra column}) over all texts; texts without a whole window are left out."""
-    w = kind.window
-    for batch in slices(batches, kind.chunk):
-        keys = list(zip(*[batch.column(c).to_pylist() for c in ("gen", "doc", "copy")], strict=True))
-        texts, more = batch.column("text"), batch.column(extra) if extra else None
-        parts, held, total = [], [], 0
-        for i in sorted(range(len(keys)), key=keys.__getitem__):
-            symbols = kind.symbols(texts[i].as_buffer().to_pybytes() if texts[i].is_valid else b"")
-            for at in range(0, max(len(symbols) - w + 1, 0), kind.segment):
-                piece = symbols[at : at + kind.segment + w - 1]
-                if total and total + len(piece) > 2 * kind.segment:
-                    yield Chunk(kind, parts), held
-                    parts, held, total = [], [], 0
-                parts.append((keys[i], at, piece))
-                held.append(more[i] if extra else None)
-                total += len(piece)
-        if parts:
-            yield Chunk(kind, parts), held
-
-
-def scan(docs: DataFrame, kind: Kind) -> DataFrame:
-    """First digits of all texts of docs (gen, doc, copy, text)."""
+    for batch in batches:
+        n = batch.column("n").to_numpy()
+        if (n == 0).any():
+            yield batch.filter(pa.array(n == 0))
+            batch = batch.filter(pa.array(n > 0))
+        if not batch.num_rows:
+            continue
+        g = batch.column("g").to_numpy()
+        if (last is not None and g[0] < last) or (g[1:] < g[:-1]).any():
+            raise ValueError("rows are not in the order of their anchors")
+        last = g[-1]
+        held.append(batch)
+        size += batch.nbytes + _ROW * batch.num_rows
+        if size < kind.held:
+            continue
+        table = pa.Table.from_batches(held)
+        cut = int(np.searchsorted(table.column("g").to_numpy(), last, "left"))
+        if cut:
+            yield from done(table.slice(0, cut))
+            table = table.slice(cut)
+        if table.nbytes + _ROW * len(table) >= kind.held:  # a single anchor's
+            rows = thin(table)
+            if (rows.n > 1).any() and (open_g is not None or 2 * (int(rows.length.sum()) + _ROW * len(rows.g)) > kind.held):
+                open_g = last
+                yield from opened(rows, kind, gen)
+                table = table.slice(0, 0)
+            else:
+                table = pa.Table.from_batches([rows.batch()])
+        held = table.to_batches()
+        size = sum(b.nbytes + _ROW * b.num_rows for b in held)
+        yield from spare
+        spare.clear()
+    if held:
+        yield from done(pa.Table.from_batches(held))
+    yield from spare
+
+
+def distinct_blocks(batches, held_bytes: int = HELD):
+    """The earliest of equal blocks, from rows whose anchors' hashes ascend, in that order; spans are left out."""
+    held, size = [], 0
+
+    def kept(table):
+        g = table.column("g").to_numpy()
+        run = _runs(g)
+        shared = (np.bincount(run) > 1)[run]
+        if not shared.any():
+            return table.to_batches()
+        rows = Rows.of(table)
+        return [rows.take(np.flatnonzero(~repeated_blocks(rows))).batch()]
+
+    for batch in batches:
+        batch = batch.filter(pa.array(batch.column("n").to_numpy() > 0))
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.nbytes
+        if size >= held_bytes:
+            table = pa.Table.from_batches(held)
+            g = table.column("g").to_numpy()
+            # a single anchor's blocks go out in parts: equal ones in different parts both stay, which costs room only
+            cut = int(np.searchsorted(g, g[-1], "left")) or len(g)
+            yield from kept(table.slice(0, cut))
+            held = table.slice(cut).to_batches()
+            size = sum(b.nbytes for b in held)
+    if held:
+        yield from kept(pa.Table.from_batches(held))
+
+
+# ---- over tables ------------------------------------------------------------------------------------------------------
+
+
+def scan(docs: DataFrame, kind: Kind, gen: int = 0, part: int = 0, parts: int = 1) -> DataFrame:
+    """Blocks of all texts of docs (doc, copy, text) whose anchors' hashes leave the given rest, and spans of blocks that repeat inside a chunk."""
+
+    def sent(chunk: list[tuple]):
+        if not chunk:
+            return
+        g, doc, copy, lo, n, at = (np.concatenate(x) for x in list(zip(*chunk, strict=True))[:6])
+        text = [t for x in chunk for t in x[6]]
+        batch = record_batch(SCHEMA, g, np.full(len(g), gen, dtype=np.int32), doc, copy, lo.astype(np.int32), n.astype(np.int32), at.astype(np.int32), text)
+        _, run, sizes = np.unique(g, return_inverse=True, return_counts=True)
+        shared = sizes[run] > 1
+        if shared.any():
+            rows = Rows.of(batch.filter(pa.array(shared)))
+            again = repeated_blocks(rows)
+            which = np.flatnonzero(again)
+            yield from _spans(rows, which, np.zeros(len(which), dtype=np.int32), rows.n[which] - 1, kind, gen)
+            yield rows.take(np.flatnonzero(~again)).batch()
+            batch = batch.filter(pa.array(~shared))
+        yield batch
 
     def run(batches):
-        for chunk, _ in _chunks(kind, batches):
-            for rows in chunk.digest():
-                if len(rows[0]):
-                    yield record_batch(SCHEMA, *rows)
-
-    return docs.mapInArrow(lean(run), ROWS)
-
-
-def second_digit(rows: DataFrame, window: int, gen: int, keep: bool = True) -> DataFrame:
-    """Merges sorted rows of all generations: SPAN rows for repeated blocks of generation gen, OPEN rows for contested blocks, FIRST rows for
-    blocks and MARK rows for anchors that gen brings, if they are to be kept; rows of later digits pass."""
-    names = SCHEMA.names
-
-    def settle(table: pa.Table):
-        kind, g, b, age = (table.column(c).to_numpy() for c in ("kind", "g", "b", "gen"))
-        new_g = np.r_[True, g[1:] != g[:-1]]
-        run = np.cumsum(new_g) - 1
-        new_b = new_g | np.r_[True, b[1:] != b[:-1]]
-        block = kind != MARK
-        digits = np.bincount(run, weights=new_b & block)
-        contested = ((digits > 1) | (np.bincount(run, weights=~block) > 0))[run]
-        first = new_b & block
-        for what, rows in ((MARK, new_b & ~block & (age == gen) & keep), (SPAN, block & ~new_b & (age == gen)), (OPEN, first & contested & ((age == gen) | (kind == BLOCK))), (FIRST, first & (age == gen) & keep)):
-            if rows.any():
-                found = table.filter(pa.array(rows)).combine_chunks()
-                got = {c: found.column(c) for c in names} | {"kind": pa.array(np.full(len(found), what, dtype=np.int8))}
-                if what == SPAN:  # a block says its last window's start
-                    got["hi"] = pa.array(found.column("hi").to_numpy() + np.int32(window - 1))
-                if what == FIRST:  # the sign of hi says if it has been opened
-                    got["hi"] = pa.array(np.where(contested[rows], ~found.column("hi").to_numpy(), found.column("hi").to_numpy()).astype(np.int32))
-                yield from pa.table(got, schema=SCHEMA).to_batches()
+        w = kind.window
+        for batch in slices(batches, kind.chunk):
+            chunk, size = [], 0
+            for doc, copy, text in zip(batch.column("doc").to_pylist(), batch.column("copy").to_pylist(), batch.column("text"), strict=True):
+                raw, starts, ends, count = symbols(kind, text.as_buffer().to_pybytes() if text.is_valid else b"")
+                whole = np.frombuffer(raw, dtype=np.uint8)
+                for at in range(0, count - w + 1, kind.piece):
+                    to = min(count, at + kind.piece + w - 1)
+                    if kind.words:
+                        base = int(starts[at])
+                        s, e = starts[at:to] - base, ends[at:to] - base
+                        lo, hi, anchor, h = blocks(kind, whole[base : int(ends[to - 1])], s, e)
+                    else:
+                        base = at
+                        lo, hi, anchor, h = blocks(kind, whole[at:to], None, None)
+                    if parts > 1:
+                        mine = h % np.uint64(parts) == part
+                        lo, hi, anchor, h = lo[mine], hi[mine], anchor[mine], h[mine]
+                    first, last = (s[lo] + base, e[hi + w - 1] + base) if kind.words else (lo + base, hi + w + base)
+                    same = np.ones(len(lo), dtype=np.int64)
+                    chunk.append((h.view(np.int64), same * doc, same * copy, lo + at, hi - lo + 1, anchor - lo, [raw[a:b] for a, b in zip(first.tolist(), last.tolist(), strict=True)]))
+                    size += int(last[-1] - first[0]) if len(lo) else 0
+                    if size >= kind.chunk:
+                        yield from sent(chunk)
+                        chunk, size = [], 0
+            yield from sent(chunk)
+
+    return docs.select("doc", "copy", "text").mapInArrow(lean(run), ROWS)
+
+
+def dealt(rows: DataFrame, kind: Kind, gen: int, written: Written) -> DataFrame:
+    """Spans (doc, copy, lo, hi) of generation gen; windows of very common anchors are dealt again until none is left."""
 
     def run(batches):
-        held = None
-        for batch in batches:
-            kind = batch.column("kind").to_numpy()
-            late = np.isin(kind, LATE)
-            if late.any():
-                yield batch.filter(pa.array(late))
-                batch = batch.filter(pa.array(~late))
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            held = pa.concat_tables([held, table]) if held is not None else table
-            g = held.column("g").to_numpy()
-            cut = int(np.searchsorted(g, g[-1], "left"))
-            if cut:
-                yield from settle(held.slice(0, cut))
-                held = held.slice(cut)
-        if held is not None and len(held):
-            yield from settle(held)
+        yield from settle(batches, kind, gen)
 
-    n = shuffle_width(rows.sparkSession)
-    late = F.col("kind").isin(*LATE)
-    # halves, windows and spans only travel along, dealt by both digits
-    dealt = rows.repartition(n, "g", F.when(late, F.col("b")))
-    return dealt.sortWithinPartitions(late, "g", "b", "gen", "doc", "copy", "lo").mapInArrow(lean(run), ROWS)
+    spans, more = [], rows
+    while True:
+        there = written.put(more, "spans")
+        spans.append(there.where("n = 0").select("doc", "copy", "lo", F.col("at").alias("hi")))
+        more = there.where("n > 0")
+        if more.isEmpty():
+            break
+        more = more.repartition(shuffle_width(rows.sparkSession), "g").sortWithinPartitions("g").mapInArrow(lean(run), ROWS)
+    return union(spans)
 
 
-def opened(blocks: DataFrame, docs: DataFrame, kind: Kind) -> DataFrame:
-    """Rows of contested blocks by halves, and SPAN rows, from their documents, which are read again."""
+def union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for more in tables[1:]:
+        out = out.unionByName(more)
+    return out
 
-    def run(batches):
-        for chunk, held in _chunks(kind, batches, "blocks"):
-            chunk.blocks()
-            wanted = []
-            for start, length, offset, found in zip(chunk.starts, chunk.lengths, chunk.offsets, held, strict=True):
-                lo = found.values.field("lo").to_numpy()
-                mine = lo[(lo >= offset) & (lo <= offset + length - kind.window) & (lo // kind.segment == offset // kind.segment)]
-                wanted.append(mine.astype(np.int64) - offset + start)
-            some = np.isin(chunk.lo, np.concatenate(wanted))
-            rows, (lo, hi) = chunk.halves(chunk.lo[some], chunk.hi[some], chunk.anchor[some], chunk.g[some])
-            for part in (*rows, chunk.spans(lo, hi)):
-                if len(part[0]):
-                    yield record_batch(SCHEMA, *part)
-
-    wanted = blocks.groupBy("gen", "doc", "copy").agg(F.collect_list(F.struct("lo")).alias("blocks"))
-    return docs.join(wanted, ["gen", "doc", "copy"]).mapInArrow(lean(run), ROWS)
-
-
-def third_digit(rows: DataFrame, window: int) -> DataFrame:
-    """WINDOW rows of the halves, in rows of all generations, that share their digit with another; WINDOW and SPAN rows pass."""
-
-    def settle(table: pa.Table):
-        kind, g, b = (table.column(c).to_numpy() for c in ("kind", "g", "b"))
-        run = np.cumsum(np.r_[False, (g[1:] != g[:-1]) | (b[1:] != b[:-1])])
-        shared = (np.bincount(run) > 1)[run] & (kind == HALF)
-        if not shared.any():
-            return
-        for found in table.filter(pa.array(shared)).combine_chunks().to_batches():
-            pack = found.column("pack")
-            offsets = np.frombuffer(pack.buffers()[1], dtype=np.int32)[pack.offset : pack.offset + len(pack) + 1]
-            hashes = np.frombuffer(pack.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]].view(np.int64)
-            counts = np.diff(offsets) // 8
-            each = np.repeat(np.arange(len(counts)), counts)
-            lo = (found.column("lo").to_numpy().astype(np.int64) - (np.cumsum(counts) - counts))[each] + np.arange(len(each))
-            g, gen, doc, copy = (found.column(c).to_numpy()[each] for c in ("g", "gen", "doc", "copy"))
-            yield record_batch(SCHEMA, np.full(len(each), WINDOW, dtype=np.int8), g, hashes, gen, doc, copy, lo.astype(np.int32), (lo + window - 1).astype(np.int32), pa.nulls(len(each), pa.binary()))
-
-    def run(batches):
-        held = None
-        for batch in batches:
-            done = np.isin(batch.column("kind").to_numpy(), (WINDOW, SPAN))
-            if done.any():
-                yield batch.filter(pa.array(done))
-                batch = batch.filter(pa.array(~done))
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            held = pa.concat_tables([held, table]) if held is not None else table
-            g = held.column("g").to_numpy()
-            cut = int(np.searchsorted(g, g[-1], "left"))
-            if cut:
-                yield from settle(held.slice(0, cut))
-                held = held.slice(cut)
-        if held is not None and len(held):
-            yield from settle(held)
 
-    dealt = rows.repartition(shuffle_width(rows.sparkSession), "g", "b")
-    return dealt.sortWithinPartitions("g", "b").mapInArrow(lean(run), ROWS)
+def repeated_spans(docs: DataFrame, kind: Kind, written: Written, passes: int = 1) -> DataFrame:
+    """docs (doc, copy, text) -> the spans (doc, copy, lo, hi) of symbols, ends included, that windows repeat from earlier ones.
 
+    passes: the first digit's values are taken in so many parts, one after another, which bounds what lies on disk.
+    """
 
-def last_digit(windows: DataFrame, gen: int) -> DataFrame:
-    """Of windows of all generations those of gen that aren't the earliest of their equals."""
-    from pyspark.sql import Window as W
+    def run(batches):
+        yield from settle(batches, kind, 0)
 
-    rank = F.row_number().over(W.partitionBy("g", "b").orderBy("gen", "doc", "copy", "lo"))
-    return windows.withColumn("rank", rank).where((F.col("gen") == gen) & (F.col("rank") > 1))
+    width = shuffle_width(docs.sparkSession)
+    return union([dealt(scan(docs, kind, 0, p, passes).repartition(width, "g").sortWithinPartitions("g").mapInArrow(lean(run), ROWS), kind, 0, written) for p in range(passes)])
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
@@ -380,73 +528,6 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry
     return rows, rows.select("doc", "copy", "text").dropDuplicates(["doc", "copy"])
 
 
-class Index:
-    """Sorted runs of what earlier generations of documents hold, each written once.
-
-    add() merges a new generation with the runs and returns its repeated spans; a generation's first blocks and what it
-    opens become runs. When there are more than fanout runs of a kind they are compacted into one.
-    """
-
-    def __init__(self, written: Written, kind: Kind, fanout: int = 4, keep: bool = True):
-        self.written, self.kind, self.fanout, self.keep = written, kind, fanout, keep
-        self.blocks: list[DataFrame] = []
-        self.windows: list[DataFrame] = []
-        self.docs: list[DataFrame] = []
-
-    def _compact(self, runs: list[DataFrame], name: str) -> list[DataFrame]:
-        if len(runs) <= self.fanout:
-            return runs
-        whole = runs[0]
-        for run in runs[1:]:
-            whole = whole.unionByName(run)
-        whole = self.written.put(whole.repartition(shuffle_width(self.written.spark), "g", "b").sortWithinPartitions("g", "b"), name)
-        for run in runs:
-            self.written.drop(run)
-        return [whole]
-
-    def add(self, docs: DataFrame, last: bool = False) -> DataFrame:
-        """docs (doc, copy, text) of the next generation, later than all before -> its repeated spans (doc, copy, lo, hi), ends included.
-
-        last: no further generation will come: this one needs no runs, and those of earlier ones are deleted.
-        """
-        spark, gen, keep = self.written.spark, len(self.docs), self.keep and not last
-        self.docs.append(docs.withColumn("gen", F.lit(gen)))
-        rows = scan(self.docs[-1], self.kind)
-        for run in self.blocks:
-            # an opened block's windows are in a run already: it counts as FIRST, which is only opened once
-            rows = rows.unionByName(run.withColumn("kind", F.when(F.col("kind") == MARK, MARK).when(F.col("hi") < 0, FIRST).otherwise(BLOCK).cast("byte")).withColumn("hi", F.when(F.col("hi") < 0, F.bitwise_not("hi")).otherwise(F.col("hi"))))
-        merged = self.written.put(second_digit(rows, self.kind.window, gen, keep), "merged")
-        release_shuffles(spark)
-        texts = self.docs[0]
-        for more in self.docs[1:]:
-            texts = texts.unionByName(more)
-        parts = merged.where(F.col("kind").isin(HALF, HALF_MARK)).unionByName(opened(merged.where(F.col("kind") == OPEN), texts, self.kind))
-        if keep:
-            parts = self.written.put(parts.unionByName(merged.where(F.col("kind") == WINDOW)).sortWithinPartitions("g", "b"), "window-run")
-        everything = parts
-        for run in self.windows:
-            everything = everything.unionByName(run)
-        # without runs to keep, halves go from the documents to their shuffle without being written
-        third = self.written.put(third_digit(everything, self.kind.window), "windows")
-        release_shuffles(spark)
-        windows = third.where(F.col("kind") == WINDOW)
-        if not keep:
-            windows = windows.unionByName(merged.where(F.col("kind") == WINDOW))
-        again = last_digit(windows.select("g", "b", "gen", "doc", "copy", "lo"), gen).withColumn("hi", F.col("lo") + (self.kind.window - 1))
-        spans = merged.where(F.col("kind") == SPAN).unionByName(third.where((F.col("kind") == SPAN) & (F.col("gen") == gen)))
-        spans = self.written.put(spans.select("doc", "copy", "lo", "hi").unionByName(again.select("doc", "copy", "lo", "hi")), "spans")
-        self.written.drop(third)
-        if keep:
-            new_blocks = merged.where(F.col("kind").isin(FIRST, MARK))
-            new_blocks.written_path = merged.written_path
-            self.windows, self.blocks = self._compact([*self.windows, parts], "window-run"), self._compact([*self.blocks, new_blocks], "block-run")
-        else:
-            for table in (merged, *self.blocks, *self.windows):
-                self.written.drop(table)
-        release_shuffles(spark)
-        return spans
-
-
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """docs (doc, copy, ...) with spans: an array of (lo, hi), ends included, or null; spans overlap in any order."""
     return docs.join(spans.groupBy("doc", "copy").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), ["doc", "copy"], "left")

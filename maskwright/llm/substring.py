@@ -3,25 +3,120 @@
 from __future__ import annotations
 
 import hashlib
+import re
+import uuid
+from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.llm import repeats
-from maskwright.llm.common import Written, lean, record_batch, slices
+from maskwright.llm.common import Written, delete, lean, record_batch, shuffle_width, shuffles_dropped, slices, subfolders
 
 
-def word_symbols(text: bytes) -> np.ndarray:
-    """XXH64 of each word; words lie between the characters 20 and 09 to 0D (hexadecimal)."""
-    words = text.split()
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+def word_windows(window: int = 20) -> repeats.Kind:
+    return repeats.Kind(words=True, window=window, gram=min(window, max(1, window // 5)), piece=1 << 16)
 
 
-def word_windows(window: int = 20) -> repeats.Kind:
-    return repeats.Kind(word_symbols, window=window, gram=max(2 ** k for k in range(6) if 2 ** k <= max(1, window // 3)), segment=1 << 17)
+#: Hash ranges that a bucket of an index is made of: more ranges than buckets even the buckets out.
+SLOTS = 16
+RUN = re.compile(r"run-w(\d+)-b(\d+)-(\d+)-(\d+)")
+
+
+class Index:
+    """A log-structured index of the windows of all documents so far, in a folder of the shared storage.
+
+    A run holds a generation's blocks (windows that share their least gram, whose hash is their fingerprint), in buckets
+    of slots of hashes, sorted within. Runs are written once and never changed. add() writes a new generation's run and
+    merges it with all runs before: as all have the same buckets, each is read where it lies, and nothing but the new
+    run's own rows has ever been shuffled. Fingerprints that meet are verified word by word. Where there are more than
+    fanout runs they are compacted into one, which keeps the earliest of equal blocks.
+
+    A later session goes on with Index(spark, path): the folder has all that is needed.
+    """
+
+    def __init__(self, spark: SparkSession, path: str | None = None, window: int = 20, fanout: int = 2):
+        self.spark, self.kind, self.fanout = spark, word_windows(window), fanout
+        self.written = Written(spark)
+        self.path = path.rstrip("/") if path else f"{self.written.root}/index"
+        self.runs: list[tuple[int, int, str]] = []  # first and last generation, table
+        found = [(name, whole, *map(int, m.groups())) for name, whole in subfolders(spark, self.path) if (m := RUN.fullmatch(name))]
+        if any(x[2:4] != (window, found[0][3]) for x in found):
+            raise ValueError(f"{self.path} holds runs of another window, or of different numbers of buckets")
+        self.buckets = found[0][3] if found else shuffle_width(spark)
+        end = -1
+        for name, whole, _, _, first, last in sorted(found, key=lambda x: (x[4], -x[5], not x[1])):
+            if last <= end or not whole:  # a compacted run covers it, or its writer was lost
+                delete(spark, f"{self.path}/{name}")
+            else:
+                self.runs.append((first, last, self._opened(name)))
+                end = last
+
+    @property
+    def generations(self) -> int:
+        return self.runs[-1][1] + 1 if self.runs else 0
+
+    def _name(self, first: int, last: int) -> str:
+        return f"run-w{self.kind.window}-b{self.buckets}-{first:06d}-{last:06d}"
+
+    def _opened(self, folder: str) -> str:
+        table = f"maskwright_{uuid.uuid4().hex}"
+        self.spark.sql(f"CREATE TABLE {table} ({repeats.ROWS}, slot int) USING parquet CLUSTERED BY (slot) SORTED BY (slot, g) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{folder}'")
+        return table
+
+    def _put(self, rows: DataFrame, first: int, last: int) -> tuple[int, int, str]:
+        table, name = f"maskwright_{uuid.uuid4().hex}", self._name(first, last)
+        with shuffles_dropped(self.spark):
+            rows.write.bucketBy(self.buckets, "slot").sortBy("slot", "g").option("path", f"{self.path}/{name}").option("compression", "zstd").mode("overwrite").format("parquet").saveAsTable(table)
+        return first, last, table
+
+    def _drop(self, run: tuple[int, int, str]) -> None:
+        self.spark.sql(f"DROP TABLE {run[2]}")
+        delete(self.spark, f"{self.path}/{self._name(run[0], run[1])}")
+
+    def _merged(self, runs: list[tuple[int, int, str]], work) -> DataFrame:
+        """work(batches) over all rows of runs, slot by slot, by ascending hashes."""
+        # a union of plain scans would be columnar, and Spark then puts buckets one after another that it takes for aligned
+        rows = repeats.union([self.spark.table(r[2]).where("n >= 0") for r in runs])
+        if rows.rdd.getNumPartitions() != self.buckets:
+            rows = rows.repartition(self.buckets, "slot")
+        rows = rows.sortWithinPartitions("slot", "g")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from work(batches)
+
+        return rows.groupBy("slot").applyInArrow(run, repeats.ROWS)
+
+    def add(self, docs: DataFrame) -> DataFrame:
+        """docs (doc, copy, text), later than all that have been added -> spans (doc, copy, lo, hi) of words that windows repeat, ends included."""
+        gen, kind = self.generations, self.kind
+        rows = repeats.scan(docs, kind, gen).withColumn("slot", F.pmod(F.xxhash64("g"), F.lit(SLOTS * self.buckets)).cast("int"))
+        self.runs.append(self._put(rows.repartition(self.buckets, "slot"), gen, gen))
+
+        def verify(batches):
+            yield from repeats.settle((b.drop_columns(["slot"]) for b in batches), kind, gen)
+
+        spans = repeats.dealt(self._merged(self.runs, verify), kind, gen, self.written)
+        if len(self.runs) > self.fanout:
+            self._compact()
+        return spans
+
+    def _compact(self) -> None:
+        old = self.runs
+
+        def earliest(batches):
+            yield from repeats.distinct_blocks(b.drop_columns(["slot"]) for b in batches)
+
+        rows = self._merged(old, earliest).withColumn("slot", F.pmod(F.xxhash64("g"), F.lit(SLOTS * self.buckets)).cast("int"))
+        self.runs = [self._put(rows, old[0][0], old[-1][1])]
+        for run in old:
+            self._drop(run)
+
+    def delete(self) -> None:
+        for run in self.runs:
+            self._drop(run)
+        self.runs = []
 
 
 def batches_by_id(texts: DataFrame, count: int) -> list[DataFrame]:
@@ -34,7 +129,7 @@ def batches_by_id(texts: DataFrame, count: int) -> list[DataFrame]:
     return [texts.where((F.lit(True) if lo is None else F.col("doc") >= lo) & (F.lit(True) if hi is None else F.col("doc") < hi)) for lo, hi in ranges]
 
 
-def removed(docs: DataFrame, window: int = 20, batches: int = 2, fanout: int = 4, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def removed(docs: DataFrame, window: int = 20, batches: int = 4, fanout: int = 2, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row of docs: doc_id, rest (the carried columns), text, n_words, n_removed, kept_sha256 (of the kept words, joined by one space).
 
     text is the document's as it was if it keeps all its words, else the kept words, joined by one space.
@@ -44,15 +139,11 @@ def removed(docs: DataFrame, window: int = 20, batches: int = 2, fanout: int = 4
     is merged with the index of those before. Null and empty texts have no words; texts shorter than a window keep all;
     a null id counts as the largest; rows that repeat id and text get the same result; an empty table gives an empty one.
     """
-    written = Written(docs.sparkSession)
-    kind = word_windows(window)
+    index = Index(docs.sparkSession, None, window, fanout)
+    kind = index.kind
     rows, texts = repeats.keyed(docs, id_col, text_col, carry)
-    index = repeats.Index(written, kind, fanout)
-    spans = None
-    parts = batches_by_id(texts, batches)
-    for k, part in enumerate(parts):
-        found = index.add(part, last=k == len(parts) - 1)
-        spans = found if spans is None else spans.unionByName(found)
+    spans = repeats.union([index.add(part) for part in batches_by_id(texts, batches)])
+    index.delete()
     out = pa.schema([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string()), ("doc_id", pa.int64())])
 
     def run(batches):

@@ -1,29 +1,30 @@
-"""Suffix-array deduplication of bytes: repeats of at least a threshold, by depth-limited radix passes."""
+"""Suffix-array deduplication of bytes: repeats of at least a threshold, by a depth-limited radix sort.
+
+A suffix array of the corpus would order every suffix. Here suffixes are ordered only through threshold bytes, most
+significant digit first: the first digit is the hash of the gram that anchors the suffix's beginning, which deals
+suffixes to tasks (see `repeats`); every further digit is five literal bytes, and a suffix that is alone under a digit
+is done. Groups that reach the threshold together are exactly the repeated windows.
+"""
 
 from __future__ import annotations
 
 import hashlib
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from maskwright.llm import repeats
 from maskwright.llm.common import Written, lean, record_batch, slices
 
-#: A fixed pseudo-random 64-bit value for each byte.
-BYTE_HASHES = repeats.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407), np.arange(256, dtype=np.uint64))
-
-
-def byte_symbols(text: bytes) -> np.ndarray:
-    return BYTE_HASHES[np.frombuffer(text, dtype=np.uint8)]
+#: The first digit's values are taken in so many parts, so that less lies on disk at a time.
+PASSES = 3
 
 
 def byte_windows(threshold: int = 100) -> repeats.Kind:
-    return repeats.Kind(byte_symbols, window=threshold, gram=max(2 ** k for k in range(12) if 2 ** k <= max(1, threshold // 3)))
+    return repeats.Kind(words=False, window=threshold, gram=min(threshold, max(1, threshold // 4)))
 
 
-def removed(docs: DataFrame, threshold: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removed(docs: DataFrame, threshold: int = 100, passes: int = PASSES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id, kept (the bytes left), n_bytes, n_removed, n_spans, kept_sha256.
 
     A byte goes if a string of threshold bytes covers it that also starts earlier (smaller id, or the same document
@@ -34,7 +35,7 @@ def removed(docs: DataFrame, threshold: int = 100, id_col: str = "doc_id", text_
     kind = byte_windows(threshold)
     rows, texts = repeats.keyed(docs, id_col, text_col)
     written = Written(docs.sparkSession)
-    spans = repeats.Index(written, kind, keep=False).add(texts)
+    spans = repeats.repeated_spans(texts, kind, written, passes)
     out = pa.schema([("doc_id", pa.int64()), ("kept", pa.binary()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
     def run(batches):

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from fixtures import corpus, frame, words
 from pyspark.sql import functions as F
@@ -55,20 +56,94 @@ def test_bytes_against_brute_force(spark):
     assert got == byte_result(rows)
 
 
-def test_small_windows_segments_and_runs_of_one_symbol(spark):
+def flags(rows, spans):
+    got = {r[0]: [False] * len(r[1]) for r in rows}
+    for r in spans.collect():
+        got[r.doc][r.lo : r.hi + 1] = [True] * (r.hi + 1 - r.lo)
+    return got
+
+
+def test_small_windows_pieces_and_runs_of_one_symbol(spark):
     rng = random.Random(5)
     texts = ["ab" * 40, "a" * 90, "a" * 70 + "b" * 30, "".join(rng.choice("ab") for _ in range(400)), "".join(rng.choice("abc") for _ in range(300))]
     texts += [texts[3][50:220] + "c" + texts[4][10:90], texts[4][::-1], "b" + texts[0]]
     rows = [(i, t, None, None, None) for i, t in enumerate(texts)]
-    df = frame(spark, rows)
-    for w, segment in ((12, 50), (8, 1000), (30, 64)):
-        kind = repeats.Kind(suffix.byte_symbols, window=w, gram=4, segment=segment, chunk=150)
-        _, docs = repeats.keyed(df.repartition(3))
-        spans = repeats.Index(Written(spark), kind, keep=False).add(docs)
-        got = {i: [False] * len(t) for i, t in enumerate(texts)}
-        for r in spans.collect():
-            got[r.doc][r.lo : r.hi + 1] = [True] * (r.hi + 1 - r.lo)
-        assert got == {d: g for d, (_, g) in plain(rows, lambda t: t.encode(), w).items()}
+    _, docs = repeats.keyed(frame(spark, rows).repartition(3))
+    for w, gram, piece, passes in ((12, 4, 50, 2), (8, 3, 1000, 1), (30, 30, 64, 1), (3, 1, 40, 1)):
+        kind = repeats.Kind(False, window=w, gram=gram, piece=piece, chunk=150)
+        assert flags(rows, repeats.repeated_spans(docs, kind, Written(spark), passes)) == {d: g for d, (_, g) in plain(rows, lambda t: t.encode(), w).items()}
+
+
+@pytest.mark.parametrize("held", [1, 3000, 40_000])
+def test_common_anchors_are_opened(spark, held):
+    """With little room for the rows of an anchor their windows are dealt one by one, and the result is the same."""
+    rng = random.Random(11)
+    core = "".join(rng.choice("abcdefgh") for _ in range(60))
+    rows = [(i, "".join(rng.choice("ab") for _ in range(30)) + core + "".join(rng.choice("ab") for _ in range(30)), None, None, None) for i in range(300)]
+    rows += [(1000 + i, rows[i % 7][1][5:110], None, None, None) for i in range(60)]
+    _, docs = repeats.keyed(frame(spark, rows).repartition(5))
+    kind = repeats.Kind(False, window=70, gram=20, chunk=2000, held=held)
+    assert flags(rows, repeats.repeated_spans(docs, kind, Written(spark))) == {d: g for d, (_, g) in plain(rows, lambda t: t.encode(), 70).items()}
+
+
+def test_classes_are_those_of_equal_bytes():
+    rng = random.Random(3)
+    texts = [bytes(rng.choice(b"ab") for _ in range(rng.choice((1, 4, 5, 6, 11)))) for _ in range(400)] + [bytes(20)] * 3
+    data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    length = np.array([len(t) for t in texts])
+    classes = repeats.equal_classes(length, np.cumsum(length) - length, length, data)
+    by = {}
+    for t, c in zip(texts, classes.tolist(), strict=True):
+        by.setdefault(t, set()).add(c)
+    assert all((c == {-1}) == (texts.count(t) == 1) and len(c) == 1 for t, c in by.items())
+    assert len({min(c) for c in by.values() if c != {-1}}) == sum(c != {-1} for c in by.values())
+
+
+def test_hashes_of_long_words_do_not_depend_on_parts():
+    long = bytes(range(33, 120)) * 9000  # longer than a part
+    data = np.frombuffer(b"x " + long + b" yy", dtype=np.uint8)
+    starts, ends = np.array([0, 2, 3 + len(long)]), np.array([1, 2 + len(long), 5 + len(long)])
+    whole = repeats.word_hashes(data, starts, ends)
+    power, total = 1, 0
+    for b in long:
+        total = (total + int(repeats._BYTES[b]) * power) % 2**64
+        power = power * int(repeats._A) % 2**64
+    one = np.array([total], dtype=np.uint64)
+    assert whole[1] == repeats.mix(one, one)[0]
+    assert whole[2] == repeats.word_hashes(np.frombuffer(b"yy", dtype=np.uint8), np.array([0]), np.array([2]))[0]
+
+
+def test_an_index_is_compacted_and_goes_on_in_a_later_session(spark, tmp_path):
+    rows = corpus(seed=13)
+    _, docs = repeats.keyed(frame(spark, rows).repartition(3))
+    path, spans = f"file://{tmp_path}/index", []
+    parts = substring.batches_by_id(docs, 5)
+    for k, part in enumerate(parts):
+        index = substring.Index(spark if k % 2 else spark.newSession(), path, fanout=2)
+        assert index.generations == k
+        assert len(index.runs) <= 2
+        spans.append(index.add(part))
+    want = {d: [i for i, x in enumerate(g) if x] for d, (_, g) in plain(rows, lambda t: t.encode().split(), 20).items()}
+    got = {}
+    for s in spans:
+        for r in s.collect():
+            got.setdefault(r.doc, set()).update(range(r.lo, r.hi + 1))
+    assert {d: sorted(x) for d, x in got.items()} == {d: x for d, x in want.items() if x}
+    with pytest.raises(ValueError):
+        substring.Index(spark, path, window=10)
+    index.delete()
+    assert substring.Index(spark, path).generations == 0
+
+
+def test_history_is_read_where_it_lies(spark):
+    """Only a new generation's own rows are shuffled."""
+    _, docs = repeats.keyed(frame(spark).repartition(3))
+    index = substring.Index(spark)
+    for part in substring.batches_by_id(docs, 2):
+        index.add(part)
+    plan = index._merged(index.runs, lambda batches: batches)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 2 and "Exchange" not in plan
+    index.delete()
 
 
 def test_generations_whose_repeats_lie_inside_one_chunk(spark):
