@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from fixtures import corpus, frame
 from pyspark.sql import functions as F
@@ -30,12 +31,64 @@ def test_counts_equal_the_library(spark, library):
         assert (got[i].n_bytes, got[i].n_tokens, got[i].over_limit) == (len((t or "").encode()), want, want > 2048), repr(t)[:200]
 
 
+def equal_to(library, path, words):
+    """Each word as a text of its own, and all of them in one."""
+    lib, merge = bpe.Library(path), bpe.Merger(bpe.Library(path))
+    ids, counts = bpe.Memory(packing.Encoder(lib), most=3), bpe.Memory(lambda words: merge.count_words(words).tolist(), most=3)
+    for at in range(0, len(words), 4000):
+        texts = words[at : at + 4000]
+        texts += [" ".join(texts)]
+        found, offsets = packing.encoded(pa.array(texts), lib, ids)
+        own = bpe.Words.of(lib, pa.array(texts))
+        value = np.array([*counts.values(own.parts), *(1 for _ in own.special), 0])
+        n = [value[own.word[own.at[a:b]]].sum() for a, b in zip(own.offsets[:-1], own.offsets[1:], strict=True)]
+        for t, a, b, count in zip(texts, offsets[:-1], offsets[1:], n, strict=True):
+            want = library.encode(t, add_special_tokens=False).ids
+            assert found[a:b].tolist() == want, ascii(t)
+            assert count == len(want), ascii(t)
+
+
 def test_words_by_their_parts(library):
-    words = ["Word", "word.", "WORD,;", "Été!", "été", "ΑΣ", "ΑΣ.", "ας", "İx", "İx.", "ſ?", "a1.", "1.5", "don't.", "...", ".a", "é", "é.", "xΣ", "naïve:", "ß.", "ẞ.", "ﬀ.", "ǅ."]
-    for work in (packing.Encoder(bpe.Library(bpe.default_tokenizer())),):
-        known = bpe.Memory(work, most=5).learn([words, words])
-        for w in words:
-            assert np.frombuffer(known[w], dtype="<u4").tolist() == library.encode(w, add_special_tokens=False).ids, w
+    words = ["Word", "word.", "WORD,;", "word***", "Été!", "été", "ΑΣ", "ΑΣ.", "ας", "İx", "İx.", "ſ?", "a1.", "1.5", "don't.", "don't'", "s'%", "...", ".a", "é", "é.", "xΣ", "naïve:", "ß.", "ẞ.", "ﬀ.", "ǅ.", "<|endoftext|>", "<|endoftext|"]
+    equal_to(library, bpe.default_tokenizer(), words + words[::-1])
+
+
+def test_capitals_with_every_mark(library):
+    """The normaliser composes before it lowers, so a lowered word must not be composed once more."""
+    words = [f"{a}{c}{chr(m)}{z}" for m in range(0x300, 0x370) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÖΑΩ" for a, z in (("", ""), ("A", "a"), ("q", "."))]
+    equal_to(library, bpe.default_tokenizer(), words)
+
+
+def test_random_words(library):
+    rng = random.Random(8)
+    draw = lambda: chr(rng.choice([rng.randrange(33, 127), rng.randrange(0xC0, 0x250), rng.randrange(0x300, 0x370), rng.randrange(0x370, 0x600), rng.randrange(0x1E00, 0x2000), rng.randrange(0x3041, 0x3100), rng.randrange(0xAC00, 0xAC80), rng.randrange(0x1F300, 0x1F700)]))
+    words = ["".join(draw() for _ in range(rng.randint(1, 9))) for _ in range(6000)]
+    equal_to(library, bpe.default_tokenizer(), words)
+
+
+def test_a_tokenizer_that_keeps_case(spark, tmp_path, library):
+    spec = bpe.json.loads(library.to_str())
+    spec["normalizer"]["normalizers"] = [n for n in spec["normalizer"]["normalizers"] if n["type"] != "Lowercase"]
+    path = str(tmp_path / "cased.json")
+    (tmp_path / "cased.json").write_text(bpe.json.dumps(spec))
+    cased = Tokenizer.from_file(path)
+    words = ["HELLO", "Hello.", "hello", "ÉTÉ!", "E\u0301TE", "ΑΣ", "A1***"]
+    assert [len(cased.encode(w).ids) for w in ("HELLO", "hello")] == [5, 1]
+    equal_to(cased, path, words)
+    got = bpe.token_counts(frame(spark, [(0, " ".join(words), None, None, None)]), tokenizer=path).first()
+    assert got.n_tokens == len(cased.encode(" ".join(words), add_special_tokens=False).ids)
+
+
+def test_packing_does_not_depend_on_partitions(spark):
+    rows = [*corpus(), (None, "again", None, None, None), (7, "again", None, None, None)]
+    one, seven = (sorted(map(tuple, packing.pack(frame(spark, rows).repartition(n), capacity=64, group=50).collect()), key=str) for n in (1, 7))
+    assert one == seven
+
+
+def test_packing_with_clashing_columns_and_null_ids(spark):
+    df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, None), (None, "c")], "doc_id long, text string")
+    got = packing.pack(df.withColumns({c: F.lit("x") for c in ("group", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "id", "copy")})).collect()
+    assert sorted((r.doc_id or 0, r.doc_tokens) for r in got) == [(0, 1), (0, 2), (1, 3), (1, 3)]
 
 
 def test_counts_empty_and_extra_columns(spark):
