@@ -207,7 +207,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.9
     reached = components(links, written).withColumnRenamed("node", "id")
     known = classes.select("id", "least", "members").join(around, "id", "left").join(reached, "id", "left")
     known = known.select("id", "least", (F.col("members") - 1 + F.coalesce("around", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component"))
-    smallest = known.groupBy("component").agg(F.min("least").alias("least"))
+    smallest = written.put(known.groupBy("component").agg(F.min("least").alias("least")), "smallest")  # for a join that Spark can split
     known = known.drop("least").join(smallest, "component").select(F.col("id").alias("class"), "n_links", "least")
     return _result(rows.join(known, "class").select("id", "n_links", "least").unionByName(alone))
 

@@ -127,7 +127,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, id_col: str = "doc_id", tex
     reached = components(found, written)
     # components are of fingerprints; the smallest document of each is what is asked for
     named = nodes.join(reached.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    # written, so that the join has nothing but an exchange on either side, of which Spark splits a large component's part
+    smallest = written.put(named.groupBy("component").agg(F.min("least").alias("component_id")), "smallest")
     named = named.join(smallest, "component").select("fp", "component_id")
     digits = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return rows.join(named, "fp").select(F.col("id").alias("doc_id"), digits.alias("fingerprint"), "component_id")
@@ -139,8 +140,10 @@ def near_duplicates(docs: DataFrame, words: int = 3, id_col: str = "doc_id", tex
 LANES = 8
 #: Weak bits of a segment that a probe flips: those whose votes were closest.
 WEAK = 3
-#: Standard deviations beyond the expected distance up to which pairs are tested; with few shingles, ties make bits differ more often.
-SPARE = 6
+#: Standard deviations beyond the expected distance up to which pairs are tested; simulated pairs of 10 to 400 shingles, at just the similarity, stayed within 3.4.
+SPARE = 4
+#: Lanes by which those are told apart that a crowd's nearest pairs haven't linked: all their pairs are compared.
+FINE_LANES = 32
 #: Runs of up to so many rows under a key are compared pair by pair, side by side with all others.
 SHORT_RUN = 12
 #: A key with more rows than this is split into pairs of blocks of about this size.
@@ -326,6 +329,25 @@ def _sets(rows: DataFrame, classes: DataFrame, words: int) -> DataFrame:
     return found.mapInArrow(lean(run), "class long, s array<long>")
 
 
+def _most_apart(lanes: int, flip: float) -> int:
+    return int(64 * lanes * flip + SPARE * np.sqrt(64 * lanes * flip * (1 - flip)))
+
+
+def _fine(sets: DataFrame) -> DataFrame:
+    """(class, c: a fingerprint of FINE_LANES lanes) from (class, s)."""
+    schema = pa.schema([("class", pa.int64()), ("c", pa.list_(pa.int64()))])
+
+    def run(batches):
+        for batch in batches:
+            codes = []
+            for s in batch.column("s"):
+                s = s.values.to_numpy().view(np.uint64)
+                codes.append(np.packbits(2 * votes(s, FINE_LANES) > len(s), bitorder="little").view("<i8"))
+            yield record_batch(schema, batch.column("class"), codes)
+
+    return sets.mapInArrow(lean(run), "class long, c array<long>")
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of classes whose shingle sets have at least the given Jaccard index."""
     of = lambda c: sets.select(F.col("class").alias(c), F.col("s").alias(f"s{c}"), F.size("s").alias(f"n{c}"))
@@ -341,9 +363,9 @@ def _groups(docs: DataFrame, words: int, similarity: float, recall: float, id_co
     flip = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     tables = plan(docs.count(), flip, recall, extra_bits=0)
     lanes = max(LANES, -(-tables.bits * tables.count // 64))
-    most = int(64 * lanes * flip + SPARE * np.sqrt(64 * lanes * flip * (1 - flip)))
+    most = _most_apart(lanes, flip)
     wide = written.put(_wide(rows, words, tables, lanes), "wide")
-    classes = written.put(wide.groupBy("class").agg(F.min(F.struct("id", "copy")).alias("least"), F.first("c").alias("c"), F.first("probes").alias("probes")), "classes")
+    classes = written.put(wide.groupBy("class").agg(F.min(F.struct("id", "copy")).alias("least"), F.min("c").alias("c"), F.min("probes").alias("probes")), "classes")
     met = written.put(_meetings(_probes(classes, written), most), "met")
     ends = lambda edges: edges.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     sets = written.put(_sets(rows, classes.join(ends(met), "class", "left_semi"), words), "sets")
@@ -355,12 +377,13 @@ def _groups(docs: DataFrame, words: int, similarity: float, recall: float, id_co
     open_trees = written.put(failed, "open")
     if not open_trees.isEmpty():
         again = ends(met.join(open_trees, "tree", "left_semi"))
-        again = classes.join(again, "class", "left_semi").join(reached, "class", "left").withColumn("component", F.coalesce("component", "class"))
-        more = _meetings(_probes(written.put(again.select("class", "c", "probes", "component"), "again"), written), most).select("a", "b")
+        again = _fine(sets.join(again, "class", "left_semi")).join(classes.select("class", "probes"), "class").join(reached, "class", "left")
+        again = written.put(again.select("class", "c", "probes", F.coalesce("component", "class").alias("component")), "again")
+        more = _meetings(_probes(again, written), _most_apart(FINE_LANES, flip)).select("a", "b")
         more = written.put(_similar(more.join(tested, ["a", "b"], "left_anti"), sets, similarity), "similar")
         reached = components(edges.unionByName(more), written).withColumnRenamed("node", "class")
     named = classes.select("class", "least").join(reached, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    smallest = named.groupBy("component").agg(F.min("least").alias("least"))
+    smallest = written.put(named.groupBy("component").agg(F.min("least").alias("least")), "smallest")  # for a join that Spark can split
     named = named.drop("least").join(smallest, "component").select("class", "least")
     return wide.select("id", "copy", "class").join(named, "class").select("id", "copy", "least")
 
@@ -377,7 +400,8 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, rec
     certain bits flipped.
 
     Equal shingle sets are one node, so copies are never paired. In a crowd under one key the nearest pairs that span it
-    are tested first; only where some of them fail are all pairs tested that aren't in one group by then. Documents
+    are tested first; only where some of them fail are all pairs compared that aren't in one group by then, by wider
+    fingerprints yet, and those tested that aren't plainly apart. Documents
     without words are alike; fewer words than a shingle are one shingle; a null id counts as the largest; an empty table
     gives an empty one.
     """
