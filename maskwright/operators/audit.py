@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskwright.functions import text as T
@@ -23,18 +23,37 @@ class Report:
     by_category: DataFrame
 
     def write(self, folder: str) -> None:
+        """Each figure as a table of JSON lines, of any size."""
         for name in ("totals", "surviving", "changes", "by_category"):
             getattr(self, name).write.mode("overwrite").json(f"{folder}/{name}")
 
+    def document(self) -> dict:
+        """One report, for a single document: its rows come to the driver."""
+        totals, rows = self.totals.first(), lambda df, *names: [{n: r[n] for n in names} | {"location": f"Paragraph {r['seq']}"} for r in df.orderBy("seq").collect()]
+        return {
+            "total_original_pii_candidates": totals["total"],
+            "redacted_candidates": totals["redacted"],
+            "coverage": totals["coverage"],
+            "surviving_pii": rows(self.surviving, "original_text", "type", "expected_replacement", "actual_text", "detector_source", "confidence"),
+            "unintended_changes": rows(self.changes, "expected", "actual"),
+            "by_category": {r["category"]: {"total": r["total"], "survived": r["survived"]} for r in self.by_category.collect()},
+        }
+
 
 def compared(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """Pairs of paragraphs by doc_id and seq, with surviving and changes.
+    """Every paragraph of expected with its partner by doc_id and seq, either of which may be null, with surviving and changes.
+
+    Paragraphs that share both are paired in the order of their redacted texts; one without a partner counts as empty.
 
     expected: from pipeline.redact() on the original; actual: (doc_id, seq, actual_text). Where the texts differ, the
     original's spans and the gaps between them are looked for at the places that they should have: after a replacement
     of another length than expected, all that follows counts as changed.
     """
-    rows = expected.select("doc_id", "seq", "text", "replaced", "redacted_text").join(actual.select("doc_id", "seq", "actual_text"), ["doc_id", "seq"])
+    nth = lambda text: F.row_number().over(Window.partitionBy("doc_id", "seq").orderBy(text))
+    one = expected.select("doc_id", "seq", "text", "replaced", "redacted_text", nth("redacted_text").alias("nth"))
+    other = actual.select("doc_id", "seq", "actual_text", nth("actual_text").alias("nth")).toDF("other_id", "other_seq", "actual_text", "other_nth")
+    same = F.col("doc_id").eqNullSafe(F.col("other_id")) & F.col("seq").eqNullSafe(F.col("other_seq")) & (F.col("nth") == F.col("other_nth"))
+    rows = one.join(other, same, "left").drop("other_id", "other_seq", "other_nth", "nth")
     begin = F.struct(F.lit(0).alias("at"), F.lit(0).alias("there"), F.array().cast(f"array<{SURVIVOR}>").alias("surviving"), F.array().cast(f"array<{CHANGE}>").alias("changes"))
     text, actual_text = F.col("text"), F.coalesce("actual_text", F.lit(""))
 

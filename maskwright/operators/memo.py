@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,30 +75,33 @@ def recalled(memo: dict[str, str], text: str, candidates: list[dict]) -> list[di
     out = list(candidates)
     for name, kind in memo.items():
         if name in text:
-            out += [{"text": name, "entity_type": kind, "start": m.start(), "end": m.end(), "confidence": V.MEMO, "detector": "memo", "ord": 0} for m in re.finditer(rf"\b{re.escape(name)}\b", text)]
+            out += [{"text": name, "entity_type": kind, "start": m.start(), "end": m.end(), "confidence": V.MEMO, "detector": V.MEMO_DETECTOR, "ord": 0} for m in re.finditer(rf"\b{re.escape(name)}\b", text)]
     return [{**e, "ord": i} for i, e in enumerate(out)]
 
 
 def recall(df: DataFrame, least: float = 0.95, scope: str = "forward") -> DataFrame:
     """df (doc_id, seq, text, candidates, resolved, ...) with candidates and resolved as the memo makes them.
 
-    Only documents with a seed are touched, and of them only the columns that the fold needs: they are folded in order of
-    seq, one document's paragraphs in a task at a time. scope: "forward", where a name counts from the paragraph after it,
-    or "document", where it counts in all paragraphs.
+    One shuffle by document, after a single detection: a document's paragraphs are folded in order of seq in one task; if
+    none of them has a seed they pass as they are, in Arrow. Every row stays, with all its columns; rows that share a
+    place follow each other as they come. Paragraphs without a document have no memo, and are dealt out by their texts.
+    scope: "forward", where a name counts from the paragraph after it, or "document", where it counts in all paragraphs.
     """
     if scope not in ("forward", "document"):
         raise ValueError("scope is forward or document")
-    marked = df.withColumn("__seeds", seeds(F.col("resolved"), least))
-    with_seeds = marked.where(F.size("__seeds") > 0).select("doc_id").distinct()
-    if with_seeds.isEmpty():
-        return df
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq", kind="stable")
+    seeded = F.size(seeds(F.col("resolved"), least)) > 0
+    spread = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("seq", "text"), F.lit(10_000)))
+    marked = df.withColumns({"__seeded": seeded, "__spread": spread})
+
+    def fold(rows: pa.Table) -> pa.Table:
+        some = pc.any(rows.column("__seeded")).as_py() and rows.column("doc_id")[0].is_valid
+        rows = rows.drop_columns(["__seeded", "__spread"])
+        if not some:
+            return rows
+        rows = rows.take(pc.array_sort_indices(rows.column("seq")))
         memo: dict[str, str] = {}
-
-        lists = [[dict(e.asDict() if hasattr(e, "asDict") else e) for e in c] for c in rows["candidates"]]
-        texts = [t or "" for t in rows["text"]]
+        lists = rows.column("candidates").to_pylist()
+        texts = [t or "" for t in rows.column("text").to_pylist()]
         if scope == "document":
             for found in lists:
                 memo |= learnt(resolve_list(found), least)
@@ -109,10 +113,9 @@ def recall(df: DataFrame, least: float = 0.95, scope: str = "forward") -> DataFr
                 memo |= learnt(kept, least)
             pools.append(pool)
             outcomes.append(kept)
-        return pd.DataFrame({"doc_id": rows["doc_id"].to_numpy(), "seq": rows["seq"].to_numpy(), "__candidates": pools, "__resolved": outcomes})
+        for name, made in (("candidates", pools), ("resolved", outcomes)):
+            at = rows.schema.get_field_index(name)
+            rows = rows.set_column(at, rows.schema.field(at), pa.array(made, type=rows.schema.field(at).type))
+        return rows
 
-    kinds = dict(df.dtypes)
-    work = df.join(with_seeds, "doc_id", "left_semi").select("doc_id", "seq", "text", "candidates")
-    done = work.groupBy("doc_id").applyInPandas(fold, f"doc_id {kinds['doc_id']}, seq {kinds['seq']}, __candidates {T.ENTITIES}, __resolved {T.ENTITIES}")
-    out = df.join(done, ["doc_id", "seq"], "left")
-    return out.withColumns({"candidates": F.coalesce("__candidates", "candidates"), "resolved": F.coalesce("__resolved", "resolved")}).select(*df.columns)
+    return marked.groupBy("doc_id", "__spread").applyInArrow(fold, df.schema)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import importlib.util
+import logging
 import re
 from collections.abc import Iterable, Iterator
 
@@ -32,6 +34,27 @@ class ListProvider:
         return lambda text: [(self.names[m.group()], m.start(), m.end()) for m in found.finditer(text)]
 
 
+class ModelProvider:
+    """Finds names by a spaCy pipeline, where the library and the model are installed; elsewhere it warns and finds none."""
+
+    def __init__(self, model: str = "en_core_web_sm"):
+        self.model = model
+
+    @staticmethod
+    def installed() -> bool:
+        return importlib.util.find_spec("spacy") is not None
+
+    def load(self):
+        try:
+            import spacy
+
+            model = spacy.load(self.model)
+        except (ImportError, OSError) as missing:
+            logging.getLogger(__name__).warning("no names from model %s: %s", self.model, missing)
+            return lambda text: ()
+        return lambda text: [(e.label_, e.start_char, e.end_char) for e in model(text).ents]
+
+
 def entities(text: Column, provider) -> Column:
     """What the provider finds, as candidates; the model is loaded once for each stream of Arrow batches."""
 
@@ -42,4 +65,4 @@ def entities(text: Column, provider) -> Column:
             yield batch.map(lambda t: [{"label": k, "start": a, "end": b} for k, a, b in (find(t[:MOST_CHARACTERS]) if t else ()) if k in LABELS])
 
     kind = lambda s: F.element_at(F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair]), s["label"])
-    return F.transform(spans(text), lambda s: T.entity(T.part(text, s["start"], s["end"]), kind(s), s["start"], s["end"], V.NAME_MODEL, "names"))
+    return F.transform(spans(text), lambda s: T.entity(T.part(text, s["start"], s["end"]), kind(s), s["start"], s["end"], V.NAME_MODEL, V.NAME_DETECTOR))

@@ -26,32 +26,28 @@ def scan(source: str, pattern: str, options: str = "g", extra: str = "") -> str:
 LUHN = "list_sum(list_transform(range(1, length(d) + 1), lambda k: CASE WHEN k % 2 = 0 THEN CASE WHEN d[length(d) + 1 - k]::INT > 4 THEN d[length(d) + 1 - k]::INT * 2 - 9 ELSE d[length(d) + 1 - k]::INT * 2 END ELSE d[length(d) + 1 - k]::INT END)) % 10 = 0"
 
 
-def emails(source: str) -> str:
-    return scan(source, V.EMAIL)
+def emails(source: str, extra: str = "") -> str:
+    return scan(source, V.EMAIL, extra=extra)
 
 
 def phones(source: str, extra: str = "") -> str:
     return f"SELECT * FROM ({scan(source, V.PHONE, extra=extra)}) WHERE length(regexp_replace(found, '\\D', '', 'g')) >= 10"
 
 
-def cards(source: str) -> str:
-    return f"SELECT * EXCLUDE (d) FROM (SELECT *, regexp_replace(found, '[ -]', '', 'g') AS d FROM ({scan(source, V.CREDIT_CARD)})) WHERE {LUHN}"
+def cards(source: str, extra: str = "") -> str:
+    return f"SELECT * EXCLUDE (d) FROM (SELECT *, regexp_replace(found, '[ -]', '', 'g') AS d FROM ({scan(source, V.CREDIT_CARD, extra=extra)})) WHERE {LUHN}"
 
 
-def ssns(source: str) -> str:
-    return f"SELECT * FROM ({scan(source, r'\b\d{3}-\d{2}-\d{4}\b')}) WHERE found[1:3] NOT IN ('000', '666') AND found[5:6] <> '00' AND found[8:11] <> '0000'"
+def ssns(source: str, extra: str = "") -> str:
+    return f"SELECT * FROM ({scan(source, r'\b\d{3}-\d{2}-\d{4}\b', extra=extra)}) WHERE found[1:3] NOT IN ('000', '666') AND found[5:6] <> '00' AND found[8:11] <> '0000'"
 
 
 def spans(rows: str) -> str:
     return f"SELECT doc_id, seq, found AS text, a AS start_at, b AS end_at FROM ({rows})"
 
 
-def typed(rows: str, kind: str) -> str:
-    return f"SELECT doc_id, seq, line, found, a, b, '{kind}' AS entity_type FROM ({rows})"
-
-
-def three_types(source: str) -> str:
-    return " UNION ALL ".join((typed(emails(source), "EMAIL"), typed(cards(source), "CREDIT_CARD"), typed(scan(source, V.IP_ADDRESS), "IP_ADDRESS")))
+def spans_of_lines(rows: str) -> str:
+    return f"SELECT doc_id, found AS text, a AS start_at, b AS end_at FROM ({rows})"
 
 
 def any_of(text: str, terms) -> str:
@@ -60,7 +56,7 @@ def any_of(text: str, terms) -> str:
 
 def word_of(text: str, words) -> str:
     listed = ", ".join(q(w) for w in words)
-    return f"list_has_any(list_transform(string_split_regex({text}, '\\s+'), lambda w: regexp_replace(w, '[^\\w\\s]', '', 'g')), [{listed}])"
+    return f"list_has_any(list_transform(string_split_regex({text}, '\\s+'), lambda w: regexp_replace(w, '[^\\p{{L}}\\p{{M}}\\p{{N}}_\\s]', '', 'g')), [{listed}])"
 
 
 # ---- replacement values ------------------------------------------------------------------------------------------------
@@ -127,7 +123,7 @@ def refine_birth() -> str:
 def refine_phone() -> str:
     low = "lower(line)"
     marked = " OR ".join(f"contains(found, '{c}')" for c in "+-(")
-    return f"SELECT doc_id, found AS text, 0.85::DOUBLE AS confidence FROM ({phones(DERIVED, ', kind')}) WHERE kind = 'phone' AND NOT {word_of(low, V.PHONE_STOP_WORDS)} AND ({any_of(low, V.PHONE_LABELS)} OR {marked})"
+    return f"SELECT doc_id, found AS text, 0.85::DOUBLE AS confidence FROM ({phones(DERIVED)}) WHERE NOT {word_of(low, V.PHONE_STOP_WORDS)} AND ({any_of(low, V.PHONE_LABELS)} OR {marked})"
 
 
 def refine_aadhaar() -> str:
@@ -158,21 +154,80 @@ def refine_header() -> str:
     FROM k WHERE keep"""
 
 
-def context_address() -> str:
+def addresses(source: str) -> str:
+    """(doc_id, seq, line, found, a, b), as the other rows of findings."""
     low = "lower(text)"
-    return f"""SELECT doc_id, text, strpos(line, text)::INT - 1 AS start_at, strpos(line, text)::INT - 1 + length(text)::INT AS end_at FROM (
-      SELECT doc_id, text AS line, CASE WHEN {any_of(low, V.ADDRESS_TRIGGERS)} THEN trim(regexp_replace(text, '(?is)^.*?{V.ADDRESS_SPLIT}', '')) ELSE trim(text) END AS text, {any_of(low, V.ADDRESS_TRIGGERS)} AS labelled,
-             regexp_matches(text, '{V.PIN}') AND contains(text, ',') AND {word_of(low, V.STREET_WORDS)} AS implied FROM ({DERIVED}))
-      WHERE CASE WHEN labelled THEN length(text) > 10 ELSE implied END"""
+    strip = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    rest = f"regexp_replace(text, '(?is)^.*?{V.ADDRESS_SPLIT}', '')"
+    return f"""SELECT doc_id, seq, line, found, strpos(line, found)::INT - 1 AS a, strpos(line, found)::INT - 1 + length(found)::INT AS b FROM (
+      SELECT doc_id, seq, text AS line, CASE WHEN {any_of(low, V.ADDRESS_TRIGGERS)} THEN {strip(rest)} ELSE {strip("text")} END AS found, {any_of(low, V.ADDRESS_TRIGGERS)} AS labelled,
+             regexp_matches(text, '{V.PIN}') AND contains(text, ',') AND {word_of(low, V.STREET_WORDS)} AS implied FROM ({source}))
+      WHERE CASE WHEN labelled THEN length(found) > 10 ELSE implied END"""
+
+
+def people(source: str) -> str:
+    return f"SELECT * FROM ({scan(source, V.NAMES)}) WHERE {any_of('lower(line)', V.PERSON_LIST_TRIGGERS)} AND NOT {word_of('lower(found)', V.PERSON_LIST_STOP_WORDS)}"
+
+
+def organisations(source: str) -> str:
+    cut = f"SELECT doc_id, seq, line, CASE WHEN starts_with(lower(found), 'the ') THEN found[5:] ELSE found END AS found, (a + CASE WHEN starts_with(lower(found), 'the ') THEN 4 ELSE 0 END)::INT AS a, b FROM ({scan(source, V.ORGANISATIONS)})"
+    return f"SELECT * FROM ({cut}) WHERE {any_of('lower(line)', V.ORGANISATION_TRIGGERS)} AND NOT {word_of('lower(found)', V.ORGANISATION_STOP_WORDS)} AND length(found) > 3"
+
+
+def companies(source: str) -> str:
+    return scan(source, V.COMPANIES + chr(92) + "b")
 
 
-def context_people() -> str:
-    return f"SELECT doc_id, found AS text, a AS start_at, b AS end_at FROM ({scan(DERIVED, V.NAMES)}) WHERE {any_of('lower(line)', V.PERSON_LIST_TRIGGERS)} AND NOT {word_of('lower(found)', V.PERSON_LIST_STOP_WORDS)}"
+def candidates(source: str, context: bool = True) -> str:
+    """(doc_id, seq, line, found, a, b, kind, conf, ord): all detectors' findings, refined by header and context; with context also those that it adds."""
+    head, src = ", header_text", "SELECT * FROM src"
+    found = [
+        ("EMAIL", V.PATTERN_HIGH, emails(src, head)), ("PHONE", V.PATTERN_MEDIUM, phones(src, head)), ("SSN", V.PATTERN_HIGH, ssns(src, head)), ("CREDIT_CARD", V.PATTERN_HIGH, cards(src, head)),
+        ("IP_ADDRESS", V.PATTERN_HIGH, scan(src, V.IP_ADDRESS, extra=head)), ("DATE", V.PATTERN_MEDIUM, scan(src, "(?i)" + V.DATE, extra=head)), ("AADHAAR", V.PATTERN_MEDIUM, scan(src, V.AADHAAR, extra=head)), ("DIN", V.PATTERN_MEDIUM, scan(src, V.DIN, extra=head)),
+    ]
+    raw = " UNION ALL ".join(f"SELECT doc_id, seq, header_text, line, found, a, b, '{kind}' AS kind, {conf} AS conf, {k} AS step FROM ({rows})" for k, (kind, conf, rows) in enumerate(found))
+    birth, low = any_of("lower(coalesce(header_text, ''))", ("dob", "birth")), "low"
+    marked = " OR ".join(f"contains(found, '{c}')" for c in "+-(")
+    refined = f"""
+      SELECT doc_id, seq, line, found, a, b, step,
+             CASE WHEN kind = 'DATE' AND ({birth} OR {any_of(low, V.BIRTH)}) THEN 'DATE_OF_BIRTH' ELSE kind END AS kind,
+             CASE WHEN kind = 'DATE' AND {birth} THEN {V.TABLE_HEADER} WHEN (kind = 'DATE' AND {any_of(low, V.BIRTH)}) OR (kind = 'AADHAAR' AND contains({low}, 'aadhaar')) THEN {V.CONTEXT} ELSE conf END AS conf
+      FROM (SELECT *, lower(CASE WHEN coalesce(header_text, '') <> '' THEN header_text || ' | ' || line ELSE line END) AS low FROM raw)
+      WHERE CASE kind WHEN 'PHONE' THEN NOT {word_of(low, V.PHONE_STOP_WORDS)} AND ({any_of(low, V.PHONE_LABELS)} OR {marked}) WHEN 'AADHAAR' THEN NOT {any_of(low, V.CARD_TERMS)} ELSE true END"""
+    added = (("PHYSICAL_OR_MAILING_ADDRESS", addresses(src)), ("PERSON", people(src)), ("COMPANY", organisations(src)), ("COMPANY", companies(src)))
+    more = "".join(f" UNION ALL SELECT doc_id, seq, line, found, a, b, {10 + k}, '{kind}', {V.CONTEXT} FROM ({rows})" for k, (kind, rows) in enumerate(added)) if context else ""
+    return f"""
+    WITH src AS MATERIALIZED ({source}), raw AS ({raw})
+    SELECT doc_id, seq, line, found, a, b, kind, conf::DOUBLE AS conf, row_number() OVER (PARTITION BY doc_id, seq ORDER BY step, a) AS ord
+    FROM ({refined if context else "SELECT * EXCLUDE (header_text) FROM raw"}{more}) WHERE kind <> 'DATE'"""
+
+
+def resolved(rows: str) -> str:
+    """(doc_id, seq, line, found, a, b, kind, conf) of the candidates that stay: equal ones merged, then a greedy fold."""
+    rank = "CASE {x}.kind " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in V.PRIORITY.items()) + " ELSE 0 END"
+    new, old = rank.format(x="c[1]"), rank.format(x="p")
+    holds, held = "(c[1].a <= p.a AND c[1].b >= p.b)", "(p.a <= c[1].a AND p.b >= c[1].b)"
+    beats = f"CASE WHEN c[1].conf <> p.conf THEN c[1].conf > p.conf WHEN {holds} <> {held} THEN {holds} WHEN {new} <> {old} THEN {new} > {old} ELSE c[1].b - c[1].a > p.b - p.a END"
+    apart = "greatest(c[1].a, p.a) >= least(c[1].b, p.b)"
+    return f"""
+    SELECT doc_id, seq, line, e.found AS found, e.a AS a, e.b AS b, e.kind AS kind, e.conf AS conf FROM (SELECT doc_id, seq, line, unnest(kept) AS e FROM (
+      SELECT doc_id, seq, line, list_reduce(spans, lambda acc, c: CASE WHEN len(list_filter(acc, lambda p: NOT (({apart}) OR ({beats})))) = 0 THEN list_concat(list_filter(acc, lambda p: {apart}), c) ELSE acc END) AS kept FROM (
+        SELECT doc_id, seq, any_value(line) AS line, list([{{'a': a, 'b': b, 'kind': kind, 'conf': conf, 'found': found}}] ORDER BY a, a - b, ord) AS spans FROM (
+          SELECT doc_id, seq, a, b, kind, any_value(line) AS line, any_value(found) AS found, min(ord) AS ord, max(conf) AS conf FROM ({rows}) GROUP BY doc_id, seq, a, b, kind) GROUP BY doc_id, seq)))"""
 
 
-def context_organisations() -> str:
-    cut = f"SELECT doc_id, line, CASE WHEN starts_with(lower(found), 'the ') THEN found[5:] ELSE found END AS text, a + CASE WHEN starts_with(lower(found), 'the ') THEN 4 ELSE 0 END AS start_at, b AS end_at FROM ({scan(DERIVED, V.ORGANISATIONS)})"
-    return f"SELECT doc_id, text, start_at, end_at FROM ({cut}) WHERE {any_of('lower(line)', V.ORGANISATION_TRIGGERS)} AND NOT {word_of('lower(text)', V.ORGANISATION_STOP_WORDS)} AND length(text) > 3"
+def findings(source: str, context: bool = True) -> str:
+    """(doc_id, seq, line, found, a, b, entity_type, conf): what the whole analysis keeps."""
+    return f"SELECT * RENAME (kind AS entity_type) FROM ({resolved(candidates(source, context))})"
+
+
+def audited(source: str, actual: str) -> str:
+    """(doc_id, seq, found, entity_type, new, survived, gap_changed): where each replacement and the gap before it should be in the text actual, an expression of line, whole and doc_id."""
+    return f"""
+    SELECT *, substr(actual, there + 1, length(new)) <> new AS survived, substr(actual, there - (a - before) + 1, a - before) <> substr(line, before + 1, a - before) AS gap_changed FROM (
+      SELECT *, {actual} AS actual, (a + coalesce(sum(length(new) - (b - a)) OVER (PARTITION BY doc_id, seq ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS there,
+             coalesce(lag(b) OVER (PARTITION BY doc_id, seq ORDER BY a), 0) AS before, lead(b) OVER (PARTITION BY doc_id, seq ORDER BY a) IS NULL AS last FROM (
+        SELECT *, {replacement('found', 'entity_type')} AS new FROM ({findings(source)})) JOIN ({redacted(source, findings(source))}) AS r(doc_id, seq, whole) USING (doc_id, seq))"""
 
 
 def resolve_overlaps() -> str:
@@ -188,10 +243,52 @@ def resolve_overlaps() -> str:
     SELECT doc_id, e.a AS start_at, e.b AS end_at, e.entity_type, e.confidence FROM (SELECT doc_id, unnest(kept) AS e FROM folded)"""
 
 
+TURNS = "SELECT conv_id AS doc_id, turn AS seq, text, NULL::VARCHAR AS header_text FROM conversations WHERE regexp_matches(text, '\\S')"
+HEADED_LINES = f"SELECT *, NULL::VARCHAR AS header_text FROM ({LINES})"
+#: What `queries._gold` expects of the derived lines.
+_FIRST, _SECOND = "'user' || k || '@mail' || k % 9 || '.example.com'", "k || '@x.org'"
+
+
+def hits(found: str) -> str:
+    """The findings in derived lines, with k and hit: whether the line expects them."""
+    expected = f"CASE kind WHEN 'email' THEN entity_type = 'EMAIL' AND (found = {_FIRST} OR (found = {_SECOND} AND k % 5 <> 0)) WHEN 'ssn' THEN entity_type = 'SSN' AND found = substr(line, 5, 11) AND k % 2 = 0 ELSE false END"
+    return f"SELECT *, {expected} AS hit FROM (SELECT *, doc_id // 100 AS k FROM ({found}) JOIN (SELECT line_id AS doc_id, kind FROM ({corpus.derived_sql()})) USING (doc_id))"
+
+
+def evaluation(found: str) -> str:
+    """(category, tp, fp, fn) of every type."""
+    wanted = f"""SELECT 'EMAIL' AS category, sum(CASE WHEN k % 5 <> 0 THEN 2 ELSE 1 END + CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END) AS n FROM (SELECT c_custkey AS k FROM customer)
+      UNION ALL SELECT 'SSN', count(*) FILTER (WHERE c_custkey % 2 = 0) FROM customer"""
+    return f"""SELECT category, coalesce(tp, 0)::BIGINT AS tp, coalesce(fp, 0)::BIGINT AS fp, (coalesce(n, 0) - coalesce(tp, 0))::BIGINT AS fn FROM (SELECT unnest([{', '.join(map(q, V.ENTITY_TYPES))}]) AS category)
+      LEFT JOIN (SELECT entity_type AS category, count(*) FILTER (WHERE hit) AS tp, count(*) FILTER (WHERE NOT hit) AS fp FROM ({hits(found)}) GROUP BY entity_type) USING (category) LEFT JOIN ({wanted}) USING (category)"""
+
+
+def scores(counts: str, always: bool) -> str:
+    share = lambda x, y: f"coalesce({x}::DOUBLE / nullif({y}, 0), 0)"
+    p, r = share("tp", "tp + fp"), share("tp", "tp + fn")
+    wrap = (lambda x: x) if always else (lambda x: f"CASE WHEN tp + fn > 0 THEN {x} END")
+    return f"SELECT *, {wrap(p)} AS precision, {wrap(r)} AS recall, {wrap(f'coalesce(2 * {p} * {r} / nullif({p} + {r}, 0), 0)')} AS f1 FROM ({counts})"
+
+
+def failures(found: str) -> str:
+    ssn_missing = f"SELECT line_id AS doc_id, 'SSN' AS entity_type, substr(text, 5, 11) AS text FROM ({corpus.derived_sql()}) WHERE kind = 'ssn' AND line_id // 100 % 2 = 0 AND line_id NOT IN (SELECT doc_id FROM ({hits(found)}) WHERE hit)"
+    nobody = f"SELECT line_id, 'EMAIL', 'nobody@nowhere.net' FROM ({corpus.derived_sql()}) WHERE kind = 'email' AND line_id // 100 % 7 = 0"
+    return f"SELECT doc_id, 'false positive' AS failure, entity_type, found AS text FROM ({hits(found)}) WHERE NOT hit UNION ALL SELECT doc_id, 'false negative', entity_type, text FROM ({ssn_missing} UNION ALL {nobody})"
+
+
+#: What `queries._audited` makes of the redacted text.
+ACTUAL = "CASE doc_id // 100 % 3 WHEN 0 THEN line WHEN 1 THEN whole ELSE whole || ' etc.' END"
+
+
 def oracle_sql() -> dict[str, str]:
-    three = three_types(LINES)
-    counted = f"SELECT doc_id, count(*) AS n FROM ({three}) GROUP BY doc_id"
-    emails_there = f"SELECT * FROM ({emails(DERIVED)}) WHERE contains(found, '@mail') OR contains(found, '.org')"
+    everything, derived = findings(HEADED_LINES), findings(DERIVED)
+    patterns = findings(HEADED_LINES, context=False)
+    counted = f"SELECT doc_id, count(*) AS n FROM ({everything}) GROUP BY doc_id"
+    audit = audited(DERIVED, ACTUAL)
+    changes = f"SELECT doc_id, substr(line, before + 1, a - before) AS expected, substr(actual, there - (a - before) + 1, a - before) AS actual FROM ({audit}) WHERE gap_changed UNION ALL SELECT doc_id, substr(line, b + 1), substr(actual, there + length(new) + 1) FROM ({audit}) WHERE last AND substr(line, b + 1) <> substr(actual, there + length(new) + 1)"
+    found_per_line = f"SELECT doc_id, seq, count(*) AS n_entities FROM ({everything}) GROUP BY doc_id, seq"
+    of_lines = f"""({DERIVED}) AS lines LEFT JOIN (SELECT doc_id, count(*) AS c FROM ({candidates(DERIVED)}) GROUP BY doc_id) USING (doc_id)
+      LEFT JOIN (SELECT doc_id, count(*) AS r FROM ({derived}) GROUP BY doc_id) USING (doc_id)"""
     return {
         "detect_email": spans(emails(LINES)),
         "detect_phone": spans(phones(LINES)),
@@ -206,25 +303,32 @@ def oracle_sql() -> dict[str, str]:
         "refine_phone": refine_phone(),
         "refine_aadhaar": refine_aadhaar(),
         "refine_header_context": refine_header(),
-        "context_address": context_address(),
-        "context_person_list": context_people(),
-        "context_organisation": context_organisations(),
-        "context_company_suffix": f"SELECT doc_id, found AS text, a AS start_at, b AS end_at FROM ({scan(DERIVED, V.COMPANIES + chr(92) + 'b')})",
+        "context_address": spans_of_lines(addresses(DERIVED)),
+        "context_person_list": spans_of_lines(people(DERIVED)),
+        "context_organisation": spans_of_lines(organisations(DERIVED)),
+        "context_company_suffix": spans_of_lines(companies(DERIVED)),
         "resolve_overlaps": resolve_overlaps(),
         "pseudonym_seed": f"SELECT c_custkey AS doc_id, {_number(f"'{V.SEED}|' || lower(c_name) || '|PERSON'", 8)} AS seed_number FROM customer",
         "pseudonymize": f"SELECT doc_id, entity_type, {replacement('text', 'entity_type')} AS replacement FROM (SELECT c_custkey AS doc_id, c_name AS text, unnest([{', '.join(map(q, (*V.ENTITY_TYPES, 'OTHER')))}]) AS entity_type FROM customer)",
-        "redact_patterns": redacted(LINES, three),
-        "stream_redact": redacted(LINES, three),
-        "entity_counts_by_type": f"SELECT entity_type, count(*) AS n FROM ({three}) GROUP BY entity_type",
-        "entity_rollup_lang": f"SELECT lang, entity_type, count(*) AS n FROM ({three}) JOIN documents USING (doc_id) GROUP BY ROLLUP (lang, entity_type)",
+        "redact_documents": f"SELECT * FROM ({redacted(HEADED_LINES, everything)}) JOIN ({found_per_line}) USING (doc_id, seq)",
+        "redact_derived": f"SELECT doc_id, coalesce(c, 0) AS n_candidates, coalesce(r, 0) AS n_entities, coalesce(redacted_text, text) AS redacted_text FROM {of_lines} LEFT JOIN ({redacted(DERIVED, derived)}) AS done USING (doc_id)",
+        "redact_patterns": redacted(HEADED_LINES, patterns),
+        "stream_redact": redacted(HEADED_LINES, everything),
+        "sql_redact": redacted(HEADED_LINES, everything),
+        "entity_counts_by_type": f"SELECT entity_type, count(*) AS n FROM ({everything}) GROUP BY entity_type",
+        "entity_rollup_lang": f"SELECT lang, entity_type, count(*) AS n, count(DISTINCT doc_id) AS docs FROM ({everything}) JOIN documents USING (doc_id) GROUP BY ROLLUP (lang, entity_type)",
         "pipeline_stats": f"SELECT doc_id, p AS processed_paragraphs, coalesce(n, 0) AS entities_replaced FROM (SELECT doc_id, count(*) AS p FROM ({LINES}) GROUP BY doc_id) LEFT JOIN ({counted}) USING (doc_id)",
-        "clean_documents": f"SELECT doc_id, lang, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ({three}))",
+        "pipeline_stats_all": f"SELECT doc_id // 100 AS doc_id, count(*) AS processed_paragraphs, sum(coalesce(c, 0))::BIGINT AS total_candidates, sum(coalesce(c, 0) - coalesce(r, 0))::BIGINT AS rejected_by_resolver, sum(coalesce(r, 0))::BIGINT AS entities_replaced, 0::BIGINT AS replacements_in_tables, 0::BIGINT AS replacements_in_headers_footers, 0::BIGINT AS low_confidence_entities FROM {of_lines} GROUP BY doc_id // 100",
+        "clean_documents": f"SELECT doc_id, lang, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ({everything}))",
         "top_documents": f"SELECT doc_id, n FROM ({counted}) ORDER BY n DESC, doc_id LIMIT 20",
         "tabular_redaction": f"SELECT c_custkey AS doc_id, {replacement('c_name', "'PERSON'")} AS replacement, c_name AS text FROM customer",
-        "evaluate_categories": "WITH k AS (SELECT c_custkey AS k FROM customer) SELECT category, tp, fp, fn, tp::DOUBLE / (tp + fp) AS precision, tp::DOUBLE / (tp + fn) AS recall FROM (SELECT 'EMAIL' AS category, sum(CASE WHEN k % 5 <> 0 THEN 2 ELSE 1 END) AS tp, sum(CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END) AS fp, sum(CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END) AS fn FROM k)",
-        "evaluate_overall": "WITH k AS (SELECT c_custkey AS k FROM customer), s AS (SELECT sum(CASE WHEN k % 5 <> 0 THEN 2 ELSE 1 END) AS tp, sum(CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END) AS fp, sum(CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END) AS fn FROM k) SELECT tp, fp, fn FROM s",
-        "audit_coverage": f"SELECT count(*) AS total, count(*) FILTER (WHERE doc_id // 100 % 3 = 0) AS survived, (count(*) FILTER (WHERE doc_id // 100 % 3 <> 0))::DOUBLE / count(*) AS coverage FROM ({scan(DERIVED, V.IP_ADDRESS)})",
-        "audit_surviving": f"SELECT doc_id, found AS original_text, 'IP_ADDRESS' AS entity_type FROM ({scan(DERIVED, V.IP_ADDRESS)}) WHERE doc_id // 100 % 3 = 0",
-        "memo_propagation": "SELECT c_custkey AS doc_id, s AS seq, 'Asha Rao' || chr(97 + (c_custkey % 26)::INT) AS text, CASE s WHEN 0 THEN 0 ELSE 6 END AS start_at FROM customer, (SELECT unnest([0, 2]) AS s)",
-        "conversation_emails": f"SELECT doc_id AS conv_id, seq AS turn, found AS text FROM ({emails('SELECT conv_id AS doc_id, turn AS seq, text FROM conversations')})",
+        "evaluate_categories": scores(evaluation(derived), False),
+        "evaluate_overall": scores(f"SELECT sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM ({evaluation(derived)})", True),
+        "evaluation_failures": failures(derived),
+        "audit_coverage": f"SELECT count(*) AS total, count(*) FILTER (WHERE NOT survived) AS redacted, count(*) FILTER (WHERE survived) AS survived, (SELECT count(*) FROM ({changes})) AS unintended_changes, (count(*) FILTER (WHERE NOT survived))::DOUBLE / count(*) AS coverage FROM ({audit})",
+        "audit_surviving": f"SELECT doc_id, found AS original_text, entity_type, new AS expected_replacement, substr(actual, there + 1, length(new)) AS actual_text FROM ({audit}) WHERE survived",
+        "audit_changes": changes,
+        "audit_categories": f"SELECT entity_type AS category, count(*) AS total, count(*) FILTER (WHERE survived) AS survived FROM ({audit}) GROUP BY entity_type",
+        "memo_propagation": "SELECT c_custkey AS doc_id, s AS seq, 'Asha Rao' || chr(97 + (c_custkey % 26)::INT) AS text, place AS start_at, detector FROM customer, (VALUES (0, 0, 'cell'), (2, 6, 'stateful_memo'), (2, 5, 'stateful_memo')) AS v(s, place, detector)",
+        "conversation_stats": f"SELECT conv_id, count(*) AS turns, coalesce(sum(c), 0)::BIGINT AS total_candidates, coalesce(sum(r), 0)::BIGINT AS entities_replaced FROM (SELECT * FROM conversations WHERE regexp_matches(text, '\\S')) LEFT JOIN (SELECT doc_id AS conv_id, seq AS turn, count(*) AS c FROM ({candidates(TURNS)}) GROUP BY ALL) USING (conv_id, turn) LEFT JOIN (SELECT doc_id AS conv_id, seq AS turn, count(*) AS r FROM ({findings(TURNS)}) GROUP BY ALL) USING (conv_id, turn) GROUP BY conv_id",
     }

@@ -12,13 +12,13 @@ from maskwright.functions import pseudonym
 from maskwright.functions import text as T
 from maskwright.operators import audit as auditing
 from maskwright.operators import context, detect, measure, refine, resolve
-from maskwright.plans import corpus, pipeline
+from maskwright.plans import corpus, pipeline, surface
 from maskwright.sources import tables
 from maskwright.streaming import micro
 
 Query = Callable[[SparkSession, str], DataFrame]
-#: Patterns only, of three types that never overlap in the documents: what plain SQL can follow to the end.
-THREE = pipeline.Config(detectors=("patterns",), enabled=("EMAIL", "CREDIT_CARD", "IP_ADDRESS"), drop_intermediate=True, use_memo=False)
+#: Patterns of every type, without what context says of them.
+PATTERNS = pipeline.Config(detectors=("patterns",), drop_intermediate=True, use_memo=False)
 
 
 def _load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -45,8 +45,6 @@ def _generation(find: Callable[[Column], Column]) -> Query:
 def _refinement(kind: str, find: Callable[[Column], Column]) -> Query:
     def query(spark, sf_dir):
         rows = corpus.derived(spark, sf_dir)
-        if kind == "PHONE":
-            rows = rows.where("kind = 'phone'")
         refined = refine.refine(rows.withColumn("candidates", T.once(find(F.col("text")))))
         return refined.select("doc_id", F.explode("refined").alias("e")).where(F.col("e.entity_type") == kind).select("doc_id", "e.text", "e.confidence")
 
@@ -55,7 +53,7 @@ def _refinement(kind: str, find: Callable[[Column], Column]) -> Query:
 
 def refine_header_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.sql(corpus.header_candidates_sql("{customer}"), customer=_load(spark, sf_dir, "customer"))
-    one = T.entity(F.col("found"), F.col("entity_type"), F.lit(0), F.length("found"), F.col("confidence"), "names")
+    one = T.entity(F.col("found"), F.col("entity_type"), F.lit(0), F.length("found"), F.col("confidence"), V.NAME_DETECTOR)
     refined = refine.refine(rows.withColumn("candidates", F.array(one)))
     return refined.select("doc_id", F.explode("refined").alias("e")).select("doc_id", "e.text", "e.entity_type", "e.confidence")
 
@@ -90,29 +88,36 @@ def redact_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redact_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pipeline.redact(_lines(spark, sf_dir), THREE).where(F.size("resolved") > 0).select("doc_id", "seq", "redacted_text")
+    return pipeline.redact(_lines(spark, sf_dir), PATTERNS).where(F.size("resolved") > 0).select("doc_id", "seq", "redacted_text")
 
 
 def stream_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same from a stream of files, by micro-batches."""
-    return micro.redact_files(spark, f"{sf_dir}/documents.parquet", THREE).where("n_entities > 0").select("doc_id", "seq", "redacted_text")
+    return micro.redact_files(spark, f"{sf_dir}/documents.parquet", pipeline.Config()).where("n_entities > 0").select("doc_id", "seq", "redacted_text")
 
 
-def _three(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pipeline.entities(pipeline.analyse(_lines(spark, sf_dir), THREE))
+def sql_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through the views for SQL."""
+    _, entities, redacted = surface.register(spark, _lines(spark, sf_dir), prefix="documents")
+    return spark.sql(f"SELECT doc_id, seq, redacted_text FROM {redacted} LEFT SEMI JOIN {entities} USING (doc_id, seq)")
+
+
+def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipeline.entities(pipeline.analyse(_lines(spark, sf_dir)))
 
 
 def entity_counts_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return measure.counts_by_type(_three(spark, sf_dir))
+    return measure.counts_by_type(_found(spark, sf_dir))
 
 
 def entity_rollup_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _three(spark, sf_dir).join(_load(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
-    return found.rollup("lang", "entity_type").agg(F.count("*").alias("n"))
+    lines = tables.lines(_load(spark, sf_dir, "documents").select("doc_id", "text", "lang"), keep=("lang",))
+    found = pipeline.analyse(lines).where(F.size("resolved") > 0).select("doc_id", "lang", F.explode("resolved.entity_type").alias("entity_type"))
+    return found.rollup("lang", "entity_type").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
 
 
 def pipeline_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return measure.stats(pipeline.analyse(_lines(spark, sf_dir), THREE)).select("doc_id", "processed_paragraphs", "entities_replaced")
+    return measure.stats(pipeline.analyse(_lines(spark, sf_dir))).select("doc_id", "processed_paragraphs", "entities_replaced")
 
 
 def pipeline_stats_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,12 +126,12 @@ def pipeline_stats_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _load(spark, sf_dir, "documents").select("doc_id", "lang", "source")
-    return docs.join(_three(spark, sf_dir).select("doc_id"), "doc_id", "left_anti")
+    return docs.join(_found(spark, sf_dir).select("doc_id"), "doc_id", "left_anti")
 
 
 def top_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 documents with most findings."""
-    return _three(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "doc_id").limit(20)
+    return _found(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "doc_id").limit(20)
 
 
 def tabular_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,59 +142,80 @@ def tabular_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "text", F.col("redacted_text").alias("replacement"))
 
 
-def _evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of two e-mail addresses each, of which one in ten isn't expected, and expectations that nothing meets."""
-    rows = corpus.derived(spark, sf_dir).where("kind = 'email'").withColumn("k", F.expr("doc_id div 100"))
-    gold = lambda text: F.struct(F.lit("EMAIL").alias("type"), text.alias("text"))
-    first = F.concat(F.lit("user"), F.col("k").cast("string"), F.lit("@mail"), (F.col("k") % 9).cast("string"), F.lit(".example.com"))
-    second = F.concat(F.col("k").cast("string"), F.lit("@x.org"))
-    gone = F.when(F.col("k") % 7 == 0, F.array(gold(F.lit("nobody@nowhere.net")))).otherwise(F.array().cast("array<struct<type:string,text:string>>"))
-    rows = rows.withColumn("entities", F.concat(F.when(F.col("k") % 5 != 0, F.array(gold(first), gold(second))).otherwise(F.array(gold(first))), gone))
-    return measure.category_counts(measure.evaluated(pipeline.analyse(rows, THREE)), ("EMAIL",))
+def _gold(rows: DataFrame) -> DataFrame:
+    """Derived lines with what is expected of them: two e-mail addresses of which one in ten isn't, half of the social security numbers, and an address that isn't there."""
+    k, kind = F.expr("doc_id div 100"), F.col("kind")
+    gold = lambda name, text: F.struct(F.lit(name).alias("type"), text.alias("text"))
+    none = F.array().cast("array<struct<type:string,text:string>>")
+    first = gold("EMAIL", F.concat(F.lit("user"), k.cast("string"), F.lit("@mail"), (k % 9).cast("string"), F.lit(".example.com")))
+    second = gold("EMAIL", F.concat(k.cast("string"), F.lit("@x.org")))
+    there = F.when(k % 5 != 0, F.array(first, second)).otherwise(F.array(first))
+    gone = F.when(k % 7 == 0, F.array(gold("EMAIL", F.lit("nobody@nowhere.net")))).otherwise(none)
+    number = F.when(k % 2 == 0, F.array(gold("SSN", F.substring("text", 5, 11)))).otherwise(none)
+    return rows.withColumn("entities", F.when(kind == "email", F.concat(there, gone)).when(kind == "ssn", number).otherwise(none))
+
+
+def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measure.evaluated(pipeline.analyse(_gold(corpus.derived(spark, sf_dir))))
 
 
 def evaluate_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return measure.category_scores(_evaluation(spark, sf_dir)).select("category", "tp", "fp", "fn", "precision", "recall")
+    return measure.category_scores(measure.category_counts(_evaluated(spark, sf_dir)))
 
 
 def evaluate_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return measure.overall_scores(_evaluation(spark, sf_dir)).select("tp", "fp", "fn")
+    return measure.overall_scores(measure.category_counts(_evaluated(spark, sf_dir)))
+
+
+def evaluation_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outcomes = _evaluated(spark, sf_dir)
+    row = lambda what, e, kind: F.struct(F.lit(what).alias("failure"), e[kind].alias("entity_type"), e["text"].alias("text"))
+    rows = F.concat(F.transform("outcome.false_positives", lambda e: row("false positive", e, "entity_type")), F.transform("outcome.false_negatives", lambda e: row("false negative", e, "type")))
+    return outcomes.select("doc_id", F.explode(rows).alias("f")).select("doc_id", "f.*")
 
 
 def _audited(spark: SparkSession, sf_dir: str) -> auditing.Report:
-    """Lines with addresses of machines, of which a third was left as it was."""
-    expected = pipeline.redact(corpus.derived(spark, sf_dir), pipeline.Config(detectors=("patterns",), enabled=("IP_ADDRESS",), drop_intermediate=True, use_memo=False))
-    actual = expected.select("doc_id", "seq", F.when(F.expr("doc_id div 100 % 3 = 0"), F.col("text")).otherwise(F.col("redacted_text")).alias("actual_text"))
+    """The derived lines, of which a third was left as it was, and another third has got something added."""
+    expected = pipeline.redact(corpus.derived(spark, sf_dir))
+    third = F.expr("doc_id div 100 % 3")
+    added = F.when(F.size("resolved") > 0, F.concat("redacted_text", F.lit(" etc."))).otherwise(F.col("redacted_text"))
+    actual = expected.select("doc_id", "seq", F.when(third == 0, F.col("text")).when(third == 1, F.col("redacted_text")).otherwise(added).alias("actual_text"))
     return auditing.audit(expected, actual)
 
 
 def audit_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _audited(spark, sf_dir).totals.select("total", "survived", "coverage")
+    return _audited(spark, sf_dir).totals
 
 
 def audit_surviving(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _audited(spark, sf_dir).surviving.select("doc_id", "original_text", F.col("type").alias("entity_type"))
+    return _audited(spark, sf_dir).surviving.select("doc_id", "original_text", F.col("type").alias("entity_type"), "expected_replacement", "actual_text")
+
+
+def audit_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _audited(spark, sf_dir).changes.select("doc_id", "expected", "actual")
+
+
+def audit_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _audited(spark, sf_dir).by_category
 
 
 def memo_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A name that only a table cell gives away is found in the document's later paragraph, but not in the earlier one."""
+    """A name that only a table cell gives away is found in the document's later paragraphs, two of which share a place, but not in the earlier one."""
     name = F.concat(F.lit("Asha Rao"), F.chr(F.lit(97) + F.col("c_custkey") % 26))
     customers = _load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), name.alias("name"))
-    made = F.array(
-        F.struct(F.lit(-1).alias("seq"), F.concat(F.lit("Later "), "name", F.lit(" came")).alias("text"), F.lit("").alias("header_text")),
-        F.struct(F.lit(0).alias("seq"), F.col("name").alias("text"), F.lit("Full Name").alias("header_text")),
-        F.struct(F.lit(1).alias("seq"), F.concat(F.lit("X"), "name").alias("text"), F.lit("").alias("header_text")),
-        F.struct(F.lit(2).alias("seq"), F.concat(F.lit("Later "), "name", F.lit(" came")).alias("text"), F.lit("").alias("header_text")),
-    )
+    paragraph = lambda seq, text, header="": F.struct(F.lit(seq).alias("seq"), text.alias("text"), F.lit(header).alias("header_text"))
+    said = lambda before, after: F.concat(F.lit(before), "name", F.lit(after))
+    made = F.array(paragraph(-1, said("Later ", " came")), paragraph(0, F.col("name"), "Full Name"), paragraph(1, said("X", "")), paragraph(2, said("Later ", " came")), paragraph(2, said("Then ", " and Asha Rao")))
     paragraphs = customers.select("doc_id", F.explode(made).alias("p")).select("doc_id", "p.*")
     whole = lambda text: F.when(text.rlike("^Asha Rao.$"), F.array(T.entity(text, "PERSON", F.lit(0), F.length(text), V.NAME_MODEL, "cell"))).otherwise(T.no_entities())
     done = pipeline.entities(pipeline.analyse(paragraphs, pipeline.Config(detectors=(whole, "context"))))
-    return done.select("doc_id", "seq", "text", F.col("start").alias("start_at"))
+    return done.select("doc_id", "seq", "text", F.col("start").alias("start_at"), "detector")
 
 
-def conversation_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = tables.turns(_load(spark, sf_dir, "conversations")).withColumn("e", T.once(detect.emails(F.col("text"))))
-    return _spans(found, "doc_id", "seq").select(F.col("doc_id").alias("conv_id"), F.col("seq").cast("long").alias("turn"), "text")
+def conversation_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation's turns, and the findings in them."""
+    done = pipeline.analyse(tables.turns(_load(spark, sf_dir, "conversations")))
+    return measure.stats(done).select(F.col("doc_id").alias("conv_id"), F.col("processed_paragraphs").alias("turns"), "total_candidates", "entities_replaced")
 
 
 def page_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,6 +244,6 @@ def queries() -> dict[str, Query]:
     }
     plain = (
         refine_header_context, resolve_overlaps, pseudonym_seed, pseudonymize, redact_documents, redact_derived, redact_patterns, stream_redact, entity_counts_by_type, entity_rollup_lang, pipeline_stats, pipeline_stats_all,
-        clean_documents, top_documents, tabular_redaction, evaluate_categories, evaluate_overall, audit_coverage, audit_surviving, memo_propagation, conversation_emails, page_entities,
+        clean_documents, top_documents, tabular_redaction, evaluate_categories, evaluate_overall, evaluation_failures, audit_coverage, audit_surviving, audit_changes, audit_categories, memo_propagation, conversation_stats, page_entities, sql_redact,
     )
     return found | {f.__name__: f for f in plain}

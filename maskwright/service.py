@@ -34,11 +34,10 @@ def redact_bytes(spark: SparkSession, content: bytes, config: pipeline.Config =
 
 
 def report_path(output: str) -> str:
-    """Beside the output, or in the folder evaluation if there is one and the output isn't there."""
-    name, folder = "redaction_integrity_report.json", os.path.dirname(output)
-    if os.path.basename(folder) != "evaluation" and os.path.exists("evaluation"):
-        folder = "evaluation"
-    return os.path.join(folder, name)
+    """Beside an output that lies in a folder named evaluation, else in the working directory's folder of that name, if there is one."""
+    beside = os.path.dirname(output)
+    shared = os.path.isdir("evaluation") and os.path.basename(beside) != "evaluation"
+    return os.path.join("evaluation" if shared else beside, "redaction_integrity_report.json")
 
 
 def redact_file(spark: SparkSession, source: str, output: str, config: pipeline.Config = pipeline.Config()) -> dict[str, Any]:
@@ -91,12 +90,19 @@ def serve(spark: SparkSession, host: str = "127.0.0.1", port: int = 8000) -> Thr
             status, kind, out = answer(spark, self.command, self.path, self.headers.get("Content-Type", ""), body)
             self.send_response(status)
             self.send_header("Content-Type", kind)
+            self.send_header("Access-Control-Allow-Origin", "*")
             if kind == MEDIA_TYPE:
                 self.send_header("Content-Disposition", 'attachment; filename="redacted.docx"')
             self.send_header("Content-Length", str(len(out)))
             self.end_headers()
             self.wfile.write(out)
 
+        def do_OPTIONS(self) -> None:
+            self.send_response(204)
+            for name, value in (("Origin", "*"), ("Methods", "GET, POST, OPTIONS"), ("Headers", "*")):
+                self.send_header(f"Access-Control-Allow-{name}", value)
+            self.end_headers()
+
         do_GET = do_POST = _reply
 
     return ThreadingHTTPServer((host, port), Handler)

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 LOCATION = "struct<paragraph_index:int,table_index:int,row_index:int,cell_index:int,is_header:boolean,is_footer:boolean>"
 
 
-def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, seq, text, header_text) of the lines that aren't blank; seq is the line's place in its text."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(text_col, "\n")).alias("seq", "text"))
+def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, seq, text, header_text) of the lines that aren't blank; seq is the line's place in its text. keep: further columns."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), *keep, F.posexplode(F.split(text_col, "\n")).alias("seq", "text"))
     return rows.where(F.col("text").rlike(r"(?U)\S")).withColumn("header_text", F.lit(None).cast("string"))
 
 

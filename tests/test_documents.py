@@ -77,9 +77,23 @@ def test_many_documents_and_audit(spark, tmp_path):
     report = audit.audit(done, left)
     assert report.totals.first().survived == 6 and report.by_category.first().survived == 6 and report.changes.count() >= 3
     report.write(str(tmp_path / "audit"))
+    one = report.document()
+    assert one["total_original_pii_candidates"] == 6 and one["redacted_candidates"] == 0 and one["by_category"] == {"EMAIL": {"total": 6, "survived": 6}}
+    assert len(one["surviving_pii"]) == 6 and {"original_text", "location", "detector_source"} <= set(one["surviving_pii"][0])
     assert audit.audit(done.limit(0), actual).totals.first().coverage == 1.0
 
 
+def test_audit_of_shared_and_missing_places(spark):
+    rows = [("d", 0, "a@x.org", None), ("d", 0, "b@x.org", None), (None, 1, "c@x.org", None), ("d", 2, "d@x.org", None)]
+    done = pipeline.redact(spark.createDataFrame(rows, "doc_id string, seq int, text string, header_text string"))
+    actual = done.select("doc_id", "seq", F.when(F.col("doc_id").isNull(), F.col("text")).otherwise(F.col("redacted_text")).alias("actual_text"))
+    report = audit.audit(done, actual)
+    assert report.totals.first().asDict() == {"total": 4, "redacted": 3, "survived": 1, "unintended_changes": 0, "coverage": 0.75}
+    assert report.surviving.first().original_text == "c@x.org"
+    gone = audit.audit(done, actual.where("doc_id = 'd' and seq = 0"))
+    assert gone.totals.first().survived == 2
+
+
 def test_command_line(spark, tmp_path, monkeypatch):
     monkeypatch.chdir(tmp_path)
     source, target = tmp_path / "in.docx", tmp_path / "out.docx"
@@ -91,6 +105,7 @@ def test_command_line(spark, tmp_path, monkeypatch):
     assert report["entity_counts_by_type"]["PERSON"] == 2 and report["integrity_violations_found"] == 0
     assert cli.main(["-i", "missing.docx", "-o", "x.docx"]) == 0
     assert cli.main(["-i", str(source), "--audit", str(target), "--names", "names.json", "--report", str(tmp_path / "report")]) == 0
+    assert json.loads((tmp_path / "report" / "redaction_audit.json").read_text())["coverage"] == 1.0
 
 
 def test_http(spark):

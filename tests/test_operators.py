@@ -1,4 +1,5 @@
 import random
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -162,7 +163,7 @@ def test_memo(spark):
     rows = [("a", 0, "Then Asha Raos and blacksmith", None), ("a", 1, "Asha Rao", "Full Name"), ("a", 2, "the Asha Rao file, Asha Raoul", None), ("b", 0, "Asha Rao", "Full Name of Director"), ("b", 1, "the Asha Rao file", None)]
     df = spark.createDataFrame(rows, PARAGRAPH)
     got = {(r.doc_id, r.seq): (r.text, r.confidence, r.detector) for r in pipeline.entities(pipeline.analyse(df, person)).collect()}
-    assert got == {("a", 1): ("Asha Rao", 0.95, "names"), ("a", 2): ("Asha Rao", 0.99, "names,memo"), ("b", 0): ("Asha Rao", 0.92, "names"), ("b", 1): ("Asha Rao", 0.70, "names")}
+    assert got == {("a", 1): ("Asha Rao", 0.95, "spacy_ner"), ("a", 2): ("Asha Rao", 0.99, "spacy_ner,stateful_memo"), ("b", 0): ("Asha Rao", 0.92, "spacy_ner"), ("b", 1): ("Asha Rao", 0.70, "spacy_ner")}
     lower = pipeline.Config(detectors=("patterns", "context"), memo_min_confidence=0.92)
     rows = [("a", 0, "Asha Rao waits", None), ("a", 1, "KMPs including Asha Rao", None), ("a", 2, "Asha Rao left", None)]
     df = spark.createDataFrame(rows, PARAGRAPH)
@@ -171,6 +172,51 @@ def test_memo(spark):
     assert {r.seq for r in pipeline.entities(pipeline.analyse(df, whole)).collect()} == {0, 1, 2}
 
 
+def test_memo_keeps_every_row(spark):
+    """Paragraphs that share a place, or have none, stay as many as they were, with their other columns."""
+    person = pipeline.Config(name_provider=names.ListProvider(people=["Asha Rao"]))
+    rows = [("a", 0, "Asha Rao", "Full Name", 1), ("a", 1, "the Asha Rao file", None, 2), ("a", 1, "an Asha Rao note", None, 3), ("a", None, "Asha Rao here", None, 4), (None, 0, "Asha Rao", "Full Name", 5), (None, 0, "the Asha Rao file", None, 6)]
+    df = spark.createDataFrame(rows, PARAGRAPH + ", n int").withColumn("loc", F.struct(F.lit(1).alias("x"), F.array(F.lit("y")).alias("z")))
+    done = pipeline.analyse(df, person)
+    got = {r.n: r for r in done.collect()}
+    assert len(got) == 6 and done.count() == 6
+    assert all(r.loc.z == ["y"] for r in got.values())
+    assert [[e.confidence for e in got[n].resolved] for n in (1, 2, 3, 6)] == [[0.95], [0.99], [0.99], [0.70]]
+    plan = pipeline.analyse(df, person)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("Exchange") == 1
+    assert pipeline.analyse(df.limit(0), person).count() == 0
+
+
+def test_name_model(monkeypatch):
+    """What spaCy finds is taken over; without it, or without the model, nothing is found. A model never sees more than so many characters."""
+    import types
+
+    class Doc:
+        def __init__(self, text):
+            seen.append(len(text))
+            self.ents = [types.SimpleNamespace(label_="PERSON", start_char=0, end_char=4)]
+
+    def load(name):
+        if name == "missing":
+            raise OSError(name)
+        return Doc
+
+    seen = []
+    monkeypatch.setitem(sys.modules, "spacy", types.SimpleNamespace(load=load))
+    assert names.ModelProvider("there").load()("Asha Rao") == [("PERSON", 0, 4)]
+    assert names.ModelProvider("missing").load()("Asha Rao") == ()
+    monkeypatch.setitem(sys.modules, "spacy", None)
+    assert names.ModelProvider().load()("Asha Rao") == ()
+
+
+def test_a_model_sees_so_many_characters(spark):
+    name, most = "Asha Rao", names.MOST_CHARACTERS
+    texts = ["x" * (most - 9) + " " + name + " later", "x" * (most - 4) + " " + name]
+    df = spark.createDataFrame([("d", i, t, "Full Name") for i, t in enumerate(texts)], PARAGRAPH)
+    person = pipeline.Config(detectors=("names",), name_provider=names.ListProvider(people=[name]), use_memo=False)
+    assert [[e.text for e in r.candidates] for r in pipeline.candidates(df, person).orderBy("seq").collect()] == [[name], []]
+
+
 def test_intermediate_types_without_context(spark):
     only = pipeline.Config(detectors=("patterns",))
     assert found(spark, ["on 01/02/2020"], only) == [[("DATE", "01/02/2020", 0.85)]]
