@@ -176,7 +176,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.withColumn("copy", F.xxhash64("text"))
 
 
-def _wide(rows: DataFrame, words: int, tables: Tables, lanes: int) -> DataFrame:
+def _wide(rows: DataFrame, words: int, tables: Tables, lanes: int, seed: int) -> DataFrame:
     """(id, copy, class: a hash of the shingle set, c: the fingerprint's lanes, probes: for each table its own key, then those with a weak bit flipped)."""
     schema = pa.schema([("id", pa.int64()), ("copy", pa.int64()), ("class", pa.int64()), ("c", pa.list_(pa.int64())), ("probes", pa.list_(pa.int64()))])
     powers = 1 << np.arange(tables.bits, dtype=np.int64)
@@ -188,7 +188,7 @@ def _wide(rows: DataFrame, words: int, tables: Tables, lanes: int) -> DataFrame:
             names, codes, probes = [], [], []
             for text in texts_of(batch):
                 shingles = shingle_set(text, words)
-                names.append(xxhash.xxh64_intdigest(shingles.tobytes(), SEED))
+                names.append(xxhash.xxh64_intdigest(shingles.tobytes(), seed))
                 margin = 2 * votes(shingles, lanes) - len(shingles)
                 on = margin > 0
                 codes.append(np.packbits(on, bitorder="little").view("<i8"))
@@ -231,7 +231,7 @@ def _near_runs(key: np.ndarray, ids: np.ndarray, codes: np.ndarray, most: int, c
     """(a, b, tree) among the rows of each key, which are sorted by key: pairs whose fingerprints are near.
 
     Without components: all pairs of a short run, whose tree is -1, and a forest of nearest pairs of a longer one, whose trees
-    are named by a member (ids lose their last bit). With components: all pairs of different components.
+    are named by a member (ids lose their last bit). With components: all pairs of different components, with their key for a tree.
     """
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     sizes = np.diff(np.r_[starts, len(key)])
@@ -248,7 +248,7 @@ def _near_runs(key: np.ndarray, ids: np.ndarray, codes: np.ndarray, most: int, c
         at = at[np.bitwise_count(codes[at] ^ codes[at + d]).sum(axis=1) <= most]
         if component is not None:
             at = at[component[at] != component[at + d]]
-        add(ids[at], ids[at + d], np.full(len(at), -1))
+        add(ids[at], ids[at + d], np.full(len(at), -1) if component is None else key[at])
     for i in np.flatnonzero(sizes > SHORT_RUN):
         rows = np.arange(starts[i], starts[i] + sizes[i])
         rows = rows[np.unique(ids[rows], return_index=True)[1]]
@@ -260,13 +260,25 @@ def _near_runs(key: np.ndarray, ids: np.ndarray, codes: np.ndarray, most: int, c
         for k in range(len(rows) - 1):
             other = np.flatnonzero(own[k + 1 :] != own[k]) + k + 1
             other = rows[other[_apart(mine[other], mine[k]) <= most]]
-            add(np.full(len(other), ids[rows[k]]), ids[other], np.full(len(other), -1))
+            add(np.full(len(other), ids[rows[k]]), ids[other], np.full(len(other), key[starts[i]]))
     a, b, tree = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (a, b, tree))
     return a[a != b], b[a != b], tree[a != b]
 
 
-def _meetings(probes: DataFrame, most: int) -> DataFrame:
-    """Rows (a, b, tree) from rows (key, part, class, c, and component in the second round), each once."""
+def _first_meeting(key: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Marks pairs whose key is the least that they have in common; a, b: their keys, (pairs, tables, keys in a table)."""
+    out, last = np.empty(len(key), dtype=bool), np.iinfo(np.int64).max
+    for at in range(0, len(key), 10_000):
+        x, y = a[at : at + 10_000, :, :, None], b[at : at + 10_000, :, None, :]
+        out[at : at + 10_000] = np.where(x == y, x, last).min(axis=(1, 2, 3)) == key[at : at + 10_000]
+    return out
+
+
+def _meetings(probes: DataFrame, most: int, tables: Tables) -> DataFrame:
+    """Rows (a, b, tree) from rows (key, part, class, c, and in the second round component and probes), each once.
+
+    A pair of the second round comes from the first of the keys under which it meets.
+    """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("tree", pa.int64())])
     grouped = "component" in probes.columns
 
@@ -276,9 +288,16 @@ def _meetings(probes: DataFrame, most: int) -> DataFrame:
         part = table.column("part").to_numpy().astype(np.int64)
         key = table.column("key").to_numpy()
         run = np.cumsum(np.r_[False, (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
-        found = _near_runs(run, table.column("class").to_numpy(), codes, most, table.column("component").to_numpy() if grouped else None)
-        if len(found[0]):
-            yield record_batch(schema, *found)
+        ids = table.column("class").to_numpy()
+        a, b, tree = _near_runs(run, ids, codes, most, table.column("component").to_numpy() if grouped else None)
+        if grouped and len(a):
+            names, row = np.unique(ids, return_index=True)
+            probes = table.column("probes").combine_chunks().flatten().to_numpy().reshape(len(table), tables.count, -1)
+            met = key[np.searchsorted(run, tree)]
+            first = _first_meeting(met, probes[row[np.searchsorted(names, a)]], probes[row[np.searchsorted(names, b)]])
+            a, b, tree = a[first], b[first], np.full(int(first.sum()), -1)
+        if len(a):
+            yield record_batch(schema, a, b, tree)
 
     def run(batches):
         held, size = [], 0
@@ -303,7 +322,7 @@ def _meetings(probes: DataFrame, most: int) -> DataFrame:
 
 def _probes(classes: DataFrame, written: Written) -> DataFrame:
     """(class, c, component if it is there, key, part): a row for each probe; a key with very many rows is dealt to pairs of blocks."""
-    carried = [c for c in ("class", "c", "component") if c in classes.columns]
+    carried = [c for c in ("class", "c", "component") if c in classes.columns] + ["probes"] * ("component" in classes.columns)
     probes = classes.select(*carried, F.explode("probes").alias("key")).withColumn("part", F.lit(0))
     hot = classes.select(F.explode("probes").alias("key")).groupBy("key").count().where(F.col("count") > MOST_UNDER_KEY)
     hot = written.put(hot.select("key", F.ceil(F.col("count") / MOST_UNDER_KEY).cast("int").alias("blocks")), "hot")
@@ -364,9 +383,16 @@ def _groups(docs: DataFrame, words: int, similarity: float, recall: float, id_co
     tables = plan(docs.count(), flip, recall, extra_bits=0)
     lanes = max(LANES, -(-tables.bits * tables.count // 64))
     most = _most_apart(lanes, flip)
-    wide = written.put(_wide(rows, words, tables, lanes), "wide")
-    classes = written.put(wide.groupBy("class").agg(F.min(F.struct("id", "copy")).alias("least"), F.min("c").alias("c"), F.min("probes").alias("probes")), "classes")
-    met = written.put(_meetings(_probes(classes, written), most), "met")
+    for seed in range(SEED, SEED + 100):
+        wide = written.put(_wide(rows, words, tables, lanes, seed), "wide")
+        classes = wide.groupBy("class").agg(F.min(F.struct("id", "copy")).alias("least"), F.min("c").alias("c"), F.max("c").alias("most_c"), F.min("probes").alias("probes"))
+        classes = written.put(classes, "classes")
+        if classes.where("c <> most_c").isEmpty():  # else two sets have the same hash: it is taken with another seed
+            break
+        written.drop(wide)
+        written.drop(classes)
+    classes = classes.drop("most_c")
+    met = written.put(_meetings(_probes(classes, written), most, tables), "met")
     ends = lambda edges: edges.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     sets = written.put(_sets(rows, classes.join(ends(met), "class", "left_semi"), words), "sets")
     tested = met.select("a", "b").distinct()
@@ -379,7 +405,7 @@ def _groups(docs: DataFrame, words: int, similarity: float, recall: float, id_co
         again = ends(met.join(open_trees, "tree", "left_semi"))
         again = _fine(sets.join(again, "class", "left_semi")).join(classes.select("class", "probes"), "class").join(reached, "class", "left")
         again = written.put(again.select("class", "c", "probes", F.coalesce("component", "class").alias("component")), "again")
-        more = _meetings(_probes(again, written), _most_apart(FINE_LANES, flip)).select("a", "b")
+        more = _meetings(_probes(again, written), _most_apart(FINE_LANES, flip), tables).select("a", "b")
         more = written.put(_similar(more.join(tested, ["a", "b"], "left_anti"), sets, similarity), "similar")
         reached = components(edges.unionByName(more), written).withColumnRenamed("node", "class")
     named = classes.select("class", "least").join(reached, "class", "left").withColumn("component", F.coalesce("component", "class"))
