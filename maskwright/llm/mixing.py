@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +12,8 @@ from maskwright.llm.common import shuffle_width
 SEED = 42
 #: A Poisson variable of a larger mean is the sum of independent ones of at most this mean.
 MOST_MEAN = 16.0
+#: Such a variable exceeds this number with a chance below 1e-40.
+MOST_COUNT = 100
 #: Up to so many sources their rates are sent to every task; beyond, they are joined.
 MOST_SOURCES = 10_000
 
@@ -29,7 +29,7 @@ def rates(docs: DataFrame, weights: Mapping[str | None, float] | None = None, so
 
     weights: relative, by source; a source left out gets 0; None: all sources alike. A null source is a source.
     """
-    counts = docs.groupBy(F.col(source_col).alias("source")).agg(F.count("*").alias("n"))
+    counts = docs.groupBy(F.col(f"`{source_col}`").alias("source")).agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("total"), F.count("*").alias("sources"))
     if weights is None:
         weighed = counts.crossJoin(F.broadcast(total)).withColumn("weight", 1.0 / F.col("sources"))  # total is one row
@@ -40,18 +40,23 @@ def rates(docs: DataFrame, weights: Mapping[str | None, float] | None = None, so
     return weighed.select("source", (F.col("weight") * F.col("total") / F.col("n")).alias("rate"))
 
 
-def inverse_poisson(u: np.ndarray, mean: np.ndarray) -> np.ndarray:
-    """The least k at which the distribution function reaches u."""
-    k = np.zeros(len(u), dtype=np.int64)
-    term = np.exp(-mean)
-    below = term.copy()
-    going = (below < u) & (mean > 0)
-    while going.any():
-        k += going
-        term = np.where(going, term * mean / np.maximum(k, 1), term)
-        below = np.where(going, below + term, below)
-        going &= (below < u) & (term > 0)
-    return k
+def below(mean):
+    """Array of the Poisson distribution function at 0, 1, ... for a mean of at most MOST_MEAN."""
+
+    def step(s, k):
+        term = s["term"] * mean / k
+        return F.struct(term.alias("term"), F.concat(s["sums"], F.array(F.element_at(s["sums"], -1) + term)).alias("sums"))
+
+    first = F.exp(-mean)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(MOST_COUNT)), F.struct(first.alias("term"), F.array(first).alias("sums")), step, lambda s: s["sums"])
+
+
+def _free(taken: list[str], name: str) -> str:
+    """The name, longer if a column has it."""
+    taken = {c.lower() for c in taken}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def replicated(docs: DataFrame, weights: Mapping[str | None, float] | None = None, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
@@ -60,34 +65,22 @@ def replicated(docs: DataFrame, weights: Mapping[str | None, float] | None = Non
     The number is the inverse of a Poisson distribution, of the mean that its source's target weight asks for, at a hash of
     seed and id: the same for the same id, whatever the order or the partitions. Rows that repeat an id are each taken
     that often; a null id hashes as an empty one; texts are never looked at; an empty table stays empty; a column named
-    copy is replaced, others stay.
+    copy is replaced, all others stay, whatever their names.
     """
-    spark = docs.sparkSession
-    table = rates(docs, weights, source_col).select(F.col("source").alias("rate_source"), F.col("rate").alias("mean_copies"))
+    spark, names = docs.sparkSession, [c for c in docs.columns if c.lower() != "copy"]
+    source, parts, sums, order = (_free(docs.columns, n) for n in ("mixed_source", "mixed_parts", "mixed_sums", "mixed_order"))
+    n_parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / MOST_MEAN)).cast("int")
+    table = rates(docs, weights, source_col).select(F.col("source").alias(source), n_parts.alias(parts), below(F.col("rate") / n_parts).alias(sums))
     if docs.select(source_col).distinct().limit(MOST_SOURCES + 1).count() <= MOST_SOURCES:
         table = F.broadcast(table)  # its size has been checked
-    drawn = docs.drop("copy").join(table, F.col(source_col).eqNullSafe(F.col("rate_source"))).drop("rate_source")
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-
-    @F.pandas_udf("long")
-    def copies(u, key, mean):
-        import hashlib
-
-        u, mean = u.to_numpy(dtype=np.float64), mean.to_numpy(dtype=np.float64)
-        parts = np.maximum(1, np.ceil(mean / MOST_MEAN)).astype(np.int64)
-        out = inverse_poisson(u, mean / parts)
-        for i in np.flatnonzero(parts > 1):
-            more = [(int(hashlib.md5(f"{seed}|{key[i]}|{j}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52) for j in range(1, parts[i])]
-            out[i] += inverse_poisson(np.array(more), np.full(len(more), mean[i] / parts[i])).sum()
-        import pandas as pd
-
-        return pd.Series(out)
-
-    drawn = drawn.withColumn("n_copies", copies(uniform(F.lit(str(seed)), key), key, F.col("mean_copies"))).where("n_copies > 0")
-    names = [c for c in docs.columns if c != "copy"]
-    many = drawn.select(*names, F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_copies") - 1)).alias("copy"))
-    order = F.rand(seed)
-    return many.withColumn("random_order", order).repartition(shuffle_width(spark), "random_order").sortWithinPartitions("random_order").drop("random_order")
+    drawn = docs.select(*[F.col(f"`{c}`") for c in names]).join(table, F.col(f"`{source_col}`").eqNullSafe(F.col(source)))
+    key = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))
+    count = lambda u: F.size(F.filter(sums, lambda s: s < u))
+    # a large mean is the sum of several: the first takes the hash of the id, the others further ones
+    more = F.aggregate(F.sequence(F.lit(1), F.col(parts) - 1), F.lit(0), lambda n, j: n + count(uniform(F.lit(str(seed)), key, j.cast("string"))))
+    copies = count(uniform(F.lit(str(seed)), key)) + F.when(F.col(parts) > 1, more).otherwise(0)
+    many = drawn.select(*[F.col(f"`{c}`") for c in names], F.explode(F.when(copies > 0, F.sequence(F.lit(0).cast("long"), copies.cast("long") - 1))).alias("copy"))
+    return many.withColumn(order, F.rand(seed)).repartition(shuffle_width(spark), order).sortWithinPartitions(order).drop(order)
 
 
 #: DuckDB: the same for equal weights, where no mean exceeds MOST_MEAN.
