@@ -12,9 +12,15 @@ from pyspark.sql import functions as F
 from maskwright.llm.common import lean, record_batch, shuffle_width, slices
 from maskwright.llm.repeats import LAST_ID, mix
 
-#: Any match of GRAM + WINDOW - 1 code points is caught by a common fingerprint.
-GRAM, WINDOW = 32, 100
+#: Of texts of 128 code points and more any match of GRAM + WINDOW - 1 code points is caught by a common fingerprint.
+GRAM, WINDOW = 8, 16
 CHUNK = 1 << 20
+PLACES = pa.list_(pa.struct([("hash", pa.int64()), ("position", pa.int64())]))
+
+
+def scale(n: int, gram: int = GRAM, window: int = WINDOW) -> tuple[int, int]:
+    """Gram and window for a text of n code points: at most a fifth and an eighth of it, so that short texts have several fingerprints."""
+    return min(gram, max(1, n // 5)), min(window, max(1, n // 8))
 
 
 def code_points(text: str) -> np.ndarray:
@@ -36,9 +42,10 @@ def winnow(text: str, gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarra
     """(hashes, positions in code points) of the least gram hash of every window of grams, the rightmost of equals.
 
     Neighbouring windows with the same choice count once; fewer grams than a window are one window; an empty text has none.
-    Long texts go through in pieces that overlap by a window, which choose the same.
+    Short texts have shorter grams and windows (scale). Long texts go through in pieces that overlap by a window, which choose the same.
     """
     points = code_points(text)
+    gram, window = scale(len(points), gram, window)
     if not len(points):
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
     found, step = [], CHUNK
@@ -94,11 +101,12 @@ def fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, id_col
 
 
 def edit_report(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    """Per row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, positions.
 
     The following document is that of the next id, after the last the first; rows that share an id follow each other in
     their texts' order, a null id counts as the largest. Fingerprints are 8 hex digits for each 32-bit hash, ascending;
-    likeness is the Jaccard index of fingerprints. Null and empty texts have an empty fingerprint; a single document
+    likeness is the Jaccard index of fingerprints; positions are where in the text its chosen grams begin, with their
+    hashes, in the order of the text, for those who look for the matches that common fingerprints stand for. Null and empty texts have an empty fingerprint; a single document
     follows itself; an empty table gives an empty one; other columns are ignored.
 
     The rows are dealt to ranges of ids, whose first rows also go to the range before, so that every range knows what
@@ -110,7 +118,7 @@ def edit_report(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, id_col:
     least, cuts = rows.agg(F.min("doc"), F.percentile_approx("doc", [i / parts for i in range(1, parts)], 100 * parts)).first()
     cuts = sorted({c for c in cuts or [] if c > least})
     last = len(cuts)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("positions", PLACES)])
 
     def place(batches):
         """Adds the range, twice for a row with the first id of one."""
@@ -131,7 +139,9 @@ def edit_report(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, id_col:
         def line(now, then):
             changed = edited(now[1], then[1])
             own, other = now[2], fingerprint_of(winnow(changed, gram, window)[0])
-            return now[0], len(now[1]), hashlib.sha256(changed.encode()).hexdigest(), own.tobytes().hex(), other.tobytes().hex(), likeness(own, other), likeness(own, then[2])
+            hashes, places = now[3]
+            chosen = pa.array((hashes >> np.uint64(32)).astype(np.int64)), pa.array(places)
+            return now[0], len(now[1]), hashlib.sha256(changed.encode()).hexdigest(), own.tobytes().hex(), other.tobytes().hex(), likeness(own, other), likeness(own, then[2]), chosen
 
         for whole in batches:
             for batch in slices([whole], CHUNK):
@@ -141,14 +151,18 @@ def edit_report(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, id_col:
                         held, part_of = None, part
                     if beyond and held is None:
                         continue
-                    this = doc_id, text, fingerprint_of(winnow(text, gram, window)[0])
+                    chosen = winnow(text, gram, window)
+                    this = doc_id, text, fingerprint_of(chosen[0]), chosen
                     if held is not None:
                         out.append(line(held, this))
                     held = None if beyond else this
                 if out:
-                    yield record_batch(schema, *zip(*out, strict=True))
+                    *columns, chosen = zip(*out, strict=True)
+                    offsets = pa.array(np.cumsum([0, *(len(c[0]) for c in chosen)]).astype(np.int32))
+                    structs = pa.StructArray.from_arrays([pa.concat_arrays([c[k] for c in chosen]) for k in (0, 1)], fields=list(PLACES.value_type))
+                    yield record_batch(schema, *columns, pa.ListArray.from_arrays(offsets, structs, type=PLACES))
 
     placed = rows.mapInArrow(lean(place), "doc long, doc_id long, text string, part int, beyond int")
     dealt = placed.repartition(shuffle_width(spark), "part").sortWithinPartitions("part", "beyond", "doc", "text")
-    names = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    names = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, positions array<struct<hash:long,position:long>>"
     return dealt.mapInArrow(lean(report), names)
