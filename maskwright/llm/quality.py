@@ -104,12 +104,15 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Forest:
-    """Learns from at most most_rows labelled rows that aren't held out; only their statistics come to the driver."""
+    """Learns from at most most_rows labelled rows that aren't held out, those of least hash; only their statistics come to the driver.
+
+    Rows that share an id each count, and so does each label of an id, but the same label only once.
+    """
     known = labels.where(~held_out(id_col) & F.col(label).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most_rows)
+    known = known.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most_rows)
     wanted = known.select("doc_id").distinct()
     some = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(wanted), "doc_id", "left_semi")  # at most most_rows ids
-    got = features(some).join(F.broadcast(known), "doc_id").orderBy("doc_id", "y").limit(4 * most_rows).toPandas()
+    got = features(some).join(F.broadcast(known), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "y", "x").limit(most_rows).toPandas()
     x = np.stack(got["x"].to_numpy()) if len(got) else np.zeros((0, len(NAMES)))
     return boost(x, got["y"].to_numpy(dtype=np.float64))
 

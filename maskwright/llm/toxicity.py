@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import held_out, lean, record_batch, slices, texts_of
+from maskwright.llm.common import Written, held_out, lean, record_batch, slices, texts_of
 
 #: At most so many confirmed toxic texts, and unlabelled ones, are learnt from: those of least hash.
 MOST_POSITIVE, MOST_UNLABELLED = 4_000, 12_000
@@ -19,6 +19,8 @@ MOST_POSITIVE, MOST_UNLABELLED = 4_000, 12_000
 VOCABULARY = 2_000
 #: ... if by at least so many standard errors; below, chance alone brings up many.
 LEAST_Z = 3.0
+#: So many times the vocabulary is proposed by the samples and counted in the corpus.
+CANDIDATES = 4
 CHUNK = 4 << 20
 MEMORY = 300_000
 _EDGES = ".,;:!?\"'()[]{}*#$%&|<>-_`~/\\…«»“”„’‘"
@@ -42,27 +44,36 @@ class Linear:
     base: float
 
     def scorer(self):
-        """A function of a text; it remembers the features of so many words."""
-        index = {f: i for i, f in enumerate(self.weights)}
-        weight = list(self.weights.values())
-        known: dict[str, tuple[int, ...]] = {}
+        """A function of a text."""
+        find, weight = finder(list(self.weights)), list(self.weights.values())
 
         def score(text: str) -> float:
-            found: set[int] = set()
-            for w in words(text):
-                at = known.get(w)
-                if at is None:
-                    if len(known) > MEMORY:
-                        known.clear()
-                    at = known[w] = tuple(i for f in features_of(w) if (i := index.get(f)) is not None)
-                if at:
-                    found.update(at)
-            z = self.base + sum(weight[i] for i in sorted(found))
+            z = self.base + sum(weight[i] for i in sorted(find(text)))
             return 1 / (1 + math.exp(-min(max(z, -30.0), 30.0)))
 
         return score
 
 
+def finder(names: list[str]):
+    """A function of a text: the places in names of the features that it has. It remembers the features of so many words."""
+    index = {f: i for i, f in enumerate(names)}
+    known: dict[str, tuple[int, ...]] = {}
+
+    def find(text: str) -> set[int]:
+        found: set[int] = set()
+        for w in words(text):
+            at = known.get(w)
+            if at is None:
+                if len(known) > MEMORY:
+                    known.clear()
+                at = known[w] = tuple(i for f in features_of(w) if (i := index.get(f)) is not None)
+            if at:
+                found.update(at)
+        return found
+
+    return find
+
+
 def non_negative_pu(xp: np.ndarray, xu: np.ndarray, prior: float, rounds: int = 300, rate: float = 0.05, l2: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and base that minimise prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)) for the logistic loss, by Adam.
 
@@ -112,44 +123,70 @@ def _counts(batches):
             yield record_batch(schema, names, [counts[0][w] for w in names], [counts[1][w] for w in names])
 
 
+def corpus_counts(docs: DataFrame, names: list[str]) -> tuple[np.ndarray, int]:
+    """How many of all texts of docs have each of the features, and how many texts there are; summed up in each task first."""
+    schema = pa.schema([("at", pa.int32()), ("n", pa.int64())])
+
+    def run(batches):
+        find, sums, texts = finder(names), np.zeros(len(names), dtype=np.int64), 0
+        for batch in batches:
+            for text in texts_of(batch):
+                sums[list(find(text))] += 1
+            texts += batch.num_rows
+        yield record_batch(schema, np.arange(-1, len(names), dtype=np.int32), np.r_[texts, sums])
+
+    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
+    found = dict(map(tuple, rows))
+    return np.array([found.get(i, 0) for i in range(len(names))], dtype=np.float64), found.get(-1, 0)
+
+
 def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED, vocabulary: int = VOCABULARY) -> Linear:
     """Learns from confirmed toxic texts and unlabelled ones that aren't held out.
 
-    Which words and beginnings can count is decided by how their document frequencies differ in the two samples. The samples' counts are
-    summed by Spark; of words only the vocabulary, and of samples only their rows over it, come to the driver. prior: the
-    share of toxic texts; None: that among the labelled rows that aren't held out.
+    The features that count are those whose document frequency among the confirmed texts is furthest from that in the
+    corpus. Two bounded samples, of a text for each id, propose CANDIDATES times as many; how often each of these occurs
+    is then counted in all documents that aren't held out. The driver gets the proposed features and their counts, and the
+    samples' rows over the vocabulary. prior: the share of toxic texts; None: that among the labelled rows that aren't
+    held out.
     """
+    written = Written(docs.sparkSession)
     usable = labels.where(~held_out() & F.col("toxic").isNotNull())
     toxic = usable.where("toxic = 1").select(F.col("doc_id").cast("long")).distinct()
     if prior is None:
         prior = usable.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
     prior = float(np.clip(0.1 if prior is None else prior, 1e-3, 0.9))
     chosen = toxic.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_positive).withColumn("confirmed", F.lit(1))
-    ids = docs.where(~held_out()).select(F.col("doc_id").cast("long")).distinct()
+    open_docs = docs.where(~held_out())
+    ids = open_docs.select(F.col("doc_id").cast("long")).distinct()
     free = ids.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(most_unlabelled).withColumn("free", F.lit(1))
-    sample = chosen.join(free, "doc_id", "full")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    sets = _word_sets(rows.join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi")).join(F.broadcast(sample), "doc_id").fillna(0).persist()  # at most the two bounds' ids
-    try:
-        sizes = sets.agg(F.sum("confirmed"), F.sum("free")).first()
-        if not sizes[0] or not sizes[1]:
-            return Linear({}, float(np.log(prior / (1 - prior))))
-        p, u = (F.col(c) / n for c, n in zip(("p", "u"), sizes, strict=True))
-        counts = sets.mapInArrow(lean(_counts), "word string, p long, u long").groupBy("word").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
-        # a two-sample statistic of the frequencies
-        z = F.abs(p - u) / F.sqrt((p * (1 - p) + 0.5 / sizes[0]) / sizes[0] + (u * (1 - u) + 0.5 / sizes[1]) / sizes[1])
-        names = [r.word for r in counts.where((F.col("p") + F.col("u") >= 5) & (z >= LEAST_Z)).orderBy(z.desc(), "word").limit(vocabulary).collect()]
-        index = {w: i for i, w in enumerate(names)}
-        schema = "confirmed long, free long, at array<int>"
-
-        def lookup(batches):
-            for batch in batches:
-                at = [sorted({i for w in ws for f in features_of(w) if (i := index.get(f)) is not None}) for ws in batch.column("words").to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column("confirmed").cast(pa.int64()), batch.column("free").cast(pa.int64()), pa.array(at, type=pa.list_(pa.int32()))], names=["confirmed", "free", "at"])
-
-        got = sets.orderBy("doc_id").mapInArrow(lean(lookup), schema).collect()
-    finally:
-        sets.unpersist()
+    sample = chosen.join(free, "doc_id", "full").fillna(0)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    one = rows.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "confirmed", "free").agg(F.min("text").alias("text"))  # at most the two bounds' ids
+    one = written.put(one, "sample")
+    sets = _word_sets(one.select("doc_id", "text")).join(one.drop("text"), "doc_id")
+    sizes = one.agg(F.sum("confirmed"), F.sum("free")).first()
+    if not sizes[0] or not sizes[1]:
+        return Linear({}, float(np.log(prior / (1 - prior))))
+    p, u = (F.col(c) / n for c, n in zip(("p", "u"), sizes, strict=True))
+    counts = sets.mapInArrow(lean(_counts), "word string, p long, u long").groupBy("word").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    # a two-sample statistic of the frequencies
+    z = F.abs(p - u) / F.sqrt((p * (1 - p) + 0.5 / sizes[0]) / sizes[0] + (u * (1 - u) + 0.5 / sizes[1]) / sizes[1])
+    proposed = counts.where((F.col("p") + F.col("u") >= 5) & (z >= LEAST_Z)).orderBy(z.desc(), "word").limit(CANDIDATES * vocabulary).collect()
+    proposed = sorted(proposed, key=lambda r: r.word)
+    everywhere, texts = corpus_counts(open_docs, [r.word for r in proposed])
+    share, all_share = np.array([r.p for r in proposed]) / sizes[0], everywhere / max(texts, 1)
+    far = np.abs(share - all_share) / np.sqrt((share * (1 - share) + 0.5 / sizes[0]) / sizes[0] + (all_share * (1 - all_share) + 0.5 / max(texts, 1)) / max(texts, 1))
+    names = [proposed[i].word for i in np.argsort(-far, kind="stable")[:vocabulary] if far[i] >= LEAST_Z]
+    schema = "confirmed long, free long, at array<int>"
+
+    def lookup(batches):
+        find = finder(names)
+        for batch in batches:
+            at = [sorted(find(t)) for t in texts_of(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("confirmed").cast(pa.int64()), batch.column("free").cast(pa.int64()), pa.array(at, type=pa.list_(pa.int32()))], names=["confirmed", "free", "at"])
+
+    got = one.orderBy("doc_id").mapInArrow(lean(lookup), schema).collect()
+    written.drop(one)
 
     def matrix(rows):
         out = np.zeros((len(rows), len(names)), dtype=np.float32)
@@ -161,14 +198,14 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, most_p
     return Linear(dict(zip(names, w.tolist(), strict=True)), float(base))
 
 
-def classified(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, prior: float | None = None) -> DataFrame:
+def classified(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, prior: float | None = None, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED) -> DataFrame:
     """Per row of docs: doc_id, held_out, score (0 to 1, higher: toxic likelier), predicted.
 
     Labels come only from rows that aren't held out (crc32 of the id as text, modulo 5, is 0), and only the whole text is
     looked at. Null and empty texts score the base rate; repeated ids keep their rows; without a confirmed text every
     score is the prior; an empty table gives an empty one; other columns are ignored.
     """
-    model = train(docs, labels, prior)
+    model = train(docs, labels, prior, most_positive, most_unlabelled)
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches):

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 from fixtures import frame, words
+from pyspark.sql import functions as F
 
 from maskwright.llm import quality, textstats, toxicity
 
@@ -69,6 +70,87 @@ def test_forest_against_its_trees():
     assert ((forest.probability(x) > 0.5) == (y > 0.5)).mean() > 0.97
 
 
+def test_boosting_against_plain_loops():
+    """The first tree's root takes the split of most gain among all cuts between bins, and its leaves the Newton step."""
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 12, (300, 3)).astype(float)
+    y = ((x[:, 1] > 6) | (rng.random(300) < 0.1)).astype(float)
+    forest = quality.boost(x, y, trees=1, depth=1, rate=0.1, l2=1.0, least=10)
+    p = y.mean()
+    grad, hess = p - y, np.full(300, p * (1 - p))
+    best = (0.0, None, None)
+    for f in range(3):
+        for cut in np.unique(np.quantile(x[:, f], np.linspace(0, 1, quality.BINS + 1)[1:-1])):
+            left = x[:, f] <= cut
+            if 10 <= left.sum() <= 290:
+                parts = [grad[m].sum() ** 2 / (hess[m].sum() + 1) for m in (left, ~left)]
+                gain = sum(parts) - grad.sum() ** 2 / (hess.sum() + 1)
+                if gain > best[0] + 1e-9:
+                    best = (gain, f, cut)
+    assert (forest.feature[0, 0], forest.cut[0, 0]) == best[1:]
+    left = x[:, best[1]] <= best[2]
+    leaf = forest.left[0, 0]
+    assert np.allclose(forest.value[0, [leaf, leaf + 1]], [-0.1 * grad[m].sum() / (hess[m].sum() + 1) for m in (left, ~left)])
+
+
+def test_toxicity_against_plain_loops(spark):
+    """Corpus counts, vocabulary and scores as plain Python works them out."""
+    docs, labels = labelled(300)
+    df, known = frame(spark, docs).repartition(3), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    held = {d[0]: zlib.crc32(str(d[0]).encode()) % 5 == 0 for d in docs}
+    features = {d[0]: {f for w in toxicity.words(d[1]) for f in toxicity.features_of(w)} for d in docs}
+    names = ["horrid", "^vile", "^vil", "nowhere"]
+    got, n = toxicity.corpus_counts(df.where("doc_id % 2 = 0"), names)
+    assert n == 150 and got.tolist() == [sum(f in features[i] for i in features if i % 2 == 0) for f in names]
+    model = toxicity.train(df, known)
+    toxic = [i for i, _, t in labels if t and not held[i]]
+    free = [i for i in features if not held[i]]
+    share = lambda f, rows: sum(f in features[i] for i in rows) / len(rows)
+
+    def far(f):
+        p, u = share(f, toxic), share(f, free)
+        return abs(p - u) / ((p * (1 - p) + 0.5 / len(toxic)) / len(toxic) + (u * (1 - u) + 0.5 / len(free)) / len(free)) ** 0.5
+
+    every = set().union(*features.values())
+    want = {f for f in every if sum(f in features[i] for i in toxic) + sum(f in features[i] for i in free) >= 5 and far(f) >= toxicity.LEAST_Z}
+    assert set(model.weights) == want and {"^vile", "horrid"} <= want
+    rows = toxicity.classified(df, known).collect()
+    for r in rows:
+        z = model.base + sum(w for f, w in model.weights.items() if f in features[r.doc_id])
+        assert abs(r.score - 1 / (1 + np.exp(-z))) < 1e-6
+
+
+def test_the_estimators_gradient():
+    """A step goes along the numeric gradient of the corrected risk, or up that of the negative part where it is below zero."""
+    rng = np.random.default_rng(7)
+    xp, xu = (rng.random((40, 5)) < 0.5).astype(float), (rng.random((90, 5)) < 0.4).astype(float)
+    w, base = toxicity.non_negative_pu(xp, xu, 0.3, rounds=1, rate=0.05, l2=0.0)
+    start = float(np.log(0.3 / 0.7))
+
+    def risk(v):
+        s = lambda x: 1 / (1 + np.exp(-(x @ v[:-1] + v[-1])))
+        negative = -np.log(1 - s(xu)).mean() + 0.3 * np.log(1 - s(xp)).mean()
+        return -0.3 * np.log(s(xp)).mean() + negative if negative >= 0 else -negative
+
+    zero = np.r_[np.zeros(5), start]
+    gradient = np.array([(risk(zero + e) - risk(zero - e)) / 2e-6 for e in np.eye(6) * 1e-6])
+    assert np.allclose(np.r_[w, base] - zero, -0.05 * np.sign(np.where(abs(gradient) < 1e-8, 0, gradient)), atol=1e-3)  # at its start the base has no slope
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    docs, labels = labelled(200)
+    clash = {c: F.lit("x") for c in ("score", "predicted", "held_out", "y", "x", "id", "rest", "words", "confirmed", "free", "word", "at", "n")}
+    known = spark.createDataFrame(labels + labels[:50], "doc_id long, quality int, toxic int")
+    for classified in (quality.classified, toxicity.classified):
+        twice = classified(frame(spark, docs + docs[:20]).withColumns(clash), known.withColumns({c: F.lit(1) for c in ("y", "confirmed", "id")})).collect()
+        once = {r.doc_id: r.score for r in classified(frame(spark, docs), known).collect()}
+        assert len(twice) == 220 and all(0 <= r.score <= 1 for r in twice)
+        assert np.mean([abs(once[r.doc_id] - r.score) for r in twice]) < 0.05
+    # many rows of one sampled id bring one text of it
+    many = frame(spark, docs + [(1, f"text {i}", None, None, None) for i in range(500)])
+    assert toxicity.classified(many, known, most_positive=5, most_unlabelled=10).count() == 700
+
+
 def test_statistics_of_odd_texts():
     for t in ("", " ", "\n\n", "x", "é" * 10, "A!! B!!", "🙂", "a" * 100000):
         got = textstats.statistics(t)
