@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,9 +18,7 @@ MASK64 = (1 << 64) - 1
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A table of the folder; a session that has Spark's own setting for Arrow batches gets smaller ones."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_IN_BATCH))
+    """A table of the folder."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -42,12 +41,22 @@ def _file_system(spark: SparkSession, path: str):
 
 
 class Written:
-    """Tables that cut lineage: Parquet files in the shared folder, so a lost executor costs no recomputation."""
+    """Tables that cut lineage: Parquet files in the shared folder, so a lost executor costs no recomputation.
+
+    What a result still reads stays until the driver's Python ends, and is deleted then.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
         self.count = 0
+        atexit.register(self._end)
+
+    def _end(self) -> None:
+        try:
+            delete(self.spark, self.root)
+        except Exception:
+            pass  # the gateway to the JVM has gone before
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{self.count:03d}-{name}"
@@ -142,10 +151,6 @@ def lean(run, remember: str | None = None):
     return task
 
 
-#: Rows in an Arrow batch: texts are long.
-ROWS_IN_BATCH = 4000
-
-
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The batch's texts; null is the empty text."""
     return [t or "" for t in batch.column(name).to_pylist()]

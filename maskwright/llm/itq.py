@@ -15,8 +15,6 @@ from maskwright.llm.components import components
 
 #: Rotations are learnt from at most so many vectors, those of least hash; all vectors are indexed.
 MOST_TRAINING = 8_000
-#: A table's bucket of over so many vectors is compared in blocks of so many.
-HOT_BUCKET = 256
 MOST_TABLES = 64
 SEED = 42
 
@@ -189,9 +187,15 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.9
     alone = rows.where("not fit").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("least"))
     if dims is None:
         return _result(alone)
-    rows = rows.where("fit").withColumn("v", F.transform("v", lambda c: c + 0.0)).select("id", F.xxhash64("v").alias("class"), "v")
-    # a class is named by its vector's hash, as a row's id need not be its own
-    classes = written.put(rows.groupBy("class").agg(F.first("v").alias("v"), F.min("id").alias("least"), F.count("*").alias("members")).withColumnRenamed("class", "id"), "classes")
+    rows = rows.where("fit").withColumn("v", F.transform("v", lambda c: c + 0.0)).select("id", "v")
+    # a class is named by its vector's hash, as a row's id need not be its own; another seed if two vectors have the same
+    for seed in range(100):
+        named = rows.withColumn("class", F.xxhash64("v", F.lit(seed)))
+        classes = written.put(named.groupBy("class", "v").agg(F.min("id").alias("least"), F.count("*").alias("members")).withColumnRenamed("class", "id"), "classes")
+        if classes.groupBy("id").count().where("count > 1").isEmpty():
+            rows = named
+            break
+        written.drop(classes)
     x = np.stack(classes.orderBy(F.xxhash64("id"), "id").limit(most_training).select("v").toPandas()["v"].to_numpy()).astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     x = x / np.linalg.norm(x, axis=1, keepdims=True)

@@ -15,10 +15,11 @@ def test_winnowing_against_every_window():
     for n in (0, 1, 5, 7, 12, 40, 400):
         text = "".join(rng.choice("abé🙂") for _ in range(n)) if n < 400 else "ab" * 100 + "".join(rng.choice("ab") for _ in range(200))
         got = winnow.winnow(text, gram=5, window=8)
-        h = [] if not text else winnow.gram_hashes(winnow.code_points(text), 5).tolist()
+        gram, window = min(5, max(1, n // 5)), min(8, max(1, n // 8))
+        h = [] if not text else winnow.gram_hashes(winnow.code_points(text), gram).tolist()
         places = []
-        for at in range(max(1, len(h) - 7) if h else 0):
-            part = h[at : at + 8]
+        for at in range(max(1, len(h) - window + 1) if h else 0):
+            part = h[at : at + window]
             least = min(x >> 32 for x in part)
             places.append(at + max(i for i, x in enumerate(part) if x >> 32 == least))
         want = sorted(set(places))
@@ -68,14 +69,60 @@ def test_poisson_numbers_and_sql(spark, tmp_path):
     weighted = mixing.replicated(frame(spark, rows), {"s0": 3.0, "s1": 1.0}).groupBy("source").count().collect()
     assert {r.source for r in weighted} == {"s0", "s1"}
     assert mixing.replicated(frame(spark, [])).count() == 0
-    u = np.array([rng.random() for _ in range(20000)])
-    k = mixing.inverse_poisson(u, np.full(len(u), 2.5))
-    assert abs(k.mean() - 2.5) < 0.05 and abs(k.var() - 2.5) < 0.12
+    sums = spark.range(1).select(mixing.below(F.lit(2.5)).alias("s")).first().s
+    assert all(abs(x - sum(math.exp(-2.5) * 2.5**j / math.factorial(j) for j in range(k + 1))) < 1e-12 for k, x in enumerate(sums))
+    assert "Python" not in mixing.replicated(frame(spark, rows))._jdf.queryExecution().executedPlan().toString()
     # a tiny source wanted often: a sum of several variables
     some = mixing.replicated(frame(spark, [(i, "t", "en", "big", 1) for i in range(1000)] + [(5000, "t", "en", "tiny", 1)])).where("source = 'tiny'").count()
     assert 350 < some < 650
 
 
+def test_mixing_keeps_columns_of_any_name(spark):
+    rows = frame(spark, [(i, "t", "en", f"s{i % 3}", 1) for i in range(300)])
+    clash = ("random_order", "n_copies", "rate_source", "mean_copies", "rate", "mixed_source", "mixed_parts", "mixed_sums", "mixed_order", "u", "a.b")
+    got = mixing.replicated(rows.withColumns({c: F.lit(c) for c in clash}).withColumn("copy", F.lit(-1)))
+    assert set(got.columns) == {*rows.columns, *clash, "copy"}
+    assert all(r[c] == c for r in got.collect() for c in clash)
+    plain = {(r.doc_id, r["copy"]) for r in mixing.replicated(rows).collect()}
+    assert {(r.doc_id, r["copy"]) for r in got.collect()} == plain
+    twice = mixing.replicated(spark.createDataFrame([(None, None), (None, None), (1, "s")], "doc_id long, source string"), {None: 1.0, "s": 1.0}).collect()
+    assert all(r["copy"] >= 0 for r in twice)
+
+
+def test_short_texts_are_like_their_edited_texts(spark):
+    rng = random.Random(12)
+    for n in (12, 20, 43, 90, 131, 400):
+        near, far = [], []
+        for _ in range(40):
+            text, other = ("".join(rng.choice("abcdefghij klmnopq") for _ in range(n)) for _ in range(2))
+            changed = winnow.edited(text, other)
+            x, y, z = (winnow.fingerprint_of(winnow.winnow(t)[0]) for t in (text, changed, other))
+            near.append(winnow.likeness(x, y))
+            far.append(winnow.likeness(x, z))
+        assert min(near) > 0.1 and 0.35 < np.mean(near) < 0.8 and np.mean(far) < 0.2, n
+
+
+def test_matches_share_a_fingerprint_at_their_places(spark):
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcdé🙂") for _ in range(n))
+    match = word(winnow.GRAM + winnow.WINDOW - 1)
+    rows = [(1, word(200) + match + word(50), None, None, None), (2, word(77) + match + word(300), None, None, None)]
+    one, two = sorted(winnow.edit_report(frame(spark, rows)).collect())
+    common = {(p.hash, p.position - 200) for p in one.positions} & {(p.hash, p.position - 77) for p in two.positions}
+    assert any(0 <= at <= len(match) - winnow.GRAM for _, at in common)
+    assert one.fingerprint == "".join(sorted({f"{p.hash:08x}" for p in one.positions}))
+
+
+def test_edit_report_with_ties_of_one_id(spark):
+    df = spark.createDataFrame([(1, "bbbbbbbb"), (1, "aaaaaaaa"), (2, "cccccccc"), (None, "dddddddd"), (None, "eeeeeeee")], "doc_id long, text string")
+    df = df.withColumns({c: F.lit(1) for c in ("part", "beyond", "doc", "positions", "fingerprint", "held")})
+    got = {r.fingerprint: r for r in winnow.edit_report(df).collect()}
+    order = ["aaaaaaaa", "bbbbbbbb", "cccccccc", "dddddddd", "eeeeeeee"]
+    for t, following in zip(order, [*order[1:], order[0]], strict=True):
+        r = got[winnow.fingerprint_of(winnow.winnow(t)[0]).tobytes().hex()]
+        assert r.edited_sha256 == hashlib.sha256((t[:6] + following[:2]).encode()).hexdigest()
+
+
 def brute(vectors, cosine):
     ok = {i: v for i, v in vectors if v is not None and len(v) == 8 and all(x is not None and math.isfinite(x) for x in v) and any(v)}
     unit = {i: np.array(v, dtype=np.float64) / np.linalg.norm(np.array(v, dtype=np.float64)) for i, v in ok.items()}
@@ -104,6 +151,9 @@ def test_embeddings_against_brute_force(spark):
     again = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (None, [0.0, 2.0])], "vec_id long, embedding array<double>")
     assert sorted((r.vec_id or 9, r.n_links, r.component_id) for r in itq.near_duplicates(again).collect()) == [(1, 0, 1), (1, 1, 1), (9, 1, 1)]
     assert itq.near_duplicates(df.limit(0)).count() == 0
+    # with the recall of the query itself
+    usual = {r.vec_id: r.n_links for r in itq.near_duplicates(df).collect()}
+    assert all(n <= degree[i] for i, n in usual.items()) and sum(usual.values()) >= 0.95 * len(links)
 
 
 def test_embeddings_that_share_a_direction(spark):
