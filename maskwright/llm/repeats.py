@@ -22,13 +22,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.llm.common import Written, lean, record_batch, shuffle_width, slices
 
-#: n: windows of a block; 0 marks a span of repeated symbols (lo to at, ends included). at: the anchor's place in the block.
+#: n: windows of a block; 0 marks a span of repeated symbols (lo to at, ends included), below 0 it is a block of an index's run. at: the anchor's place in the block.
 ROWS = "g long, gen int, doc long, copy long, lo int, n int, at int, text binary"
 SCHEMA = pa.schema([("g", pa.int64()), ("gen", pa.int32()), ("doc", pa.int64()), ("copy", pa.int64()), ("lo", pa.int32()), ("n", pa.int32()), ("at", pa.int32()), ("text", pa.binary())])
 #: Bytes of rows that are settled together, and beyond which the rows of one anchor are thinned out.
@@ -294,9 +295,20 @@ def _spans(rows: Rows, which: np.ndarray, first: np.ndarray, last: np.ndarray, k
         yield span_rows(rows.gen[which], rows.doc[which], rows.copy[which], rows.lo[which] + first.astype(np.int32), rows.lo[which] + (last + kind.window - 1).astype(np.int32))
 
 
-def settled(rows: Rows, kind: Kind, gen: int):
-    """Spans of generation gen, from all rows of some anchors."""
+def _kept(rows: Rows, which: np.ndarray, gen: int):
+    """Those of the blocks that generation gen adds to an index."""
+    which = which & (rows.gen == gen)
+    if which.any():
+        out = rows.take(np.flatnonzero(which))
+        out.n = -out.n
+        yield out.batch()
+
+
+def settled(rows: Rows, kind: Kind, gen: int, keep: bool):
+    """Spans of generation gen, from all rows of some anchors; with keep also its first blocks."""
     again = repeated_blocks(rows)
+    if keep:
+        yield from _kept(rows, ~again, gen)
     which = np.flatnonzero(again)
     yield from _spans(rows, which, np.zeros(len(which), dtype=np.int32), rows.n[which] - 1, kind, gen)
     run = _runs(rows.g)
@@ -314,8 +326,10 @@ def thinned(rows: Rows, kind: Kind, gen: int) -> tuple[list[pa.RecordBatch], Row
     return list(_spans(rows, which, np.zeros(len(which), dtype=np.int32), rows.n[which] - 1, kind, gen)), rows.take(np.flatnonzero(~again))
 
 
-def opened(rows: Rows, kind: Kind, gen: int):
+def opened(rows: Rows, kind: Kind, gen: int, keep: bool):
     """The windows of some blocks of one anchor as rows of their own, dealt by their own hashes; spans of those that repeat here."""
+    if keep:
+        yield from _kept(rows, np.ones(len(rows.g), dtype=bool), gen)
     (row, place, start, length), later = repeated_windows(rows, kind)
     yield from _spans(rows, *_joined(row, place, later), kind, gen)
     at = np.flatnonzero(~later)
@@ -326,8 +340,11 @@ def opened(rows: Rows, kind: Kind, gen: int):
     yield record_batch(SCHEMA, g, rows.gen[row], rows.doc[row], rows.copy[row], rows.lo[row] + place[at].astype(np.int32), one, one - 1, text)
 
 
-def settle(batches, kind: Kind, gen: int):
-    """Spans, and windows to be dealt once more, from rows whose anchors' hashes ascend; spans among them pass."""
+def settle(batches, kind: Kind, gen: int, keep: bool = False):
+    """Spans, and windows to be dealt once more, from rows whose anchors' hashes ascend; spans among them pass.
+
+    keep: also the blocks that generation gen adds to an index, of equal ones the first.
+    """
     held, size, open_g, last = [], 0, None, None
 
     def done(table):
@@ -336,7 +353,7 @@ def settle(batches, kind: Kind, gen: int):
         if open_g is not None:
             cut = int(np.searchsorted(g, open_g, "right"))
             if cut:
-                yield from opened(thin(table.slice(0, cut)), kind, gen)
+                yield from opened(thin(table.slice(0, cut)), kind, gen, keep)
                 table, g = table.slice(cut), g[cut:]
             if len(g):
                 open_g = None
@@ -344,7 +361,11 @@ def settle(batches, kind: Kind, gen: int):
         fresh = np.bincount(run, weights=table.column("gen").to_numpy() == gen) > 0 if len(g) else run
         shared = ((np.bincount(run) > 1) & fresh)[run] if len(g) else run.astype(bool)
         if shared.any():
-            yield from settled(Rows.of(table.filter(pa.array(shared))), kind, gen)
+            yield from settled(Rows.of(table.filter(pa.array(shared))), kind, gen, keep)
+        if keep and len(g):
+            alone = ~shared & (table.column("gen").to_numpy() == gen)
+            for batch in table.filter(pa.array(alone)).to_batches():
+                yield batch.set_column(SCHEMA.get_field_index("n"), SCHEMA.field("n"), pc.negate(batch.column("n")))
 
     spare: list[pa.RecordBatch] = []
 
@@ -377,7 +398,7 @@ def settle(batches, kind: Kind, gen: int):
             rows = thin(table)
             if (rows.n > 1).any() and (open_g is not None or 2 * (int(rows.length.sum()) + _ROW * len(rows.g)) > kind.held):
                 open_g = last
-                yield from opened(rows, kind, gen)
+                yield from opened(rows, kind, gen, keep)
                 table = table.slice(0, 0)
             else:
                 table = pa.Table.from_batches([rows.batch()])
@@ -391,7 +412,7 @@ def settle(batches, kind: Kind, gen: int):
 
 
 def distinct_blocks(batches, held_bytes: int = HELD):
-    """The earliest of equal blocks, from rows whose anchors' hashes ascend, in that order; spans are left out."""
+    """The earliest of equal blocks, from a run's rows, whose anchors' hashes ascend, in that order."""
     held, size = [], 0
 
     def kept(table):
@@ -404,9 +425,6 @@ def distinct_blocks(batches, held_bytes: int = HELD):
         return [rows.take(np.flatnonzero(~repeated_blocks(rows))).batch()]
 
     for batch in batches:
-        batch = batch.filter(pa.array(batch.column("n").to_numpy() > 0))
-        if not batch.num_rows:
-            continue
         held.append(batch)
         size += batch.nbytes
         if size >= held_bytes:
@@ -475,20 +493,20 @@ def scan(docs: DataFrame, kind: Kind, gen: int = 0, part: int = 0, parts: int =
     return docs.select("doc", "copy", "text").mapInArrow(lean(run), ROWS)
 
 
-def dealt(rows: DataFrame, kind: Kind, gen: int, written: Written) -> DataFrame:
-    """Spans (doc, copy, lo, hi) of generation gen; windows of very common anchors are dealt again until none is left."""
+def dealt(there: DataFrame, kind: Kind, gen: int, written: Written) -> DataFrame:
+    """Spans (doc, copy, lo, hi) of generation gen, from a written table of what settle() gave; windows of very common anchors are dealt again until none is left."""
 
     def run(batches):
         yield from settle(batches, kind, gen)
 
-    spans, more = [], rows
+    spans = []
     while True:
-        there = written.put(more, "spans")
         spans.append(there.where("n = 0").select("doc", "copy", "lo", F.col("at").alias("hi")))
         more = there.where("n > 0")
         if more.isEmpty():
             break
-        more = more.repartition(shuffle_width(rows.sparkSession), "g").sortWithinPartitions("g").mapInArrow(lean(run), ROWS)
+        more = more.select(SCHEMA.names).repartition(shuffle_width(there.sparkSession), "g").sortWithinPartitions("g").mapInArrow(lean(run), ROWS)
+        there = written.put(more, "spans")
     return union(spans)
 
 
@@ -509,7 +527,8 @@ def repeated_spans(docs: DataFrame, kind: Kind, written: Written, passes: int =
         yield from settle(batches, kind, 0)
 
     width = shuffle_width(docs.sparkSession)
-    return union([dealt(scan(docs, kind, 0, p, passes).repartition(width, "g").sortWithinPartitions("g").mapInArrow(lean(run), ROWS), kind, 0, written) for p in range(passes)])
+    found = (scan(docs, kind, 0, p, passes).repartition(width, "g").sortWithinPartitions("g").mapInArrow(lean(run), ROWS) for p in range(passes))
+    return union([dealt(written.put(rows, "spans"), kind, 0, written) for rows in found])
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
@@ -530,7 +549,8 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """docs (doc, copy, ...) with spans: an array of (lo, hi), ends included, or null; spans overlap in any order."""
-    return docs.join(spans.groupBy("doc", "copy").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), ["doc", "copy"], "left")
+    listed = spans.groupBy("doc", "copy").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    return docs.join(listed.hint("merge"), ["doc", "copy"], "left")  # spans grow with the input: never sent whole to every task
 
 
 def covered(n: int, spans) -> tuple[np.ndarray, np.ndarray]:

@@ -6,8 +6,10 @@ import hashlib
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,11 +29,11 @@ RUN = re.compile(r"run-w(\d+)-b(\d+)-(\d+)-(\d+)")
 class Index:
     """A log-structured index of the windows of all documents so far, in a folder of the shared storage.
 
-    A run holds a generation's blocks (windows that share their least gram, whose hash is their fingerprint), in buckets
-    of slots of hashes, sorted within. Runs are written once and never changed. add() writes a new generation's run and
-    merges it with all runs before: as all have the same buckets, each is read where it lies, and nothing but the new
-    run's own rows has ever been shuffled. Fingerprints that meet are verified word by word. Where there are more than
-    fanout runs they are compacted into one, which keeps the earliest of equal blocks.
+    A run holds a generation's blocks (windows that share their least gram, whose hash is their fingerprint) that no
+    earlier one has, in buckets of slots of hashes, sorted within. Runs are written once and never changed. add() deals a
+    new generation's blocks to the same buckets and merges them with all runs there: each run is read where it lies, and
+    only the new blocks are shuffled. Fingerprints that meet are verified word by word; what is new becomes the next run.
+    Where there are more than fanout runs they are compacted into one.
 
     A later session goes on with Index(spark, path): the folder has all that is needed.
     """
@@ -75,41 +77,61 @@ class Index:
         self.spark.sql(f"DROP TABLE {run[2]}")
         delete(self.spark, f"{self.path}/{self._name(run[0], run[1])}")
 
-    def _merged(self, runs: list[tuple[int, int, str]], work) -> DataFrame:
-        """work(batches) over all rows of runs, slot by slot, by ascending hashes."""
-        # a union of plain scans would be columnar, and Spark then puts buckets one after another that it takes for aligned
-        rows = repeats.union([self.spark.table(r[2]).where("n >= 0") for r in runs])
-        if rows.rdd.getNumPartitions() != self.buckets:
-            rows = rows.repartition(self.buckets, "slot")
-        rows = rows.sortWithinPartitions("slot", "g")
+    def _slotted(self, rows: DataFrame) -> DataFrame:
+        # as nullable as a table's column, or Spark wouldn't see that both are dealt alike
+        return rows.withColumn("own_slot", F.when(F.col("g").isNotNull(), F.pmod(F.xxhash64("g"), F.lit(SLOTS * self.buckets)).cast("int")))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            yield from work(batches)
+    def _aligned(self, tables: list[DataFrame]) -> DataFrame:
+        """The union of tables in buckets, bucket by bucket; dealt anew where Spark can't keep it so."""
+        rows = repeats.union(tables)
+        plan = rows._jdf.queryExecution().sparkPlan()
+        if not plan.outputPartitioning().toString().startswith("hashpartitioning(own_slot") or plan.supportsColumnar():
+            rows = rows.repartition(self.buckets, "own_slot")
+        return rows
 
-        return rows.groupBy("slot").applyInArrow(run, repeats.ROWS)
+    def _blocks(self, run: tuple[int, int, str]) -> DataFrame:
+        """A run's blocks, as scan() gives them."""
+        # by another name: columns of different tables wouldn't be taken for the same
+        return self.spark.table(run[2]).where("n < 0").select(*[(-F.col("n")).alias("n") if c == "n" else c for c in repeats.SCHEMA.names], F.col("slot").alias("own_slot"))
 
-    def add(self, docs: DataFrame) -> DataFrame:
-        """docs (doc, copy, text), later than all that have been added -> spans (doc, copy, lo, hi) of words that windows repeat, ends included."""
-        gen, kind = self.generations, self.kind
-        rows = repeats.scan(docs, kind, gen).withColumn("slot", F.pmod(F.xxhash64("g"), F.lit(SLOTS * self.buckets)).cast("int"))
-        self.runs.append(self._put(rows.repartition(self.buckets, "slot"), gen, gen))
+    def _merged(self, rows: DataFrame, work) -> DataFrame:
+        """work(batches) over rows that lie in their buckets, slot by slot, by ascending hashes; what comes of a slot stays in it."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            first = next(batches, None)
+            if first is None:
+                return
+            slot = first.column("own_slot")[0]
+            for out in work(b.drop_columns(["own_slot"]) for b in chain([first], batches)):
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.repeat(slot, out.num_rows)], names=[*out.schema.names, "slot"])
+
+        return rows.sortWithinPartitions("own_slot", "g").groupBy("own_slot").applyInArrow(run, f"{repeats.ROWS}, slot int")
 
-        def verify(batches):
-            yield from repeats.settle((b.drop_columns(["slot"]) for b in batches), kind, gen)
+    def add(self, docs: DataFrame, last: bool = False) -> DataFrame:
+        """docs (doc, copy, text), later than all that have been added -> spans (doc, copy, lo, hi) of words that windows repeat, ends included.
 
-        spans = repeats.dealt(self._merged(self.runs, verify), kind, gen, self.written)
-        if len(self.runs) > self.fanout:
+        last: nothing more will be added in this session, so compaction is left to a later one.
+        """
+        gen, kind = self.generations, self.kind
+        new = self._slotted(repeats.scan(docs, kind, gen)).repartition(self.buckets, "own_slot")
+        rows = self._aligned([*map(self._blocks, self.runs), new])
+        run = self._put(self._merged(rows, lambda batches: repeats.settle(batches, kind, gen, keep=True)), gen, gen)
+        self.runs.append(run)
+        spans = repeats.dealt(self.spark.table(run[2]), kind, gen, self.written)
+        spans = self.written.put(spans, "spans")
+        if len(self.runs) > self.fanout and not last:
             self._compact()
         return spans
 
     def _compact(self) -> None:
         old = self.runs
+        rows = self._aligned(list(map(self._blocks, old)))
 
         def earliest(batches):
-            yield from repeats.distinct_blocks(b.drop_columns(["slot"]) for b in batches)
+            for out in repeats.distinct_blocks(batches):
+                yield out.set_column(out.schema.get_field_index("n"), repeats.SCHEMA.field("n"), pc.negate(out.column("n")))
 
-        rows = self._merged(old, earliest).withColumn("slot", F.pmod(F.xxhash64("g"), F.lit(SLOTS * self.buckets)).cast("int"))
-        self.runs = [self._put(rows, old[0][0], old[-1][1])]
+        self.runs = [self._put(self._merged(rows, earliest), old[0][0], old[-1][1])]
         for run in old:
             self._drop(run)
 
@@ -129,7 +151,7 @@ def batches_by_id(texts: DataFrame, count: int) -> list[DataFrame]:
     return [texts.where((F.lit(True) if lo is None else F.col("doc") >= lo) & (F.lit(True) if hi is None else F.col("doc") < hi)) for lo, hi in ranges]
 
 
-def removed(docs: DataFrame, window: int = 20, batches: int = 4, fanout: int = 2, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def removed(docs: DataFrame, window: int = 20, batches: int = 3, fanout: int = 1, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row of docs: doc_id, rest (the carried columns), text, n_words, n_removed, kept_sha256 (of the kept words, joined by one space).
 
     text is the document's as it was if it keeps all its words, else the kept words, joined by one space.
@@ -142,7 +164,8 @@ def removed(docs: DataFrame, window: int = 20, batches: int = 4, fanout: int = 2
     index = Index(docs.sparkSession, None, window, fanout)
     kind = index.kind
     rows, texts = repeats.keyed(docs, id_col, text_col, carry)
-    spans = repeats.union([index.add(part) for part in batches_by_id(texts, batches)])
+    parts = batches_by_id(texts, batches)
+    spans = repeats.union([index.add(part, last=part is parts[-1]) for part in parts])
     index.delete()
     out = pa.schema([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string()), ("doc_id", pa.int64())])
 

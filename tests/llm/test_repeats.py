@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from fixtures import corpus, frame, words
 from pyspark.sql import functions as F
@@ -136,13 +137,20 @@ def test_an_index_is_compacted_and_goes_on_in_a_later_session(spark, tmp_path):
 
 
 def test_history_is_read_where_it_lies(spark):
-    """Only a new generation's own rows are shuffled."""
+    """Only a new generation's own blocks are shuffled; a union of runs alone keeps their buckets."""
     _, docs = repeats.keyed(frame(spark).repartition(3))
     index = substring.Index(spark)
-    for part in substring.batches_by_id(docs, 2):
-        index.add(part)
-    plan = index._merged(index.runs, lambda batches: batches)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Scan parquet") == 2 and "Exchange" not in plan
+    one, two, three = substring.batches_by_id(docs, 3)
+    index.add(one)
+    index.add(two)
+    new = index._slotted(repeats.scan(three, index.kind, 2)).repartition(index.buckets, "own_slot")
+    plan = index._merged(index._aligned([*map(index._blocks, index.runs), new]), lambda batches: batches)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 2 and plan.count("Exchange hashpartitioning(own_slot") == 1
+    # of runs alone, each slot is one group, with nothing shuffled
+    firsts = index._merged(index._aligned(list(map(index._blocks, index.runs))), lambda batches: [pa.concat_batches([pa.RecordBatch.from_arrays(b.columns, names=b.schema.names) for b in batches]).slice(0, 1)])
+    assert "Exchange" not in firsts._jdf.queryExecution().executedPlan().toString()
+    slots = [r.slot for r in firsts.collect()]
+    assert len(slots) == len(set(slots)) > 20
     index.delete()
 
 
