@@ -17,7 +17,10 @@ def no_entities() -> Column:
 
 
 def once(column: Column) -> Column:
-    """The column, worked out just where it stands: filters above, also those that explode() implies, don't repeat it below."""
+    """The column, worked out just where it stands: filters above, also those that explode() implies, don't repeat it below.
+
+    For the price of that no filter gets below it either, not even one on other columns: filter before it.
+    """
     return F.when(F.spark_partition_id() >= 0, column)
 
 
