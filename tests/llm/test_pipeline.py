@@ -1,11 +1,13 @@
 import random
 
 import numpy as np
+import pytest
 from fixtures import frame, words
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from maskwright.llm import simhash
+from maskwright.llm import bpe, simhash
 
 
 def shingles(text, k=5):
@@ -112,3 +114,44 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in last} == {r.doc_id for r in fourth}
     whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(map(str, whole)) == sorted(map(str, last))
+
+
+def odd_rows():
+    rng = random.Random(21)
+    t, u, long = " ".join(words(rng, 60)), " ".join(words(rng, 45)), " ".join(words(rng, 20_000))
+    return [(1, t, "en", "a", 1), (1, t, "en", "a", 1), (1, u, None, None, None), (None, u, "en", "b", 2), (None, None, None, "b", None), (None, "", None, None, 0), (2, None, None, None, None), (3, "", "en", "a", 0), (3, " \n", "en", "a", 2), (4, long, "de", "a", 5), (5, "x", "en", "c", 1), (5, "y", "en", "c", 1)]
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_every_stage_on_odd_tables(spark, tmp_path, k):
+    """Nulls, empty and very long texts, repeated rows and ids, clashing columns, an empty table: no crash, and a result that the docstrings define."""
+    name, stage = corpus_pipeline.STAGES[k]
+    rng = random.Random(2)
+    train = [(100 + i, " ".join(words(rng, 40)) if i % 2 else "A!! B!! " * 20, "en", "a", 1) for i in range(80)]
+    spark.createDataFrame([(r[0], i % 2, 0) for i, r in enumerate(train)] + [(None, 1, None), (1, None, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    rows = odd_rows() + (train if k == 0 else [])
+    clash = ("copy", "doc", "spans", "rest", "class", "id", "x", "score", "__id", "part", "g", "n_words", "least", "component")
+    docs = frame(spark, rows).withColumns({c: F.lit(7) for c in clash})
+    got = [r.asDict() for r in stage(spark, docs, str(tmp_path)).collect()]
+    if k < 4:
+        assert all(list(r) == list(corpus_pipeline.COLUMNS) for r in got)
+        assert list(stage(spark, frame(spark, []), str(tmp_path)).columns) == list(corpus_pipeline.COLUMNS)
+    assert stage(spark, frame(spark, []), str(tmp_path)).count() == 0
+    pairs = [(r["doc_id"], r.get("text")) for r in got]
+    given = [(r[0], r[1]) for r in rows]
+    if name == "quality classifier":
+        assert set(pairs) <= set(given) and all(pairs.count(p) == given.count(p) for p in set(pairs))
+    elif name == "SimHash near-dedup":
+        assert set(pairs) <= set(given) and len(pairs) == len(set(pairs))
+        ids = {i: t for i, t in pairs if t and len(t) > 2}
+        assert (1, rows[0][1]) in pairs and (4, rows[9][1]) in pairs and ids
+        assert sorted(t.lower().split()[0] for _, t in pairs if t and t.split()) == sorted({t.lower().split()[0] for _, t in given if t and t.split()})
+    elif name == "substring dedup":
+        assert {i for i, _ in pairs} <= {i for i, _ in given} and (4, rows[9][1]) in pairs
+        assert sum(t == rows[2][1] for _, t in pairs) == 1
+    elif name == "mixing sources":
+        assert set(pairs) <= set(given)
+    else:
+        library = Tokenizer.from_file(bpe.default_tokenizer())
+        want = sorted((str(i), len(library.encode(t or "", add_special_tokens=False).ids) + 1) for i, t in given)
+        assert sorted((str(r["doc_id"]), r["doc_tokens"]) for r in got if r["start"] == 0) == want
