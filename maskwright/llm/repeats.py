@@ -33,7 +33,7 @@ from maskwright.llm.common import Written, lean, record_batch, shuffle_width, sl
 ROWS = "g long, gen int, doc long, copy long, lo int, n int, at int, text binary"
 SCHEMA = pa.schema([("g", pa.int64()), ("gen", pa.int32()), ("doc", pa.int64()), ("copy", pa.int64()), ("lo", pa.int32()), ("n", pa.int32()), ("at", pa.int32()), ("text", pa.binary())])
 #: Bytes of rows that are settled together, and beyond which the rows of one anchor are thinned out.
-HELD = 12 << 20
+HELD = 5 << 20
 _ROW = 64  # bytes of a row besides its text
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _S29, _S32 = np.uint64(29), np.uint64(32)
@@ -51,7 +51,7 @@ class Kind:
     window: int
     gram: int
     piece: int = 1 << 17
-    chunk: int = 4 << 20
+    chunk: int = 3 << 20
     held: int = field(default=HELD)
 
 

@@ -102,7 +102,7 @@ class Index:
             if first is None:
                 return
             slot = first.column("own_slot")[0]
-            for out in work(b.drop_columns(["own_slot"]) for b in chain([first], batches)):
+            for out in lean(work)(b.drop_columns(["own_slot"]) for b in chain([first], batches)):
                 yield pa.RecordBatch.from_arrays([*out.columns, pa.repeat(slot, out.num_rows)], names=[*out.schema.names, "slot"])
 
         return rows.sortWithinPartitions("own_slot", "g").groupBy("own_slot").applyInArrow(run, f"{repeats.ROWS}, slot int")
@@ -110,12 +110,12 @@ class Index:
     def add(self, docs: DataFrame, last: bool = False) -> DataFrame:
         """docs (doc, copy, text), later than all that have been added -> spans (doc, copy, lo, hi) of words that windows repeat, ends included.
 
-        last: nothing more will be added in this session, so compaction is left to a later one.
+        last: nothing will ever be added after these, so they leave no blocks behind.
         """
         gen, kind = self.generations, self.kind
         new = self._slotted(repeats.scan(docs, kind, gen)).repartition(self.buckets, "own_slot")
         rows = self._aligned([*map(self._blocks, self.runs), new])
-        run = self._put(self._merged(rows, lambda batches: repeats.settle(batches, kind, gen, keep=True)), gen, gen)
+        run = self._put(self._merged(rows, lambda batches: repeats.settle(batches, kind, gen, keep=not last)), gen, gen)
         self.runs.append(run)
         spans = repeats.dealt(self.spark.table(run[2]), kind, gen, self.written)
         spans = self.written.put(spans, "spans")
