@@ -41,7 +41,8 @@ def candidates(paragraphs: DataFrame, config: Config = Config()) -> DataFrame:
     for step in config.detectors:
         if step == "context":
             df = refine.refine(df, enabled=config.enabled)
-            df = df.withColumn("candidates", F.concat("refined", context.generate(text, config.enabled, config.strict_company_end))).drop("refined")
+            added = context.generate(text, config.enabled, config.strict_company_end, F.col("__low"))
+            df = df.withColumn("__low", F.lower(text)).withColumn("candidates", F.concat("refined", added)).drop("refined", "__low")
         elif step == "names":
             if config.name_provider is not None:
                 df = df.withColumn("candidates", F.concat("candidates", names.entities(text, config.name_provider)))
