@@ -265,12 +265,13 @@ def _near_runs(key: np.ndarray, ids: np.ndarray, codes: np.ndarray, most: int, c
     return a[a != b], b[a != b], tree[a != b]
 
 
-def _first_meeting(key: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Marks pairs whose key is the least that they have in common; a, b: their keys, (pairs, tables, keys in a table)."""
+def _first_meeting(key: np.ndarray, probes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Marks pairs of rows a, b whose key is the least that they have in common; probes: each row's keys, (rows, tables, keys in a table)."""
     out, last = np.empty(len(key), dtype=bool), np.iinfo(np.int64).max
-    for at in range(0, len(key), 10_000):
-        x, y = a[at : at + 10_000, :, :, None], b[at : at + 10_000, :, None, :]
-        out[at : at + 10_000] = np.where(x == y, x, last).min(axis=(1, 2, 3)) == key[at : at + 10_000]
+    for at in range(0, len(key), 2_000):
+        to = at + 2_000
+        x, y = probes[a[at:to]][:, :, :, None], probes[b[at:to]][:, :, None, :]
+        out[at:to] = np.where(x == y, x, last).min(axis=(1, 2, 3)) == key[at:to]
     return out
 
 
@@ -294,7 +295,7 @@ def _meetings(probes: DataFrame, most: int, tables: Tables) -> DataFrame:
             names, row = np.unique(ids, return_index=True)
             probes = table.column("probes").combine_chunks().flatten().to_numpy().reshape(len(table), tables.count, -1)
             met = key[np.searchsorted(run, tree)]
-            first = _first_meeting(met, probes[row[np.searchsorted(names, a)]], probes[row[np.searchsorted(names, b)]])
+            first = _first_meeting(met, probes, row[np.searchsorted(names, a)], row[np.searchsorted(names, b)])
             a, b, tree = a[first], b[first], np.full(int(first.sum()), -1)
         if len(a):
             yield record_batch(schema, a, b, tree)
@@ -306,7 +307,7 @@ def _meetings(probes: DataFrame, most: int, tables: Tables) -> DataFrame:
                 continue
             held.append(batch)
             size += batch.num_rows
-            if size < 50_000 or batch.column("key")[0].as_py() == batch.column("key")[-1].as_py():
+            if size < (10_000 if grouped else 50_000) or batch.column("key")[0].as_py() == batch.column("key")[-1].as_py():
                 continue
             table = pa.Table.from_batches(held)
             keys = batch.column("key").to_numpy()
