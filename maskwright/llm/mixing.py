@@ -75,11 +75,12 @@ def replicated(docs: DataFrame, weights: Mapping[str | None, float] | None = Non
         table = F.broadcast(table)  # its size has been checked
     drawn = docs.select(*[F.col(f"`{c}`") for c in names]).join(table, F.col(f"`{source_col}`").eqNullSafe(F.col(source)))
     key = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))
-    count = lambda u: F.size(F.filter(sums, lambda s: s < u))
-    # a large mean is the sum of several: the first takes the hash of the id, the others further ones
-    more = F.aggregate(F.sequence(F.lit(1), F.col(parts) - 1), F.lit(0), lambda n, j: n + count(uniform(F.lit(str(seed)), key, j.cast("string"))))
-    copies = count(uniform(F.lit(str(seed)), key)) + F.when(F.col(parts) > 1, more).otherwise(0)
-    many = drawn.select(*[F.col(f"`{c}`") for c in names], F.explode(F.when(copies > 0, F.sequence(F.lit(0).cast("long"), copies.cast("long") - 1))).alias("copy"))
+    # a large mean is the sum of several: the first takes the hash of the id, the others further ones; each is worked out once, outside of the comparisons
+    further = F.transform(F.sequence(F.lit(1), F.col(parts) - 1), lambda j: uniform(F.lit(str(seed)), key, j.cast("string")))
+    draws = F.concat(F.array(uniform(F.lit(str(seed)), key)), F.when(F.col(parts) > 1, further).otherwise(F.array().cast("array<double>")))
+    copies = F.aggregate(draws, F.lit(0), lambda n, u: n + F.size(F.filter(sums, lambda s: s < u)))
+    # from 0 to the number, of which the 0 goes again: so the number stands, and is worked out, only once
+    many = drawn.select(*[F.col(f"`{c}`") for c in names], F.explode(F.sequence(F.lit(0).cast("long"), copies.cast("long"))).alias("copy")).where(F.col("copy") > 0).withColumn("copy", F.col("copy") - 1)
     return many.withColumn(order, F.rand(seed)).repartition(shuffle_width(spark), order).sortWithinPartitions(order).drop(order)
 
 
