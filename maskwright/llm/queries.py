@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maskwright.llm import bpe, itq, mixing, packing, quality, simhash, substring, suffix, toxicity, winnow
+from maskwright.llm import bpe, collocations, itq, kdtree, mixing, packing, partitions, quality, simhash, substring, suffix, toxicity, winnow
 from maskwright.llm.common import load
 
 
@@ -50,7 +50,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classified(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
-QUERIES = (op1_simhash_near_dedup, op2_substring_dedup, op3_quality_classifier, op4_packing, op5_mixing, op6_document_fingerprints, op7_embedding_near_dedup, op8_token_counts, op9_suffix_array_dedup, op10_toxicity)
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partitions.nearest(load(spark, sf_dir, "embeddings"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdtree.clustered(load(spark, sf_dir, "embeddings"))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(load(spark, sf_dir, "documents"))
+
+
+QUERIES = (
+    op1_simhash_near_dedup, op2_substring_dedup, op3_quality_classifier, op4_packing, op5_mixing, op6_document_fingerprints, op7_embedding_near_dedup, op8_token_counts, op9_suffix_array_dedup, op10_toxicity,
+    op11_nearest_neighbours, op12_centroid_clustering, op13_phrase_collocations,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -58,4 +73,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mixing.SQL}
+    return {"op5_mixing": mixing.SQL, "op12_centroid_clustering": kdtree.sql(), "op13_phrase_collocations": collocations.sql()}
