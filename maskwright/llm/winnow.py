@@ -14,13 +14,18 @@ from maskwright.llm.repeats import LAST_ID, mix
 
 #: Of texts of 128 code points and more any match of GRAM + WINDOW - 1 code points is caught by a common fingerprint.
 GRAM, WINDOW = 8, 16
+#: Stands before a text, in front of its first code point; no code point itself.
+BEFORE = 0x110000
 CHUNK = 1 << 20
 PLACES = pa.list_(pa.struct([("hash", pa.int64()), ("position", pa.int64())]))
 
 
-def scale(n: int, gram: int = GRAM, window: int = WINDOW) -> tuple[int, int]:
-    """Gram and window for a text of n code points: at most a fifth and an eighth of it, so that short texts have several fingerprints."""
-    return min(gram, max(1, n // 5)), min(window, max(1, n // 8))
+def window_of(n: int, window: int = WINDOW) -> int:
+    """Grams in a window for a text of n code points: at most an eighth of them, so that short texts have several fingerprints.
+
+    What a longer window chooses, a shorter one chooses too: texts of different lengths stay comparable.
+    """
+    return min(window, max(1, n // 8))
 
 
 def code_points(text: str) -> np.ndarray:
@@ -28,9 +33,8 @@ def code_points(text: str) -> np.ndarray:
 
 
 def gram_hashes(points: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all k-grams, by doubling; a shorter text is one gram."""
-    h = mix(points.astype(np.uint64), np.full(len(points), len(points) if len(points) < k else 0, dtype=np.uint64))
-    k = min(k, len(h))
+    """Hashes of all k-grams, by doubling."""
+    h = mix(points.astype(np.uint64), np.zeros(len(points), dtype=np.uint64))
     size = 1
     while size * 2 <= k:
         h = mix(h[: len(h) - size], h[size:])
@@ -41,13 +45,17 @@ def gram_hashes(points: np.ndarray, k: int) -> np.ndarray:
 def winnow(text: str, gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, positions in code points) of the least gram hash of every window of grams, the rightmost of equals.
 
-    Neighbouring windows with the same choice count once; fewer grams than a window are one window; an empty text has none.
-    Short texts have shorter grams and windows (scale). Long texts go through in pieces that overlap by a window, which choose the same.
+    There is a gram that ends with each code point; the first ones reach back before the text, and their position is 0.
+    So texts with a common beginning, however short, have common grams. Neighbouring windows with the same choice count
+    once; fewer grams than a window are one window; an empty text has none. Short texts have shorter windows
+    (window_of), the grams are the same for all. Long texts go through in pieces that overlap by a window, which choose
+    the same.
     """
     points = code_points(text)
-    gram, window = scale(len(points), gram, window)
     if not len(points):
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    window = window_of(len(points), window)
+    points = np.concatenate([np.full(gram - 1, BEFORE, dtype=points.dtype), points])
     found, step = [], CHUNK
     for at in range(0, max(1, len(points) - gram - window + 2), step):
         h = gram_hashes(points[at : at + step + gram + window - 2], gram)
@@ -65,7 +73,7 @@ def winnow(text: str, gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarra
         found.append((h[place], place + at))
     hashes, places = (np.concatenate(x) for x in zip(*found, strict=True))
     new = np.r_[True, places[1:] != places[:-1]]
-    return hashes[new], places[new]
+    return hashes[new], np.maximum(places[new] - (gram - 1), 0)
 
 
 def fingerprint_of(hashes: np.ndarray) -> np.ndarray:

@@ -15,15 +15,15 @@ def test_winnowing_against_every_window():
     for n in (0, 1, 5, 7, 12, 40, 400):
         text = "".join(rng.choice("abé🙂") for _ in range(n)) if n < 400 else "ab" * 100 + "".join(rng.choice("ab") for _ in range(200))
         got = winnow.winnow(text, gram=5, window=8)
-        gram, window = min(5, max(1, n // 5)), min(8, max(1, n // 8))
-        h = [] if not text else winnow.gram_hashes(winnow.code_points(text), gram).tolist()
+        window = min(8, max(1, n // 8))
+        h = [] if not text else winnow.gram_hashes(np.r_[np.full(4, winnow.BEFORE, dtype=np.uint32), winnow.code_points(text)], 5).tolist()
         places = []
         for at in range(max(1, len(h) - window + 1) if h else 0):
             part = h[at : at + window]
             least = min(x >> 32 for x in part)
             places.append(at + max(i for i, x in enumerate(part) if x >> 32 == least))
         want = sorted(set(places))
-        assert got[1].tolist() == want and got[0].tolist() == [h[i] for i in want]
+        assert got[1].tolist() == [max(0, i - 4) for i in want] and got[0].tolist() == [h[i] for i in want]
 
 
 def test_winnowing_in_pieces(monkeypatch):
@@ -102,6 +102,24 @@ def test_short_texts_are_like_their_edited_texts(spark):
         assert min(near) > 0.1 and 0.35 < np.mean(near) < 0.8 and np.mean(far) < 0.2, n
 
 
+def test_likeness_has_no_steps_by_length(spark):
+    """Texts of 1 to 140 code points against what is left without up to a quarter of their ends, and with another text there, however short."""
+    rng = random.Random(21)
+    word = lambda n: "".join(rng.choice("abcdefghij klmnopq") for _ in range(n))
+    print_of = lambda t: winnow.fingerprint_of(winnow.winnow(t)[0])
+    assert winnow.likeness(print_of("the quick brown fox jumps over the"), print_of("the quick brown fox jumps over the lazy")) > 0.5
+    for n in range(1, 141):
+        text = word(n)
+        own = print_of(text)
+        for cut in range(n // 4 + 1):
+            assert winnow.likeness(own, print_of(text[: n - cut])) > 0.1, (n, cut)
+        for m in (0, 1, 2, n // 8, n // 4, n):
+            assert winnow.likeness(own, print_of(winnow.edited(text, word(m)))) > 0.1, (n, m)
+            assert winnow.likeness(own, print_of("z" + word(max(n, 8)))) < 0.2
+    rows = [(1, "a text of thirty-seven code points, a", None, None, None), (2, "bc", None, None, None)]
+    assert winnow.edit_report(frame(spark, rows)).where("doc_id = 1").first().near_edited > 0.4
+
+
 def test_matches_share_a_fingerprint_at_their_places(spark):
     rng = random.Random(3)
     word = lambda n: "".join(rng.choice("abcdé🙂") for _ in range(n))
