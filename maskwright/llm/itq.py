@@ -97,9 +97,11 @@ def encode(x: np.ndarray, mean: np.ndarray, projection: np.ndarray, tables: Tabl
     return on @ (1 << np.arange(tables.bits, dtype=np.int64))
 
 
-def unit_vectors(column: pa.Array) -> np.ndarray:
-    """Rows in double precision, scaled to length one."""
-    x = column.values.to_numpy(zero_copy_only=False).astype(np.float64)[column.offsets.to_numpy()[0] : column.offsets.to_numpy()[-1]].reshape(len(column), -1)
+def unit_vectors(column: pa.Array, dims: int) -> np.ndarray:
+    """Rows in double precision, scaled to length one and filled up with zeros to dims components."""
+    ends = column.offsets.to_numpy()
+    x = np.zeros((len(column), dims))
+    x[np.arange(dims) < np.diff(ends)[:, None]] = column.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]]
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
@@ -122,7 +124,7 @@ def index(classes: DataFrame, tables: Tables, mean: np.ndarray, projection: np.n
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                segments = encode(unit_vectors(batch.column("v")), mean, projection, tables)
+                segments = encode(unit_vectors(batch.column("v"), len(mean)), mean, projection, tables)
                 words = [sum(segments[:, t] << (tables.bits * (t % tables.per_word)) for t in range(w * tables.per_word, min(tables.count, (w + 1) * tables.per_word))) for w in range(tables.code_words)]
                 yield record_batch(schema, batch.column("id"), *words)
 
@@ -155,14 +157,14 @@ def candidates(codes: DataFrame, tables: Tables, most_flips: int) -> DataFrame:
     return met.select(F.least("by", "id").alias("a"), F.greatest("by", "id").alias("b"))
 
 
-def reranked(pairs: DataFrame, classes: DataFrame, cosine: float) -> DataFrame:
-    """The pairs whose vectors' cosine, in double precision, is at least the given one."""
+def reranked(pairs: DataFrame, classes: DataFrame, cosine: float, dims: int) -> DataFrame:
+    """The pairs of vectors of one length, dims at most, whose cosine, in double precision, is at least the given one."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                alike = (unit_vectors(batch.column("va")) * unit_vectors(batch.column("vb"))).sum(axis=1) >= cosine
+                alike = (unit_vectors(batch.column("va"), dims) * unit_vectors(batch.column("vb"), dims)).sum(axis=1) >= cosine
                 yield batch.select(["a", "b"]).filter(pa.array(alike)).cast(schema)
 
     with_a = pairs.join(classes.select(F.col("id").alias("a"), F.col("v").alias("va")), "a")
@@ -170,23 +172,33 @@ def reranked(pairs: DataFrame, classes: DataFrame, cosine: float) -> DataFrame:
     return with_both.select("a", "b", "va", "vb").mapInArrow(lean(run), "a long, b long")
 
 
+def linked(classes: DataFrame, dims: int, written: Written, cosine: float, recall: float, most_training: int) -> DataFrame:
+    """Links (a, b) between vectors (id, v) of up to dims components; shorter ones are filled up with zeros, which changes no angle."""
+    x = classes.orderBy(F.xxhash64("id"), "id").limit(most_training).select("v").toArrow().column("v").combine_chunks()
+    x = unit_vectors(x, dims)
+    flips = flips_at(x, cosine)
+    tables = plan_measured(classes.count(), flips, recall)
+    bits, flip = tables.bits * tables.count, float(flips.max())
+    most_flips = math.ceil(bits * flip + 4 * math.sqrt(bits * flip * (1 - flip)))
+    mean, projection = learn(x, bits)
+    codes = written.put(index(classes, tables, mean, projection), "codes")
+    return written.put(reranked(candidates(codes, tables, most_flips), classes, cosine, dims), "links")
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.97, most_training: int = MOST_TRAINING, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Per row: vec_id, n_links (others linked directly), component_id (smallest id reachable), kept (vec_id = component_id).
 
-    Vectors that are null, empty or zero, or hold a null or non-finite component, link with nothing; so do vectors of
-    another length than most. Equal vectors are one class, whose members link with each other and with all members of
-    linked classes without being paired one by one. Rows that share an id are vectors of their own; a null id stays null
-    and counts after all others; an empty table gives an empty one; other columns are ignored. Every vector is indexed;
-    what the tables miss is planned by recall, for pairs exactly at the given cosine; closer ones are missed less.
+    Vectors that are null, empty or zero, or hold a null or non-finite component, link with nothing; vectors of different
+    lengths don't link with each other. Equal vectors are one class, whose members link with each other and with all
+    members of linked classes without being paired one by one. Rows that share an id are vectors of their own; a null id
+    stays null and counts after all others; an empty table gives an empty one; other columns are ignored. Every vector is
+    indexed; what the tables miss is planned by recall, for pairs exactly at the given cosine; closer ones are missed less.
+
+    There is an index for the lengths up to each power of two: as many as that at most, however many lengths there are.
     """
     written = Written(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).withColumn("fit", usable("v"))
-    dims = rows.where("fit").groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    if dims is not None:
-        rows = rows.withColumn("fit", F.col("fit") & (F.size("v") == dims[0]))
     alone = rows.where("not fit").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("least"))
-    if dims is None:
-        return _result(alone)
     rows = rows.where("fit").withColumn("v", F.transform("v", lambda c: c + 0.0)).select("id", "v")
     # a class is named by its vector's hash, as a row's id need not be its own; another seed if two vectors have the same
     for seed in range(100):
@@ -196,16 +208,14 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.9
             rows = named
             break
         written.drop(classes)
-    x = np.stack(classes.orderBy(F.xxhash64("id"), "id").limit(most_training).select("v").toPandas()["v"].to_numpy()).astype(np.float64)
-    x = x / np.abs(x).max(axis=1, keepdims=True)
-    x = x / np.linalg.norm(x, axis=1, keepdims=True)
-    flips = flips_at(x, cosine)
-    tables = plan_measured(classes.count(), flips, recall)
-    bits, flip = tables.bits * tables.count, float(flips.max())
-    most_flips = math.ceil(bits * flip + 4 * math.sqrt(bits * flip * (1 - flip)))
-    mean, projection = learn(x, bits)
-    codes = written.put(index(classes, tables, mean, projection), "codes")
-    links = written.put(reranked(candidates(codes, tables, most_flips), classes, cosine), "links")
+    power = F.ceil(F.log2(F.size("v"))).cast("int")
+    powers = sorted(r[0] for r in classes.select(power).distinct().collect())  # 31 at most
+    if not powers:
+        return _result(alone)
+    parts = [linked(classes.where(power == p), 1 << p, written, cosine, recall, most_training) for p in powers]
+    links = parts[0]
+    for more in parts[1:]:
+        links = links.unionByName(more)
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     around = both.join(classes.select(F.col("id").alias("b"), "members"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("members").alias("around"))
     reached = components(links, written).withColumnRenamed("node", "id")

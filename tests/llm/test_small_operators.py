@@ -164,7 +164,7 @@ def test_embeddings_against_brute_force(spark):
     assert sum(r.n_links for r in got.values()) >= 0.95 * len(links)
     exact = [400 + i for i in range(12)] + [3]
     assert len({got[i].component_id for i in exact}) == 1 and all(got[i].n_links >= 12 for i in exact)
-    for i in (501, 502, 503, 504, 505, 506, 507, 508):
+    for i in (501, 502, 503, 504, 505, 506, 507, 508):  # the last one is the only one of its length
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True)
     again = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (None, [0.0, 2.0])], "vec_id long, embedding array<double>")
     assert sorted((r.vec_id or 9, r.n_links, r.component_id) for r in itq.near_duplicates(again).collect()) == [(1, 0, 1), (1, 1, 1), (9, 1, 1)]
@@ -186,3 +186,21 @@ def test_embeddings_that_share_a_direction(spark):
     got = itq.near_duplicates(spark.createDataFrame(vectors, "vec_id long, embedding array<double>")).collect()
     found = sum(r.n_links for r in got)
     assert links > 1000 and 0.95 * links <= found <= links
+
+
+def test_vectors_of_every_length_are_linked(spark):
+    rng = np.random.default_rng(8)
+    vectors = []
+    for dims, n in ((2, 60), (3, 40), (4, 40), (5, 40), (8, 200), (1, 3), (16, 2)):
+        base = rng.standard_normal((n, dims))
+        vectors += [v.tolist() for v in base] + [(v + 0.05 * rng.standard_normal(dims)).tolist() for v in base[: n // 2]]
+    vectors += [[1.0, 2.0, 3.0], [1.0, 2.0, 3.0], [1.0, 2.0], [1.0, 2.0, 3.0, 0.0]]
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
+    unit = [np.array(v) / np.linalg.norm(v) for v in vectors]
+    links = {(a, b) for a, x in enumerate(unit) for b, y in enumerate(unit) if a != b and len(x) == len(y) and x @ y >= 0.9}
+    got = {r.vec_id: r for r in itq.near_duplicates(df, recall=0.999).collect()}
+    degree = [sum(a == i for a, _ in links) for i in range(len(vectors))]
+    assert len(got) == len(vectors) and all(got[i].n_links <= n for i, n in enumerate(degree))
+    assert sum(r.n_links for r in got.values()) >= 0.99 * len(links)
+    assert got[len(vectors) - 4].component_id == got[len(vectors) - 3].component_id
+    assert all(len(vectors[r.component_id]) == len(vectors[i]) for i, r in got.items())
