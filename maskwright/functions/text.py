@@ -41,15 +41,15 @@ def part(text: Column, start: Column, end: Column) -> Column:
     return text.substr(start + F.lit(1), end - start)
 
 
-def scan(text: Column, pattern: str, flags: str = "U") -> Column:
-    """Spans (start, end) of the pattern's successive matches, left to right.
+def scan(text: Column, pattern: str | Column, flags: str = "U") -> Column:
+    """Spans (start, end) of the pattern's successive matches, left to right; the pattern may be a column.
 
     Matches are put between two control characters, at which the text is then split: every second piece is a match, and
     the pieces' lengths add up to offsets. Where the text has these characters itself, two others stand in for them,
     which no pattern tells from them.
     """
     plain = F.translate(text, _OPEN + _CLOSE, "\x03\x04")
-    pieces = F.split(F.regexp_replace(plain, F.lit(f"(?{flags}){pattern}"), F.lit(f"{_OPEN}$0{_CLOSE}")), f"[{_OPEN}{_CLOSE}]")
+    pieces = F.split(F.regexp_replace(plain, F.concat(F.lit(f"(?{flags})"), pattern) if isinstance(pattern, Column) else F.lit(f"(?{flags}){pattern}"), F.lit(f"{_OPEN}$0{_CLOSE}")), f"[{_OPEN}{_CLOSE}]")
     begin = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.array().cast("array<struct<start:int,end:int>>").alias("found"))
 
     def step(state, piece):

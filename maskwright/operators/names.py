@@ -56,13 +56,21 @@ class ModelProvider:
 
 
 def entities(text: Column, provider) -> Column:
-    """What the provider finds, as candidates; the model is loaded once for each stream of Arrow batches."""
+    """What the provider finds, as candidates; the model is loaded once for each stream of Arrow batches.
+
+    A provider has load(), which gives a function of one text, or load_many(), which gives one of a list of texts.
+    """
 
     @F.pandas_udf("array<struct<label:string,start:int,end:int>>")
     def spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        find = provider.load()
+        if hasattr(provider, "load_many"):
+            many = provider.load_many()
+        else:
+            find = provider.load()
+            many = lambda texts: [find(t) if t else () for t in texts]
         for batch in batches:
-            yield batch.map(lambda t: [{"label": k, "start": a, "end": b} for k, a, b in (find(t[:MOST_CHARACTERS]) if t else ()) if k in LABELS])
+            texts = ["" if t is None else t[:MOST_CHARACTERS] for t in batch]
+            yield pd.Series([[{"label": k, "start": a, "end": b} for k, a, b in found if k in LABELS] for found in many(texts)], index=batch.index)
 
     kind = lambda s: F.element_at(F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair]), s["label"])
     return F.transform(spans(text), lambda s: T.entity(T.part(text, s["start"], s["end"]), kind(s), s["start"], s["end"], V.NAME_MODEL, V.NAME_DETECTOR))

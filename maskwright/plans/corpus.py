@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
+from maskwright.functions import pseudonym as P
+
 _K = "c_custkey"
 
 
@@ -58,3 +62,27 @@ def header_candidates_sql(customer: str = "customer") -> str:
     kind = "CASE c_custkey % 5 WHEN 0 THEN 'PERSON' WHEN 1 THEN 'COMPANY_CANDIDATE' WHEN 2 THEN 'ADDRESS_CANDIDATE' WHEN 3 THEN 'PERSON' ELSE 'COMPANY_CANDIDATE' END"
     tail = "CASE c_custkey % 11 WHEN 0 THEN ' is the chairman' WHEN 1 THEN ', plot 7, 411001' WHEN 2 THEN ' as user' WHEN 3 THEN ' company: yes' WHEN 4 THEN ', alpha beta, gamma road, delta' ELSE '' END"
     return f"SELECT c_custkey AS doc_id, {header} AS header_text, concat({found}, {tail}) AS text, {found} AS found, {kind} AS entity_type, CAST(0.7 AS DOUBLE) AS confidence FROM {customer}"
+
+
+def _one(words: tuple[str, ...], step: int) -> str:
+    """One of the words, by the key."""
+    return f"element_at(array({', '.join(repr(w) for w in words)}), cast({_K} * {step} % {len(words)} + 1 AS int))"
+
+
+def named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that name people, companies and places without announcing them: (doc_id, seq, text, header_text, entities, held_out).
+
+    entities are the expected findings. A fifth of the customers is held out; the family names of theirs, and the last two
+    of the twelve lines, occur nowhere else.
+    """
+    person = lambda step: f"concat({_one(P.FIRST_NAMES, step)}, ' ', CASE WHEN {_K} % 5 = 0 THEN {_one(P.LAST_NAMES[15:], 3 * step)} ELSE {_one(P.LAST_NAMES[:15], step + 2)} END)"
+    names = {"P": ("PERSON", person(7)), "Q": ("PERSON", person(11)), "C": ("COMPANY", f"concat({_one(P.LAST_NAMES, 7)}, ' ', {_one(P.BRANCHES, 3)}, ' Works')"), "G": ("PHYSICAL_OR_MAILING_ADDRESS", _one(P.CITIES, 3))}
+    lines = ("{P} joined the meeting on time", "We met {P} and {Q} last week", "A letter from {P} arrived", "{C} opened a branch near {G}", "The bill of {C} was paid by {P}", "They moved to {G} after the summer", "Prices rose again, said {P}", "nothing of note happened in the garden", "Red Paper Day was fun for all", "A Garden Party near {G}", "{Q} and {C} wrote to each other", "In {G} we saw {P} again")
+    each = []
+    for i, line in enumerate(lines):
+        pieces = [x[1] if x[0] == "{" else repr(x) for x in re.split(r"(\{\w\})", line) if x]
+        gold = [f"named_struct('type', '{names[x][0]}', 'text', {x})" for x in re.findall(r"\{(\w)\}", line)]
+        each.append(f"named_struct('seq', {i}, 'text', concat({', '.join(pieces)}), 'entities', {f'array({", ".join(gold)})' if gold else 'cast(array() AS array<struct<type:string,text:string>>)'})")
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr(f"{_K} AS doc_id", f"{_K} % 5 = 0 AS held_out", *[f"{sql} AS {x}" for x, (_, sql) in names.items()])
+    rows = customers.selectExpr("doc_id", "held_out", f"explode(array({', '.join(each)})) AS x")
+    return rows.where("held_out OR x.seq < 10").selectExpr("doc_id", "x.seq AS seq", "x.text AS text", "cast(NULL AS string) AS header_text", "x.entities AS entities", "held_out")

@@ -183,7 +183,7 @@ def test_memo_keeps_every_row(spark):
     assert all(r.loc.z == ["y"] for r in got.values())
     assert [[e.confidence for e in got[n].resolved] for n in (1, 2, 3, 6)] == [[0.95], [0.99], [0.99], [0.70]]
     plan = pipeline.analyse(df, person)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("ArrowEvalPython") == 1 and plan.count("Exchange") == 1
+    assert "Python" not in plan and "Arrow" not in plan  # the provider has run, once, for the table that the plan reads
     assert pipeline.analyse(df.limit(0), person).count() == 0
 
 
