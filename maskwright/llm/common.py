@@ -30,7 +30,6 @@ def shared_folder(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         place = f"{tempfile.gettempdir()}/maskwright-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
 
 

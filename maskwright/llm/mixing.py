@@ -71,7 +71,7 @@ def replicated(docs: DataFrame, weights: Mapping[str | None, float] | None = Non
     source, parts, sums, order = (_free(docs.columns, n) for n in ("mixed_source", "mixed_parts", "mixed_sums", "mixed_order"))
     n_parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / MOST_MEAN)).cast("int")
     table = rates(docs, weights, source_col).select(F.col("source").alias(source), n_parts.alias(parts), below(F.col("rate") / n_parts).alias(sums))
-    if docs.select(source_col).distinct().limit(MOST_SOURCES + 1).count() <= MOST_SOURCES:
+    if docs.select(F.col(f"`{source_col}`")).distinct().limit(MOST_SOURCES + 1).count() <= MOST_SOURCES:
         table = F.broadcast(table)  # its size has been checked
     drawn = docs.select(*[F.col(f"`{c}`") for c in names]).join(table, F.col(f"`{source_col}`").eqNullSafe(F.col(source)))
     key = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))

@@ -165,8 +165,10 @@ def removed(docs: DataFrame, window: int = 20, batches: int = 3, fanout: int = 1
     kind = index.kind
     rows, texts = repeats.keyed(docs, id_col, text_col, carry)
     parts = batches_by_id(texts, batches)
-    spans = repeats.union([index.add(part, last=part is parts[-1]) for part in parts])
-    index.delete()
+    try:
+        spans = repeats.union([index.add(part, last=part is parts[-1]) for part in parts])
+    finally:
+        index.delete()
     out = pa.schema([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string()), ("doc_id", pa.int64())])
 
     def run(batches):

@@ -85,6 +85,8 @@ def test_mixing_keeps_columns_of_any_name(spark):
     assert all(r[c] == c for r in got.collect() for c in clash)
     plain = {(r.doc_id, r["copy"]) for r in mixing.replicated(rows).collect()}
     assert {(r.doc_id, r["copy"]) for r in got.collect()} == plain
+    dotted = mixing.replicated(rows.withColumnRenamed("source", "src.x").withColumnRenamed("doc_id", "id"), id_col="id", source_col="src.x").collect()
+    assert {(r["id"], r["copy"]) for r in dotted} == plain and {r["src.x"] for r in dotted} == {"s0", "s1", "s2"}
     twice = mixing.replicated(spark.createDataFrame([(None, None), (None, None), (1, "s")], "doc_id long, source string"), {None: 1.0, "s": 1.0}).collect()
     assert all(r["copy"] >= 0 for r in twice)
 
