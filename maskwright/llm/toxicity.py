@@ -13,14 +13,18 @@ from pyspark.sql import functions as F
 
 from maskwright.llm.common import Written, held_out, lean, record_batch, slices, texts_of
 
-#: At most so many confirmed toxic texts, and unlabelled ones, are learnt from: those of least hash.
-MOST_POSITIVE, MOST_UNLABELLED = 4_000, 12_000
-#: Words and beginnings of words whose document frequencies in the two samples differ most.
+#: At most so many confirmed toxic texts are learnt from, and so many unlabelled ones begin the fit: those of least hash.
+MOST_POSITIVE, FIRST_UNLABELLED = 4_000, 12_000
+#: Steps in which all unlabelled texts then correct the weights.
+STEPS = 8
+#: Words and beginnings of words whose document frequencies among confirmed texts and in the corpus differ most.
 VOCABULARY = 2_000
 #: ... if by at least so many standard errors; below, chance alone brings up many.
 LEAST_Z = 3.0
-#: So many times the vocabulary is proposed by the samples and counted in the corpus.
-CANDIDATES = 4
+#: How much of a step is taken back where the corrected risk of negatives is below zero.
+BACK = 0.1
+#: Gradients are sent as whole multiples of this share, so that their sums don't depend on the order.
+UNIT = 2.0**-30
 CHUNK = 4 << 20
 MEMORY = 300_000
 _EDGES = ".,;:!?\"'()[]{}*#$%&|<>-_`~/\\…«»“”„’‘"
@@ -59,9 +63,9 @@ def finder(names: list[str]):
     index = {f: i for i, f in enumerate(names)}
     known: dict[str, tuple[int, ...]] = {}
 
-    def find(text: str) -> set[int]:
+    def of_words(some: set[str]) -> set[int]:
         found: set[int] = set()
-        for w in words(text):
+        for w in some:
             at = known.get(w)
             if at is None:
                 if len(known) > MEMORY:
@@ -71,6 +75,10 @@ def finder(names: list[str]):
                 found.update(at)
         return found
 
+    def find(text: str) -> set[int]:
+        return of_words(words(text))
+
+    find.of_words = of_words
     return find
 
 
@@ -98,56 +106,113 @@ def non_negative_pu(xp: np.ndarray, xu: np.ndarray, prior: float, rounds: int =
     return w, base
 
 
-def _word_sets(docs: DataFrame) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("words", pa.list_(pa.string()))])
+def _confirmed_counts(batches):
+    """How many texts of a batch have each feature."""
+    schema = pa.schema([("feature", pa.string()), ("p", pa.int64())])
+    for batch in batches:
+        counts: Counter = Counter()
+        for text in texts_of(batch):
+            counts.update({f for w in words(text) for f in features_of(w)})
+        if counts:
+            yield record_batch(schema, list(counts), list(counts.values()))
+
+
+def corpus_counts(docs: DataFrame, beginnings: list[str]) -> DataFrame:
+    """docs (text) -> (feature, u): how many of all texts have each word, and each of these beginnings; the row of null counts the texts.
+
+    A task adds its texts up, and sends what it has whenever it knows MEMORY words.
+    """
+    schema = pa.schema([("feature", pa.string()), ("u", pa.int64())])
+
+    def given(counts, sums):
+        rows = [*counts.items(), *((f, n) for f, n in zip(beginnings, sums.tolist(), strict=True) if n)]
+        for at in range(0, len(rows), 50_000):
+            yield record_batch(schema, *zip(*rows[at : at + 50_000], strict=True))
 
     def run(batches):
-        for batch in slices(batches, CHUNK):
-            yield record_batch(schema, batch.column("doc_id"), [sorted(words(t)) for t in texts_of(batch)])
+        find, counts, sums, texts = finder(beginnings), Counter(), np.zeros(len(beginnings), dtype=np.int64), 0
+        for batch in batches:
+            for text in texts_of(batch):
+                own = words(text)
+                counts.update(own)
+                sums[list(find.of_words(own))] += 1
+            texts += batch.num_rows
+            if len(counts) > MEMORY:
+                yield from given(counts, sums)
+                counts, sums = Counter(), np.zeros(len(beginnings), dtype=np.int64)
+        counts.pop("", None)
+        yield from given(counts, sums)
+        yield record_batch(schema, [None], [texts])
 
-    return docs.mapInArrow(lean(run), "doc_id long, words array<string>")
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "feature string, u long").groupBy("feature").agg(F.sum("u").alias("u"))
 
 
-def _counts(batches):
-    """How many confirmed and unlabelled texts of a batch have each feature."""
-    schema = pa.schema([("word", pa.string()), ("p", pa.int64()), ("u", pa.int64())])
-    for batch in batches:
-        counts = Counter(), Counter()
-        for ws, *of in zip(*(batch.column(c).to_pylist() for c in ("words", "confirmed", "free")), strict=True):
-            found = {f for w in ws for f in features_of(w)}
-            for counter, here in zip(counts, of, strict=True):
-                if here:
-                    counter.update(found)
-        names = list({**counts[0], **counts[1]})
-        if names:
-            yield record_batch(schema, names, [counts[0][w] for w in names], [counts[1][w] for w in names])
+def lookup(docs: DataFrame, names: list[str]) -> DataFrame:
+    """(doc_id, at): the places in names of the features of each text."""
+    schema = pa.schema([("doc_id", pa.int64()), ("at", pa.list_(pa.int32()))])
 
+    def run(batches):
+        find = finder(names)
+        for batch in slices(batches, CHUNK):
+            yield record_batch(schema, batch.column("doc_id"), [sorted(find(t)) for t in texts_of(batch)])
 
-def corpus_counts(docs: DataFrame, names: list[str]) -> tuple[np.ndarray, int]:
-    """How many of all texts of docs have each of the features, and how many texts there are; summed up in each task first."""
-    schema = pa.schema([("at", pa.int32()), ("n", pa.int64())])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, at array<int>")
+
+
+def unlabelled_sums(lists: DataFrame, w: np.ndarray, base: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """Over all rows of lists (at): sums of the score's gradient, of a bound on its curvature, for each weight and then the base; and of the risk as negatives."""
+    schema = pa.schema([("at", pa.int32()), ("g", pa.int64()), ("h", pa.int64())])
+    size = len(w) + 1
 
     def run(batches):
-        find, sums, texts = finder(names), np.zeros(len(names), dtype=np.int64), 0
+        g, h, risk = np.zeros(size), np.zeros(size), 0.0
         for batch in batches:
-            for text in texts_of(batch):
-                sums[list(find(text))] += 1
-            texts += batch.num_rows
-        yield record_batch(schema, np.arange(-1, len(names), dtype=np.int32), np.r_[texts, sums])
+            column = batch.column("at")
+            flat, ends = column.flatten().to_numpy(), column.offsets.to_numpy()
+            lengths, first = np.diff(ends), ends[:-1] - ends[0]
+            sums = np.concatenate([[0.0], np.cumsum(w[flat])])
+            score = 1 / (1 + np.exp(-np.clip(base + sums[first + lengths] - sums[first], -30, 30)))
+            curve = score * (1 - score) * (lengths + 1)
+            g += np.r_[np.bincount(flat, weights=np.repeat(score, lengths), minlength=size - 1), score.sum()]
+            h += np.r_[np.bincount(flat, weights=np.repeat(curve, lengths), minlength=size - 1), curve.sum()]
+            risk -= np.log1p(-np.minimum(score, 1 - 1e-12)).sum()
+        whole = lambda x: np.rint(np.asarray(x) / UNIT).astype(np.int64)
+        some = np.flatnonzero(g)
+        yield record_batch(schema, np.r_[some, -1].astype(np.int32), np.r_[whole(g[some]), whole([risk])], np.r_[whole(h[some]), 0])
+
+    g, h, risk = np.zeros(size), np.zeros(size), 0.0
+    wide = lambda c: F.sum(F.col(c).cast("decimal(38,0)")).alias(c)
+    for r in lists.select("at").mapInArrow(lean(run), "at int, g long, h long").groupBy("at").agg(wide("g"), wide("h")).collect():  # a row for each weight
+        if r["at"] < 0:
+            risk = float(r["g"]) * UNIT
+        else:
+            g[r["at"]], h[r["at"]] = float(r["g"]) * UNIT, float(r["h"]) * UNIT
+    return g, h, risk
+
 
-    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
-    found = dict(map(tuple, rows))
-    return np.array([found.get(i, 0) for i in range(len(names))], dtype=np.float64), found.get(-1, 0)
+def corrected(w: np.ndarray, base: float, xp: np.ndarray, lists: DataFrame, n: int, prior: float, steps: int = STEPS, l2: float = 1e-4) -> tuple[np.ndarray, float]:
+    """The same risk as in non_negative_pu, over all n unlabelled texts: steps down its gradient, scaled by a bound on its curvature."""
+    theta, xp = np.r_[w, base], np.c_[xp.astype(np.float64), np.ones(len(xp))]
+    width = xp.sum(axis=1)
+    for _ in range(steps):
+        g, h, risk = unlabelled_sums(lists, theta[:-1], float(theta[-1]))
+        sp = 1 / (1 + np.exp(-np.clip(xp @ theta, -30, 30)))
+        negative = risk / n + prior * np.log1p(-np.minimum(sp, 1 - 1e-12)).mean()
+        gp, gn = (prior * (sp - 1) / len(xp)) @ xp, g / n - (prior * sp / len(xp)) @ xp
+        curve = (prior * sp * (1 - sp) * width / len(xp)) @ xp + h / n + l2
+        grad = (gp + gn if negative >= 0 else -BACK * gn) + l2 * np.r_[theta[:-1], 0]
+        theta = theta - np.clip(grad / curve, -1, 1)
+    return theta[:-1], float(theta[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED, vocabulary: int = VOCABULARY) -> Linear:
-    """Learns from confirmed toxic texts and unlabelled ones that aren't held out.
+def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, most_positive: int = MOST_POSITIVE, vocabulary: int = VOCABULARY, first_unlabelled: int = FIRST_UNLABELLED) -> Linear:
+    """Learns from confirmed toxic texts, most_positive at most, and all texts that aren't held out, which count as unlabelled.
 
     The features that count are those whose document frequency among the confirmed texts is furthest from that in the
-    corpus. Two bounded samples, of a text for each id, propose CANDIDATES times as many; how often each of these occurs
-    is then counted in all documents that aren't held out. The driver gets the proposed features and their counts, and the
-    samples' rows over the vocabulary. prior: the share of toxic texts; None: that among the labelled rows that aren't
-    held out.
+    corpus, which is counted over all texts: every word, and the beginnings of words of confirmed texts. The fit begins
+    on first_unlabelled texts, one for each of as many ids; then steps over all of them correct it. The driver gets the
+    chosen features and, for each step, their sums, and rows of the two samples over them. prior: the share of toxic
+    texts; None: that among the labelled rows that aren't held out.
     """
     written = Written(docs.sparkSession)
     usable = labels.where(~held_out() & F.col("toxic").isNotNull())
@@ -155,38 +220,23 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, most_p
     if prior is None:
         prior = usable.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
     prior = float(np.clip(0.1 if prior is None else prior, 1e-3, 0.9))
-    chosen = toxic.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_positive).withColumn("confirmed", F.lit(1))
-    open_docs = docs.where(~held_out())
-    ids = open_docs.select(F.col("doc_id").cast("long")).distinct()
-    free = ids.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(most_unlabelled).withColumn("free", F.lit(1))
-    sample = chosen.join(free, "doc_id", "full").fillna(0)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    one = rows.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "confirmed", "free").agg(F.min("text").alias("text"))  # at most the two bounds' ids
-    one = written.put(one, "sample")
-    sets = _word_sets(one.select("doc_id", "text")).join(one.drop("text"), "doc_id")
-    sizes = one.agg(F.sum("confirmed"), F.sum("free")).first()
-    if not sizes[0] or not sizes[1]:
+    chosen = toxic.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_positive)
+    open_docs = docs.where(~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    confirmed = open_docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))  # at most most_positive ids
+    confirmed = written.put(confirmed, "confirmed")
+    n_p = confirmed.count()
+    if not n_p:
         return Linear({}, float(np.log(prior / (1 - prior))))
-    p, u = (F.col(c) / n for c, n in zip(("p", "u"), sizes, strict=True))
-    counts = sets.mapInArrow(lean(_counts), "word string, p long, u long").groupBy("word").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    own = written.put(confirmed.mapInArrow(lean(_confirmed_counts), "feature string, p long").groupBy("feature").agg(F.sum("p").alias("p")), "own")
+    beginnings = [r[0] for r in own.where(F.startswith("feature", F.lit("^")) & (F.col("p") >= 5)).select("feature").orderBy("feature").collect()]  # of at most most_positive texts
+    counts = written.put(corpus_counts(open_docs, beginnings), "counts")
+    n_u = counts.where("feature IS NULL").first()["u"]
+    p, u = F.coalesce("p", F.lit(0)) / n_p, F.coalesce("u", F.lit(0)) / n_u
     # a two-sample statistic of the frequencies
-    z = F.abs(p - u) / F.sqrt((p * (1 - p) + 0.5 / sizes[0]) / sizes[0] + (u * (1 - u) + 0.5 / sizes[1]) / sizes[1])
-    proposed = counts.where((F.col("p") + F.col("u") >= 5) & (z >= LEAST_Z)).orderBy(z.desc(), "word").limit(CANDIDATES * vocabulary).collect()
-    proposed = sorted(proposed, key=lambda r: r.word)
-    everywhere, texts = corpus_counts(open_docs, [r.word for r in proposed])
-    share, all_share = np.array([r.p for r in proposed]) / sizes[0], everywhere / max(texts, 1)
-    far = np.abs(share - all_share) / np.sqrt((share * (1 - share) + 0.5 / sizes[0]) / sizes[0] + (all_share * (1 - all_share) + 0.5 / max(texts, 1)) / max(texts, 1))
-    names = [proposed[i].word for i in np.argsort(-far, kind="stable")[:vocabulary] if far[i] >= LEAST_Z]
-    schema = "confirmed long, free long, at array<int>"
-
-    def lookup(batches):
-        find = finder(names)
-        for batch in batches:
-            at = [sorted(find(t)) for t in texts_of(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("confirmed").cast(pa.int64()), batch.column("free").cast(pa.int64()), pa.array(at, type=pa.list_(pa.int32()))], names=["confirmed", "free", "at"])
-
-    got = one.orderBy("doc_id").mapInArrow(lean(lookup), schema).collect()
-    written.drop(one)
+    z = F.abs(p - u) / F.sqrt((p * (1 - p) + 0.5 / n_p) / n_p + (u * (1 - u) + 0.5 / n_u) / n_u)
+    both = counts.where("feature IS NOT NULL").join(own, "feature", "left").where((F.coalesce("p", F.lit(0)) + F.col("u") >= 5) & (z >= LEAST_Z))
+    names = [r[0] for r in both.orderBy(z.desc(), "feature").limit(vocabulary).select("feature").collect()]
+    lists = written.put(lookup(open_docs, names), "lists")
 
     def matrix(rows):
         out = np.zeros((len(rows), len(names)), dtype=np.float32)
@@ -194,18 +244,25 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, most_p
             line[r.at] = 1
         return out
 
-    w, base = non_negative_pu(matrix([r for r in got if r.confirmed]), matrix([r for r in got if r.free]), prior)
+    xp = matrix(lookup(confirmed, names).orderBy("doc_id").collect())
+    ids = lists.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(first_unlabelled)
+    xu = matrix(lists.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("at").alias("at")).orderBy("doc_id").collect())
+    w, base = non_negative_pu(xp, xu, prior)
+    del xu
+    w, base = corrected(w, base, xp, lists, n_u, prior)
+    for table in (confirmed, own, counts, lists):
+        written.drop(table)
     return Linear(dict(zip(names, w.tolist(), strict=True)), float(base))
 
 
-def classified(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, prior: float | None = None, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED) -> DataFrame:
+def classified(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, prior: float | None = None, most_positive: int = MOST_POSITIVE) -> DataFrame:
     """Per row of docs: doc_id, held_out, score (0 to 1, higher: toxic likelier), predicted.
 
     Labels come only from rows that aren't held out (crc32 of the id as text, modulo 5, is 0), and only the whole text is
     looked at. Null and empty texts score the base rate; repeated ids keep their rows; without a confirmed text every
     score is the prior; an empty table gives an empty one; other columns are ignored.
     """
-    model = train(docs, labels, prior, most_positive, most_unlabelled)
+    model = train(docs, labels, prior, most_positive)
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches):

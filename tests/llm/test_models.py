@@ -99,9 +99,10 @@ def test_toxicity_against_plain_loops(spark):
     df, known = frame(spark, docs).repartition(3), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     held = {d[0]: zlib.crc32(str(d[0]).encode()) % 5 == 0 for d in docs}
     features = {d[0]: {f for w in toxicity.words(d[1]) for f in toxicity.features_of(w)} for d in docs}
-    names = ["horrid", "^vile", "^vil", "nowhere"]
-    got, n = toxicity.corpus_counts(df.where("doc_id % 2 = 0"), names)
-    assert n == 150 and got.tolist() == [sum(f in features[i] for i in features if i % 2 == 0) for f in names]
+    got = {r.feature: r.u for r in toxicity.corpus_counts(df.where("doc_id % 2 = 0"), ["^vile", "^vil", "^nowhere"]).collect()}
+    even = [features[i] for i in features if i % 2 == 0]
+    every = {f for fs in even for f in fs if not f.startswith("^") or f in ("^vile", "^vil")}
+    assert got == {None: 150} | {f: sum(f in fs for fs in even) for f in every}
     model = toxicity.train(df, known)
     toxic = [i for i, _, t in labels if t and not held[i]]
     free = [i for i in features if not held[i]]
@@ -112,6 +113,7 @@ def test_toxicity_against_plain_loops(spark):
         return abs(p - u) / ((p * (1 - p) + 0.5 / len(toxic)) / len(toxic) + (u * (1 - u) + 0.5 / len(free)) / len(free)) ** 0.5
 
     every = set().union(*features.values())
+    every = {f for f in every if not f.startswith("^") or sum(f in features[i] for i in toxic) >= 5}
     want = {f for f in every if sum(f in features[i] for i in toxic) + sum(f in features[i] for i in free) >= 5 and far(f) >= toxicity.LEAST_Z}
     assert set(model.weights) == want and {"^vile", "horrid"} <= want
     rows = toxicity.classified(df, known).collect()
@@ -148,7 +150,32 @@ def test_repeated_rows_and_clashing_columns(spark):
         assert np.mean([abs(once[r.doc_id] - r.score) for r in twice]) < 0.05
     # many rows of one sampled id bring one text of it
     many = frame(spark, docs + [(1, f"text {i}", None, None, None) for i in range(500)])
-    assert toxicity.classified(many, known, most_positive=5, most_unlabelled=10).count() == 700
+    assert toxicity.classified(many, known, most_positive=5).count() == 700
+
+
+def test_all_unlabelled_texts_count(spark):
+    """Sums over all rows as a plain loop has them; steps lower the risk over all rows, which the first sample isn't like."""
+    rng = np.random.default_rng(9)
+    rare, usual = np.array([0.8, 0.2, 0.3, 0.4, 0.5, 0.1]), np.array([0.1, 0.2, 0.3, 0.4, 0.05, 0.5])
+    x, xp = (rng.random((500, 6)) < np.where(np.arange(500)[:, None] % 10 == 0, rare, usual)).astype(float), (rng.random((200, 6)) < rare).astype(float)
+    lists = spark.createDataFrame([(np.flatnonzero(r).tolist(),) for r in x], "at array<int>").repartition(5)
+    w, base = rng.standard_normal(6), -0.5
+    g, h, risk = toxicity.unlabelled_sums(lists, w, base)
+    s, wide = 1 / (1 + np.exp(-(x @ w + base))), np.c_[x, np.ones(500)]
+    assert np.allclose(g, s @ wide) and np.allclose(h, (s * (1 - s) * wide.sum(axis=1)) @ wide) and np.isclose(risk, -np.log(1 - s).sum())
+
+    def whole(w, base):
+        s, sp = (1 / (1 + np.exp(-(m @ w + base))) for m in (x, xp))
+        return -0.1 * np.log(sp).mean() + max(0, -np.log(1 - s).mean() + 0.1 * np.log(1 - sp).mean())
+
+    w, base = toxicity.non_negative_pu(xp, x[:60], 0.1)
+    steps = [toxicity.corrected(w, base, xp, lists, 500, 0.1, n) for n in (1, 8)]
+    best = whole(*toxicity.non_negative_pu(xp, x, 0.1, rounds=3000, rate=0.01))
+    assert best < whole(*steps[1]) < whole(*steps[0]) < whole(w, base) and whole(*steps[1]) - best < 0.1 * (whole(w, base) - best)
+    docs, labels = labelled(300)
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    few, all_ = (toxicity.train(frame(spark, docs), known, first_unlabelled=n) for n in (20, 300))
+    assert set(few.weights) == set(all_.weights)
 
 
 def test_statistics_of_odd_texts():
