@@ -85,4 +85,15 @@ def named(spark: SparkSession, sf_dir: str) -> DataFrame:
         each.append(f"named_struct('seq', {i}, 'text', concat({', '.join(pieces)}), 'entities', {f'array({", ".join(gold)})' if gold else 'cast(array() AS array<struct<type:string,text:string>>)'})")
     customers = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr(f"{_K} AS doc_id", f"{_K} % 5 = 0 AS held_out", *[f"{sql} AS {x}" for x, (_, sql) in names.items()])
     rows = customers.selectExpr("doc_id", "held_out", f"explode(array({', '.join(each)})) AS x")
-    return rows.where("held_out OR x.seq < 10").selectExpr("doc_id", "x.seq AS seq", "x.text AS text", "cast(NULL AS string) AS header_text", "x.entities AS entities", "held_out")
+    return rows.where("held_out OR x.seq < 10").selectExpr("doc_id", "x.seq AS seq", "x.text AS text", "CASE x.seq WHEN 0 THEN 'Full Name' WHEN 3 THEN 'Company' WHEN 5 THEN 'Address' END AS header_text", "x.entities AS entities", "held_out")
+
+
+def dictionary_sql(customer: str = "customer") -> str:
+    """SELECT of (name, label): every customer's name, and for a third of them a longer one that begins with it."""
+    return f"SELECT c_name AS name, 'PERSON' AS label FROM {customer} UNION ALL SELECT concat(c_name, ' & Sons') AS name, 'ORG' AS label FROM {customer} WHERE {_K} % 3 = 0"
+
+
+def mentions_sql(orders: str = "orders") -> str:
+    """SELECT of (doc_id, text): lines that mention customers, some inside other words or before more digits."""
+    name = f"concat('Customer#', {_digits('o_custkey', 9)})"
+    return f"""SELECT o_orderkey AS doc_id, concat(CASE o_orderkey % 4 WHEN 0 THEN 'For ' WHEN 1 THEN 'x' WHEN 2 THEN '(' ELSE 'é' END, {name}, CASE o_orderkey % 5 WHEN 0 THEN ' & Sons' WHEN 1 THEN '7' WHEN 2 THEN ' & Sonst' WHEN 3 THEN '.' ELSE '' END, ' via ', {name}) AS text FROM {orders}"""

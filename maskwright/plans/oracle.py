@@ -280,6 +280,17 @@ def failures(found: str) -> str:
 ACTUAL = "CASE doc_id // 100 % 3 WHEN 0 THEN line WHEN 1 THEN whole ELSE whole || ' etc.' END"
 
 
+def dictionary_names() -> str:
+    """Listed names at word edges, the longest where several begin; mentions are the two places where a name can begin."""
+    word = "'[\\p{L}\\p{N}_]'"
+    return f"""
+    WITH lines AS ({corpus.mentions_sql()}), listed AS ({corpus.dictionary_sql()}),
+    places AS (SELECT doc_id, text, a, substr(text, a, 18) AS base FROM (SELECT *, unnest([strpos(text, 'Customer#'), strpos(text, ' via ') + 5]) AS a FROM lines)),
+    met AS (SELECT doc_id, name, label, a, text FROM places JOIN (SELECT *, substr(name, 1, 18) AS base FROM listed) USING (base) WHERE substr(text, a, length(name)) = name
+      AND NOT regexp_matches(substr(text, a + length(name), 1), {word}) AND (a = 1 OR NOT regexp_matches(substr(text, a - 1, 1), {word})))
+    SELECT doc_id, arg_max(name, length(name)) AS text, CASE arg_max(label, length(name)) WHEN 'ORG' THEN 'COMPANY_CANDIDATE' ELSE 'PERSON' END AS entity_type, (a - 1)::INT AS start_at, (a - 1 + max(length(name)))::INT AS end_at FROM met GROUP BY doc_id, a"""
+
+
 def oracle_sql() -> dict[str, str]:
     everything, derived = findings(HEADED_LINES), findings(DERIVED)
     patterns = findings(HEADED_LINES, context=False)
@@ -330,5 +341,6 @@ def oracle_sql() -> dict[str, str]:
         "audit_changes": changes,
         "audit_categories": f"SELECT entity_type AS category, count(*) AS total, count(*) FILTER (WHERE survived) AS survived FROM ({audit}) GROUP BY entity_type",
         "memo_propagation": "SELECT c_custkey AS doc_id, s AS seq, 'Asha Rao' || chr(97 + (c_custkey % 26)::INT) AS text, place AS start_at, detector FROM customer, (VALUES (0, 0, 'cell'), (2, 6, 'stateful_memo'), (2, 5, 'stateful_memo')) AS v(s, place, detector)",
+        "dictionary_names": dictionary_names(),
         "conversation_stats": f"SELECT conv_id, count(*) AS turns, coalesce(sum(c), 0)::BIGINT AS total_candidates, coalesce(sum(r), 0)::BIGINT AS entities_replaced FROM (SELECT * FROM conversations WHERE regexp_matches(text, '\\S')) LEFT JOIN (SELECT doc_id AS conv_id, seq AS turn, count(*) AS c FROM ({candidates(TURNS)}) GROUP BY ALL) USING (conv_id, turn) LEFT JOIN (SELECT doc_id AS conv_id, seq AS turn, count(*) AS r FROM ({findings(TURNS)}) GROUP BY ALL) USING (conv_id, turn) GROUP BY conv_id",
     }

@@ -11,7 +11,7 @@ from maskwright import vocab as V
 from maskwright.functions import pseudonym
 from maskwright.functions import text as T
 from maskwright.operators import audit as auditing
-from maskwright.operators import context, detect, measure, refine, resolve
+from maskwright.operators import context, detect, measure, names, refine, resolve, tagger
 from maskwright.plans import corpus, pipeline, surface
 from maskwright.sources import tables
 from maskwright.streaming import micro
@@ -212,6 +212,36 @@ def memo_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "seq", "text", F.col("start").alias("start_at"), "detector")
 
 
+def _tagger(spark: SparkSession, sf_dir: str) -> tuple[tagger.NameTagger, DataFrame]:
+    """A tagger learnt from the derived lines that aren't held out, and those that are."""
+    rows = corpus.named(spark, sf_dir)
+    return tagger.train(rows.where("NOT held_out")), rows.where("held_out")
+
+
+def tagger_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tagger's names against the expected ones of held-out lines, by their exact texts."""
+    model, rows = _tagger(spark, sf_dir)
+    kind = lambda e: F.when(e["entity_type"] == "COMPANY_CANDIDATE", "COMPANY").when(e["entity_type"] == "ADDRESS_CANDIDATE", "PHYSICAL_OR_MAILING_ADDRESS").otherwise(e["entity_type"])
+    found = F.transform(names.entities(F.col("text"), model), lambda e: T.entity(e["text"], kind(e), e["start"], e["end"], e["confidence"], e["detector"], e["ord"]))
+    return measure.category_scores(measure.category_counts(measure.evaluated(rows.withColumn("resolved", T.once(found)), "exact"), tuple(tagger.LABELS)))
+
+
+def redact_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole plan with the tagger as its source of names, and with the memo, over the held-out lines as documents of ten customers."""
+    model, rows = _tagger(spark, sf_dir)
+    rows = rows.withColumns({"doc_id": F.expr("doc_id div 50"), "seq": F.expr("cast(doc_id % 50 * 12 + seq AS int)")})
+    done = pipeline.entities(pipeline.redact(rows, pipeline.Config(name_provider=model)), "replaced")
+    return done.select("doc_id", "seq", "text", F.col("entity_type").alias("kind"), "confidence", "detector", "replacement")
+
+
+def dictionary_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listed names, as many as there are customers and more, in a line for each order."""
+    listed = spark.sql(corpus.dictionary_sql("{customer}"), customer=_load(spark, sf_dir, "customer"))
+    lines = spark.sql(corpus.mentions_sql("{orders}"), orders=_load(spark, sf_dir, "orders"))
+    found = lines.withColumn("e", T.once(names.entities(F.col("text"), names.ListProvider.of(listed))))
+    return found.select("doc_id", F.explode("e").alias("e")).select("doc_id", "e.text", "e.entity_type", F.col("e.start").alias("start_at"), F.col("e.end").alias("end_at"))
+
+
 def conversation_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation's turns, and the findings in them."""
     done = pipeline.analyse(tables.turns(_load(spark, sf_dir, "conversations")))
@@ -244,6 +274,6 @@ def queries() -> dict[str, Query]:
     }
     plain = (
         refine_header_context, resolve_overlaps, pseudonym_seed, pseudonymize, redact_documents, redact_derived, redact_patterns, stream_redact, entity_counts_by_type, entity_rollup_lang, pipeline_stats, pipeline_stats_all,
-        clean_documents, top_documents, tabular_redaction, evaluate_categories, evaluate_overall, evaluation_failures, audit_coverage, audit_surviving, audit_changes, audit_categories, memo_propagation, conversation_stats, page_entities, sql_redact,
+        clean_documents, top_documents, tabular_redaction, evaluate_categories, evaluate_overall, evaluation_failures, audit_coverage, audit_surviving, audit_changes, audit_categories, memo_propagation, conversation_stats, page_entities, sql_redact, tagger_scores, redact_names, dictionary_names,
     )
     return found | {f.__name__: f for f in plain}
