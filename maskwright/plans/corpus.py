@@ -48,11 +48,11 @@ def derived(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.selectExpr("cast(line_id as bigint) doc_id", "0 seq", "text", "cast(header_text as string) header_text", "kind")
 
 
-def spans_sql(lineitem: str = "lineitem") -> str:
-    """SELECT of (doc_id, ord, a, b, entity_type, confidence): overlapping spans, an order's lines being a text's candidates."""
+def spans_sql(modulus: int = 12, lineitem: str = "lineitem") -> str:
+    """SELECT of (doc_id, ord, a, b, entity_type, confidence): overlapping spans, an order's lines being a text's candidates; a smaller modulus makes more of them equal."""
     kind = "CASE CAST(l_suppkey % 6 AS INT) WHEN 0 THEN 'EMAIL' WHEN 1 THEN 'PERSON' WHEN 2 THEN 'COMPANY' WHEN 3 THEN 'DIN' WHEN 4 THEN 'PHONE' ELSE 'PHYSICAL_OR_MAILING_ADDRESS' END"
     confidence = "CASE CAST(l_partkey % 3 AS INT) WHEN 0 THEN CAST(0.92 AS DOUBLE) WHEN 1 THEN CAST(0.85 AS DOUBLE) ELSE CAST(0.95 AS DOUBLE) END"
-    return f"SELECT l_orderkey AS doc_id, l_linenumber AS ord, CAST(l_partkey % 12 AS INT) AS a, CAST(l_partkey % 12 + 1 + l_suppkey % 7 AS INT) AS b, {kind} AS entity_type, {confidence} AS confidence FROM {lineitem}"
+    return f"SELECT l_orderkey AS doc_id, l_linenumber AS ord, CAST(l_partkey % {modulus} AS INT) AS a, CAST(l_partkey % {modulus} + 1 + l_suppkey % 7 AS INT) AS b, {kind} AS entity_type, {confidence} AS confidence FROM {lineitem}"
 
 
 def header_candidates_sql(customer: str = "customer") -> str:

@@ -159,7 +159,7 @@ def addresses(source: str) -> str:
     low = "lower(text)"
     strip = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
     rest = f"regexp_replace(text, '(?is)^.*?{V.ADDRESS_SPLIT}', '')"
-    return f"""SELECT doc_id, seq, line, found, strpos(line, found)::INT - 1 AS a, strpos(line, found)::INT - 1 + length(found)::INT AS b FROM (
+    return f"""SELECT doc_id, seq, line, found, strpos(line, found)::INT - 1 AS a, strpos(line, found)::INT - 1 + length(found)::INT AS b, CASE WHEN labelled THEN 'context_block' ELSE 'context_implicit' END AS detector FROM (
       SELECT doc_id, seq, text AS line, CASE WHEN {any_of(low, V.ADDRESS_TRIGGERS)} THEN {strip(rest)} ELSE {strip("text")} END AS found, {any_of(low, V.ADDRESS_TRIGGERS)} AS labelled,
              regexp_matches(text, '{V.PIN}') AND contains(text, ',') AND {word_of(low, V.STREET_WORDS)} AS implied FROM ({source}))
       WHERE CASE WHEN labelled THEN length(found) > 10 ELSE implied END"""
@@ -179,45 +179,50 @@ def companies(source: str) -> str:
 
 
 def candidates(source: str, context: bool = True) -> str:
-    """(doc_id, seq, line, found, a, b, kind, conf, ord): all detectors' findings, refined by header and context; with context also those that it adds."""
+    """(doc_id, seq, line, found, a, b, kind, conf, detector, ord): all detectors' findings, refined by header and context; with context also those that it adds."""
     head, src = ", header_text", "SELECT * FROM src"
     found = [
         ("EMAIL", V.PATTERN_HIGH, emails(src, head)), ("PHONE", V.PATTERN_MEDIUM, phones(src, head)), ("SSN", V.PATTERN_HIGH, ssns(src, head)), ("CREDIT_CARD", V.PATTERN_HIGH, cards(src, head)),
         ("IP_ADDRESS", V.PATTERN_HIGH, scan(src, V.IP_ADDRESS, extra=head)), ("DATE", V.PATTERN_MEDIUM, scan(src, "(?i)" + V.DATE, extra=head)), ("AADHAAR", V.PATTERN_MEDIUM, scan(src, V.AADHAAR, extra=head)), ("DIN", V.PATTERN_MEDIUM, scan(src, V.DIN, extra=head)),
     ]
-    raw = " UNION ALL ".join(f"SELECT doc_id, seq, header_text, line, found, a, b, '{kind}' AS kind, {conf} AS conf, {k} AS step FROM ({rows})" for k, (kind, conf, rows) in enumerate(found))
+    raw = " UNION ALL ".join(f"SELECT doc_id, seq, header_text, line, found, a, b, '{kind}' AS kind, {conf} AS conf, 'regex' AS detector, {k} AS step FROM ({rows})" for k, (kind, conf, rows) in enumerate(found))
     birth, low = any_of("lower(coalesce(header_text, ''))", ("dob", "birth")), "low"
     marked = " OR ".join(f"contains(found, '{c}')" for c in "+-(")
     refined = f"""
-      SELECT doc_id, seq, line, found, a, b, step,
+      SELECT doc_id, seq, line, found, a, b, detector, step,
              CASE WHEN kind = 'DATE' AND ({birth} OR {any_of(low, V.BIRTH)}) THEN 'DATE_OF_BIRTH' ELSE kind END AS kind,
              CASE WHEN kind = 'DATE' AND {birth} THEN {V.TABLE_HEADER} WHEN (kind = 'DATE' AND {any_of(low, V.BIRTH)}) OR (kind = 'AADHAAR' AND contains({low}, 'aadhaar')) THEN {V.CONTEXT} ELSE conf END AS conf
       FROM (SELECT *, lower(CASE WHEN coalesce(header_text, '') <> '' THEN header_text || ' | ' || line ELSE line END) AS low FROM raw)
       WHERE CASE kind WHEN 'PHONE' THEN NOT {word_of(low, V.PHONE_STOP_WORDS)} AND ({any_of(low, V.PHONE_LABELS)} OR {marked}) WHEN 'AADHAAR' THEN NOT {any_of(low, V.CARD_TERMS)} ELSE true END"""
-    added = (("PHYSICAL_OR_MAILING_ADDRESS", addresses(src)), ("PERSON", people(src)), ("COMPANY", organisations(src)), ("COMPANY", companies(src)))
-    more = "".join(f" UNION ALL SELECT doc_id, seq, line, found, a, b, {10 + k}, '{kind}', {V.CONTEXT} FROM ({rows})" for k, (kind, rows) in enumerate(added)) if context else ""
+    added = (("PHYSICAL_OR_MAILING_ADDRESS", "detector", addresses(src)), ("PERSON", "'context_person_list'", people(src)), ("COMPANY", "'context_org_fallback'", organisations(src)), ("COMPANY", "'context_suffix_fallback'", companies(src)))
+    more = "".join(f" UNION ALL SELECT doc_id, seq, line, found, a, b, {detector}, {10 + k}, '{kind}', {V.CONTEXT} FROM ({rows})" for k, (kind, detector, rows) in enumerate(added)) if context else ""
     return f"""
     WITH src AS MATERIALIZED ({source}), raw AS ({raw})
-    SELECT doc_id, seq, line, found, a, b, kind, conf::DOUBLE AS conf, row_number() OVER (PARTITION BY doc_id, seq ORDER BY step, a) AS ord
+    SELECT doc_id, seq, line, found, a, b, kind, conf::DOUBLE AS conf, detector, row_number() OVER (PARTITION BY doc_id, seq ORDER BY step, a) AS ord
     FROM ({refined if context else "SELECT * EXCLUDE (header_text) FROM raw"}{more}) WHERE kind <> 'DATE'"""
 
 
+#: The detector, where it is the first of a span and type or surer than all before it.
+ADDS = "CASE WHEN {conf} > coalesce(max({conf}) OVER (PARTITION BY {key} ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) THEN detector END"
+
+
 def resolved(rows: str) -> str:
-    """(doc_id, seq, line, found, a, b, kind, conf) of the candidates that stay: equal ones merged, then a greedy fold."""
+    """(doc_id, seq, line, found, a, b, kind, conf, detector) of the candidates that stay: equal ones merged, then a greedy fold."""
     rank = "CASE {x}.kind " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in V.PRIORITY.items()) + " ELSE 0 END"
     new, old = rank.format(x="c[1]"), rank.format(x="p")
     holds, held = "(c[1].a <= p.a AND c[1].b >= p.b)", "(p.a <= c[1].a AND p.b >= c[1].b)"
     beats = f"CASE WHEN c[1].conf <> p.conf THEN c[1].conf > p.conf WHEN {holds} <> {held} THEN {holds} WHEN {new} <> {old} THEN {new} > {old} ELSE c[1].b - c[1].a > p.b - p.a END"
     apart = "greatest(c[1].a, p.a) >= least(c[1].b, p.b)"
     return f"""
-    SELECT doc_id, seq, line, e.found AS found, e.a AS a, e.b AS b, e.kind AS kind, e.conf AS conf FROM (SELECT doc_id, seq, line, unnest(kept) AS e FROM (
+    SELECT doc_id, seq, line, e.found AS found, e.a AS a, e.b AS b, e.kind AS kind, e.conf AS conf, e.detector AS detector FROM (SELECT doc_id, seq, line, unnest(kept) AS e FROM (
       SELECT doc_id, seq, line, list_reduce(spans, lambda acc, c: CASE WHEN len(list_filter(acc, lambda p: NOT (({apart}) OR ({beats})))) = 0 THEN list_concat(list_filter(acc, lambda p: {apart}), c) ELSE acc END) AS kept FROM (
-        SELECT doc_id, seq, any_value(line) AS line, list([{{'a': a, 'b': b, 'kind': kind, 'conf': conf, 'found': found}}] ORDER BY a, a - b, ord) AS spans FROM (
-          SELECT doc_id, seq, a, b, kind, any_value(line) AS line, any_value(found) AS found, min(ord) AS ord, max(conf) AS conf FROM ({rows}) GROUP BY doc_id, seq, a, b, kind) GROUP BY doc_id, seq)))"""
+        SELECT doc_id, seq, any_value(line) AS line, list([{{'a': a, 'b': b, 'kind': kind, 'conf': conf, 'found': found, 'detector': detector}}] ORDER BY a, a - b, ord) AS spans FROM (
+          SELECT doc_id, seq, a, b, kind, any_value(line) AS line, any_value(found) AS found, min(ord) AS ord, max(conf) AS conf, string_agg(adds, ',' ORDER BY ord) AS detector FROM (
+            SELECT *, {ADDS.format(key="doc_id, seq, a, b, kind", conf="conf")} AS adds FROM ({rows})) GROUP BY doc_id, seq, a, b, kind) GROUP BY doc_id, seq)))"""
 
 
 def findings(source: str, context: bool = True) -> str:
-    """(doc_id, seq, line, found, a, b, entity_type, conf): what the whole analysis keeps."""
+    """(doc_id, seq, line, found, a, b, entity_type, conf, detector): what the whole analysis keeps."""
     return f"SELECT * RENAME (kind AS entity_type) FROM ({resolved(candidates(source, context))})"
 
 
@@ -230,17 +235,18 @@ def audited(source: str, actual: str) -> str:
         SELECT *, {replacement('found', 'entity_type')} AS new FROM ({findings(source)})) JOIN ({redacted(source, findings(source))}) AS r(doc_id, seq, whole) USING (doc_id, seq))"""
 
 
-def resolve_overlaps() -> str:
+def resolve_overlaps(detector: bool = False, modulus: int = 12) -> str:
     rank = "CASE {x}.entity_type WHEN 'EMAIL' THEN 10 WHEN 'PHONE' THEN 10 WHEN 'PHYSICAL_OR_MAILING_ADDRESS' THEN 9 WHEN 'COMPANY' THEN 6 WHEN 'PERSON' THEN 5 WHEN 'DIN' THEN 4 ELSE 0 END"
     new, old = rank.format(x="c[1]"), rank.format(x="p")
     holds, held = "(c[1].a <= p.a AND c[1].b >= p.b)", "(p.a <= c[1].a AND p.b >= c[1].b)"
     beats = f"CASE WHEN c[1].confidence <> p.confidence THEN c[1].confidence > p.confidence WHEN {holds} <> {held} THEN {holds} WHEN {new} <> {old} THEN {new} > {old} ELSE c[1].b - c[1].a > p.b - p.a END"
     apart = "greatest(c[1].a, p.a) >= least(c[1].b, p.b)"
     return f"""
-    WITH one AS (SELECT doc_id, a, b, entity_type, min(ord) AS ord, max(confidence) AS confidence FROM ({corpus.spans_sql()}) GROUP BY doc_id, a, b, entity_type),
-    listed AS (SELECT doc_id, list([{{'a': a, 'b': b, 'entity_type': entity_type, 'confidence': confidence}}] ORDER BY a, a - b, ord, entity_type) AS spans FROM one GROUP BY doc_id),
+    WITH one AS (SELECT doc_id, a, b, entity_type, min(ord) AS ord, max(confidence) AS confidence, string_agg(adds, ',' ORDER BY ord) AS detector FROM (
+      SELECT *, {ADDS.format(key="doc_id, a, b, entity_type", conf="confidence")} AS adds FROM (SELECT *, 'line ' || ord AS detector FROM ({corpus.spans_sql(modulus)}))) GROUP BY doc_id, a, b, entity_type),
+    listed AS (SELECT doc_id, list([{{'a': a, 'b': b, 'entity_type': entity_type, 'confidence': confidence, 'detector': detector}}] ORDER BY a, a - b, ord, entity_type) AS spans FROM one GROUP BY doc_id),
     folded AS (SELECT doc_id, list_reduce(spans, lambda acc, c: CASE WHEN len(list_filter(acc, lambda p: NOT (({apart}) OR ({beats})))) = 0 THEN list_concat(list_filter(acc, lambda p: {apart}), c) ELSE acc END) AS kept FROM listed)
-    SELECT doc_id, e.a AS start_at, e.b AS end_at, e.entity_type, e.confidence FROM (SELECT doc_id, unnest(kept) AS e FROM folded)"""
+    SELECT doc_id, e.a AS start_at, e.b AS end_at, e.entity_type, e.confidence {", e.detector" if detector else ""} FROM (SELECT doc_id, unnest(kept) AS e FROM folded)"""
 
 
 TURNS = "SELECT conv_id AS doc_id, turn AS seq, text, NULL::VARCHAR AS header_text FROM conversations WHERE regexp_matches(text, '\\S')"
@@ -276,6 +282,41 @@ def failures(found: str) -> str:
     return f"SELECT doc_id, 'false positive' AS failure, entity_type, found AS text FROM ({hits(found)}) WHERE NOT hit UNION ALL SELECT doc_id, 'false negative', entity_type, text FROM ({ssn_missing} UNION ALL {nobody})"
 
 
+def failure_report(found: str) -> str:
+    """The failures with all that is written of them."""
+    wanted = f"SELECT line_id AS doc_id, text AS line, kind, line_id // 100 AS k FROM ({corpus.derived_sql()})"
+    missing = f"SELECT doc_id, 'SSN' AS entity_type, substr(line, 5, 11) AS text, line FROM ({wanted}) WHERE kind = 'ssn' AND k % 2 = 0 AND doc_id NOT IN (SELECT doc_id FROM ({hits(found)}) WHERE hit) UNION ALL SELECT doc_id, 'EMAIL', 'nobody@nowhere.net', line FROM ({wanted}) WHERE kind = 'email' AND k % 7 = 0"
+    return f"""SELECT 'false positive' AS failure, found AS text, entity_type, detector AS detector_source, conf AS confidence, 'Paragraph 0' AS location, line AS surrounding_context FROM ({hits(found)}) WHERE NOT hit
+      UNION ALL SELECT 'false negative', text, entity_type, NULL, NULL, 'Paragraph 0', line FROM ({missing})"""
+
+
+#: Web pages without scripts, styles and tags, line by line.
+_BARE = "regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>', ' ', 'g'), '(?s)<[^>]*>', chr(10), 'g')"
+for _sign, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+    _BARE = f"replace({_BARE}, '{_sign}', '{_char}')"
+PAGE_LINES = f"SELECT *, NULL::VARCHAR AS header_text FROM (SELECT page_id AS doc_id, (generate_subscripts(string_split(bare, chr(10)), 1) - 1)::INT AS seq, unnest(string_split(bare, chr(10))) AS text FROM (SELECT page_id, {_BARE} AS bare FROM pages)) WHERE regexp_matches(text, '\\S')"
+
+
+def runs(found: str, size: int) -> str:
+    """(doc_id, run_index, text): derived lines cut into runs of size, with the findings exchanged in them.
+
+    A run keeps what lies between the findings that touch it, and has the replacement of each that begins in it.
+    """
+    pieces = f"SELECT line_id AS doc_id, text AS line, unnest(range(0, ((length(text) - 1) // {size} + 1)::BIGINT)) AS i FROM ({corpus.derived_sql()})"
+    return f"""
+    WITH runs AS (SELECT doc_id, line, i::INT AS run_index, i * {size} AS ra, least((i + 1) * {size}, length(line)) AS rb FROM ({pieces})),
+    found AS (SELECT doc_id, a, b, {replacement('found', 'entity_type')} AS new FROM ({found})),
+    met AS (SELECT runs.*, a, b, new, coalesce(lag(least(b, rb)) OVER (PARTITION BY runs.doc_id, run_index ORDER BY a), ra) AS spot FROM runs JOIN found ON runs.doc_id = found.doc_id AND a < rb AND b > ra),
+    done AS (SELECT doc_id, run_index, string_agg(substr(line, spot + 1, greatest(a - spot, 0)) || CASE WHEN a >= ra THEN new ELSE '' END, '' ORDER BY a) || substr(any_value(line), max(least(b, rb)) + 1, any_value(rb) - max(least(b, rb))) AS text FROM met GROUP BY doc_id, run_index)
+    SELECT doc_id, run_index, coalesce(done.text, substr(line, ra + 1, rb - ra)) AS text FROM runs LEFT JOIN done USING (doc_id, run_index)"""
+
+
+def overlaps(one: str, other: str) -> str:
+    """Pairs of findings of two analyses that share code points."""
+    return f"""SELECT x.doc_id, x.seq, x.a AS start_at, x.b AS end_at, x.entity_type, y.a AS other_start, y.b AS other_end, y.entity_type AS other_type, (least(x.b, y.b) - greatest(x.a, y.a))::INT AS shared
+      FROM ({one}) AS x JOIN ({other}) AS y ON x.doc_id = y.doc_id AND x.seq = y.seq AND x.a < y.b AND y.a < x.b"""
+
+
 #: What `queries._audited` makes of the redacted text.
 ACTUAL = "CASE doc_id // 100 % 3 WHEN 0 THEN line WHEN 1 THEN whole ELSE whole || ' etc.' END"
 
@@ -319,6 +360,14 @@ def oracle_sql() -> dict[str, str]:
         "context_organisation": spans_of_lines(organisations(DERIVED)),
         "context_company_suffix": spans_of_lines(companies(DERIVED)),
         "resolve_overlaps": resolve_overlaps(),
+        "resolve_detectors": resolve_overlaps(detector=True, modulus=3),
+        "redact_runs": runs(derived, 7),
+        "span_overlaps": overlaps(patterns, everything),
+        "failure_report": failure_report(derived),
+        "page_entities": f"SELECT doc_id, seq, found AS text, entity_type, conf AS confidence, detector FROM ({findings(PAGE_LINES)})",
+        "pipeline_stats_places": f"SELECT doc_id // 100 AS doc_id, count(*) AS processed_paragraphs, sum(coalesce(r, 0))::BIGINT AS entities_replaced, sum(CASE WHEN doc_id % 100 % 3 = 0 THEN coalesce(r, 0) ELSE 0 END)::BIGINT AS replacements_in_tables, sum(CASE WHEN doc_id % 100 % 5 < 2 THEN coalesce(r, 0) ELSE 0 END)::BIGINT AS replacements_in_headers_footers FROM {of_lines} GROUP BY doc_id // 100",
+        "audit_report_files": f"SELECT 'surviving' AS part, doc_id, 0 AS seq, found AS one, substr(actual, there + 1, length(new)) AS other, detector FROM ({audit}) WHERE survived UNION ALL SELECT 'change', doc_id, 0, expected, actual, NULL FROM ({changes})",
+        "gold_files": scores(evaluation(findings(f"SELECT * REPLACE (NULL::VARCHAR AS header_text) FROM ({DERIVED})")), False),
         "pseudonym_seed": f"SELECT c_custkey AS doc_id, {_number(f"'{V.SEED}|' || lower(c_name) || '|PERSON'", 8)} AS seed_number FROM customer",
         "pseudonymize": f"SELECT doc_id, entity_type, {replacement('text', 'entity_type')} AS replacement FROM (SELECT c_custkey AS doc_id, c_name AS text, unnest([{', '.join(map(q, (*V.ENTITY_TYPES, 'OTHER')))}]) AS entity_type FROM customer)",
         "redact_documents": f"SELECT * FROM ({redacted(HEADED_LINES, everything)}) JOIN ({found_per_line}) USING (doc_id, seq)",

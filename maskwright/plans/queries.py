@@ -11,9 +11,10 @@ from maskwright import vocab as V
 from maskwright.functions import pseudonym
 from maskwright.functions import text as T
 from maskwright.operators import audit as auditing
-from maskwright.operators import context, detect, measure, names, refine, resolve, tagger
+from maskwright.operators import context, detect, measure, names, overlap, refine, resolve, tagger
 from maskwright.plans import corpus, pipeline, surface
 from maskwright.sources import tables
+from maskwright.storage import Tables
 from maskwright.streaming import micro
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,13 +59,37 @@ def refine_header_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refined.select("doc_id", F.explode("refined").alias("e")).select("doc_id", "e.text", "e.entity_type", "e.confidence")
 
 
-def resolve_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.sql(corpus.spans_sql("{lineitem}"), lineitem=_load(spark, sf_dir, "lineitem"))
-    one = T.entity(F.lit("x"), F.col("entity_type"), F.col("a"), F.col("b"), F.col("confidence"), "given", F.col("ord"))
+def _resolved_spans(spark: SparkSession, sf_dir: str, modulus: int) -> DataFrame:
+    rows = spark.sql(corpus.spans_sql(modulus, "{lineitem}"), lineitem=_load(spark, sf_dir, "lineitem"))
+    one = T.entity(F.lit("x"), F.col("entity_type"), F.col("a"), F.col("b"), F.col("confidence"), F.concat(F.lit("line "), F.col("ord")), F.col("ord"))
     listed = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ord", one.alias("e")))).alias("es"))
     kept = listed.select("doc_id", T.once(resolve.resolve(F.transform("es", lambda x: x["e"]))).alias("kept"))
     found = kept.select("doc_id", F.explode("kept").alias("e"))
-    return found.select("doc_id", F.col("e.start").alias("start_at"), F.col("e.end").alias("end_at"), "e.entity_type", "e.confidence")
+    return found.select("doc_id", F.col("e.start").alias("start_at"), F.col("e.end").alias("end_at"), "e.entity_type", "e.confidence", "e.detector")
+
+
+def resolve_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _resolved_spans(spark, sf_dir, 12).drop("detector")
+
+
+def resolve_detectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of which many are equal: the one that is kept names all detectors that made it surer."""
+    return _resolved_spans(spark, sf_dir, 3)
+
+
+def redact_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived lines in runs of seven characters, as a document's paragraphs are, with the replacements inside the runs."""
+    at = F.sequence(F.lit(0), F.expr("(length(text) - 1) div 7").cast("int"))
+    lines = corpus.derived(spark, sf_dir).withColumn("runs", F.transform(at, lambda i: F.struct(i.alias("run_index"), F.substring("text", i * 7 + 1, F.lit(7)).alias("text"))))
+    return pipeline.redact(lines).select("doc_id", F.explode("redacted_runs").alias("r")).select("doc_id", "r.run_index", "r.text")
+
+
+def span_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What patterns alone find, against what the whole analysis finds at the same places of all lines."""
+    lines = _lines(spark, sf_dir)
+    found = lambda config: pipeline.entities(pipeline.analyse(lines, config)).select("doc_id", "seq", "start", "end", "entity_type")
+    pairs = overlap.overlapping(found(PATTERNS), found(pipeline.Config()))
+    return pairs.select("doc_id", "seq", F.col("one.start").alias("start_at"), F.col("one.end").alias("end_at"), F.col("one.entity_type").alias("entity_type"), F.col("other.start").alias("other_start"), F.col("other.end").alias("other_end"), F.col("other.entity_type").alias("other_type"), "shared")
 
 
 def pseudonym_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,6 +149,15 @@ def pipeline_stats_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure.stats(pipeline.analyse(corpus.derived(spark, sf_dir).withColumn("doc_id", F.expr("doc_id div 100"))))
 
 
+def pipeline_stats_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Derived lines, a third of them in tables, two fifths in headers or footers."""
+    kind = F.col("doc_id") % 100
+    none = F.lit(None).cast("int")
+    loc = F.struct(none.alias("paragraph_index"), F.when(kind % 3 == 0, 0).alias("table_index"), none.alias("row_index"), none.alias("cell_index"), (kind % 5 == 0).alias("is_header"), (kind % 5 == 1).alias("is_footer"))
+    rows = pipeline.analyse(corpus.derived(spark, sf_dir).withColumn("loc", loc.cast(tables.LOCATION))).withColumn("doc_id", F.expr("doc_id div 100"))
+    return measure.stats(rows).select("doc_id", "processed_paragraphs", "entities_replaced", "replacements_in_tables", "replacements_in_headers_footers")
+
+
 def clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _load(spark, sf_dir, "documents").select("doc_id", "lang", "source")
     return docs.join(_found(spark, sf_dir).select("doc_id"), "doc_id", "left_anti")
@@ -174,6 +208,35 @@ def evaluation_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outcomes.select("doc_id", F.explode(rows).alias("f")).select("doc_id", "f.*")
 
 
+def failure_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The failures with all their columns, written as JSON and read back."""
+    folder = f"{Tables(spark).root}/failures"
+    measure.write_failures(_evaluated(spark, sf_dir), folder)
+    wrong = spark.read.schema("predicted_text string, predicted_type string, detector_source string, confidence double, location string, surrounding_context string").json(f"{folder}/false_positives")
+    missing = spark.read.schema("ground_truth_text string, expected_type string, location string, surrounding_context string").json(f"{folder}/false_negatives")
+    wrong = wrong.select(F.lit("false positive").alias("failure"), F.col("predicted_text").alias("text"), F.col("predicted_type").alias("entity_type"), "detector_source", "confidence", "location", "surrounding_context")
+    return wrong.unionByName(missing.select(F.lit("false negative").alias("failure"), F.col("ground_truth_text").alias("text"), F.col("expected_type").alias("entity_type"), "location", "surrounding_context"), allowMissingColumns=True)
+
+
+def gold_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected findings written as files of JSON arrays, read back as such, and scored."""
+    folder = f"{Tables(spark).root}/gold"
+    rows = _gold(corpus.derived(spark, sf_dir)).select(F.expr("doc_id div 20000").alias("part"), F.struct("doc_id", "text", "entities").alias("item"))
+    arrays = rows.groupBy("part").agg(F.sort_array(F.collect_list("item")).alias("items"))  # some thousand lines
+    arrays.select("part", F.to_json(F.transform("items", lambda x: F.struct(x["text"].alias("text"), x["entities"].alias("entities")))).alias("value")).write.partitionBy("part").text(folder)
+    return measure.category_scores(measure.category_counts(measure.evaluated(pipeline.analyse(tables.ground_truth(spark, f"{folder}/*/*.txt")))))
+
+
+def audit_report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit's survivors and changes, written as JSON and read back."""
+    folder = f"{Tables(spark).root}/audit"
+    _audited(spark, sf_dir).write(folder)
+    kept = spark.read.schema("doc_id long, seq int, original_text string, type string, expected_replacement string, actual_text string, detector_source string, confidence double").json(f"{folder}/surviving")
+    changes = spark.read.schema("doc_id long, seq int, expected string, actual string").json(f"{folder}/changes")
+    one = kept.select(F.lit("surviving").alias("part"), "doc_id", "seq", F.col("original_text").alias("one"), F.col("actual_text").alias("other"), F.col("detector_source").alias("detector"))
+    return one.unionByName(changes.select(F.lit("change").alias("part"), "doc_id", "seq", F.col("expected").alias("one"), F.col("actual").alias("other")), allowMissingColumns=True)
+
+
 def _audited(spark: SparkSession, sf_dir: str) -> auditing.Report:
     """The derived lines, of which a third was left as it was, and another third has got something added."""
     expected = pipeline.redact(corpus.derived(spark, sf_dir))
@@ -275,5 +338,6 @@ def queries() -> dict[str, Query]:
     plain = (
         refine_header_context, resolve_overlaps, pseudonym_seed, pseudonymize, redact_documents, redact_derived, redact_patterns, stream_redact, entity_counts_by_type, entity_rollup_lang, pipeline_stats, pipeline_stats_all,
         clean_documents, top_documents, tabular_redaction, evaluate_categories, evaluate_overall, evaluation_failures, audit_coverage, audit_surviving, audit_changes, audit_categories, memo_propagation, conversation_stats, page_entities, sql_redact, tagger_scores, redact_names, dictionary_names,
+        resolve_detectors, redact_runs, span_overlaps, failure_report, gold_files, audit_report_files, pipeline_stats_places,
     )
     return found | {f.__name__: f for f in plain}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LOCATION = "struct<paragraph_index:int,table_index:int,row_index:int,cell_index:int,is_header:boolean,is_footer:boolean>"
@@ -40,8 +40,12 @@ def cells(table: DataFrame, id_col: str, columns: Sequence[str] | None = None) -
 
 
 def ground_truth(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, seq, text, header_text, entities: array of type, text) from a JSON array; an item is a paragraph by its place."""
+    """(doc_id, seq, text, header_text, entities: array of type, text) from JSON arrays, one in a file; path may be a pattern or a folder.
+
+    A document is a file, by its name without folders; an item is a paragraph, by its place in the array.
+    """
     items = spark.read.option("multiLine", True).schema("text string, entities array<struct<type:string,text:string>>").json(path)
-    # a JSON array is one file's one record: its items come in order, in one partition
-    numbered = items.withColumn("seq", F.monotonically_increasing_id().cast("int"))
-    return numbered.select(F.lit(path).alias("doc_id"), "seq", "text", F.lit(None).cast("string").alias("header_text"), "entities")
+    rows = items.select("text", "entities", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("doc_id"), F.monotonically_increasing_id().alias("at"))
+    # an array is one record of one file, which one task has parsed: its items come in order
+    seq = (F.row_number().over(Window.partitionBy("file").orderBy("at")) - 1).alias("seq")
+    return rows.select("doc_id", seq, "text", F.lit(None).cast("string").alias("header_text"), "entities")
