@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskwright.functions import text as T
+from maskwright.storage import Tables
 
 SURVIVOR = "struct<original_text:string,type:string,expected_replacement:string,actual_text:string,detector_source:string,confidence:double>"
 CHANGE = "struct<expected:string,actual:string>"
@@ -40,20 +41,52 @@ class Report:
         }
 
 
-def compared(expected: DataFrame, actual: DataFrame) -> DataFrame:
+def _paired(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """expected with actual_text, null without a partner, and paired.
+
+    Of paragraphs under one doc_id and seq those with equal texts are partners first, of which it doesn't matter which is
+    whose; the others are taken in the order of their texts.
+    """
+    tables = Tables(expected.sparkSession)  # both are read several times
+    one = tables.put(expected.select("doc_id", "seq", "text", "replaced", "redacted_text"), "expected")
+    other = tables.put(actual.select("doc_id", "seq", "actual_text"), "actual")
+    texts = one.select("doc_id", "seq", F.col("redacted_text").alias("t"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(other.select("doc_id", "seq", F.col("actual_text").alias("t"), F.lit(0).alias("a"), F.lit(1).alias("b")))
+    counts = texts.groupBy("doc_id", "seq", "t").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toDF("k_doc", "k_seq", "k_t", "a", "b")
+
+    def split(df: DataFrame, text: str, mine: str, theirs: str) -> tuple[DataFrame, DataFrame]:
+        """Rows with a partner of their text, and the rest."""
+        same = F.col("doc_id").eqNullSafe(F.col("k_doc")) & F.col("seq").eqNullSafe(F.col("k_seq")) & F.col(text).eqNullSafe(F.col("k_t"))
+        known = df.join(counts, same, "left").drop("k_doc", "k_seq", "k_t")
+        some = known.where((F.col(theirs) > 0) & (F.col(theirs) < F.col(mine))).withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "seq", text).orderBy(F.lit(0))))
+        all_or_none = known.where((F.col(theirs) == 0) | (F.col(theirs) >= F.col(mine)))
+        met = all_or_none.where(F.col(theirs) > 0).select(*df.columns).unionByName(some.where(F.col("nth") <= F.col(theirs)).select(*df.columns))
+        return met, all_or_none.where(F.col(theirs) == 0).select(*df.columns).unionByName(some.where(F.col("nth") > F.col(theirs)).select(*df.columns))
+
+    met, left = split(one, "redacted_text", "a", "b")
+    right = split(other, "actual_text", "b", "a")[1]
+    nth = lambda text: F.row_number().over(Window.partitionBy("doc_id", "seq").orderBy(text))
+    right = right.select("doc_id", "seq", "actual_text", nth("actual_text").alias("nth")).toDF("other_id", "other_seq", "actual_text", "other_nth")
+    left = left.withColumn("nth", nth("redacted_text"))
+    same = F.col("doc_id").eqNullSafe(F.col("other_id")) & F.col("seq").eqNullSafe(F.col("other_seq")) & (F.col("nth") == F.col("other_nth"))
+    rest = left.join(right, same, "left").withColumn("paired", F.col("other_nth").isNotNull()).drop("other_id", "other_seq", "other_nth", "nth")
+    return met.withColumns({"actual_text": F.col("redacted_text"), "paired": F.lit(True)}).unionByName(rest)
+
+
+def compared(expected: DataFrame, actual: DataFrame, unpaired: str = "empty") -> DataFrame:
     """Every paragraph of expected with its partner by doc_id and seq, either of which may be null, with surviving and changes.
 
-    Paragraphs that share both are paired in the order of their redacted texts; one without a partner counts as empty.
+    unpaired: what has no partner counts as "empty", so that all its findings survive, or is "left out", as where of two
+    lists the shorter one ends the comparison.
 
     expected: from pipeline.redact() on the original; actual: (doc_id, seq, actual_text). Where the texts differ, the
     original's spans and the gaps between them are looked for at the places that they should have: after a replacement
     of another length than expected, all that follows counts as changed.
     """
-    nth = lambda text: F.row_number().over(Window.partitionBy("doc_id", "seq").orderBy(text))
-    one = expected.select("doc_id", "seq", "text", "replaced", "redacted_text", nth("redacted_text").alias("nth"))
-    other = actual.select("doc_id", "seq", "actual_text", nth("actual_text").alias("nth")).toDF("other_id", "other_seq", "actual_text", "other_nth")
-    same = F.col("doc_id").eqNullSafe(F.col("other_id")) & F.col("seq").eqNullSafe(F.col("other_seq")) & (F.col("nth") == F.col("other_nth"))
-    rows = one.join(other, same, "left").drop("other_id", "other_seq", "other_nth", "nth")
+    if unpaired not in ("empty", "left out"):
+        raise ValueError("unpaired is empty or left out")
+    rows = _paired(expected, actual)
+    if unpaired == "left out":
+        rows = rows.where("paired")
     begin = F.struct(F.lit(0).alias("at"), F.lit(0).alias("there"), F.array().cast(f"array<{SURVIVOR}>").alias("surviving"), F.array().cast(f"array<{CHANGE}>").alias("changes"))
     text, actual_text = F.col("text"), F.coalesce("actual_text", F.lit(""))
 
@@ -91,5 +124,5 @@ def report(pairs: DataFrame) -> Report:
     return Report(totals, surviving, changes, found.join(survived, "category", "left").fillna(0, ["survived"]))
 
 
-def audit(expected: DataFrame, actual: DataFrame) -> Report:
-    return report(compared(expected, actual))
+def audit(expected: DataFrame, actual: DataFrame, unpaired: str = "empty") -> Report:
+    return report(compared(expected, actual, unpaired))

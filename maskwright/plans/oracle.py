@@ -386,6 +386,11 @@ def oracle_sql() -> dict[str, str]:
         "evaluate_overall": scores(f"SELECT sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM ({evaluation(derived)})", True),
         "evaluation_failures": failures(derived),
         "audit_coverage": f"SELECT count(*) AS total, count(*) FILTER (WHERE NOT survived) AS redacted, count(*) FILTER (WHERE survived) AS survived, (SELECT count(*) FROM ({changes})) AS unintended_changes, (count(*) FILTER (WHERE NOT survived))::DOUBLE / count(*) AS coverage FROM ({audit})",
+        "audit_shared_places": f"""WITH one AS (SELECT doc_id // 100 AS doc_id, coalesce(redacted_text, text) AS t, coalesce(r, 0) AS r, doc_id AS line FROM {of_lines} LEFT JOIN ({redacted(DERIVED, derived)}) AS done USING (doc_id)),
+            other AS (SELECT doc_id, CASE WHEN line % 7 = 0 THEN substr(t, 2) ELSE t END AS t FROM one WHERE line % 11 <> 0),
+            x AS (SELECT *, row_number() OVER (PARTITION BY doc_id, t ORDER BY line) AS nth FROM one), y AS (SELECT *, row_number() OVER (PARTITION BY doc_id, t) AS nth FROM other),
+            left_x AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY t) AS k FROM x ANTI JOIN y USING (doc_id, t, nth)), left_y AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY t) AS k FROM y ANTI JOIN x USING (doc_id, t, nth))
+            SELECT doc_id, count(*) AS paragraphs, sum(r)::BIGINT AS total, sum(d)::BIGINT AS different FROM (SELECT doc_id, r, 0 AS d FROM x SEMI JOIN y USING (doc_id, t, nth) UNION ALL SELECT doc_id, r, 1 FROM left_x SEMI JOIN left_y USING (doc_id, k)) GROUP BY doc_id""",
         "audit_surviving": f"SELECT doc_id, found AS original_text, entity_type, new AS expected_replacement, substr(actual, there + 1, length(new)) AS actual_text FROM ({audit}) WHERE survived",
         "audit_changes": changes,
         "audit_categories": f"SELECT entity_type AS category, count(*) AS total, count(*) FILTER (WHERE survived) AS survived FROM ({audit}) GROUP BY entity_type",

@@ -63,6 +63,21 @@ def test_redacted_document_keeps_its_form(spark):
     assert texts(again) == after
 
 
+def test_audit_of_paragraphs_that_share_a_place(spark):
+    """Equal texts are partners, whatever a change elsewhere does to the order of texts."""
+    rows = [(k, s, t) for k in (1, None) for s, t in ((0, "Mail asha@x.org now"), (0, "Mail zoe@y.org and bo@z.org now"), (0, "Plain"), (1, "Mail asha@x.org now"))]
+    done = pipeline.redact(spark.createDataFrame(rows, "doc_id int, seq int, text string"))
+    changed = done.select("doc_id", "seq", F.when(F.col("text").contains("zoe"), F.concat(F.lit("A"), F.substring("redacted_text", 2, 1000))).otherwise(F.col("redacted_text")).alias("actual_text"))
+    totals = audit.audit(done, changed).totals.first()
+    assert (totals.total, totals.survived, totals.unintended_changes) == (8, 0, 2)
+    twice = changed.unionByName(changed)
+    assert audit.audit(done.unionByName(done), twice).totals.first().survived == 0
+    fewer = changed.where("seq = 0")
+    assert audit.audit(done, fewer).totals.first().survived == 2 and audit.audit(done, fewer, "left out").totals.first().total == 6
+    with pytest.raises(ValueError):
+        audit.audit(done, changed, "survives")
+
+
 def test_many_documents_and_audit(spark, tmp_path):
     for i in range(3):
         (tmp_path / f"d{i}.docx").write_bytes(document(p(f"Mail u{i}@x.org and u{i}@y.org")))
