@@ -275,6 +275,27 @@ def _first_meeting(key: np.ndarray, probes: np.ndarray, a: np.ndarray, b: np.nda
     return out
 
 
+def _whole_parts(batches, enough: int):
+    """Tables of about enough rows or more, in which no part of a key is cut; batches are sorted by key and part."""
+    held, size = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.num_rows
+        if size < enough:
+            continue
+        table = pa.Table.from_batches(held)
+        key, part = table.column("key").to_numpy(), table.column("part").to_numpy()
+        cut = int(np.count_nonzero((key != key[-1]) | (part != part[-1])))
+        if not cut:
+            continue
+        yield table.slice(0, cut)
+        held, size = table.slice(cut).to_batches(), size - cut
+    if size:
+        yield pa.Table.from_batches(held)
+
+
 def _meetings(probes: DataFrame, most: int, tables: Tables) -> DataFrame:
     """Rows (a, b, tree) from rows (key, part, class, c, and in the second round component and probes), each once.
 
@@ -301,21 +322,8 @@ def _meetings(probes: DataFrame, most: int, tables: Tables) -> DataFrame:
             yield record_batch(schema, a, b, tree)
 
     def run(batches):
-        held, size = [], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            size += batch.num_rows
-            if size < (10_000 if grouped else 50_000) or batch.column("key")[0].as_py() == batch.column("key")[-1].as_py():
-                continue
-            table = pa.Table.from_batches(held)
-            keys = batch.column("key").to_numpy()
-            cut = size - int((keys == keys[-1]).sum())
-            yield from settle(table.slice(0, cut))
-            held, size = table.slice(cut).to_batches(), size - cut
-        if size:
-            yield from settle(pa.Table.from_batches(held))
+        for table in _whole_parts(batches, 10_000 if grouped else 50_000):
+            yield from settle(table)
 
     n = shuffle_width(probes.sparkSession)
     return probes.repartition(n, "key", "part").sortWithinPartitions("key", "part").mapInArrow(lean(run), "a long, b long, tree long").distinct()

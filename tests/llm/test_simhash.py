@@ -54,3 +54,15 @@ def test_empty_repeated_and_extra_columns(spark):
     rows = spark.createDataFrame([(5, "a b c d", 1), (5, "a b c d", 2), (None, "z y x w v", 3), (7, None, 4)], "doc_id long, text string, fp int")
     got = sorted((r.doc_id or 0, r.component_id or 0) for r in simhash.near_duplicates(rows.withColumn("id", F.lit(1)).withColumn("component", F.lit(2))).collect())
     assert got == [(0, 0), (5, 5), (5, 5), (7, 7)]
+
+
+def test_parts_of_a_hot_key_are_not_held_together():
+    """What a task holds of a key that is dealt to sixty parts is about one part."""
+    import pyarrow as pa
+
+    rows = [(k, p) for k, parts in ((1, 1), (2, 60), (3, 2)) for p in range(parts) for _ in range(100)]
+    batches = [pa.RecordBatch.from_pydict({"key": [k for k, _ in rows[i : i + 30]], "part": pa.array([p for _, p in rows[i : i + 30]], pa.int32())}) for i in range(0, len(rows), 30)]
+    tables = list(simhash._whole_parts(iter([*batches, batches[0].slice(0, 0)]), 50))
+    assert [tuple(r.values()) for t in tables for r in t.to_pylist()] == rows and max(t.num_rows for t in tables) <= 160
+    groups = [{(r["key"], r["part"]) for r in t.to_pylist()} for t in tables]
+    assert sum(map(len, groups)) == len(set().union(*groups)) == 63
