@@ -97,3 +97,9 @@ def mentions_sql(orders: str = "orders") -> str:
     """SELECT of (doc_id, text): lines that mention customers, some inside other words or before more digits."""
     name = f"concat('Customer#', {_digits('o_custkey', 9)})"
     return f"""SELECT o_orderkey AS doc_id, concat(CASE o_orderkey % 4 WHEN 0 THEN 'For ' WHEN 1 THEN 'x' WHEN 2 THEN '(' ELSE 'é' END, {name}, CASE o_orderkey % 5 WHEN 0 THEN ' & Sons' WHEN 1 THEN '7' WHEN 2 THEN ' & Sonst' WHEN 3 THEN '.' ELSE '' END, ' via ', {name}) AS text FROM {orders}"""
+
+
+def logged_sql(events: str = "events") -> str:
+    """SELECT of (doc_id, seq, ts, user_id, text): a line for each event, with an address, a host or a card in some."""
+    card = f"concat(' card 4000-', {_digits('user_id % 10000', 4)}, '-', {_digits('event_id % 10000', 4)}, '-', {_digits('event_id * 7 % 10000', 4)})"
+    return f"""SELECT event_id AS doc_id, 0 AS seq, ts, user_id, concat(event_type, CASE user_id % 3 WHEN 0 THEN concat(' by user', user_id, '@mail.example.com') WHEN 1 THEN concat(' from 10.0.', user_id % 250, '.', event_id % 250) ELSE ' by nobody' END, CASE event_id % 4 WHEN 0 THEN {card} ELSE '' END) AS text FROM {events}"""

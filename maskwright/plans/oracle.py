@@ -332,6 +332,18 @@ def dictionary_names() -> str:
     SELECT doc_id, arg_max(name, length(name)) AS text, CASE arg_max(label, length(name)) WHEN 'ORG' THEN 'COMPANY_CANDIDATE' ELSE 'PERSON' END AS entity_type, (a - 1)::INT AS start_at, (a - 1 + max(length(name)))::INT AS end_at FROM met GROUP BY doc_id, a"""
 
 
+def event_windows(sessions: bool) -> str:
+    """Windows of six hours, or users' sessions with gaps below three, that are over an hour before the latest event with a finding."""
+    lines = f"SELECT doc_id, seq, text, NULL::VARCHAR AS header_text FROM ({corpus.logged_sql()})"
+    found = f"SELECT ts, user_id, entity_type FROM ({findings(lines, context=False)}) JOIN (SELECT event_id AS doc_id, ts, user_id FROM events) USING (doc_id)"
+    over = "<= date_trunc('milliseconds', (SELECT max(ts) FROM found)) - INTERVAL 1 HOUR"
+    if not sessions:
+        return f"WITH found AS ({found}) SELECT * FROM (SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS starts, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') + INTERVAL 6 HOUR AS ends, entity_type, count(*) AS n FROM found GROUP BY ALL) WHERE ends {over}"
+    return f"""WITH found AS ({found}), marked AS (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 3 HOUR, true) AS new FROM found),
+      numbered AS (SELECT *, sum(new::INT) OVER (PARTITION BY user_id ORDER BY ts, new DESC ROWS UNBOUNDED PRECEDING) AS k FROM marked)
+      SELECT starts, ends, user_id, n FROM (SELECT min(ts) AS starts, max(ts) + INTERVAL 3 HOUR AS ends, user_id, k, count(*) AS n FROM numbered GROUP BY user_id, k) WHERE ends {over}"""
+
+
 def oracle_sql() -> dict[str, str]:
     everything, derived = findings(HEADED_LINES), findings(DERIVED)
     patterns = findings(HEADED_LINES, context=False)
@@ -360,6 +372,8 @@ def oracle_sql() -> dict[str, str]:
         "context_organisation": spans_of_lines(organisations(DERIVED)),
         "context_company_suffix": spans_of_lines(companies(DERIVED)),
         "resolve_overlaps": resolve_overlaps(),
+        "stream_event_windows": event_windows(sessions=False),
+        "stream_event_sessions": event_windows(sessions=True),
         "resolve_detectors": resolve_overlaps(detector=True, modulus=3),
         "redact_runs": runs(derived, 7),
         "span_overlaps": overlaps(patterns, everything),

@@ -15,7 +15,7 @@ from maskwright.operators import context, detect, measure, names, overlap, refin
 from maskwright.plans import corpus, pipeline, surface
 from maskwright.sources import tables
 from maskwright.storage import Tables
-from maskwright.streaming import micro
+from maskwright.streaming import micro, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Patterns of every type, without what context says of them.
@@ -121,6 +121,29 @@ def stream_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return micro.redact_files(spark, f"{sf_dir}/documents.parquet", pipeline.Config()).where("n_entities > 0").select("doc_id", "seq", "redacted_text")
 
 
+def _events_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of a stream of events, with time and user."""
+    lines = spark.sql(corpus.logged_sql("{events}"), events=micro.source(spark, f"{sf_dir}/events.parquet"))
+    return windows.found_at(lines.withColumn("ts", F.col("ts").cast("timestamp")), PATTERNS, ("ts", "user_id"))
+
+
+def _times() -> tuple[Column, Column]:
+    """Start and end without a time zone, as in the table of events."""
+    return F.col("start").cast("timestamp_ntz").alias("starts"), F.col("end").cast("timestamp_ntz").alias("ends")
+
+
+def stream_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of each type by six hours of event time, of those windows that an hour's delay lets end."""
+    counted = windows.by_window(_events_found(spark, sf_dir), "6 hours", "1 hour")
+    return micro.stored(counted).select(*_times(), "entity_type", "n")
+
+
+def stream_event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's sessions of findings, none more than three hours after the one before, of those that an hour's delay lets end."""
+    counted = windows.by_session(_events_found(spark, sf_dir), "3 hours", "1 hour", "user_id")
+    return micro.stored(counted).select(*_times(), "user_id", "n")
+
+
 def sql_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same through the views for SQL."""
     _, entities, redacted = surface.register(spark, _lines(spark, sf_dir), prefix="documents")
@@ -347,6 +370,6 @@ def queries() -> dict[str, Query]:
     plain = (
         refine_header_context, resolve_overlaps, pseudonym_seed, pseudonymize, redact_documents, redact_derived, redact_patterns, stream_redact, entity_counts_by_type, entity_rollup_lang, pipeline_stats, pipeline_stats_all,
         clean_documents, top_documents, tabular_redaction, evaluate_categories, evaluate_overall, evaluation_failures, audit_coverage, audit_shared_places, audit_surviving, audit_changes, audit_categories, memo_propagation, conversation_stats, page_entities, sql_redact, tagger_scores, redact_names, dictionary_names,
-        resolve_detectors, redact_runs, span_overlaps, failure_report, gold_files, audit_report_files, pipeline_stats_places,
+        stream_event_windows, stream_event_sessions, resolve_detectors, redact_runs, span_overlaps, failure_report, gold_files, audit_report_files, pipeline_stats_places,
     )
     return found | {f.__name__: f for f in plain}

@@ -13,6 +13,7 @@ from maskwright.functions import text as T
 from maskwright.operators import memo
 from maskwright.plans import pipeline
 from maskwright.sources import tables
+from maskwright.storage import shared_folder
 
 
 def redact_stream(paragraphs: DataFrame, config: pipeline.Config) -> DataFrame:
@@ -22,29 +23,25 @@ def redact_stream(paragraphs: DataFrame, config: pipeline.Config) -> DataFrame:
     return pipeline.redact(paragraphs, config)
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    """Where driver and executors both can write: spark.checkpoint.dir, or a folder of our own in local mode."""
-    place = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if place is None:
-        import tempfile
+def stored(stream: DataFrame) -> DataFrame:
+    """What a stream gives until its source is read up, as a table in the shared folder."""
+    spark = stream.sparkSession
+    place = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    run = stream.writeStream.format("parquet").option("path", f"{place}/rows").option("checkpointLocation", f"{place}/progress").outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{place}/rows")
+
 
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        place = tempfile.gettempdir()
-    return place.rstrip("/")
+def source(spark: SparkSession, path: str) -> DataFrame:
+    """The table at path, a file or a folder, as a stream."""
+    # a stream's source is a folder or a pattern; this pattern is met by the path alone
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def redact_files(spark: SparkSession, path: str, config: pipeline.Config) -> DataFrame:
     """Streams the documents under path through the plan into a table, once, and returns it: (doc_id, seq, n_entities, redacted_text)."""
-    schema = spark.read.parquet(path).schema
-    place = f"{_shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    # a stream's source is a folder or a pattern; this pattern is met by the path alone, be it a folder or a file
-    docs = spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
-    done = redact_stream(tables.lines(docs.select("doc_id", "text")), config)
-    rows = done.select("doc_id", "seq", F.size("resolved").alias("n_entities"), "redacted_text")
-    run = rows.writeStream.format("parquet").option("path", f"{place}/rows").option("checkpointLocation", f"{place}/progress").outputMode("append").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.read.schema(rows.schema).parquet(f"{place}/rows")
+    done = redact_stream(tables.lines(source(spark, path).select("doc_id", "text")), config)
+    return stored(done.select("doc_id", "seq", F.size("resolved").alias("n_entities"), "redacted_text"))
 
 
 def recall_stream(analysed: DataFrame, least: float = 0.95) -> DataFrame:
