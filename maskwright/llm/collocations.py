@@ -23,7 +23,7 @@ from maskwright.llm.repeats import mix
 #: up. Rarity only has to be an order that all tasks share.
 SLOTS = 1 << 22
 #: Bytes of text that are cut up together, and words that a task remembers.
-CHUNK, REMEMBER = 8 << 20, 1 << 20
+CHUNK, REMEMBER = 4 << 20, 1 << 20
 #: Occurrences from which a word's fragments are dealt by its neighbour too.
 HOT = 1 << 22
 _PIECE_ENDS, _BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
