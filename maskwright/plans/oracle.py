@@ -82,6 +82,7 @@ def value(key: str, kind: str) -> str:
     first, last = _pick(key, 1, P.FIRST_NAMES), _pick(key, 2, P.LAST_NAMES)
     body = f"('4' || {_digits(key, 1, 14)})"
     check = f"((10 - list_sum(list_transform(range(1, 16), lambda k: CASE WHEN k % 2 = 1 THEN CASE WHEN {body}[16 - k]::INT > 4 THEN {body}[16 - k]::INT * 2 - 9 ELSE {body}[16 - k]::INT * 2 END ELSE {body}[16 - k]::INT END)) % 10) % 10)::INT::VARCHAR"
+    date = f"({_draw(key, 1, 60)} + 1945)::VARCHAR || '-' || {two(2, 12, 1)} || '-' || {two(3, 28, 1)}"
     return f"""CASE {kind}
       WHEN 'PERSON' THEN {first} || ' ' || {last}
       WHEN 'EMAIL' THEN lower({first}) || '.' || lower({last}) || {_digits(key, 3, 3)} || '@example.com'
@@ -90,7 +91,8 @@ def value(key: str, kind: str) -> str:
       WHEN 'PHYSICAL_OR_MAILING_ADDRESS' THEN ({_draw(key, 1, 899)} + 1)::VARCHAR || ', ' || {_pick(key, 2, P.STREETS)} || ', ' || {_pick(key, 3, P.CITIES)} || ' ' || {_digits(key, 4, 6, 110001)}
       WHEN 'SSN' THEN ({_draw(key, 1, 565)} + 101)::VARCHAR || '-' || {two(2, 99, 1)} || '-' || {_digits(key, 3, 4, 1)}
       WHEN 'CREDIT_CARD' THEN {body} || {check}
-      WHEN 'DATE_OF_BIRTH' THEN ({_draw(key, 1, 60)} + 1945)::VARCHAR || '-' || {two(2, 12, 1)} || '-' || {two(3, 28, 1)}
+      WHEN 'DATE_OF_BIRTH' THEN {date}
+      WHEN 'DATE' THEN {date}
       WHEN 'IP_ADDRESS' THEN ({_draw(key, 1, 223)} + 1)::VARCHAR || '.' || {_draw(key, 2, 256)} || '.' || {_draw(key, 3, 256)} || '.' || {_draw(key, 4, 256)}
       WHEN 'AADHAAR' THEN {_digits(key, 1, 4, 2000)} || ' ' || {_digits(key, 2, 4)} || ' ' || {_digits(key, 3, 4)}
       WHEN 'DIN' THEN {_digits(key, 1, 8)}
@@ -178,13 +180,19 @@ def companies(source: str) -> str:
     return scan(source, V.COMPANIES + chr(92) + "b")
 
 
+def by_patterns(source: str) -> list[tuple[str, float, str]]:
+    """Type, confidence and rows of every pattern, over a source with header_text."""
+    head = ", header_text"
+    return [
+        ("EMAIL", V.PATTERN_HIGH, emails(source, head)), ("PHONE", V.PATTERN_MEDIUM, phones(source, head)), ("SSN", V.PATTERN_HIGH, ssns(source, head)), ("CREDIT_CARD", V.PATTERN_HIGH, cards(source, head)),
+        ("IP_ADDRESS", V.PATTERN_HIGH, scan(source, V.IP_ADDRESS, extra=head)), ("DATE", V.PATTERN_MEDIUM, scan(source, "(?i)" + V.DATE, extra=head)), ("AADHAAR", V.PATTERN_MEDIUM, scan(source, V.AADHAAR, extra=head)), ("DIN", V.PATTERN_MEDIUM, scan(source, V.DIN, extra=head)),
+    ]
+
+
 def candidates(source: str, context: bool = True) -> str:
     """(doc_id, seq, line, found, a, b, kind, conf, detector, ord): all detectors' findings, refined by header and context; with context also those that it adds."""
-    head, src = ", header_text", "SELECT * FROM src"
-    found = [
-        ("EMAIL", V.PATTERN_HIGH, emails(src, head)), ("PHONE", V.PATTERN_MEDIUM, phones(src, head)), ("SSN", V.PATTERN_HIGH, ssns(src, head)), ("CREDIT_CARD", V.PATTERN_HIGH, cards(src, head)),
-        ("IP_ADDRESS", V.PATTERN_HIGH, scan(src, V.IP_ADDRESS, extra=head)), ("DATE", V.PATTERN_MEDIUM, scan(src, "(?i)" + V.DATE, extra=head)), ("AADHAAR", V.PATTERN_MEDIUM, scan(src, V.AADHAAR, extra=head)), ("DIN", V.PATTERN_MEDIUM, scan(src, V.DIN, extra=head)),
-    ]
+    src = "SELECT * FROM src"
+    found = by_patterns(src)
     raw = " UNION ALL ".join(f"SELECT doc_id, seq, header_text, line, found, a, b, '{kind}' AS kind, {conf} AS conf, 'regex' AS detector, {k} AS step FROM ({rows})" for k, (kind, conf, rows) in enumerate(found))
     birth, low = any_of("lower(coalesce(header_text, ''))", ("dob", "birth")), "low"
     marked = " OR ".join(f"contains(found, '{c}')" for c in "+-(")
@@ -353,7 +361,12 @@ def oracle_sql() -> dict[str, str]:
     found_per_line = f"SELECT doc_id, seq, count(*) AS n_entities FROM ({everything}) GROUP BY doc_id, seq"
     of_lines = f"""({DERIVED}) AS lines LEFT JOIN (SELECT doc_id, count(*) AS c FROM ({candidates(DERIVED)}) GROUP BY doc_id) USING (doc_id)
       LEFT JOIN (SELECT doc_id, count(*) AS r FROM ({derived}) GROUP BY doc_id) USING (doc_id)"""
+    raw = " UNION ALL ".join(f"SELECT doc_id, seq, '{kind}' AS entity_type, found AS text, a AS start_at, b AS end_at, {conf}::DOUBLE AS confidence FROM ({rows})" for kind, conf, rows in by_patterns(HEADED_LINES))
+    of_kind = {"EMAIL": emails(LINES), "IP_ADDRESS": scan(LINES, V.IP_ADDRESS), "CREDIT_CARD": cards(LINES)}
     return {
+        "sql_analyze": f"SELECT *, {replacement('text', 'entity_type')} AS replacement FROM ({raw})",
+        "sql_redact_kinds": " UNION ALL ".join(f"SELECT *, '{kind}' AS entity_type FROM ({redacted(LINES, f"SELECT *, '{kind}' AS entity_type FROM ({rows})")})" for kind, rows in of_kind.items()),
+        "distinct_findings": f"SELECT lang, entity_type, count(*) AS n, count(DISTINCT lower(found)) AS n_distinct, true AS near FROM ({patterns}) JOIN documents USING (doc_id) GROUP BY lang, entity_type",
         "detect_email": spans(emails(LINES)),
         "detect_phone": spans(phones(LINES)),
         "detect_ip_address": spans(scan(LINES, V.IP_ADDRESS)),

@@ -11,8 +11,8 @@ from maskwright import vocab as V
 from maskwright.functions import pseudonym
 from maskwright.functions import text as T
 from maskwright.operators import audit as auditing
-from maskwright.operators import context, detect, measure, names, overlap, refine, resolve, tagger
-from maskwright.plans import corpus, pipeline, surface
+from maskwright.operators import context, detect, measure, names, overlap, refine, resolve, sketches, tagger
+from maskwright.plans import corpus, functions, pipeline, surface
 from maskwright.sources import tables
 from maskwright.storage import Tables
 from maskwright.streaming import micro, windows
@@ -150,6 +150,39 @@ def sql_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(f"SELECT doc_id, seq, redacted_text FROM {redacted} LEFT SEMI JOIN {entities} USING (doc_id, seq)")
 
 
+def sql_analyze(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What patterns find in all lines, with replacements, through the functions for SQL."""
+    functions.register(spark)
+    analyzed = "SELECT l.doc_id, l.seq, e.* FROM {lines} l, LATERAL maskwright_analyze(l.text) e"
+    return spark.sql(f"SELECT doc_id, seq, entity_type, text, start_at, end_at, confidence, maskwright_replacement(text, entity_type) AS replacement FROM ({analyzed})", lines=_lines(spark, sf_dir))
+
+
+def sql_redact_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with the findings of a single pattern exchanged, through the function for SQL."""
+    functions.register(spark)
+    of_kind = "SELECT doc_id, seq, text, '{0}' AS entity_type, maskwright_redact(text, '{0}') AS redacted_text FROM {{lines}}"
+    every = " UNION ALL ".join(of_kind.format(kind) for kind in ("EMAIL", "IP_ADDRESS", "CREDIT_CARD"))
+    return spark.sql(f"SELECT doc_id, seq, entity_type, redacted_text FROM ({every}) WHERE redacted_text <> text", lines=_lines(spark, sf_dir))
+
+
+def distinct_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many different texts each language's findings have: counted, and whether what sketches say is within four standard errors of it.
+
+    The sketches are by source too, kept in a folder, and merged over the sources.
+    """
+    tables_ = Tables(spark)
+    lines = tables.lines(_load(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), keep=("lang", "source"))
+    found = pipeline.analyse(lines, PATTERNS).where(F.size("resolved") > 0).select("lang", "source", F.explode("resolved").alias("e"))
+    found = tables_.put(found.select("lang", "source", "e.entity_type", F.lower("e.text").alias("said")), "found")
+    folder = f"{tables_.root}/sketches"
+    sketches.add(sketches.sketched(found, ("lang", "source", "entity_type"), "said"), folder, 0)
+    said = sketches.estimated(sketches.merged(sketches.kept(spark, folder), ("lang", "entity_type"))).withColumnRenamed("n_distinct", "said")
+    counted = found.groupBy("lang", "entity_type", "said").agg(F.count("*").alias("n")).groupBy("lang", "entity_type").agg(F.sum("n").alias("n"), F.count("*").alias("n_distinct"))
+    same = F.col("c.lang").eqNullSafe(F.col("s.lang")) & (F.col("c.entity_type") == F.col("s.entity_type"))
+    near = F.abs(F.col("said") - F.col("n_distinct")) <= F.greatest(F.lit(1), 4 * sketches.error() * F.col("n_distinct"))
+    return counted.alias("c").join(said.alias("s"), same).select("c.lang", "c.entity_type", "c.n", "n_distinct", (near & (F.col("c.n") == F.col("s.n"))).alias("near"))
+
+
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.entities(pipeline.analyse(_lines(spark, sf_dir)))
 
@@ -371,5 +404,6 @@ def queries() -> dict[str, Query]:
         refine_header_context, resolve_overlaps, pseudonym_seed, pseudonymize, redact_documents, redact_derived, redact_patterns, stream_redact, entity_counts_by_type, entity_rollup_lang, pipeline_stats, pipeline_stats_all,
         clean_documents, top_documents, tabular_redaction, evaluate_categories, evaluate_overall, evaluation_failures, audit_coverage, audit_shared_places, audit_surviving, audit_changes, audit_categories, memo_propagation, conversation_stats, page_entities, sql_redact, tagger_scores, redact_names, dictionary_names,
         stream_event_windows, stream_event_sessions, resolve_detectors, redact_runs, span_overlaps, failure_report, gold_files, audit_report_files, pipeline_stats_places,
+        sql_analyze, sql_redact_kinds, distinct_findings,
     )
     return found | {f.__name__: f for f in plain}
