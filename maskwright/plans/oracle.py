@@ -362,11 +362,13 @@ def oracle_sql() -> dict[str, str]:
     of_lines = f"""({DERIVED}) AS lines LEFT JOIN (SELECT doc_id, count(*) AS c FROM ({candidates(DERIVED)}) GROUP BY doc_id) USING (doc_id)
       LEFT JOIN (SELECT doc_id, count(*) AS r FROM ({derived}) GROUP BY doc_id) USING (doc_id)"""
     raw = " UNION ALL ".join(f"SELECT doc_id, seq, '{kind}' AS entity_type, found AS text, a AS start_at, b AS end_at, {conf}::DOUBLE AS confidence FROM ({rows})" for kind, conf, rows in by_patterns(HEADED_LINES))
+    bare = f"SELECT * REPLACE (NULL::VARCHAR AS header_text) FROM ({DERIVED})"
     of_kind = {"EMAIL": emails(LINES), "IP_ADDRESS": scan(LINES, V.IP_ADDRESS), "CREDIT_CARD": cards(LINES)}
     return {
         "sql_analyze": f"SELECT *, {replacement('text', 'entity_type')} AS replacement FROM ({raw})",
         "sql_redact_kinds": " UNION ALL ".join(f"SELECT *, '{kind}' AS entity_type FROM ({redacted(LINES, f"SELECT *, '{kind}' AS entity_type FROM ({rows})")})" for kind, rows in of_kind.items()),
         "distinct_findings": f"SELECT lang, entity_type, count(*) AS n, count(DISTINCT lower(found)) AS n_distinct, true AS near FROM ({patterns}) JOIN documents USING (doc_id) GROUP BY lang, entity_type",
+        "packaged_documents": f"SELECT (doc_id // 10000 % 10) || '/c' || (doc_id // 10000) || '.docx' AS doc_id, (row_number() OVER (PARTITION BY doc_id // 10000 ORDER BY doc_id) - 1)::INT AS seq, ((length(text) - 1) // 11 + 1)::INT AS n_runs, coalesce(redacted_text, text) AS text FROM ({DERIVED}) AS lines LEFT JOIN ({redacted(bare, findings(bare))}) AS done USING (doc_id)",
         "detect_email": spans(emails(LINES)),
         "detect_phone": spans(phones(LINES)),
         "detect_ip_address": spans(scan(LINES, V.IP_ADDRESS)),
@@ -394,7 +396,7 @@ def oracle_sql() -> dict[str, str]:
         "page_entities": f"SELECT doc_id, seq, found AS text, entity_type, conf AS confidence, detector FROM ({findings(PAGE_LINES)})",
         "pipeline_stats_places": f"SELECT doc_id // 100 AS doc_id, count(*) AS processed_paragraphs, sum(coalesce(r, 0))::BIGINT AS entities_replaced, sum(CASE WHEN doc_id % 100 % 3 = 0 THEN coalesce(r, 0) ELSE 0 END)::BIGINT AS replacements_in_tables, sum(CASE WHEN doc_id % 100 % 5 < 2 THEN coalesce(r, 0) ELSE 0 END)::BIGINT AS replacements_in_headers_footers FROM {of_lines} GROUP BY doc_id // 100",
         "audit_report_files": f"SELECT 'surviving' AS part, doc_id, 0 AS seq, found AS one, substr(actual, there + 1, length(new)) AS other, detector FROM ({audit}) WHERE survived UNION ALL SELECT 'change', doc_id, 0, expected, actual, NULL FROM ({changes})",
-        "gold_files": scores(evaluation(findings(f"SELECT * REPLACE (NULL::VARCHAR AS header_text) FROM ({DERIVED})")), False),
+        "gold_files": scores(evaluation(findings(bare)), False),
         "pseudonym_seed": f"SELECT c_custkey AS doc_id, {_number(f"'{V.SEED}|' || lower(c_name) || '|PERSON'", 8)} AS seed_number FROM customer",
         "pseudonymize": f"SELECT doc_id, entity_type, {replacement('text', 'entity_type')} AS replacement FROM (SELECT c_custkey AS doc_id, c_name AS text, unnest([{', '.join(map(q, (*V.ENTITY_TYPES, 'OTHER')))}]) AS entity_type FROM customer)",
         "redact_documents": f"SELECT * FROM ({redacted(HEADED_LINES, everything)}) JOIN ({found_per_line}) USING (doc_id, seq)",

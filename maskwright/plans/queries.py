@@ -13,7 +13,7 @@ from maskwright.functions import text as T
 from maskwright.operators import audit as auditing
 from maskwright.operators import context, detect, measure, names, overlap, refine, resolve, sketches, tagger
 from maskwright.plans import corpus, functions, pipeline, surface
-from maskwright.sources import tables
+from maskwright.sources import docx, packages, tables
 from maskwright.storage import Tables
 from maskwright.streaming import micro, windows
 
@@ -201,6 +201,21 @@ def pipeline_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure.stats(pipeline.analyse(_lines(spark, sf_dir))).select("doc_id", "processed_paragraphs", "entities_replaced")
 
 
+def packaged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived lines of a hundred customers each as a packaged document of runs, written as files, read, redacted in the runs, written and read again."""
+    folder = f"{Tables(spark).root}/packages"
+    packages.register(spark)
+    at = F.sequence(F.lit(0), F.expr("(length(text) - 1) div 11").cast("int"))
+    texts = F.transform(at, lambda i: F.substring("text", i * 11 + 1, F.lit(11)))
+    path = F.expr("concat(doc_id div 10000 % 10, '/c', doc_id div 10000, '.docx')").alias("path")
+    made = docx.packed(corpus.derived(spark, sf_dir).select(path, F.col("doc_id").alias("seq"), texts.alias("texts")))
+    made.write.format("docx").mode("append").save(f"{folder}/plain")
+    files = docx.read(spark, f"{folder}/plain/*").withColumn("path", F.substring_index("path", "/plain/", -1))
+    runs = pipeline.redact(spark.read.format("docx").load(f"{folder}/plain")).select("doc_id", "seq", "redacted_runs")
+    docx.rewritten(files, runs).write.format("docx").mode("append").save(f"{folder}/redacted")
+    return spark.read.format("docx").load(f"{folder}/redacted").select("doc_id", "seq", F.size("runs").alias("n_runs"), "text")
+
+
 def pipeline_stats_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure.stats(pipeline.analyse(corpus.derived(spark, sf_dir).withColumn("doc_id", F.expr("doc_id div 100"))))
 
@@ -404,6 +419,6 @@ def queries() -> dict[str, Query]:
         refine_header_context, resolve_overlaps, pseudonym_seed, pseudonymize, redact_documents, redact_derived, redact_patterns, stream_redact, entity_counts_by_type, entity_rollup_lang, pipeline_stats, pipeline_stats_all,
         clean_documents, top_documents, tabular_redaction, evaluate_categories, evaluate_overall, evaluation_failures, audit_coverage, audit_shared_places, audit_surviving, audit_changes, audit_categories, memo_propagation, conversation_stats, page_entities, sql_redact, tagger_scores, redact_names, dictionary_names,
         stream_event_windows, stream_event_sessions, resolve_detectors, redact_runs, span_overlaps, failure_report, gold_files, audit_report_files, pipeline_stats_places,
-        sql_analyze, sql_redact_kinds, distinct_findings,
+        sql_analyze, sql_redact_kinds, distinct_findings, packaged_documents,
     )
     return found | {f.__name__: f for f in plain}

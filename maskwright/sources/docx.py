@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import io
 import posixpath
+import re
 import xml.etree.ElementTree as ET
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -19,6 +20,7 @@ _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 _SPACE = "{http://www.w3.org/XML/1998/namespace}space"
 MAIN = "word/document.xml"
+_NOT_XML = re.compile(r"[^\t\n\r\x20-\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]")
 RUNS = "array<struct<run_index:int,text:string>>"
 PARAGRAPHS = f"doc_id string, seq int, text string, header_text string, loc {LOCATION}, runs {RUNS}"
 
@@ -145,6 +147,47 @@ class Package:
         return out.getvalue()
 
 
+def rows_of(content: bytes) -> Iterator[tuple]:
+    """A document's paragraphs as rows of PARAGRAPHS, without doc_id."""
+    fields = ("paragraph_index", "table_index", "row_index", "cell_index")
+    for seq, p in enumerate(Package(content).paragraphs()):
+        loc = {f: p.location.get(f) for f in fields} | {f: p.location.get(f, False) for f in ("is_header", "is_footer")}
+        yield seq, p.text, p.header_text, loc, [{"run_index": i, "text": run_text(r)} for i, r in enumerate(p.runs)]
+
+
+def plain_package(paragraphs: Iterable[Iterable[str]]) -> bytes:
+    """A document of paragraphs, each given by the texts of its runs; characters that XML can't hold become U+FFFD."""
+    body = ET.Element(f"{_W}body")
+    for texts in paragraphs:
+        p = ET.SubElement(body, f"{_W}p")
+        for text in texts:
+            set_run_text(ET.SubElement(p, f"{_W}r"), _NOT_XML.sub("\ufffd", text))
+    root = ET.Element(f"{_W}document")
+    root.append(body)
+    kinds = "application/vnd.openxmlformats-"
+    files = {
+        "[Content_Types].xml": f'<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="{kinds}package.relationships+xml"/><Override PartName="/{MAIN}" ContentType="{kinds}officedocument.wordprocessingml.document.main+xml"/></Types>',
+        "_rels/.rels": f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="{_R[1:-1]}/officeDocument" Target="{MAIN}"/></Relationships>',
+        MAIN: ET.tostring(root, encoding="UTF-8", xml_declaration=True),
+    }
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, data in files.items():
+            z.writestr(name, data)
+    return out.getvalue()
+
+
+def packed(paragraphs: DataFrame) -> DataFrame:
+    """Files (path, content), one for each path, of paragraphs (path, seq, texts: the runs' texts) in order of seq; a document is held whole."""
+    texts = paragraphs.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("seq", "texts"))).alias("p")).select("path", F.transform("p", lambda p: p["texts"]).alias("texts"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"path": frame["path"].to_numpy(), "content": [plain_package(texts) for texts in frame["texts"]]})
+
+    return texts.mapInPandas(run, "path string, content binary")
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(path, content) of the files; a document is a row, read whole."""
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").load(path).select("path", "content")
@@ -154,13 +197,9 @@ def paragraphs(files: DataFrame) -> DataFrame:
     """Paragraphs (doc_id: the path, seq, text, header_text, loc, runs) of files (path, content)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fields = ("paragraph_index", "table_index", "row_index", "cell_index")
         for frame in frames:
             for path, content in zip(frame["path"], frame["content"], strict=True):
-                rows = []
-                for seq, p in enumerate(Package(bytes(content)).paragraphs()):
-                    loc = {f: p.location.get(f) for f in fields} | {f: p.location.get(f, False) for f in ("is_header", "is_footer")}
-                    rows.append((path, seq, p.text, p.header_text, loc, [{"run_index": i, "text": run_text(r)} for i, r in enumerate(p.runs)]))
+                rows = [(path, *row) for row in rows_of(bytes(content))]
                 yield pd.DataFrame(rows, columns=["doc_id", "seq", "text", "header_text", "loc", "runs"])
 
     return files.mapInPandas(run, PARAGRAPHS)
