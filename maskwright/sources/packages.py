@@ -16,8 +16,9 @@ from pyspark.sql.types import BinaryType, StringType, StructType
 
 from maskwright.sources import docx
 
-#: Files are read together up to this size; a larger one is a partition of its own.
-BYTES_PER_PARTITION = 64 << 20
+#: Files are read together up to a size between these, so that there are a thousand partitions or more where there can be;
+#: a larger file is a partition of its own. Packages are compressed: a megabyte holds a dozen of text.
+BYTES_PER_PARTITION = (1 << 18, 64 << 20)
 _STAGING = "_staging-"
 
 
@@ -84,14 +85,17 @@ class Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         options = {k.lower(): v for k, v in options.items()}
         self.path = options["path"]
-        self.most = int(options.get("bytesperpartition", BYTES_PER_PARTITION))
+        self.most = int(options["bytesperpartition"]) if "bytesperpartition" in options else None
         self.skip_broken = options.get("skipbroken", "false").lower() == "true"
 
     def partitions(self) -> list[Files]:
         groups: list[list[str]] = []
         held = 0
-        for name, size in listed(*opened(self.path)):
-            if not groups or held + size > self.most:
+        files = listed(*opened(self.path))
+        least, most = BYTES_PER_PARTITION
+        most = self.most or min(most, max(least, sum(size for _, size in files) // 1000))
+        for name, size in files:
+            if not groups or held + size > most:
                 groups.append([])
                 held = 0
             groups[-1].append(name)
