@@ -102,3 +102,20 @@ def test_one_large_document_and_no_python(spark):
     assert empty.count() == 0 and empty.columns == df.columns
     with pytest.raises(ValueError):
         memo.recall(df, scope="backwards")
+
+
+def test_nothing_goes_through_the_driver(spark, monkeypatch):
+    """Alike texts make small files of many rows: what Spark takes for small must not be broadcast."""
+    plans = []
+    put = memo.Tables.put
+
+    def kept(self, df, name):
+        plans.append(df)
+        return put(self, df, name)
+
+    monkeypatch.setattr(memo.Tables, "put", kept)
+    rows = paragraphs(1)
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("resolved", T.once(resolve.resolve(F.col("candidates"))))
+    got = memo.recall(df)
+    assert got.count() == len(rows) and len(plans) > 4
+    assert all("Broadcast" not in p._jdf.queryExecution().executedPlan().toString() for p in (*plans, got))
