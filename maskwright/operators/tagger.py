@@ -53,6 +53,12 @@ class Lines:
     lengths: np.ndarray
     spans: list[list[tuple[int, int]]]
 
+    def part(self, first: int, last: int) -> Lines:
+        """The lines from first to before last."""
+        starts, lengths = self.starts[first:last], self.lengths[first:last]
+        begin = int(starts[0]) if len(starts) else 0
+        return Lines(self.features[begin : begin + int(lengths.sum())], starts - begin, lengths, self.spans[first:last])
+
 
 def encoded(texts: Sequence[str]) -> Lines:
     """Each word's own features, those of its neighbours, and pairs of shapes."""
@@ -121,8 +127,10 @@ def gold_tags(text: str, expected: Sequence[tuple[str, str]]) -> list[int]:
     at = {a: i for i, (a, _) in enumerate(spans)}
     end = {b: i for i, (_, b) in enumerate(spans)}
     for kind, name in sorted({(k, n) for k, n in expected if k in LABELS and n}, key=lambda e: (-len(e[1]), e)):
-        for m in re.finditer(re.escape(name), text):
-            first, last = at.get(m.start()), end.get(m.end())
+        start = text.find(name)
+        while start >= 0:
+            first, last = at.get(start), end.get(start + len(name))
+            start = text.find(name, start + len(name))
             if first is not None and last is not None and not any(i in taken for i in range(first, last + 1)):
                 label = TAGS.index(f"B-{LABELS[kind]}")
                 taken |= {i: label + (i > first) for i in range(first, last + 1)}
@@ -143,9 +151,9 @@ def _touched(lines: Lines, tags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def learnt_from(texts: Sequence[str], wanted: Sequence[Sequence[int]], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """(changes, sums of the changes after each block, blocks) of one pass over the lines; both are whole numbers."""
     change, late = np.zeros((ROWS, N), dtype=np.int64), np.zeros((ROWS, N), dtype=np.int64)
-    now, blocks = weights.copy(), 0
+    now, blocks, every = weights.copy(), 0, encoded(texts)
     for at in range(0, len(texts), BLOCK):
-        lines, right = encoded(texts[at : at + BLOCK]), np.array([t for w in wanted[at : at + BLOCK] for t in w], dtype=np.int64)
+        lines, right = every.part(at, at + BLOCK), np.array([t for w in wanted[at : at + BLOCK] for t in w], dtype=np.int64)
         tags = viterbi(lines, now)
         if (tags != right).any():
             for value, given in ((1, right), (-1, tags)):
