@@ -138,30 +138,42 @@ def gold_tags(text: str, expected: Sequence[tuple[str, str]]) -> list[int]:
     return out
 
 
-def _touched(lines: Lines, tags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, tags) that a tagging counts, one pair for each of its weights."""
+def _touched(lines: Lines, tags: np.ndarray, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, tags) that a tagging counts, one pair for each of its weights and each copy of the word."""
     some = lines.lengths > 0
     first = np.zeros(len(tags), dtype=bool)
     first[lines.starts[some]] = True
     before = np.where(first, ROWS - 1, BUCKETS + np.r_[0, tags[:-1]])
-    rows = np.concatenate([lines.features, before[:, None]], axis=1)
-    return rows.ravel(), np.repeat(tags, rows.shape[1])
+    rows = np.repeat(np.concatenate([lines.features, before[:, None]], axis=1), copies, axis=0)
+    return rows.ravel(), np.repeat(np.repeat(tags, copies), rows.shape[1])
 
 
-def learnt_from(texts: Sequence[str], wanted: Sequence[Sequence[int]], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """(changes, sums of the changes after each block, blocks) of one pass over the lines; both are whole numbers."""
+def learnt_from(texts: Sequence[str], wanted: Sequence[Sequence[int]], weights: np.ndarray, copies: Sequence[int] | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    """(changes, sums of the changes after each block, blocks) of one pass over the lines; both are whole numbers.
+
+    copies: how often each line stands there, one after another. What comes out is that of the lines written out; a line's
+    copies are tagged once in a block, and not at all in the blocks of nothing else that follow one without a mistake.
+    """
     change, late = np.zeros((ROWS, N), dtype=np.int64), np.zeros((ROWS, N), dtype=np.int64)
     now, blocks, every = weights.copy(), 0, encoded(texts)
-    for at in range(0, len(texts), BLOCK):
-        lines, right = every.part(at, at + BLOCK), np.array([t for w in wanted[at : at + BLOCK] for t in w], dtype=np.int64)
+    ends = np.cumsum(np.ones(len(texts), dtype=np.int64) if copies is None else np.asarray(copies, dtype=np.int64))
+    at, last = 0, int(ends[-1]) if len(ends) else 0
+    while at < last:
+        stop = min(at + BLOCK, last)
+        i, j = int(np.searchsorted(ends, at, side="right")), int(np.searchsorted(ends, stop)) + 1
+        lines, right = every.part(i, j), np.array([t for w in wanted[i:j] for t in w], dtype=np.int64)
         tags = viterbi(lines, now)
-        if (tags != right).any():
+        wrong = bool((tags != right).any())
+        if wrong:
+            here = np.repeat(np.diff(np.minimum(ends[i:j], stop), prepend=at), lines.lengths)
             for value, given in ((1, right), (-1, tags)):
-                place = _touched(lines, given)
+                place = _touched(lines, given, here)
                 np.add.at(now, place, value)
                 np.add.at(change, place, value)
                 np.add.at(late, place, value * blocks)
-        blocks += 1
+        same = 0 if wrong or j - i > 1 else (int(ends[i]) - stop) // BLOCK  # these blocks would change nothing either
+        blocks += 1 + same
+        at = stop + same * BLOCK
     return change, change * blocks - late, blocks
 
 
@@ -171,28 +183,31 @@ def train(gold: DataFrame, rounds: int = 5, shards: int = 8) -> NameTagger:
     In each round every shard learns by itself from the same weights; the mean of what they come to is where all begin the
     next round, and the mean over all steps is the model. A shard sends the weights that it has changed, at most ROWS of
     them, and the driver holds as many: nothing but the time grows with gold. Shards are by the rows' hash and read in
-    order, and what they send are whole numbers, so the model is the same on any cluster. Null texts and null entities are
-    empty; an empty table gives a tagger that finds nothing.
+    order, and what they send are whole numbers, so the model is the same on any cluster. Equal rows travel as one with their
+    number, so a line that is there very often is no burden to its shard. Null texts and null entities are empty; an empty
+    table gives a tagger that finds nothing.
     """
     tables = Tables(gold.sparkSession)
     text, entities = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col("entities"), F.array().cast("array<struct<type:string,text:string>>"))
     rows = gold.select(text, F.transform(entities, lambda e: F.struct(e["type"].alias("type"), e["text"].alias("text"))).alias("entities"))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("text"), F.lit(shards)).cast("int")).repartition(shards, "shard").sortWithinPartitions("shard", F.xxhash64("text"), "text")
-    rows = tables.put(rows, "gold")
+    rows = rows.groupBy("text", "entities").agg(F.count("*").alias("n")).withColumn("hash", F.xxhash64("text")).withColumn("shard", F.pmod("hash", F.lit(shards)).cast("int"))
+    rows = tables.put(rows.withColumn("told", F.to_json("entities")), "gold")
+    n_pieces = max(1, -(-(rows.agg(F.sum("n")).first()[0] or 0) // (shards * 20_000)))
+    # a shard's lines are learnt from in pieces, each from the same weights; so many partitions are asked for because lines
+    # that are alike are so few bytes that Spark would put all pieces into one task
+    pieces = rows.withColumn("piece", F.pmod(F.shiftright("hash", 20), F.lit(n_pieces))).repartition(shards * n_pieces, "shard", "piece")
     schema = pa.schema([("at", pa.int32()), ("blocks", pa.int64()), ("change", pa.list_(pa.int64())), ("total", pa.list_(pa.int64()))])
 
     def one_round(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         def learn(table: pa.Table) -> pa.Table:
-            table = table.sort_by([("hash", "ascending"), ("text", "ascending")])
+            table = table.sort_by([("hash", "ascending"), ("text", "ascending"), ("told", "ascending")])
             texts = table.column("text").to_pylist()
             wanted = [gold_tags(t, [(e["type"], e["text"]) for e in es]) for t, es in zip(texts, table.column("entities").to_pylist(), strict=True)]
-            change, total, blocks = learnt_from(texts, wanted, weights)
+            change, total, blocks = learnt_from(texts, wanted, weights, table.column("n").to_numpy())
             at = np.flatnonzero(change.any(axis=1) | total.any(axis=1))
             at = np.r_[-1, at]  # the first row says how many blocks there were
             return pa.Table.from_arrays([pa.array(at.astype(np.int32)), pa.array(np.full(len(at), blocks)), pa.array(list(change[at])), pa.array(list(total[at]))], schema=schema)
 
-        # a shard's lines are learnt from in pieces of bounded size, each from the same weights
-        pieces = rows.withColumn("hash", F.xxhash64("text")).withColumn("piece", F.pmod(F.shiftright("hash", 20), F.lit(n_pieces)))
         sent = pieces.groupBy("shard", "piece").applyInArrow(learn, "at int, blocks long, change array<long>, total array<long>")
         sums = [F.sum(F.col(c)[i]).alias(f"{c}{i}") for c in ("change", "total") for i in range(N)]
         change, total, blocks = np.zeros((ROWS, N)), np.zeros((ROWS, N)), 1
@@ -203,7 +218,6 @@ def train(gold: DataFrame, rounds: int = 5, shards: int = 8) -> NameTagger:
                 change[r["at"]], total[r["at"]] = ([r[f"{c}{i}"] for i in range(N)] for c in ("change", "total"))
         return change, total, blocks
 
-    n_pieces = max(1, -(-rows.count() // (shards * 20_000)))
     weights, mean = np.zeros((ROWS, N)), np.zeros((ROWS, N))
     for k in range(rounds):
         change, total, blocks = one_round(weights)

@@ -60,3 +60,28 @@ def test_tagger_encodes_a_piece_once():
         want, got = tagger.encoded(texts[at : at + 7]), every.part(at, at + 7)
         assert all(np.array_equal(getattr(want, f), getattr(got, f)) for f in ("features", "starts", "lengths")) and want.spans == got.spans
     assert tagger.gold_tags("Rao Rao.Rao Raoul", [("PERSON", "Rao")]) == [1, 1, 0, 1, 0]
+
+
+def test_equal_lines_are_learnt_from_as_one(monkeypatch):
+    """What comes out is that of the lines written out, but a line that is there very often isn't tagged once for each block of its copies."""
+    lines = [("Asha Rao came", [("PERSON", "Asha Rao")]), ("", []), ("nothing of note", []), ("They saw Dev Shah in Pune", [("PERSON", "Dev Shah")]), ("Dev Shah of Pune", [("PHYSICAL_OR_MAILING_ADDRESS", "Pune")])]
+    copies, calls, plain = [40, 1, 5000, 33, 3000], [], tagger.viterbi
+    monkeypatch.setattr(tagger, "viterbi", lambda lines, weights: (calls.append(len(lines.lengths)), plain(lines, weights))[1])
+    weights = np.random.default_rng(3).standard_normal((tagger.ROWS, tagger.N))
+    every = [x for x, n in zip(lines, copies, strict=True) for _ in range(n)]
+    want = tagger.learnt_from([t for t, _ in every], [tagger.gold_tags(t, g) for t, g in every], weights)
+    calls.clear()
+    got = tagger.learnt_from([t for t, _ in lines], [tagger.gold_tags(t, g) for t, g in lines], weights, copies)
+    assert got[2] == want[2] == -(-sum(copies) // tagger.BLOCK) and all(np.array_equal(a, b) for a, b in zip(got[:2], want[:2], strict=True))
+    assert len(calls) < 60 and max(calls) < len(lines)
+
+
+def test_gold_is_kept_as_different_lines_in_many_tasks(spark, monkeypatch):
+    dealt, frames, put = [], [], tagger.Tables.put
+    monkeypatch.setattr(tagger.Tables, "put", lambda self, df, name: (frames.append(put(self, df, name)), frames[-1])[1])
+    frame = type(spark.range(1))
+    repartition = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda self, n, *cols: (dealt.append(n), repartition(self, n, *cols))[1])
+    gold = spark.range(400).selectExpr("id AS doc_id", "0 AS seq", "concat('Asha Rao came ', id % 3) AS text", "array(named_struct('type', 'PERSON', 'text', 'Asha Rao')) AS entities")
+    tagger.train(gold, rounds=0)
+    assert dealt == [8] and sorted(r.n for r in frames[0].collect()) == [133, 133, 134]
