@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from maskwright import vocab as V
 from maskwright.functions import text as T
-from maskwright.operators import audit, detect, measure, tagger
-from maskwright.plans import corpus
+from maskwright.operators import audit, detect, measure, memo, resolve, tagger
+from maskwright.plans import corpus, queries
 
 DATA = "/root/testdata/sf0.001"
 
@@ -85,3 +85,22 @@ def test_gold_is_kept_as_different_lines_in_many_tasks(spark, monkeypatch):
     gold = spark.range(400).selectExpr("id AS doc_id", "0 AS seq", "concat('Asha Rao came ', id % 3) AS text", "array(named_struct('type', 'PERSON', 'text', 'Asha Rao')) AS entities")
     tagger.train(gold, rounds=0)
     assert dealt == [8] and sorted(r.n for r in frames[0].collect()) == [133, 133, 134]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="test tables are absent")
+def test_candidates_are_dealt_as_numbers_and_listed_where_they_lie(spark):
+    for query in (queries.resolve_overlaps, queries.resolve_detectors):
+        plan = query(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+        shuffles = [line for line in plan.splitlines() if "Exchange" in line]
+        assert len(shuffles) == 1 and "REPARTITION_BY_NUM" in shuffles[0] and plan.index("collect_list") < plan.index("Exchange")
+
+
+def test_what_resolution_keeps_is_in_order(spark):
+    rng = np.random.default_rng(8)
+    kinds, rows = ("EMAIL", "PERSON", "DIN"), []
+    for i in range(300):
+        starts = rng.integers(0, 6, rng.integers(0, 9)).tolist()
+        rows.append((i, [("x", kinds[rng.integers(3)], a, a + int(rng.integers(1, 5)), float(rng.integers(1, 4)), f"d{k}", k) for k, a in enumerate(starts)]))
+    df = spark.createDataFrame(rows, f"id int, es {T.ENTITIES}")
+    for r in df.select("es", resolve.resolve(F.col("es")).alias("kept")).collect():
+        assert [k.asDict() for k in r.kept] == memo.resolve_list([e.asDict() for e in r.es])
