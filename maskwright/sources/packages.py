@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Row, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -102,20 +103,19 @@ class Reader(DataSourceReader):
             held += size
         return [Files(tuple(g)) for g in groups] or [Files(())]
 
-    def read(self, partition: Files) -> Iterator[tuple]:
+    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         system, root = opened(self.path)
         alone = bool(partition.names) and system.get_file_info(root).type == fs.FileType.File
         for name in partition.names:
             with system.open_input_stream(root if alone else f"{root}/{name}") as f:
                 content = f.read()
             try:
-                rows = list(docx.rows_of(content))
+                batches = docx.batches_of(name, content)
             except Exception as e:
                 if self.skip_broken:
                     continue
                 raise ValueError(f"{name} can't be read as a packaged document: {e}") from e
-            for row in rows:
-                yield (name, *row)
+            yield from batches
 
 
 @dataclass

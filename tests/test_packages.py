@@ -82,3 +82,16 @@ def test_broken_files(spark, tmp_path):
     with pytest.raises(Exception, match="bad.docx can't be read"):
         spark.read.format("docx").load(str(tmp_path)).count()
     assert [r.text for r in spark.read.format("docx").option("skipBroken", "true").load(str(tmp_path)).collect()] == ["g"]
+
+
+def test_a_document_is_parsed_once_and_packing_is_spread(spark, monkeypatch):
+    rows = spark.range(30).selectExpr("concat('d', id % 3, '.docx') AS path", "id AS seq", "array('a') AS texts")
+    assert "REPARTITION_BY_NUM" in docx.packed(rows)._jdf.queryExecution().executedPlan().toString()
+    seen, plain = [], docx.run_text
+    monkeypatch.setattr(docx, "run_text", lambda run: (seen.append(run), plain(run))[1])
+    (batch,) = docx.batches_of("x.docx", bytes(content(["a & ", "b"], ["<c>"], [" "], ["d", "", "e\n"])))
+    assert len(seen) == 7
+    assert [(r["seq"], r["text"], [(x["run_index"], x["text"]) for x in r["runs"]]) for r in batch.to_pylist()] == [(0, "a & b", [(0, "a & "), (1, "b")]), (1, "<c>", [(0, "<c>")]), (2, "de\n", [(0, "d"), (1, ""), (2, "e\n")])]
+    monkeypatch.setattr(docx, "_BATCH", 2)
+    assert [b.column("seq").to_pylist() for b in docx.batches_of("x.docx", bytes(content(["a"], ["b"], ["c"])))] == [[0, 1], [2]]
+    assert docx.batches_of("x.docx", bytes(content([" "]))) == []
